@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import secret_scan, toxicity, wordpiece
+from . import packing, secret_scan, token_store, toxicity, wordpiece
 from .common import id_remainder, table
 
 
@@ -24,6 +25,15 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (id_remainder(4) == 2).alias("held_out"), "score", "predicted")
 
 
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.write_and_read(table(spark, sf_dir, "documents"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -31,6 +41,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_secret_scan": op4_secret_scan,
     "op7_toxicity": op7_toxicity,
+    "op8_token_store": op8_token_store,
+    "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
 }
 ORACLES: dict[str, str] = {}
