@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dedup, packing, secret_scan, token_store, toxicity, wordpiece
+from . import ann, embedding_dedup, near_dedup, packing, secret_scan, token_store, toxicity, wordpiece
 from .common import id_remainder, table
 
 
@@ -17,6 +17,15 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def toxicity_model(docs: DataFrame, spark: SparkSession, sf_dir: str) -> toxicity.Model:
     """Fitted on the documents of `docs` whose labels may be learned from."""
     labels = table(spark, sf_dir, "labels").where(toxicity.learnable())
@@ -45,6 +54,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_near_dedup": op3_near_dedup,
     "op4_secret_scan": op4_secret_scan,
+    "op5_nearest_neighbours": op5_nearest_neighbours,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_token_store": op8_token_store,
     "op9_packing": op9_packing,
