@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embedding_dedup, near_dedup, packing, secret_scan, token_store, toxicity, wordpiece
+from . import ann, embedding_dedup, language_model, near_dedup, packing, secret_scan, token_store, toxicity, wordpiece
 from .common import id_remainder, table
 
 
+def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
@@ -52,6 +56,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_model": op1_language_model,
     "op3_near_dedup": op3_near_dedup,
     "op4_secret_scan": op4_secret_scan,
     "op5_nearest_neighbours": op5_nearest_neighbours,
