@@ -1,6 +1,428 @@
-"""Named queries of the library and the SQL that checks them."""
+"""Named queries of the library and the SQL that checks them.
+
+`embeddings` serves as bank, as queries and, read as 32 real and 32 imaginary parts, as complex frames. Its vectors
+have unit length, so that frames are scaled by 1 + vec_id mod 7 wherever normalising must show. Every tenth
+row validates, unless a query is about splitting. Floats are rounded to six places.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from framewright import schema
+from framewright.functions import vec
+from framewright.operators import bank as banks
+from framewright.operators import knn, mlp, score, split, stats, templates
+from framewright.plans import evaluate
+from framewright.sources import frames as sources
+
+CLASSES, DIM, HALF = 10, 64, 32
+ENCODER, DECODER, HEAD = [64, 16, 8], [8, 16, 64], [8, 10]
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.from_embeddings(_table(spark, sf_dir, "embeddings"))
+
+
+def _scaled(frames: DataFrame) -> DataFrame:
+    return frames.withColumn("x", F.transform("x", lambda v: v * (1 + F.col("row_id") % 7)))
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    every = _scaled(_frames(spark, sf_dir))
+    return split.modular(every, "train"), split.modular(every, "val")
+
+
+def _r(c, name: str | None = None):
+    return F.round(F.col(c) if isinstance(c, str) else c, 6).alias(name or c)
+
+
+def frame_meta(spark, sf_dir):
+    f = sources.numeric_meta(_frames(spark, sf_dir).withColumn("n_samples", F.size("x")))
+    return f.select("row_id", "label", "n_samples")
+
+
+def class_name_lookup(spark, sf_dir):
+    f = _frames(spark, sf_dir).where(F.col("label") < len(schema.SIGNAL_CLASSES))
+    return stats.class_names(f, schema.SIGNAL_CLASSES).select("row_id", "label", "class_name")
+
+
+def iq_stack(spark, sf_dir):
+    f = _frames(spark, sf_dir).withColumn("x", vec.stacked(vec.imaginary(F.col("x")), vec.real(F.col("x"))))
+    return f.select("row_id", F.posexplode("x").alias("pos", "v")).select("row_id", "pos", _r("v", "value"))
+
+
+def split_seeded(spark, sf_dir):
+    f = _frames(spark, sf_dir)
+    return split.labelled(f, f.count()).select("row_id", "split")
+
+
+def split_prefix(spark, sf_dir):
+    return split.prefix(_frames(spark, sf_dir), 100).select("row_id", "label")
+
+
+def split_disjoint(spark, sf_dir):
+    """Train and validation share nothing and make up everything."""
+    f = _frames(spark, sf_dir)
+    n = f.count()
+    train, val = (split.seeded(f, s, n).select("row_id") for s in ("train", "val"))
+    both = F.count(F.lit(1))
+    rows = [
+        ("shared", train.join(val, "row_id", "left_semi").agg(both.alias("n"))),
+        ("missing", f.select("row_id").join(train.unionByName(val), "row_id", "left_anti").agg(both.alias("n"))),
+    ]
+    out = [df.select(F.lit(name).alias("what"), "n") for name, df in rows]
+    return out[0].unionByName(out[1])
+
+
+def _normalized(spark, sf_dir, floor):
+    f = _scaled(_frames(spark, sf_dir)).withColumn("x", vec.scaled_to_unit(F.col("x"), floor))
+    return f.select("row_id", F.posexplode("x").alias("pos", "v")).select("row_id", "pos", _r("v", "value"))
+
+
+def normalize_energy(spark, sf_dir):
+    return _normalized(spark, sf_dir, vec.ENERGY_FLOOR)
+
+
+def normalize_l2(spark, sf_dir):
+    return _normalized(spark, sf_dir, vec.LENGTH_FLOOR)
+
+
+def templates_real(spark, sf_dir):
+    return templates.long_form(templates.templates(_parts(spark, sf_dir)[0], CLASSES, DIM)).select("label", "pos", _r("value"))
+
+
+def templates_complex(spark, sf_dir):
+    """Over a domain one class larger than the data's: the last template stays zero."""
+    return templates.long_form(templates.complex_templates(_parts(spark, sf_dir)[0], CLASSES + 1, HALF)).select("label", "pos", _r("value"))
+
+
+def _predicted(mode):
+    def query(spark, sf_dir):
+        train, val = _parts(spark, sf_dir)
+        floor = vec.LENGTH_FLOOR if mode == "cosine" else vec.ENERGY_FLOOR
+        best = score.predict(val, templates.templates(train, CLASSES, DIM, floor), mode)
+        return best.select("row_id", "y", "pred", _r("score"))
+
+    return query
+
+
+def _accuracy(mode):
+    def query(spark, sf_dir):
+        train, val = _parts(spark, sf_dir)
+        return evaluate.matched_filter(train, val, CLASSES, DIM, mode).select(_r("accuracy"), "correct", "total")
+
+    return query
+
+
+def mf_fft_by_expressions(spark, sf_dir):
+    """The circular-correlation peak without Python, as a check on the kernel."""
+    train, val = _parts(spark, sf_dir)
+    best = score.decided(score.shifted_scores(val, templates.complex_templates(train, CLASSES, HALF)))
+    return best.select("row_id", "y", "pred", _r("score"))
+
+
+def bank_normalize(spark, sf_dir):
+    b = banks.from_frames(_scaled(_frames(spark, sf_dir)), normalize=True)
+    return b.select("ref_index", "label", F.posexplode("z").alias("pos", "v")).select("ref_index", "label", "pos", _r("v", "value"))
+
+
+def _neighbours(normalize):
+    def query(spark, sf_dir):
+        train, val = _parts(spark, sf_dir)
+        found = knn.nearest(val, banks.from_frames(train), 5, normalize)
+        return found.select("qid", "y", "rank", "ref_index", "label", _r("distance"))
+
+    return query
+
+
+def knn_vote(spark, sf_dir):
+    train, val = _parts(spark, sf_dir)
+    return knn.majority_vote(knn.nearest(val, banks.from_frames(train), 5, True)).select("row_id", "y", "pred")
+
+
+def accuracy_knn(spark, sf_dir):
+    train, val = _parts(spark, sf_dir)
+    return evaluate.knn_retrieval(val, banks.from_frames(train), 5, True).select(_r("accuracy"), "correct", "total")
+
+
+def knn_rejected(spark, sf_dir):
+    """Beyond the reference: neighbours farther than 1.1 don't vote; a query without any is left out."""
+    train, val = _parts(spark, sf_dir)
+    found = knn.within(knn.nearest(val, banks.from_frames(train), 5, True), 1.1)
+    return knn.majority_vote(found).select("row_id", "y", "pred")
+
+
+def _long(df, vector="z"):
+    return df.select("row_id", F.posexplode(vector).alias("pos", "v")).select("row_id", "pos", _r("v", "value"))
+
+
+def encode_mlp(spark, sf_dir):
+    return _long(mlp.apply(_frames(spark, sf_dir), mlp.by_rule(ENCODER)))
+
+
+def encode_mlp_by_join(spark, sf_dir):
+    got = mlp.apply_by_join(_frames(spark, sf_dir), mlp.by_rule(ENCODER))
+    return got.select("row_id", "pos", _r("v", "value"))
+
+
+def _decoded(spark, sf_dir):
+    z = mlp.apply(_frames(spark, sf_dir), mlp.by_rule(ENCODER)).withColumnRenamed("z", "latent")
+    whole = _frames(spark, sf_dir).select("row_id", F.col("x").alias("original"))
+    return mlp.apply(z, mlp.by_rule(DECODER), "latent", "x_hat").join(whole, "row_id")
+
+
+def decode_mlp(spark, sf_dir):
+    z = mlp.apply(_frames(spark, sf_dir), mlp.by_rule(ENCODER)).withColumnRenamed("z", "latent")
+    return _long(mlp.apply(z, mlp.by_rule(DECODER), "latent", "x_hat"), "x_hat")
+
+
+def recon_mse(spark, sf_dir):
+    per_row = vec.mean_square(F.col("original"), F.col("x_hat"))
+    return _decoded(spark, sf_dir).agg(_r(F.avg(per_row), "mse"), F.count(F.lit(1)).alias("n"))
+
+
+def cls_ce(spark, sf_dir):
+    z = mlp.apply(_frames(spark, sf_dir), mlp.by_rule(ENCODER))
+    logits = mlp.apply(z, mlp.by_rule(HEAD), "z", "logits")
+    return logits.agg(_r(F.avg(vec.cross_entropy(F.col("logits"), F.col("label"))), "ce"), F.count(F.lit(1)).alias("n"))
+
+
+_EPOCHS = [(1, 0.6, 0.5), (2, 0.5, 0.4), (3, 0.45, 0.4), (4, 0.4, 0.3), (5, 0.35, 0.3)]
+
+
+def _epochs(spark):
+    return spark.createDataFrame(_EPOCHS, "epoch int, train_mse double, val_mse double")
+
+
+def best_epoch(spark, sf_dir):
+    return mlp.best_epoch(_epochs(spark)).select("best_epoch", _r("best_val_mse"))
+
+
+def epochs_improved(spark, sf_dir):
+    return mlp.best_so_far(_epochs(spark)).select("epoch", "val_mse", "improved")
+
+
+def stats_class_counts(spark, sf_dir):
+    return stats.class_counts(_frames(spark, sf_dir), CLASSES + 2).select("label", "n", _r("percent"))
+
+
+def stats_histogram(spark, sf_dir):
+    return stats.histogram(_table(spark, sf_dir, "lineitem"), "l_quantity")
+
+
+def stats_n_unique(spark, sf_dir):
+    return stats.n_unique(_table(spark, sf_dir, "lineitem"), "l_quantity")
+
+
+def stats_split_counts(spark, sf_dir):
+    f = _frames(spark, sf_dir)
+    return stats.split_counts(split.labelled(f, f.count()), CLASSES)
+
+
+def waveform_neighbours(spark, sf_dir):
+    train, val = _parts(spark, sf_dir)
+    return evaluate.waveform_neighbours(train, val, 5).select("row_id", "y", "pred")
+
+
+def bank_prototypes(spark, sf_dir):
+    b = banks.prototypes(banks.from_frames(_parts(spark, sf_dir)[0]), CLASSES, DIM)
+    return b.select("label", F.posexplode("z").alias("pos", "v")).select("label", "pos", _r("v", "value"))
+
+
+def bank_footprint(spark, sf_dir):
+    return banks.footprint(banks.from_frames(_parts(spark, sf_dir)[0]))
+
+
+def comparison(spark, sf_dir):
+    """Beyond the reference: methods side by side, with the bytes of what they compare with."""
+    train, val = _parts(spark, sf_dir)
+    bank, proto = banks.from_frames(train), banks.prototypes(banks.from_frames(train), CLASSES, DIM)
+    rows = [(m, evaluate.matched_filter(train, val, CLASSES, DIM, m), proto) for m in ("cosine", "time", "fft")]
+    rows += [("knn", evaluate.knn_retrieval(val, bank, 5, True), bank)]
+    out = [a.crossJoin(banks.footprint(b)).select(F.lit(m).alias("method"), _r("accuracy"), "total", "n_bytes") for m, a, b in rows]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
+def train_autoencoder(spark, sf_dir):
+    """Epoch metrics of a small run (random weights: only its rows are checked)."""
+    train, val = _parts(spark, sf_dir)
+    got = mlp.train_autoencoder(train, val, latent=8, hidden=(32, 16), epochs=5, joint_weight=0.1)
+    return spark.createDataFrame(got.epochs, schema.EPOCHS)
+
+
+def bench_matched_filter(spark, sf_dir):
+    f = _frames(spark, sf_dir)
+    return evaluate.runtime(f, f.count(), CLASSES)
+
+
+QUERIES = {
+    "frame_meta": frame_meta, "class_name_lookup": class_name_lookup, "iq_stack": iq_stack,
+    "split_seeded": split_seeded, "split_prefix": split_prefix, "split_disjoint": split_disjoint,
+    "normalize_energy": normalize_energy, "normalize_l2": normalize_l2,
+    "templates_real": templates_real, "templates_complex": templates_complex,
+    "mf_cosine": _predicted("cosine"), "mf_time": _predicted("time"), "mf_fft": _predicted("fft"),
+    "mf_fft_by_expressions": mf_fft_by_expressions,
+    "accuracy_cosine": _accuracy("cosine"), "accuracy_time": _accuracy("time"), "accuracy_fft": _accuracy("fft"),
+    "bank_normalize": bank_normalize, "knn_neighbors": _neighbours(False), "knn_neighbors_normalized": _neighbours(True),
+    "knn_vote": knn_vote, "accuracy_knn": accuracy_knn, "knn_rejected": knn_rejected,
+    "encode_mlp": encode_mlp, "encode_mlp_by_join": encode_mlp_by_join, "decode_mlp": decode_mlp,
+    "recon_mse": recon_mse, "cls_ce": cls_ce, "best_epoch": best_epoch, "epochs_improved": epochs_improved,
+    "stats_class_counts": stats_class_counts, "stats_histogram": stats_histogram,
+    "stats_n_unique": stats_n_unique, "stats_split_counts": stats_split_counts,
+    "waveform_neighbours": waveform_neighbours, "bank_prototypes": bank_prototypes,
+    "bank_footprint": bank_footprint, "comparison": comparison,
+    "train_autoencoder": train_autoencoder, "bench_matched_filter": bench_matched_filter,
+}
+
+# --- SQL ---------------------------------------------------------------------------------------------------
+
+#: What a permutation of 500 rows with seed 42 leaves for validation (the tables of the two smaller sizes).
+_VAL_500 = (
+    "6,14,15,16,22,23,34,35,36,41,49,97,102,109,110,113,136,137,139,141,163,175,182,190,194,195,237,240,272,275,286,287,"
+    "300,303,314,316,320,333,366,396,420,431,432,437,449,451,458,461,480,491"
+)
+
+
+def _with(*parts: str) -> str:
+    return "WITH " + ", ".join(parts) + " "
+
+
+_RAW = """f AS (SELECT vec_id AS row_id, label, generate_subscripts(embedding, 1) - 1 AS pos,
+  CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)"""
+_SCALED = """f AS (SELECT vec_id AS row_id, label, generate_subscripts(embedding, 1) - 1 AS pos,
+  CAST(unnest(embedding) AS DOUBLE) * (1 + vec_id % 7) AS v FROM embeddings)"""
+
+
+def _unit(name: str, source: str, key: str, floor: str) -> str:
+    return f"""{name} AS (SELECT {key}, pos, v / greatest(sqrt(sum(v * v) OVER (PARTITION BY {key})), {floor}::DOUBLE) AS v
+  FROM {source})"""
+
+
+def _templates(floor: str) -> str:
+    return (
+        "m AS (SELECT label, pos, avg(v) AS v FROM f WHERE row_id % 10 <> 0 GROUP BY label, pos), "
+        + _unit("t", "m", "label", floor)
+    )
+
+
+_VAL = "v AS (SELECT * FROM f WHERE row_id % 10 = 0), y AS (SELECT DISTINCT row_id, CAST(label AS INT) AS y FROM v)"
+_COSINE = "s AS (SELECT q.row_id, t.label, sum(q.v * t.v) AS score FROM q JOIN t USING (pos) GROUP BY q.row_id, t.label)"
+_COMPLEX = """qc AS (SELECT a.row_id, a.pos, a.v AS re, b.v AS im FROM q a JOIN q b ON a.row_id = b.row_id AND b.pos = a.pos + 32),
+tc AS (SELECT a.label, a.pos, a.v AS re, b.v AS im FROM t a JOIN t b ON a.label = b.label AND b.pos = a.pos + 32)"""
+_TIME = """s AS (SELECT q.row_id, t.label,
+  sqrt(pow(sum(q.re * t.re + q.im * t.im), 2) + pow(sum(q.im * t.re - q.re * t.im), 2)) AS score
+  FROM qc q JOIN tc t USING (pos) GROUP BY q.row_id, t.label)"""
+_FFT = """l AS (SELECT q.row_id, t.label, (q.pos - t.pos + 32) % 32 AS lag,
+  sqrt(pow(sum(q.re * t.re + q.im * t.im), 2) + pow(sum(q.im * t.re - q.re * t.im), 2)) AS score
+  FROM qc q JOIN tc t ON true GROUP BY q.row_id, t.label, lag),
+s AS (SELECT row_id, label, max(score) AS score FROM l GROUP BY row_id, label)"""
+_BEST = """p AS (SELECT row_id, y, CAST(label AS INT) AS pred, score FROM
+  (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY round(score, 12) DESC, label) AS r FROM s) JOIN y USING (row_id) WHERE r = 1)"""
+_ACCURACY = """SELECT round(count(*) FILTER (WHERE pred = y) / greatest(count(*), 1)::DOUBLE, 6) AS accuracy,
+  count(*) FILTER (WHERE pred = y) AS correct, count(*) AS total FROM p"""
+
+
+def _filter_sql(mode: str) -> str:
+    floor = "1e-12" if mode == "cosine" else "1e-8"
+    scores = _COSINE if mode == "cosine" else _COMPLEX + ", " + (_TIME if mode == "time" else _FFT)
+    return _with(_SCALED, _templates(floor), _VAL, _unit("q", "v", "row_id", floor), scores, _BEST)
+
+
+def _neighbour_sql(normalize: bool) -> str:
+    source = _unit("u", "f", "row_id, label", "1e-12") if normalize else "u AS (SELECT row_id, label, pos, v FROM f)"
+    return _with(
+        _SCALED,
+        source,
+        """d AS (SELECT a.row_id AS qid, CAST(a.label AS INT) AS y, b.row_id AS ref_index, CAST(b.label AS INT) AS label,
+  sqrt(sum(pow(a.v - b.v, 2))) AS distance FROM u a JOIN u b ON a.pos = b.pos WHERE a.row_id % 10 = 0 AND b.row_id % 10 <> 0
+  GROUP BY a.row_id, a.label, b.row_id, b.label)""",
+        """n AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY distance, ref_index) AS INT) AS rank FROM d)
+  WHERE rank <= 5)""",
+    )
+
+
+_VOTE = """p AS (SELECT qid AS row_id, y, label AS pred FROM (SELECT qid, y, label,
+  row_number() OVER (PARTITION BY qid ORDER BY count(*) DESC, label) AS r FROM n GROUP BY qid, y, label) WHERE r = 1)"""
+
+
+def _layer(name: str, source: str, n_in: int, n_out: int, relu: bool) -> str:
+    value = "sum(x.v * ((7 * x.pos + 13 * o.o) % 11 - 5) / 11.0::DOUBLE) + (o.o % 3 - 1) / 10.0::DOUBLE"
+    return f"""{name} AS (SELECT x.row_id, o.o AS pos, {f'greatest({value}, 0)' if relu else value} AS v
+  FROM {source} x JOIN (SELECT unnest(range({n_out})) AS o) o ON true GROUP BY x.row_id, o.o)"""
+
+
+_ENCODED = (_RAW, _layer("h", "f", 64, 16, True), _layer("z", "h", 16, 8, False))
+_DECODED = (*_ENCODED, _layer("g", "z", 8, 16, True), _layer("w", "g", 16, 64, False))
+_LONG = "SELECT row_id, CAST(pos AS INT) AS pos, round(v, 6) AS value FROM "
+_EPOCH_ROWS = "e AS (SELECT * FROM (VALUES (1, .5::DOUBLE), (2, .4), (3, .4), (4, .3), (5, .3)) AS e(epoch, val_mse))"
+_VOTED = "SELECT row_id, y, pred FROM p"
+
+ORACLES: dict[str, str] = {
+    "frame_meta": "SELECT vec_id AS row_id, CAST(label AS INT) AS label, CAST(len(embedding) AS INT) AS n_samples FROM embeddings",
+    "class_name_lookup": """SELECT vec_id AS row_id, CAST(label AS INT) AS label, class_name FROM embeddings JOIN (VALUES (0, 'coherent_pulse_train'),
+  (1, 'barker_code'), (2, 'polyphase_barker_code'), (3, 'frank_code'), (4, 'linear_frequency_modulated')) AS n(id, class_name) ON id = label""",
+    "iq_stack": _with(_RAW) + "SELECT row_id, CAST((pos + 32) % 64 AS INT) AS pos, round(v, 6) AS value FROM f",
+    "split_seeded": f"SELECT vec_id AS row_id, CASE WHEN vec_id IN ({_VAL_500}) THEN 'val' ELSE 'train' END AS split FROM embeddings",
+    "split_prefix": "SELECT vec_id AS row_id, CAST(label AS INT) AS label FROM embeddings WHERE vec_id < 100",
+    "split_disjoint": "SELECT * FROM (VALUES ('shared', 0::BIGINT), ('missing', 0)) AS r(what, n)",
+    "normalize_energy": _with(_SCALED, _unit("u", "f", "row_id", "1e-8")) + _LONG + "u",
+    "normalize_l2": _with(_SCALED, _unit("u", "f", "row_id", "1e-12")) + _LONG + "u",
+    "templates_real": _with(_SCALED, _templates("1e-12")) + "SELECT CAST(label AS INT) AS label, CAST(pos AS INT) AS pos, round(v, 6) AS value FROM t",
+    "templates_complex": _with(_SCALED, _templates("1e-8"))
+    + """SELECT CAST(label AS INT) AS label, CAST(pos AS INT) AS pos, round(v, 6) AS value FROM t
+  UNION ALL SELECT 10, CAST(r AS INT), 0.0::DOUBLE FROM (SELECT unnest(range(64)) AS r)""",
+    "bank_normalize": _with(_SCALED, _unit("u", "f", "row_id, label", "1e-12"))
+    + "SELECT row_id AS ref_index, CAST(label AS INT) AS label, CAST(pos AS INT) AS pos, round(v, 6) AS value FROM u",
+    "knn_neighbors": _neighbour_sql(False) + "SELECT qid, y, rank, ref_index, label, round(distance, 6) AS distance FROM n",
+    "knn_neighbors_normalized": _neighbour_sql(True) + "SELECT qid, y, rank, ref_index, label, round(distance, 6) AS distance FROM n",
+    "knn_vote": _neighbour_sql(True) + ", " + _VOTE + " " + _VOTED,
+    "knn_rejected": _neighbour_sql(True) + ", " + _VOTE.replace("FROM n ", "FROM n WHERE distance <= 1.1 ") + " " + _VOTED,
+    "accuracy_knn": _neighbour_sql(True) + ", " + _VOTE + " " + _ACCURACY,
+    "encode_mlp": _with(*_ENCODED) + _LONG + "z",
+    "encode_mlp_by_join": _with(*_ENCODED) + _LONG + "z",
+    "decode_mlp": _with(*_DECODED) + _LONG + "w",
+    "recon_mse": _with(*_DECODED)
+    + """SELECT round(avg(e), 6) AS mse, count(*) AS n FROM (SELECT row_id, avg(pow(f.v - w.v, 2)) AS e FROM f JOIN w USING (row_id, pos) GROUP BY row_id)""",
+    "cls_ce": _with(*_ENCODED, _layer("c", "z", 8, 10, False), "y AS (SELECT DISTINCT row_id, label FROM f)")
+    + """SELECT round(avg(e), 6) AS ce, count(*) AS n FROM (SELECT row_id, ln(sum(exp(v))) - max(v) FILTER (WHERE pos = label) AS e
+  FROM c JOIN y USING (row_id) GROUP BY row_id)""",
+    "best_epoch": _with(_EPOCH_ROWS) + "SELECT CAST(epoch AS INT) AS best_epoch, round(val_mse, 6) AS best_val_mse FROM e ORDER BY val_mse, epoch LIMIT 1",
+    "epochs_improved": _with(_EPOCH_ROWS)
+    + """SELECT CAST(epoch AS INT) AS epoch, val_mse, coalesce(val_mse < min(val_mse) OVER (ORDER BY epoch
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS improved FROM e""",
+    "stats_class_counts": """SELECT CAST(d.label AS INT) AS label, count(e.label) AS n,
+  round(100.0::DOUBLE * count(e.label) / greatest((SELECT count(*) FROM embeddings), 1), 6) AS percent
+  FROM (SELECT unnest(range(12)) AS label) d LEFT JOIN embeddings e ON e.label = d.label GROUP BY d.label""",
+    "stats_histogram": "SELECT CAST(trunc(l_quantity) AS INT) AS value, count(*) AS n FROM lineitem GROUP BY 1",
+    "stats_n_unique": "SELECT count(DISTINCT l_quantity) AS n_unique FROM lineitem",
+    "stats_split_counts": f"""SELECT s.split, CAST(c.label AS INT) AS label, count(e.label) AS n FROM (VALUES ('train'), ('val')) AS s(split)
+  CROSS JOIN (SELECT unnest(range(10)) AS label) c LEFT JOIN (SELECT label, CASE WHEN vec_id IN ({_VAL_500}) THEN 'val' ELSE 'train' END AS split
+  FROM embeddings) e ON e.split = s.split AND e.label = c.label GROUP BY s.split, c.label""",
+    "bank_prototypes": _with(_SCALED, _templates("1e-12")) + "SELECT CAST(label AS INT) AS label, CAST(pos AS INT) AS pos, round(v, 6) AS value FROM t",
+    "bank_footprint": "SELECT count(*) AS n_refs, CAST(sum(len(embedding)) * 4 AS BIGINT) AS n_bytes FROM embeddings WHERE vec_id % 10 <> 0",
+    "waveform_neighbours": _with(
+        _SCALED,
+        _unit("u", "f", "row_id, label", "1e-8"),
+        """c AS (SELECT a.row_id, a.label, a.pos, a.v AS re, b.v AS im FROM u a JOIN u b ON a.row_id = b.row_id AND b.pos = a.pos + 32)""",
+        """s AS (SELECT q.row_id AS qid, CAST(q.label AS INT) AS y, t.row_id AS ref_index, CAST(t.label AS INT) AS label,
+  sqrt(pow(sum(q.re * t.re + q.im * t.im), 2) + pow(sum(q.im * t.re - q.re * t.im), 2)) AS score FROM c q JOIN c t USING (pos)
+  WHERE q.row_id % 10 = 0 AND t.row_id % 10 <> 0 GROUP BY q.row_id, q.label, t.row_id, t.label)""",
+        "n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, ref_index) AS rank FROM s) WHERE rank <= 5)",
+        _VOTE,
+    )
+    + _VOTED,
+}
+for _mode in ("cosine", "time", "fft"):
+    ORACLES[f"mf_{_mode}"] = _filter_sql(_mode) + "SELECT row_id, y, pred, round(score, 6) AS score FROM p"
+    ORACLES[f"accuracy_{_mode}"] = _filter_sql(_mode) + _ACCURACY
+ORACLES["mf_fft_by_expressions"] = ORACLES["mf_fft"]
+ORACLES["comparison"] = " UNION ALL ".join(
+    f"SELECT '{m}' AS method, accuracy, total, {n} AS n_bytes FROM ({ORACLES[f'accuracy_{m}']})"
+    for m, n in (("cosine", "2560::BIGINT"), ("time", "2560::BIGINT"), ("fft", "2560::BIGINT"), ("knn", "(SELECT CAST(sum(len(embedding)) * 4 AS BIGINT) FROM embeddings WHERE vec_id % 10 <> 0)"))
+)
