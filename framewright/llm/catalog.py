@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embedding_dedup, language_model, near_dedup, packing, secret_scan, token_store, toxicity, wordpiece
+from . import ann, embedding_dedup, language_model, near_dedup, packing, secret_scan, sentence_pieces, token_store, toxicity, wordpiece
 from .common import id_remainder, table
 
 
@@ -13,6 +13,13 @@ def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every text, and whether decoding them gives the text back."""
+    back = sentence_pieces.decode(sentence_pieces.encode(table(spark, sf_dir, "documents")))
+    n_pieces = (F.octet_length("ids") / 4).cast("long").alias("n_pieces")
+    return back.select("doc_id", F.length("text").cast("long").alias("n_chars"), n_pieces, F.crc32("ids").alias("ids_crc32"), (F.col("decoded") == F.col("text")).alias("exact"))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
@@ -57,6 +64,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_model": op1_language_model,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_near_dedup": op3_near_dedup,
     "op4_secret_scan": op4_secret_scan,
     "op5_nearest_neighbours": op5_nearest_neighbours,
