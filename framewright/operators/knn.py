@@ -89,7 +89,7 @@ def nearest(queries: DataFrame, bank: DataFrame, k: int = 1, normalize: bool = F
 
     parts, groups = math.ceil(widths["n"] / BLOCK_ROWS), max(1, math.ceil(asked.count() / BLOCK_ROWS))
     left = asked.withColumn("g", F.pmod(F.xxhash64("qid"), F.lit(groups))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    right = held.withColumn("b", F.pmod(F.xxhash64("ref_index"), F.lit(parts)).cast("int")).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).cast("long"))
+    right = held.withColumn("b", F.pmod(F.xxhash64("ref_index"), F.lit(parts)).cast("int")).withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
     found = left.groupBy("b", "g").cogroup(right.groupBy("b", "g")).applyInArrow(meet, RESULT)
     rank = F.row_number().over(W.partitionBy("qid").orderBy("distance", "ref_index"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -26,7 +26,7 @@ def knn_retrieval(queries: DataFrame, bank: DataFrame, k: int = 5, normalize: bo
 
 
 def latent_retrieval(queries: DataFrame, encoder: mlp.Mlp, bank: DataFrame, k: int = 5, normalize: bool = False) -> DataFrame:
-    encoded = mlp.apply(queries.select("row_id", "x", "label"), encoder).withColumnRenamed("z", "x")
+    encoded = mlp.apply(queries.select("row_id", "x", "label"), encoder).select("row_id", "label", F.col("z").alias("x"))
     return knn_retrieval(encoded, bank, k, normalize)
 
 
