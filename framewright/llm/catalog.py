@@ -40,7 +40,7 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_model(docs: DataFrame, spark: SparkSession, sf_dir: str) -> toxicity.Model:
     """Fitted on the documents of `docs` whose labels may be learned from."""
     labels = table(spark, sf_dir, "labels").where(toxicity.learnable())
-    return toxicity.train(toxicity.labelled_texts(docs, labels))
+    return toxicity.train(docs, labels)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

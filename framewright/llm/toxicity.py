@@ -121,15 +121,15 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(labelled: DataFrame, max_train: int = 8_000, n_features: int = 10_000, l2: float = 1e-3, steps: int = 100) -> Model:
-    """Learn from rows (doc_id, text, toxic). The driver gets class counts by bucket and the selected
-    buckets of the sample, both bounded by the parameters."""
-    ids = (
-        labelled.where("toxic is not null")
-        .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    )
-    picked = texts(labelled).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])  # at most max_train ids
+def train(docs: DataFrame, labels: DataFrame, max_train: int = 8_000, n_features: int = 10_000, l2: float = 1e-3, steps: int = 100) -> Model:
+    """Learn from the texts of `docs` (doc_id, text) that `labels` (doc_id, toxic) marks. The driver gets class counts by
+    bucket and the selected buckets of the sample, both bounded by the parameters. Texts are not
+    shuffled: the ids of the sample, at most `max_train`, go to them."""
+    spark = docs.sparkSession
+    marked = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    there = marked.join(docs.select("doc_id"), "doc_id", "left_semi")
+    ids = stored(there.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train), "toxic-ids")
+    picked = texts(docs).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
     sample = stored(picked.repartition(TRAIN_TASKS), "toxic-sample")
 
     def count(batches):
@@ -149,10 +149,10 @@ def train(labelled: DataFrame, max_train: int = 8_000, n_features: int = 10_000,
         n_class += np.frombuffer(row["n"], np.int64)
         counts += np.frombuffer(row["counts"], np.int32).reshape(2, -1)
     if n_class.min() == 0:
-        drop_shared(labelled.sparkSession, sample._stored_at)
+        drop_shared(spark, sample._stored_at)
         return Model(np.zeros(1 << BITS, np.float32), float(np.log((n_class[1] + 1) / (n_class[0] + 1))))
     mask = best_buckets(counts, n_class, n_features)
-    shared = labelled.sparkSession.sparkContext.broadcast(mask)
+    shared = spark.sparkContext.broadcast(mask)
 
     def select(batches):
         for batch in batches:
@@ -164,18 +164,13 @@ def train(labelled: DataFrame, max_train: int = 8_000, n_features: int = 10_000,
             yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(out, pa.binary())], names=["toxic", "buckets"])
 
     got = sample.mapInArrow(select, "toxic int, buckets binary").collect()
-    drop_shared(labelled.sparkSession, sample._stored_at)
+    drop_shared(spark, sample._stored_at)
     each = [np.frombuffer(r["buckets"], np.int32) for r in got]
     labels = np.array([r["toxic"] > 0 for r in got], float)
     rows = np.repeat(np.arange(len(each)), [len(x) for x in each])
     return Model(*fit(rows, np.concatenate(each), labels, log_ratios(counts, n_class), l2, steps))
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Texts joined with their labels; documents without a label and labels without a document drop out."""
-    return docs.select("doc_id", "text").join(labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")), "doc_id")
-
-
 def learnable(modulus: int = 4, held_out: int = 2):
     """Which rows may be learned from: all but those whose id falls in the held-out remainder."""
     return id_remainder(modulus) != held_out
