@@ -26,7 +26,7 @@ from .common import stored
 from .components import components
 from .vectors import matrix, usable
 
-TREES, LEAF, SAMPLE, SMALLEST, BLOCK = 4, 512, 20_000, 8, 2048
+TREES, LEAF, SAMPLE, SMALLEST, BLOCK = 4, 1500, 20_000, 8, 2048
 
 
 class Forest:
@@ -97,21 +97,34 @@ def forest_edges(links: np.ndarray) -> list[tuple[int, int]]:
 
 
 def leaf_links(leaf: int, rep, weight, block, unit, homes: list, threshold: float, cross: bool):
-    """(sums of linked weights, spanning edges) of the pairs that meet first in this leaf."""
-    seen = {h for x in homes for h in x if h < leaf}
-    column = {h: i for i, h in enumerate(sorted(seen))}
-    earlier = np.zeros((len(rep), len(column)), np.float32)
+    """(sums of linked weights, spanning edges) of the pairs that meet first in this leaf. Single precision finds what may
+    be close, double precision decides; only rows with such a pair are looked at further."""
+    rough, close = unit.astype(np.float32), np.zeros(len(rep), bool)
+    for at in range(0, len(rep), 512):
+        near = rough[at : at + 512] @ rough.T >= np.float32(threshold - 1e-4)
+        near[np.arange(len(near)), np.arange(at, at + len(near))] = False
+        if cross:
+            near &= block[at : at + 512, None] != block[None, :]
+        close[at : at + 512] = near.any(1)
+    some = np.flatnonzero(close)
+    linked = np.zeros(len(rep), np.int64)
+    if not len(some):
+        return linked, []
+    unit, block, homes = unit[some], block[some], [homes[i] for i in some.tolist()]
+    column = {h: i for i, h in enumerate(sorted({h for x in homes for h in x if h < leaf}))}
+    earlier = np.zeros((len(some), len(column)), np.float32)
     for r, x in enumerate(homes):
         earlier[r, [column[h] for h in x if h < leaf]] = 1
-    links = np.zeros((len(rep), len(rep)), bool)
-    for at in range(0, len(rep), 512):
+    links = np.zeros((len(some), len(some)), bool)
+    for at in range(0, len(some), 512):
         rows = slice(at, at + 512)
         links[rows] = (unit[rows] @ unit.T >= threshold) & (earlier[rows] @ earlier.T == 0)
         if cross:
             links[rows] &= block[rows, None] != block[None, :]
     links |= links.T
     np.fill_diagonal(links, False)
-    return links @ weight, forest_edges(links)
+    linked[some] = links @ weight[some]
+    return linked, [(int(some[a]), int(some[b])) for a, b in forest_edges(links)]
 
 
 def embedding_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
