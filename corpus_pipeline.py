@@ -20,7 +20,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Documents without words are in no group and stay, as do rows without an id; rows that repeat an id stay
     or go together. Only the ids that go are joined, fewer than those that stay."""
     gone = near_dedup.near_duplicates(docs).where("doc_id is not null and not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

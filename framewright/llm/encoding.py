@@ -13,13 +13,14 @@ import re
 import sys
 from array import array
 
-MEMO_CHUNKS, MEMO_PARTS, LONG = 220_000, 220_000, 200
+MEMO_CHUNKS, MEMO_PARTS, LONG = 300_000, 100_000, 200
 
 _L = "A-Za-zÀ-ÖØ-öø-ÿ"
 _P = ".,;:!?"
-#: A chunk whose inner boundaries any of the supported pre-tokenizers honours: letters, punctuation, single line ends.
-_PLAIN = re.compile(rf" ?(?:[{_L}]+|[{_P}]+)(?:[{_L}]+|[{_P}]+|\n(?!\n))*")
-_PART = re.compile(rf" ?[{_L}]+| ?[{_P}]+|\n")
+#: A word and what follows it up to the next space: between letters, punctuation and line ends every supported
+#: pre-tokenizer starts a new piece (two line ends in a row may be one piece).
+_WORD_AND_TAIL = re.compile(rf"([{_L}]+)([{_P}\n][{_L}{_P}\n]*)")
+_PART = re.compile(rf"[{_L}]+|[{_P}]+|\n")
 _SPACE_INSIDE_SPACE = re.compile(r"[^\S ] (?=[^\S ])")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -36,6 +37,15 @@ def cut_style(config: dict) -> str:
     return "whole"
 
 
+def _is_latin(text: str) -> bool:
+    """Only Latin-1: composed already, and lowered alike by character or as a whole."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Encoder:
     """Little-endian unsigned 32-bit ids, as bytes, of texts."""
 
@@ -64,36 +74,41 @@ class Encoder:
         if self.style == "space" and ("  " in text or _SPACE_INSIDE_SPACE.search(text)):
             parts: list = _LONE_SPACE.split(text)
         else:
+            if self.style == "drop" and _is_latin(text):
+                text = text.lower()  # as the normalizer would; equal words then meet in the memo
             parts = text.split(" ")
         parts[0] = (parts[0],)
         return parts
 
     def _learn(self, keys: set) -> None:
         """Put the ids of all `keys` into the current memo."""
-        missing, old = [], self.old_chunks
-        for k in keys.difference(self.chunks):
-            if k in old:
-                self.chunks[k] = old[k]
-            else:
-                missing.append(k)
-        plain, other, new = [], [], set()
-        for k in missing:
-            chunk = k[0] if type(k) is tuple else " " + k
-            if _PLAIN.fullmatch(chunk):
-                parts = _PART.findall(chunk)
-                plain.append((k, parts))
-                new.update(parts)
-            else:
-                other.append((k, chunk))
+        chunks, old = self.chunks, self.old_chunks
         if len(self.parts) > MEMO_PARTS:
             self.parts.clear()
-        need = list(new.difference(self.parts))
+        whole, tailed, heads, parts = [], [], set(), set()
+        for k in keys.difference(chunks):
+            if k in old:
+                chunks[k] = old[k]
+            elif type(k) is tuple or k.isalpha():
+                whole.append(k)
+            elif (m := _WORD_AND_TAIL.fullmatch(k)) and "\n\n" not in k:
+                tail = _PART.findall(m[2])
+                tailed.append((k, m[1], tail))
+                heads.add(m[1])
+                parts.update(tail)
+            else:
+                whole.append(k)
+        heads.difference_update(chunks, whole)
+        for h in [h for h in heads if h in old]:
+            chunks[h] = old[h]
+            heads.remove(h)
+        whole += heads
+        chunks.update(zip(whole, self._ids([k[0] if type(k) is tuple else " " + k for k in whole])))
+        need = list(parts.difference(self.parts))
         self.parts.update(zip(need, self._ids(need)))
         get = self.parts.__getitem__
-        for k, parts in plain:
-            self.chunks[k] = b"".join(map(get, parts))
-        for (k, _), ids in zip(other, self._ids([c for _, c in other])):
-            self.chunks[k] = ids
+        for k, head, tail in tailed:
+            chunks[k] = chunks[head] + b"".join(map(get, tail))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.style == "whole":

@@ -4,11 +4,12 @@ A document's set of word shingles gives a signature of b-bit symbols (b = 16), o
 Signatures are cut into chunks of `CHUNK` symbols, and for each chunk every way to ignore `ERRORS` of its symbols
 makes a key. By the pigeonhole principle two signatures that differ in fewer than
 chunks * (ERRORS + 1) symbols share a key; the number of chunks is chosen so that a pair at the similarity
-threshold is missed with a chance below `MISS`. Links are then confirmed on the full sets.
+threshold is missed with a chance below `MISS`. Candidates are compared by a finer sketch, the smallest hash in
+each of `BINS` ranges, and those within `DEVIATIONS` deviations of the threshold are confirmed on the full sets.
 
 Skew: equal sets are one class from the start. In a key's bucket, members are first compared with the bucket's
-smallest member only; components of these links are found; only then, in buckets that still hold several
-components, are pairs of *different* components compared by signature, in blocks of bounded size. So
+smallest member only (a star over all buckets of that member); components of these links are found; only then, in stars
+that still hold several components, are pairs of *different* components compared by sketch, in blocks of bounded size. So
 neither the copies of a text nor the members of a large group are expanded into pairs, and no link that could
 join two components is left out.
 
@@ -30,6 +31,7 @@ from .common import Memo, drop_shared, lower_ascii_words, prepare, stored, texts
 from .components import components
 
 CHUNK, ERRORS, MISS, BLOCK = 6, 1, 1e-6, 2048
+BINS, DEVIATIONS = 512, 5
 MEMO_WORDS = 400_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
@@ -66,8 +68,6 @@ class Plan:
         self.percent = percent
         self.chunks = max(2, math.ceil(math.log(MISS) / math.log(1 - kept)))
         self.symbols = CHUNK * self.chunks
-        #: pairs that differ in more symbols than this aren't compared in full: six deviations beyond the mean at the threshold
-        self.distance = min(self.symbols, math.ceil(self.symbols * (1 - j) + 6 * math.sqrt(self.symbols * j * (1 - j))))
         rng = np.random.default_rng(20240517)
         self.a = rng.integers(0, 1 << 32, self.symbols, dtype=np.uint32) | np.uint32(1)
         self.b = rng.integers(0, 1 << 32, self.symbols, dtype=np.uint32)
@@ -80,6 +80,24 @@ class Plan:
             low = np.minimum(low, (x[at : at + 20_000, None] * self.a + self.b).min(0))
         return ((low * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype("<u2")
 
+    def sketch(self, shingles: np.ndarray) -> np.ndarray:
+        """For each of equal ranges of hashes a byte of the smallest hash in it, 0 where there is none."""
+        shift, ranges = np.uint64(64 - BINS.bit_length() + 1), np.arange(BINS, dtype=np.uint64)
+        at = np.searchsorted(shingles, ranges << shift)
+        first = shingles[np.minimum(at, len(shingles) - 1)]
+        full = (at < len(shingles)) & (first >> shift == ranges)
+        return np.where(full, first % np.uint64(255) + np.uint64(1), 0).astype(np.uint8)
+
+    def near(self, a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+        """Which pairs of sketches may reach the threshold: by their sizes, exactly, and by the ranges that differ, as many as
+        a sample without replacement from a union at the threshold would show."""
+        j = self.percent / 100
+        fits = 100 * np.minimum(size_a, size_b) >= self.percent * np.maximum(size_a, size_b)
+        used = ((a | b) != 0).sum(1)
+        union = np.maximum(2, (size_a + size_b) / (1 + j))
+        spread = np.sqrt(used * j * (1 - j) * np.maximum(0, union - used) / (union - 1))
+        return fits & ((a != b).sum(1) <= used * (1 - j) + DEVIATIONS * spread + 1)
+
     def keys(self, signatures: np.ndarray) -> np.ndarray:
         """(documents, keys): per chunk and left-out symbol, the hash of the chunk's other symbols and their place."""
         out = []
@@ -95,27 +113,28 @@ class Plan:
 
 
 def features(docs: DataFrame, shingle: int, plan: Plan) -> DataFrame:
-    """(doc_id, n_shingles, print, signature); print: 128 bits of the whole set, null for an empty one."""
+    """(doc_id, n_shingles, print, signature, sketch); print: 128 bits of the whole set, null for an empty one."""
 
     def scan(batches):
         memo = Memo(word_hash, MEMO_WORDS)
         for batch in batches:
-            sizes, prints, signatures = [], [], []
+            sizes, prints, signatures, sketches = [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text, shingle, memo)
                 sizes.append(len(s))
                 prints.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 signatures.append(plan.signature(s).tobytes() if len(s) else None)
+                sketches.append(plan.sketch(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(signatures, pa.binary())],
-                names=["doc_id", "n_shingles", "print", "signature"],
+                [batch.column(0), pa.array(sizes, pa.int64()), *(pa.array(x, pa.binary()) for x in (prints, signatures, sketches))],
+                names=["doc_id", "n_shingles", "print", "signature", "sketch"],
             )
 
-    return docs.mapInArrow(scan, "doc_id long, n_shingles long, print binary, signature binary")
+    return docs.mapInArrow(scan, "doc_id long, n_shingles long, print binary, signature binary, sketch binary")
 
 
-def _as_matrix(column, symbols: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, symbols)
+def _as_matrix(column, width: int, dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(-1, width)
 
 
 def key_rows(classes: DataFrame, plan: Plan) -> DataFrame:
@@ -123,24 +142,28 @@ def key_rows(classes: DataFrame, plan: Plan) -> DataFrame:
 
     def scan(batches):
         for batch in batches:
-            k = plan.keys(_as_matrix(batch.column(1), plan.symbols))
+            k = plan.keys(_as_matrix(batch.column(1), plan.symbols, "<u2"))
             rep = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), k.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(k.reshape(-1)), pa.array(rep, pa.int64())], names=["key", "rep"])
 
     return classes.select("rep", "signature").mapInArrow(scan, "key long, rep long")
 
 
-def close_pairs(pairs: DataFrame, signatures: DataFrame, plan: Plan) -> DataFrame:
-    """The pairs (a, b) whose signatures are within the distance."""
+def close_pairs(pairs: DataFrame, sketches: DataFrame, plan: Plan) -> DataFrame:
+    """The pairs (a, b) that may reach the threshold by their sketches."""
 
     def scan(batches):
         for batch in batches:
-            far = (_as_matrix(batch.column(2), plan.symbols) != _as_matrix(batch.column(3), plan.symbols)).sum(1)
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(far <= plan.distance))
+            if batch.num_rows:
+                sketch = [_as_matrix(batch.column(i), BINS, np.uint8) for i in (2, 3)]
+                sizes = [batch.column(i).to_numpy(zero_copy_only=False) for i in (4, 5)]
+                yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(plan.near(*sketch, *sizes)))
 
-    one = signatures.select(F.col("rep").alias("a"), F.col("signature").alias("sa"))
-    two = signatures.select(F.col("rep").alias("b"), F.col("signature").alias("sb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(scan, "a long, b long")
+    one = sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na"))
+    two = sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb"))
+    fits = F.lit(100) * F.least("na", "nb") >= F.lit(plan.percent) * F.greatest("na", "nb")
+    both = pairs.join(one, "a").join(two, "b").where(fits)
+    return both.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(scan, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -148,7 +171,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
     spark = pairs.sparkSession
     pairs = stored(pairs, "pairs")
     used = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    chosen = docs.join(used, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    # by a shuffle at every size: which ids are used isn't bounded, so they can't be broadcast
+    chosen = docs.join(used.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     own = stored(chosen, "pair-texts", "zstd")
 
     def scan(batches):
@@ -172,31 +196,35 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
     return links
 
 
-def crossing_pairs(live: DataFrame, signatures: DataFrame, found: DataFrame, plan: Plan) -> DataFrame:
-    """Pairs within the distance, in the same bucket but in different components; large buckets in blocks."""
-    labelled = live.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+def crossing_pairs(stars: DataFrame, sketches: DataFrame, found: DataFrame, plan: Plan) -> DataFrame:
+    """Pairs that may reach the threshold, among members of a star but in different components; large stars in blocks.
+    Members of a bucket all belong to the star of its smallest member, so no pair with a common key is left out."""
+    labelled = stars.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    open_stars = labelled.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = (
-        labelled.join(open_keys.select("key", blocks.alias("blocks")), "key")
+        labelled.join(open_stars.select("hub", blocks.alias("blocks")), "hub")
         .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component")
-        .join(signatures, "rep")
-        .select("key", "i", "j", "block", "rep", "component", "signature")
+        .select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component")
+        .join(sketches, "rep")
+        .select("hub", "i", "j", "block", "rep", "component", "n_shingles", "sketch")
     )
 
-    def group(rep, block, component, signature):
+    def group(rep, block, component, size, sketch):
+        cross = (block != block[0]).any()
         for at in range(0, len(rep) - 1, 64):
             end = min(at + 64, len(rep))
             differ = component[at:end, None] != component[None, at:]
             differ &= np.arange(at, end)[:, None] < np.arange(at, len(rep))[None, :]
-            if block[0] != block[-1] or (block != block[0]).any():
+            differ &= 100 * np.minimum(size[at:end, None], size[None, at:]) >= plan.percent * np.maximum(size[at:end, None], size[None, at:])
+            if cross:
                 differ &= block[at:end, None] != block[None, at:]
-            x, y = np.nonzero(differ)
-            if len(x):
-                near = (signature[at + x] != signature[at + y]).sum(1) <= plan.distance
-                yield from zip(rep[at + x[near]].tolist(), rep[at + y[near]].tolist())
+            x, y = (k + at for k in np.nonzero(differ))
+            for k in range(0, len(x), 20_000):
+                a, b = x[k : k + 20_000], y[k : k + 20_000]
+                near = plan.near(sketch[a], sketch[b], size[a], size[b])
+                yield from zip(rep[a[near]].tolist(), rep[b[near]].tolist())
 
     def scan(batches):
         held = None
@@ -206,8 +234,10 @@ def crossing_pairs(live: DataFrame, signatures: DataFrame, found: DataFrame, pla
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in seen], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            new = [batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 4, 3, 5)]
-            new.append(_as_matrix(batch.column(6), plan.symbols))
+            if not batch.num_rows:
+                continue
+            new = [batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 4, 3, 5, 6)]
+            new.append(_as_matrix(batch.column(7), BINS, np.uint8))
             held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
             cut = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1]) | (held[2][1:] != held[2][:-1])) + 1
             if len(cut):
@@ -216,7 +246,7 @@ def crossing_pairs(live: DataFrame, signatures: DataFrame, found: DataFrame, pla
         if held is not None and len(held[0]):
             yield pairs_of(held, [len(held[0])])
 
-    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    dealt = rows.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
     return dealt.mapInArrow(scan, "a long, b long").distinct()
 
 
@@ -226,15 +256,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     plan, docs = Plan(percent), texts(docs, id_col, text_col)
     each = stored(features(docs, shingle, plan), "shingles")
     linkable = each.where("print is not null and doc_id is not null")
-    classes = stored(linkable.groupBy("print").agg(F.min("doc_id").alias("rep"), F.min("signature").alias("signature")), "classes")
-    signatures = classes.groupBy("rep").agg(F.min("signature").alias("signature"))
+    classes = stored(linkable.groupBy("print").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n_shingles", "signature", "sketch"))), "classes")
+    sketches = classes.select("rep", "n_shingles", "sketch")
     keys = key_rows(classes, plan)
     buckets = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub < top").select("key", "hub")
-    live = stored(keys.join(buckets, "key"), "buckets")
-    first = close_pairs(live.where("rep > hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), signatures, plan)
+    stars = stored(keys.join(buckets, "key").where("rep > hub").select("hub", "rep").distinct(), "stars")
+    first = close_pairs(stars.select(F.col("rep").alias("a"), F.col("hub").alias("b")), sketches, plan)
     links = confirmed(first, docs, shingle, percent)
     found = stored(components(links), "components")
-    more = confirmed(crossing_pairs(live.select("key", "rep"), signatures, found, plan), docs, shingle, percent)
+    more = confirmed(crossing_pairs(stars, sketches, found, plan), docs, shingle, percent)
     if not more.isEmpty():
         found = stored(components(links.unionByName(more)), "components")
     merged = classes.select("print", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
