@@ -13,7 +13,9 @@ import re
 import sys
 from array import array
 
-MEMO_CHUNKS, MEMO_PARTS, LONG = 300_000, 100_000, 200
+import numpy as np
+
+MEMO_CHUNKS, MEMO_PARTS, LONG, ROW_WORDS = 500_000, 100_000, 200, 200
 
 _L = "A-Za-zÀ-ÖØ-öø-ÿ"
 _P = ".,;:!?"
@@ -56,6 +58,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             self.style = cut_style(json.load(f))
+        self.at_end, self.marks = self._word_marks()
         self.chunks: dict = {}
         self.old_chunks: dict = {}
         self.parts: dict[str, bytes] = {}
@@ -69,6 +72,29 @@ class Encoder:
             out.append(ids.tobytes())
         return out
 
+    def _word_marks(self) -> tuple[bool, np.ndarray]:
+        """Which ids begin a word that stands after a space, or (True, ...) which end one."""
+        at_end = self.style == "drop"
+        vocab = self.tokenizer.get_vocab()
+        marks = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        for piece, i in vocab.items():
+            marks[i] = piece.endswith("</w>") if at_end else piece.startswith("\u0120")
+        return at_end, marks
+
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, each after a space: many are encoded as one row, whose ids show where a word begins or
+        ends. A row in which these places don't come to its number of words is encoded word by word."""
+        out = []
+        rows = [words[k : k + ROW_WORDS] for k in range(0, len(words), ROW_WORDS)]
+        for row, ids in zip(rows, self._ids([" " + " ".join(row) for row in rows])):
+            at = np.flatnonzero(self.marks[np.frombuffer(ids, "<u4")]) * 4
+            if len(at) != len(row):
+                out += self._ids([" " + w for w in row])
+                continue
+            cuts = [0, *(at + 4).tolist()] if self.at_end else [*at.tolist(), len(ids)]
+            out += [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+        return out
+
     def _split(self, text: str) -> list:
         """Chunks at spaces. The first is a 1-tuple, as it has no space before it; the others stand for " " + chunk."""
         if self.style == "space" and ("  " in text or _SPACE_INSIDE_SPACE.search(text)):
@@ -85,24 +111,30 @@ class Encoder:
         chunks, old = self.chunks, self.old_chunks
         if len(self.parts) > MEMO_PARTS:
             self.parts.clear()
-        whole, tailed, heads, parts = [], [], set(), set()
+        words, whole, tailed, heads, parts = [], [], [], set(), set()
         for k in keys.difference(chunks):
             if k in old:
                 chunks[k] = old[k]
-            elif type(k) is tuple or k.isalpha():
+            elif type(k) is tuple:
                 whole.append(k)
+            elif k.isalpha():
+                words.append(k)
             elif (m := _WORD_AND_TAIL.fullmatch(k)) and "\n\n" not in k:
-                tail = _PART.findall(m[2])
-                tailed.append((k, m[1], tail))
-                heads.add(m[1])
+                head, tail = m.groups()
+                tail = [tail] if len(tail) == 1 else _PART.findall(tail)
+                tailed.append((k, head, tail))
+                heads.add(head)
                 parts.update(tail)
             else:
                 whole.append(k)
-        heads.difference_update(chunks, whole)
-        for h in [h for h in heads if h in old]:
-            chunks[h] = old[h]
-            heads.remove(h)
-        whole += heads
+        heads.difference_update(words)
+        for h in heads:
+            if h not in chunks:
+                if h in old:
+                    chunks[h] = old[h]
+                else:
+                    words.append(h)
+        chunks.update(zip(words, self._word_ids(words)))
         chunks.update(zip(whole, self._ids([k[0] if type(k) is tuple else " " + k for k in whole])))
         need = list(parts.difference(self.parts))
         self.parts.update(zip(need, self._ids(need)))
