@@ -161,7 +161,7 @@ def chunked(docs: DataFrame, classes: Classes) -> DataFrame:
     return stored(docs.select("doc_id", "text", "held_out").mapInArrow(scan, CHUNK_SCHEMA), "chunks")
 
 
-LEXICON_SCHEMA = "words binary, counts binary, first binary, places binary, known long, single long, totals array<long>"
+LEXICON_SCHEMA = "words binary, counts binary, first binary, chunks binary, numbers binary, known long, single long, totals array<long>"
 
 
 def lexicon_of(chunks: DataFrame) -> DataFrame:
@@ -182,15 +182,14 @@ def lexicon_of(chunks: DataFrame) -> DataFrame:
                     first = (by_class[:k, more] > 0).sum(0) == 0
                     rows.append((more, np.full(len(more), k), by_class[k, more], np.where(first, more, -1)))
                 index, kind, n, number = (np.concatenate(c) for c in zip(*rows))
-                place = np.where(number >= 0, (chunk << 20) + number, -1)
                 all_words = pa.array(words, pa.binary())
                 for a in range(0, len(index), 20_000):
                     s = slice(a, a + 20_000)
-                    yield pa.RecordBatch.from_arrays([all_words.take(pa.array(index[s])), pa.array(n[s] * CLASSES + kind[s]), pa.array(place[s])], names=["word", "n", "place"])
+                    yield pa.RecordBatch.from_arrays([all_words.take(pa.array(index[s])), pa.array(n[s] * CLASSES + kind[s]), pa.array(np.full(len(n[s]), chunk)), pa.array(number[s])], names=["word", "n", "chunk", "number"])
 
-    def block(words, counts, first, places):
+    def block(words, counts, first, chunk, number):
         total = counts.sum(1)
-        values = [zstandard.compress(b" ".join(words), 1), squeezed(counts.T), squeezed(first), squeezed(places), int((total > 0).sum()), int((total == 1).sum()), counts.sum(0).tolist()]
+        values = [zstandard.compress(b" ".join(words), 1), squeezed(counts.T), squeezed(first), squeezed(chunk), squeezed(number), int((total > 0).sum()), int((total == 1).sum()), counts.sum(0).tolist()]
         return pa.RecordBatch.from_arrays([pa.array([v]) for v in values], names=[f.split()[0] for f in LEXICON_SCHEMA.split(", ")])
 
     def gather(batches):
@@ -208,15 +207,15 @@ def lexicon_of(chunks: DataFrame) -> DataFrame:
             if not len(starts):
                 continue
             group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, cut)))
-            n, place = held["n"].to_numpy()[:cut], held["place"].to_numpy()[:cut]
+            n, chunk, number = (held[c].to_numpy()[:cut] for c in ("n", "chunk", "number"))
             counts = np.zeros((len(starts), CLASSES), np.int64)
             np.add.at(counts, (group, n % CLASSES), n // CLASSES)
-            real = place >= 0
+            real = number >= 0
             first = np.concatenate([[0], np.cumsum(np.bincount(group[real], minlength=len(starts)))]).astype(np.int64)
-            yield block(word.take(pa.array(starts)).to_pylist(), counts, first, place[real])
+            yield block(word.take(pa.array(starts)).to_pylist(), counts, first, chunk[real], number[real])
             held = held.slice(cut)
 
-    rows = chunks.select("chunk", "words", "counts").mapInArrow(postings, "word binary, n long, place long")
+    rows = chunks.select("chunk", "words", "counts").mapInArrow(postings, "word binary, n long, chunk long, number long")
     dealt = rows.repartition("word").sortWithinPartitions("word")
     spark = chunks.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
@@ -317,14 +316,14 @@ def spelt(lexicon: DataFrame, bits: cm.Model) -> DataFrame:
 
     def scan(batches):
         for batch in batches:
-            for blob, counts, first, places in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for blob, counts, first, chunks, numbers in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 words = zstandard.decompress(blob).split(b" ")
                 spelling = shared.value.log10(words).astype(np.float32)
                 by_class = opened(counts, np.int64).reshape(CLASSES, -1)
                 word = np.repeat(np.arange(len(words)), np.diff(opened(first, np.int64)))
-                place = opened(places, np.int64)
-                order = np.argsort(place >> 20, kind="stable")
-                chunk, word, number = (place >> 20)[order], word[order], (place & 0xFFFFF)[order].astype(np.int32)
+                chunk, number = opened(chunks, np.int64), opened(numbers, np.int64).astype(np.int32)
+                order = np.argsort(chunk, kind="stable")
+                chunk, word, number = chunk[order], word[order], number[order]
                 cuts = np.flatnonzero(np.diff(chunk)) + 1
                 for a, b in zip([0, *cuts], [*cuts, len(chunk)]):
                     if b > a:
@@ -335,7 +334,7 @@ def spelt(lexicon: DataFrame, bits: cm.Model) -> DataFrame:
                         )
 
     schema = "chunk long, number binary, spelling binary, counts binary"
-    return lexicon.select("words", "counts", "first", "places").mapInArrow(scan, schema)
+    return lexicon.select("words", "counts", "first", "chunks", "numbers").mapInArrow(scan, schema)
 
 
 def seen_before(tokens: np.ndarray, doc: np.ndarray) -> np.ndarray:

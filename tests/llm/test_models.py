@@ -295,6 +295,20 @@ def test_scores_of_awkward_rows(spark):
     assert language_model.score(no_documents(spark)).count() == 0
 
 
+def test_chunk_of_over_a_million_distinct_words(spark):
+    n = (1 << 20) + 5000
+    docs = spark.createDataFrame([(0, " ".join(f"{i:x}" for i in range(n)), False), (1, "stone river", False)], "doc_id long, text string, held_out boolean").coalesce(1)
+    chunks = language_model.chunked(docs, language_model.find_classes(docs))
+    lexicon = language_model.lexicon_of(chunks)
+    bits = context_mixing.Model(context_mixing.Code(np.ones(256)), np.zeros((len(context_mixing.ORDERS), 2 * context_mixing.SLOTS), np.float32), context_mixing.Mixer())
+    got = {}
+    for r in language_model.spelt(lexicon, bits).select("chunk", "number").collect():
+        got.setdefault(r["chunk"], []).append(language_model.opened(bytes(r["number"]), np.int32))
+    sizes = {r["chunk"]: int(language_model.opened(bytes(r["tokens"]), np.uint32).max()) + 1 for r in chunks.collect()}
+    assert max(sizes.values()) > 1 << 20
+    assert {c: np.sort(np.concatenate(x)).tolist() == list(range(sizes[c])) for c, x in got.items()} == {c: True for c in sizes}
+
+
 # pipeline
 
 
