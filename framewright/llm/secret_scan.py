@@ -2,7 +2,8 @@
 
 Pattern matches of three base kinds are always reported. Beyond them, candidates that look like encoded
 key material are decoded and parsed: a candidate counts only if its bytes have the structure of a key
-(nested DER lengths that fill the blob exactly, SSH length-prefixed fields, a signed token's JSON header).
+(nested DER lengths that fill the blob exactly, SSH length-prefixed fields, a token's JSON header). Base64 of either
+alphabet may be wrapped over lines, whose ends may be escaped (a backslash and n, r or t, as in JSON).
 
 Null and empty texts have no spans; repeated rows give repeated results; other columns are not read.
 """
@@ -14,6 +15,8 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,10 +33,17 @@ _ASSIGN = re.compile(
 )
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.[A-Za-z0-9_-]*")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----([A-Za-z0-9+/=\s]*)-----END \1-----")
-# Base64 of a DER sequence (0x30 and a length) or of an SSH blob (a 4-byte length or the OpenSSH magic).
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/])(?:M[A-P]|AAAA|b3BlbnNzaC1r)[A-Za-z0-9+/]{30,}={0,2}")
+_JWT = re.compile(
+    r"(?:(?<![A-Za-z0-9_-])|(?<=\\[nrt]))(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]*\.[A-Za-z0-9_-]*((?:\.[A-Za-z0-9_-]+){2})?"
+)
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----((?:[A-Za-z0-9+/=_\s]|-(?!----)|\\+[nrt])*)-----END \1-----")
+# Base64 of a DER sequence (0x30 and a length) or of an SSH blob (a 4-byte length or the OpenSSH magic): where it
+# may start, and all lines that may belong to it.
+_BASE64 = re.compile(r"(?:(?<![A-Za-z0-9+/])|(?<=\\[nrt]))(?:M[A-P]|AAAA|b3BlbnNzaC1r)(?=[A-Za-z0-9+/_-]{12})")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+_LINES = re.compile(r"[A-Za-z0-9+/_-]+(?:[ \t]*(?:\\+[nrt]|[\r\n][ \t]*)+[A-Za-z0-9+/_-]+)*")
+_SSH_HEAD = re.compile(rb"openssh-key-v1\x00|\x00\x00\x00.(ssh|ecdsa|sk)-", re.S)
+_PADDING = re.compile(r"={0,2}")
 _DER_HEX = re.compile(r"(?<![0-9A-Fa-f])30(?:8[1-4]|[0-7][0-9A-Fa-f])[0-9A-Fa-f]{28,}")
 
 
@@ -69,23 +79,48 @@ def _holds_key_parts(blob: bytes) -> bool:
     return at < len(blob) and blob[at] in (0x02, 0x30, 0x06)
 
 
-def is_ssh_key(blob: bytes) -> bool:
-    """The OpenSSH private format, or length-prefixed fields that fill the blob after a key type's name."""
+def ssh_ends(blob: bytes) -> list[int]:
+    """Where an SSH key may end: behind the parts of the OpenSSH private format, or behind a second or later
+    length-prefixed field after a key type's name."""
+    at, ends, left = 0, [], None
     if blob.startswith(b"openssh-key-v1\x00"):
-        return True
-    at, fields = 0, []
-    while at < len(blob):
-        if at + 4 > len(blob):
-            return False
+        at, left = 15, 3
+    while at + 4 <= len(blob):
         length = int.from_bytes(blob[at : at + 4], "big")
-        fields.append(blob[at + 4 : at + 4 + length])
+        if left == 0:  # the number of public keys; the private ones follow
+            at, left = at + 4, -1 - length
+            continue
+        if at + 4 + length > len(blob):
+            break
+        if left is None and not ends and not re.match(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+$", blob[at + 4 : at + 4 + length]):
+            return []
         at += 4 + length
-    return at == len(blob) and len(fields) >= 2 and re.match(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+$", fields[0]) is not None
+        ends.append(at)
+        if left is not None:
+            left += -1 if left > 0 else 1
+            if left == 0 and len(ends) > 3:
+                return [at]
+    return [] if left is not None else ends[1:]
+
+
+def is_ssh_key(blob: bytes) -> bool:
+    """The OpenSSH private format, or length-prefixed fields that fill the blob after a key type's name."""
+    return blob.startswith(b"openssh-key-v1\x00") or len(blob) in ssh_ends(blob)[-1:]
+
+
+def der_size(head: bytes) -> int:
+    """Bytes of the DER element that starts so; 0 if there is none."""
+    if len(head) < 6 or head[0] != 0x30:
+        return 0
+    k = head[1] & 0x7F
+    if not head[1] & 0x80:
+        return 2 + k
+    return 2 + k + int.from_bytes(head[2 : 2 + k], "big") if 1 <= k <= 4 else 0
 
 
 def unbase64(text: str) -> bytes:
     """Bytes of standard or URL-safe base64, padded or not; empty if it isn't that."""
-    text = re.sub(r"\s", "", text).rstrip("=").replace("-", "+").replace("_", "/")
+    text = re.sub(r"\\+[nrt]|\s", "", text).rstrip("=").replace("-", "+").replace("_", "/")
     try:
         return base64.b64decode(text + "=" * (-len(text) % 4), validate=True)
     except (binascii.Error, ValueError):
@@ -113,24 +148,66 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def base64_spans(text: str) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of DER and SSH keys in base64, on one line or over several."""
+    found, at = [], 0
+    while first := _BASE64.search(text, at):
+        at = _LINES.match(text, first.start()).end()
+        lines = [m.span() for m in _LINE.finditer(re.sub(r"\\+[nrt]", lambda m: " " * len(m[0]), text[first.start() : at]))]
+        joined = "".join(text[first.start() + a : first.start() + b] for a, b in lines)
+        before = list(accumulate((b - a for a, b in lines), initial=0))
+        ends, covered = set(before[1:]), first.start()
+        for m in _BASE64.finditer(text, first.start(), at):
+            line = bisect_right(lines, (m.start() - first.start(), at)) - 1
+            start = before[line] + m.start() - first.start() - lines[line][0]
+            if m.start() < covered:
+                continue
+
+            def closed(n):
+                """Whether the text's base64 stops after n characters; '-' and '_' end the other alphabet's."""
+                stop = start + n
+                return stop in ends or (stop < len(joined) and joined[stop] in "-_" and not re.search("[-_]", joined[start:stop]))
+
+            kind, size = None, der_size(unbase64(joined[start : start + 12]))
+            if m[0][0] == "M":
+                n = -(-size * 4 // 3)
+                if size and start + n <= len(joined) and closed(n) and is_der_key(unbase64(joined[start : start + n])):
+                    kind = 5
+            elif _SSH_HEAD.match(unbase64(joined[start : start + 88])):
+                rest = re.match("[A-Za-z0-9+/]*" if "-" not in joined[start:] and "_" not in joined[start:] else "[A-Za-z0-9+/_-]*", joined[start:])[0]
+                blob = unbase64(rest[: len(rest) - (len(rest) % 4 == 1)])
+                fits = [n for e in ssh_ends(blob) if closed(n := -(-e * 4 // 3))]
+                if not fits and blob.startswith(b"openssh-key-v1\x00") and before[line + 1] - start >= 42:
+                    fits = [before[line + 1] - start]  # damaged or cut off: its first line, by the magic
+                if fits:
+                    kind, n = 7, fits[-1]
+            if kind:
+                last = bisect_left(before, start + n) - 1
+                stop = first.start() + lines[last][0] + start + n - before[last]
+                covered = _PADDING.match(text, stop).end()
+                found.append((m.start(), kind, covered))
+        at = max(at, covered)
+    return found
+
+
 def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the candidates whose decoded bytes have a key's structure."""
     found = []
     if "eyJ" in text:
-        found += [
-            (m.start(), 3, m.end()) for m in _JWT.finditer(text) if is_json_object(m[1], "alg") and is_json_object(m[2])
-        ]
+        for m in _JWT.finditer(text):
+            if is_json_object(m[1], "alg"):
+                # an encrypted token has five parts
+                found.append((m.start(), 3, m.end() if is_json_object(m[1], "alg", "enc") or not m[2] else m.start(2)))
     if "-----BEGIN" in text:
         for m in _PEM.finditer(text):
             blob = unbase64(m[2])
             if is_der_key(blob) or is_ssh_key(blob):
                 found.append((m.start(), 4, m.end()))
-    for m in _BASE64.finditer(text):
-        blob = unbase64(m[0])
-        if is_der_key(blob):
-            found.append((m.start(), 5, m.end()))
-        elif blob and is_ssh_key(blob):
-            found.append((m.start(), 7, m.end()))
+    armoured = [(a, b) for a, k, b in found if k == 4]
+    for a, kind, b in base64_spans(text):
+        # several lines in armour are the armour's key
+        if not (_LINE.match(text, a).end() < b - 2 and any(x < a and b < y for x, y in armoured)):
+            found.append((a, kind, b))
     if "30" in text:
         for m in _DER_HEX.finditer(text):
             if len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):

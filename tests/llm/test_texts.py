@@ -78,6 +78,29 @@ def test_confirmation_needs_structure():
     assert "ssh" not in spans(b64(field(b"ssh-ed25519") + field(b"k" * 32)[:-1] + b""))
 
 
+def test_keys_over_lines_and_in_other_alphabets():
+    good = b64(KEY)
+    lines = [good[k : k + 64] for k in range(0, len(good), 64)]
+    escaped = '{"k": "-----BEGIN PRIVATE KEY-----\\n' + "\\n".join(lines) + '\\n-----END PRIVATE KEY-----\\n"}'
+    assert spans(escaped) == f"pem:7:{len(escaped) - 4}"
+    for end in ("\n", "\r\n", "\\n", "\n  "):
+        text = "k " + end.join(lines) + "\nsome words"
+        assert spans(text) == f"der:2:{len(text) - 11}", end
+    assert spans("a\\n" + good) == f"der:3:{3 + len(good)}"
+    url = base64.urlsafe_b64encode(der(0x30, der(2, b"\0") + der(2, b"\xfb\xff\xfe" * 40) + der(2, b"\1\0\1"))).decode()
+    assert "-" in url and "_" in url and spans("k " + url) == f"der:2:{2 + len(url)}"
+    assert "der" in spans("k " + good.rstrip("=") + "-x")
+    field = lambda b: len(b).to_bytes(4, "big") + b
+    ssh = b64(field(b"ssh-ed25519") + field(b"\xfb\xef" * 16))
+    assert spans(f"{ssh[:40]}\n{ssh[40:]}") == f"ssh:0:{len(ssh) + 1}"
+    private = b"openssh-key-v1\0" + field(b"none") * 2 + field(b"") + b"\0\0\0\1" + field(b"k" * 51) + field(b"p" * 136)
+    ssh = b64(private)
+    assert spans("\n".join(ssh[k : k + 70] for k in range(0, len(ssh), 70)) + "\nword") == f"ssh:0:{len(ssh) + (len(ssh) - 1) // 70}"
+    part = lambda d: base64.urlsafe_b64encode(json.dumps(d).encode()).decode().rstrip("=")
+    jwe = part({"alg": "dir", "enc": "A128GCM"}) + "..aXY.Y3Q.dGFn"
+    assert spans(jwe) == f"jwt:0:{len(jwe)}" and "jwt" in spans(part({"alg": "HS256"}) + "..c2ln") and "jwt" in spans(part({"alg": "HS256"}) + ".AAEC.c2ln")
+
+
 def test_redaction_removes_every_span():
     text = f"a password=hunter22 b {jwt({'alg': 'HS256'})} c"
     assert secret_scan.redacted(text) == "a [secret] b [secret] c" and secret_scan.redacted("plain") == "plain"
