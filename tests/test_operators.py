@@ -181,6 +181,20 @@ def test_training_lowers_the_error_and_export_checks_weights(spark, tmp_path):
     assert fitted(evaluate.decoded_templates(b, got.decoder, 4))[0].shape == (12,)
 
 
+def test_training_takes_every_row(spark):
+    n = 100_400
+    f = spark.range(n, numPartitions=4).selectExpr("id row_id", "array(double(id % 2), 0D) x", "int(0) label")
+    # with some rows left out, the means over rows differ by over 1e-3
+    big = spark.range(n, n + 1, numPartitions=1).selectExpr("id row_id", "array(1e6D, 1e6D) x", "int(0) label")
+    got = mlp.train_autoencoder(f, f.union(big), latent=1, hidden=(2,), epochs=1, batch=60_000, rate=0.0)
+    of_train, of_val = got.epochs[0][1], got.epochs[0][2]
+    p = [got.encoder.forward, got.decoder.forward]
+    x = np.array([[0.0, 0], [1, 0], [1e6, 1e6]])
+    error = ((p[1](p[0](x)) - x) ** 2).mean(1)
+    assert of_train == pytest.approx(error[:2].mean())
+    assert of_val == pytest.approx((n * error[:2].mean() + error[2]) / (n + 1))
+
+
 def test_bank_reductions(spark):
     b = bank(spark, RNG.standard_normal((30, 3)), [i % 3 for i in range(30)])
     assert banks.subsample(b, 4).groupBy("label").count().agg(F.max("count"), F.min("count")).first() == (4, 4)
