@@ -3,25 +3,29 @@
 An encoding is the cut of a text into vocabulary pieces with the greatest sum of scores (characters that no piece covers
 fall back to byte pieces). A giant document is split into chunks. Between chunks the state is how far back the piece
 across the boundary began; a chunk, knowing the few characters before it, gives the matrix of best scores from
-each state on its left to each on its right. These matrices combine associatively (maximum of sums), a scan of
-them gives the states at all boundaries, and every chunk then finds its pieces on its own.
+each state on its left to each on its right. These matrices combine associatively (maximum of sums); a scan of them gives
+the best scores at every chunk's left boundary, and with these each chunk finds its pieces and the state they come
+from on its own, for every state on its right that can be.
 
 No piece holds a blank's mark after another character, so every encoding cuts before the first of a run of blanks:
-between such cuts a chunk's matrix is a sum of one score per word, and words' pieces are kept in a bounded memo.
+between such cuts a chunk's matrix is a sum of one score per word. A batch's new words are cut all at once, as arrays,
+and kept in a bounded memo.
 
 Scores are integers here, which makes the scan exact and associative. Of equal sums the one whose later pieces are
-longer is taken; chunks end at cuts where there are any, so that this doesn't depend on the chunks' size. Only in a
-stretch without a blank that is longer than half a chunk may a boundary choose another of equally good cuts.
+longer is taken. Given the scores before a chunk, its own pass makes the choices that one pass over the whole text
+would make, so the ids don't depend on where a text is cut into chunks, nor on whether it is.
 
 The file's scores are read as a unigram model's. For files of another kind (merge ranks) the result is the best cut
 under those scores, which is not the merge order's result.
 
-Null and empty texts have no pieces. Repeated rows are encoded each. A text that holds the blank's mark itself is
-decoded with a blank in its place.
+Null and empty texts have no pieces. Repeated rows are encoded each, an empty table gives no row, and other columns, of
+whatever name, are not read. A text that holds the blank's mark itself is decoded with a blank in its place.
 """
 
 from __future__ import annotations
 
+import bisect
+import collections
 import functools
 import math
 from array import array
@@ -37,7 +41,11 @@ MARK = "▁"
 CHUNK_CHARS = 16_384
 NEVER = -(1 << 60)
 MEMO_WORDS, LONG = 250_000, 200
-WIDTH = 4
+SCAN_BLOCK = 64
+WIDTH = 4  # bytes per id
+#: Words up to these lengths are cut together as one array.
+LENGTHS, ARRAY_WORDS, GROUP_CHARS = (4, 6, 8, 10, 12, 16, 24, 40), 20_000, 4_000_000
+_BASE, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 class Pieces:
@@ -117,23 +125,139 @@ class Pieces:
         return np.array(out, np.int64)
 
 
+def _hash_step(h, chars):
+    """Rolling hashes with one more character each."""
+    h = (h + chars + np.uint64(1)) * _BASE
+    return h ^ (h >> np.uint64(29))
+
+
+class PieceTable:
+    """Finds pieces by the hash of their characters, many at once. Hashes that share a slot go to a further, smaller level."""
+
+    def __init__(self, pieces: Pieces):
+        found = list(pieces.of.items())
+        keys, length = np.zeros(len(found), np.uint64), np.array([len(piece) for piece, _ in found])
+        for n in np.unique(length):
+            at = np.flatnonzero(length == n)
+            chars = np.frombuffer("".join(found[k][0] for k in at.tolist()).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, n)
+            for c in chars.T.astype(np.uint64):
+                keys[at] = _hash_step(keys[at], c)
+        # two places more: no piece, and an unknown character
+        self.none, self.unknown = len(found), len(found) + 1
+        self.scores = np.array([s for _, (s, _) in found] + [NEVER, pieces.unknown], np.int64)
+        self.ids = np.array([i for _, (_, i) in found] + [-1, -1], np.int64)
+        if len(np.unique(keys)) < len(keys):
+            raise ValueError("two pieces have one hash")
+        self.levels, left, bits = [], np.arange(len(keys)), max(10, (8 * len(keys)).bit_length())
+        while len(left):
+            slot = self._slot(keys[left], bits, len(self.levels))
+            first = np.unique(slot, return_index=True)[1]
+            table, at = np.zeros(1 << bits, np.uint64), np.full(1 << bits, len(keys), np.int32)
+            table[slot[first]], at[slot[first]] = keys[left[first]], left[first]
+            left = np.delete(left, first)
+            more = np.zeros(1 << bits, bool)
+            more[self._slot(keys[left], bits, len(self.levels))] = True
+            self.levels.append((bits, table, at, more))
+            bits = max(10, bits - 3)
+
+    @staticmethod
+    def _slot(keys, bits: int, level: int):
+        return ((keys ^ np.uint64(level)) * _SPREAD >> np.uint64(64 - bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Each key's place in `scores` and `ids`."""
+        none = self.none
+        out, look = np.full(len(keys), none, np.int32), None
+        for level, (bits, table, at, more) in enumerate(self.levels):
+            k = keys if look is None else keys[look]
+            slot = self._slot(k, bits, level)
+            hit = table[slot] == k
+            got = np.where(hit, at[slot], none)
+            if look is None:
+                out, look = got, np.flatnonzero(more[slot] & ~hit)
+            else:
+                out[look] = got
+                look = look[more[slot] & ~hit]
+            if not len(look):
+                break
+        return out
+
+
+def cut_words(pieces: Pieces, table: PieceTable, words: list[str], width: int) -> list[tuple[int, bytes]]:
+    """(score, ids) of words of at most `width` characters."""
+    n, length = len(words), np.array([len(w) for w in words])
+    flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length)
+    chars = np.zeros((width, n), np.uint64)  # a row per place, so that steps go along memory
+    chars[place, np.repeat(np.arange(n), length)] = flat
+    inside = np.arange(width)[:, None] < length
+    size = min(pieces.longest, width)
+    piece = np.full((size + 1, width, n), table.none, np.int32)
+    h = np.zeros((width, n), np.uint64)
+    for k in range(1, size + 1):  # pieces of k characters, by the place where they start
+        h = _hash_step(h[: width - k + 1], chars[k - 1 :])
+        valid = inside[k - 1 :]
+        piece[k, : width - k + 1][valid] = table.find(h[valid])
+    missing = (piece[1] == table.none) & inside
+    piece[1][missing] = table.unknown
+    score, back = np.full((width + 1, n), NEVER, np.int64), np.zeros((width + 1, n), np.int8)
+    score[0] = 0
+    for end in range(1, width + 1):
+        for k in range(min(size, end), 0, -1):  # the longest first, which equal sums keep
+            s = score[end - k] + table.scores[piece[k, end - k]]
+            better = s > score[end]
+            score[end][better], back[end][better] = s[better], k
+    starts = np.full((width, n), -1, np.int64)
+    at, column = length.copy(), np.arange(n)
+    while len(column := column[at[column] > 0]):
+        k = back[at[column], column].astype(np.int64)
+        at[column] -= k
+        found = piece[k, at[column], column]
+        starts[at[column], column] = np.where(found == table.unknown, -2, table.ids[found])
+    ids = starts.T
+    taken = ids != -1
+    blob, ends = ids[taken].astype("<i4").tobytes(), np.cumsum(taken.sum(1)) * WIDTH
+    total = score[length, np.arange(n)]
+    cuts = [0, *ends.tolist()]
+    out = [(t, blob[a:b]) for t, a, b in zip(total.tolist(), cuts, cuts[1:])]
+    for k in np.flatnonzero(missing.any(0)).tolist():
+        w = words[k]
+        spelt = [pieces.fallback(w[p]) if i == -2 else [i] for p, i in enumerate(ids[k].tolist()) if i != -1]
+        out[k] = out[k][0], array("I", [i for group in spelt for i in group]).tobytes()
+    return out
+
+
 class Encoder:
     def __init__(self, path: str):
         self.pieces = Pieces(path)
+        self.table = PieceTable(self.pieces)
         self.words: dict[str, tuple[int, bytes]] = {}
         self.old: dict[str, tuple[int, bytes]] = {}
 
     def word(self, word: str) -> tuple[int, bytes]:
-        """(score, ids) of a stretch between cuts, remembered."""
-        got = self.words.get(word) or self.old.get(word)
-        if got is None:
-            score, ids = self.pieces.best(word)
-            got = score, array("I", ids).tobytes()
-        if len(word) <= LONG:
-            if len(self.words) >= MEMO_WORDS:
-                self.old, self.words = self.words, {}
-            self.words[word] = got
-        return got
+        """(score, ids) of a stretch between cuts."""
+        score, ids = self.pieces.best(word)
+        return score, array("I", ids).tobytes()
+
+    def learn(self, words: set[str]) -> dict[str, tuple[int, bytes]]:
+        """(score, ids) of all `words`: those not remembered are cut as arrays, by length. What is long isn't kept."""
+        if len(self.words) >= MEMO_WORDS:
+            self.old, self.words = self.words, {}
+        known, old = self.words, self.old
+        by_length: dict[int, list[str]] = {}
+        longs: dict[str, tuple[int, bytes]] = {}
+        for w in words.difference(known):
+            if w in old:
+                known[w] = old[w]
+            elif len(w) > LENGTHS[-1]:
+                (longs if len(w) > LONG else known)[w] = self.word(w)
+            else:
+                by_length.setdefault(bisect.bisect_left(LENGTHS, len(w)), []).append(w)
+        for k, group in by_length.items():
+            for a in range(0, len(group), ARRAY_WORDS):
+                part = group[a : a + ARRAY_WORDS]
+                known.update(zip(part, cut_words(self.pieces, self.table, part, LENGTHS[k])))
+        return known if not longs else collections.ChainMap(longs, known)
 
     def cut_places(self, text: str, before: str) -> list[int]:
         """Places where every encoding cuts: a mark after something else."""
@@ -157,17 +281,26 @@ class Encoder:
         places = places if places and places[0] == 0 else [0, *places]
         return [text[a:b] for a, b in zip(places, [*places[1:], len(text)])]
 
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        known, out = self.words, []
-        for w in self.stretches(MARK + text.replace(" ", MARK)):
-            got = known.get(w)
-            if got is None:
-                got = self.word(w)
-                known = self.words
-            out.append(got[1])
-        return b"".join(out)
+    def encode(self, batch: list[str]) -> list[bytes]:
+        """Ids of texts, each in one pass; in groups of bounded size, so that few distinct words are held at once."""
+        out, group, size = [], [], 0
+        for t in batch:
+            group.append(self.stretches(MARK + t.replace(" ", MARK)) if t else [])
+            size += len(t)
+            if size > GROUP_CHARS:
+                out += self._joined(group)
+                group, size = [], 0
+        return out + self._joined(group)
+
+    def _joined(self, group: list[list[str]]) -> list[bytes]:
+        known = self.learn(set().union(*group))
+        return [b"".join([known[w][1] for w in words]) for words in group]
+
+    def scored(self, text: str) -> tuple[int, bytes]:
+        """(score, ids) of a text that begins and ends at cuts."""
+        words = self.stretches(text)
+        known = self.learn(set(words))
+        return sum(known[w][0] for w in words), b"".join([known[w][1] for w in words])
 
     def transfer(self, before: str, chunk: str) -> np.ndarray:
         """[state on the left, state on the right] -> best score. A state is how many characters before the boundary the piece
@@ -178,7 +311,7 @@ class Encoder:
         places = self.cut_places(chunk, before[-1:])
         if places:
             first, last = places[0], places[-1]
-            middle = sum(self.word(w)[0] for w in self.stretches(chunk[first:last])) if last > first else 0
+            middle = self.scored(chunk[first:last])[0] if last > first else 0
             tail = p.ends(chunk, last)
             for d in range(min(size, len(before) + 1)):
                 head = self._to(before, chunk[:first], d)
@@ -209,17 +342,42 @@ class Encoder:
             return 0 if d == 0 else NEVER
         return self.pieces.best(before[len(before) - d :] + head if d else head, d, None, d > 0)[0]
 
-    def between(self, before: str, chunk: str, left: int, right: int) -> bytes:
-        """Ids of the pieces that end in the chunk, given the states at its boundaries."""
-        stop, places = len(chunk) - right, self.cut_places(chunk, before[-1:])
-        lead = before[len(before) - left :] if left else ""
-        places = [c for c in places if c <= stop]
+    def trace(self, before: str, chunk: str, reach: np.ndarray, rights: int) -> list[tuple[int, bytes]]:
+        """For each of the first `rights` states on the right: the state on the left that it comes from, -1 if there is none,
+        and the ids of the pieces that end in the chunk. `reach`: the best scores of the text before, by state on the left."""
+        places = self.cut_places(chunk, before[-1:])
         if not places:
-            return array("I", self.pieces.best(lead + chunk, left, left + stop, left > 0)[1]).tobytes()
+            return self._traced(before, chunk, reach, range(rights))
         first, last = places[0], places[-1]
-        head = self.pieces.best(lead + chunk[:first], left, None, left > 0)[1] if first else []
-        middle = b"".join(self.word(w)[1] for w in self.stretches(chunk[first:last])) if last > first else b""
-        return array("I", head).tobytes() + middle + array("I", self.pieces.best(chunk[last:stop])[1]).tobytes()
+        left, head = self._traced(before, chunk[:first], reach, [0])[0]
+        middle = self.scored(chunk[first:last])[1] if last > first else b""
+        tails = self._traced("", chunk[last:], np.zeros(1, np.int64), range(rights))
+        return [(left if d >= 0 else -1, head + middle + ids) for d, ids in tails]
+
+    def _traced(self, before: str, part: str, reach: np.ndarray, rights) -> list[tuple[int, bytes]]:
+        """The pass over a part without cuts, from all states on its left at once."""
+        lead = min(len(reach) - 1, len(before))
+        text, p = before[len(before) - lead :] + part, self.pieces
+        score, back = [NEVER] * (len(text) + 1), [None] * (len(text) + 1)
+        for d in range(lead + 1):
+            score[lead - d] = int(reach[d])
+        for at in range(len(text)):
+            if score[at] > NEVER:
+                for end, s, i in p.from_here(text, at):
+                    if end > lead and score[at] + s > score[end]:
+                        score[end], back[end] = score[at] + s, (at, i)
+        out = []
+        for r in rights:
+            at, ids = len(text) - r, []
+            if at < 0 or score[at] == NEVER:
+                out.append((-1, b""))
+                continue
+            while at > lead:
+                start, i = back[at]
+                ids.append(p.fallback(text[start:at]) if i < 0 else [i])
+                at = start
+            out.append((lead - at, array("I", [i for group in reversed(ids) for i in group]).tobytes()))
+        return out
 
 
 def chunk_starts(marked: str, size: int, longest: int) -> list[int]:
@@ -250,13 +408,18 @@ def prefixes(m: np.ndarray) -> np.ndarray:
     return out
 
 
-def boundary_states(m: np.ndarray) -> list[int]:
-    """The best path's state at every boundary of a stack of transfer matrices, from 0 to 0."""
-    reach, states = prefixes(m)[:, 0, :], [0]
-    for k in range(len(m) - 1, 0, -1):
-        before, own = reach[k - 1], m[k][:, states[-1]]
-        states.append(int(np.argmax(np.where((before > NEVER) & (own > NEVER), before + own, NEVER))))
-    return [*states, 0][::-1]
+def reaches(m: np.ndarray) -> np.ndarray:
+    """The best scores before each chunk of a stack of transfer matrices, from state 0: a scan within blocks, each of which
+    goes on from the row that the block before it reached."""
+    size = m.shape[1]
+    row = np.full(size, NEVER, np.int64)
+    row[0] = 0
+    out = [row]
+    for at in range(0, len(m), SCAN_BLOCK):
+        for product in prefixes(m[at : at + SCAN_BLOCK]):
+            out.append(combined(row[None, :], product)[0])
+        row = out[-1]
+    return np.stack(out[:-1])
 
 
 @functools.lru_cache(maxsize=1)
@@ -264,30 +427,41 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def decoded(pieces: Pieces, ids: bytes) -> str:
-    """The text of ids: bytes are put together, marks become blanks, the one put first goes."""
-    out, pending = [], bytearray()
-    for i in np.frombuffer(ids, "<u4").tolist():
-        if i in pieces.byte_of:
-            pending.append(pieces.byte_of[i])
-            continue
-        if pending:
-            out.append(pending.decode("utf-8", "replace"))
-            pending = bytearray()
-        if i not in pieces.silent:
-            out.append(pieces.strings[i])
-    if pending:
-        out.append(pending.decode("utf-8", "replace"))
-    text = "".join(out).replace(MARK, " ")
-    return text[1:] if text.startswith(" ") else text
+class Decoder:
+    """Texts of ids: bytes are put together, marks become blanks, the one put first goes."""
+
+    def __init__(self, pieces: Pieces):
+        self.byte_of, n = pieces.byte_of, len(pieces.strings)
+        shown = ["" if i in pieces.silent else s.replace(MARK, " ") for i, s in enumerate(pieces.strings)]
+        self.strings = np.array(shown, object)
+        self.is_byte = np.zeros(n, bool)
+        self.is_byte[list(self.byte_of)] = True
+
+    def text(self, ids: bytes) -> str:
+        found = np.frombuffer(ids, "<u4")
+        strings, single = self.strings[found], self.is_byte[found]
+        if single.any():  # each run of byte pieces is decoded where it starts
+            at = np.flatnonzero(single)
+            strings[at] = ""
+            for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
+                strings[run[0]] = bytes(self.byte_of[i] for i in found[run].tolist()).decode("utf-8", "replace").replace(MARK, " ")
+        text = "".join(strings.tolist())
+        return text[1:] if text.startswith(" ") else text
+
+
+@functools.lru_cache(maxsize=1)
+def decoder(path: str) -> Decoder:
+    return Decoder(Pieces(path))
 
 
 RESULT = "doc_id long, text string, ids binary"
 
 
 def _encode_giants(docs: DataFrame, path: str, chunk_chars: int) -> DataFrame:
-    """Documents of several chunks: chunks dealt over all tasks, matrices scanned per document, chunks traced back."""
-    longest = Pieces(path).longest
+    """Documents of several chunks: chunks dealt over all tasks, matrices scanned per document, chunks traced back. `inside`:
+    the chunk ends where no cut is certain, so that several states on its right can be."""
+    pieces = Pieces(path)
+    longest, always = pieces.longest, pieces.cuts
 
     def cut(batches):
         for batch in batches:
@@ -298,12 +472,13 @@ def _encode_giants(docs: DataFrame, path: str, chunk_chars: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([key] * len(starts)), pa.array([doc_id] * len(starts), pa.int64()), pa.array(range(len(starts)), pa.int32()),
                      pa.array([marked[max(0, a - longest + 1) : a] for a in starts]), pa.array([marked[a:b] for a, b in zip(starts, ends)]),
+                     pa.array([not (e == len(marked) or always and marked[e] == MARK and marked[e - 1] != MARK) for e in ends]),
                      pa.array([text] + [None] * (len(starts) - 1), pa.string())],
-                    names=["key", "doc_id", "chunk", "before", "part", "text"],
+                    names=["key", "doc_id", "chunk", "before", "part", "inside", "text"],
                 )
 
     keyed = docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text")
-    schema = "key long, doc_id long, chunk int, before string, part string, text string"
+    schema = "key long, doc_id long, chunk int, before string, part string, inside boolean, text string"
     chunks = stored(keyed.mapInArrow(cut, schema), "sp-chunks", "zstd")
     dealt = chunks.select("key", "chunk", "before", "part").repartition("key", "chunk")
 
@@ -314,23 +489,33 @@ def _encode_giants(docs: DataFrame, path: str, chunk_chars: int) -> DataFrame:
 
     def scan(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("chunk")
-        m = np.stack([np.frombuffer(b, np.int64).reshape(longest, longest) for b in rows["m"].to_pylist()])
-        states = boundary_states(m)
-        return pa.table([rows["key"], rows["chunk"], pa.array(states[:-1], pa.int32()), pa.array(states[1:], pa.int32())], names=["key", "chunk", "left", "right"])
+        m = np.frombuffer(b"".join(rows["m"].to_pylist()), np.int64).reshape(len(rows), longest, longest)
+        return pa.table([rows["key"], rows["chunk"], pa.array([r.tobytes() for r in reaches(m)], pa.binary())], names=["key", "chunk", "reach"])
 
-    states = dealt.mapInArrow(matrices, "key long, chunk int, m binary").groupBy("key").applyInArrow(scan, "key long, chunk int, left int, right int")
+    before = dealt.mapInArrow(matrices, "key long, chunk int, m binary").groupBy("key").applyInArrow(scan, "key long, chunk int, reach binary")
 
     def trace(batches):
         for batch in batches:
-            key, chunk, before, part, left, right = (c.to_pylist() for c in batch.columns)
-            ids = [encoder(path).between(*row) for row in zip(before, part, left, right)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(ids, pa.binary())], names=["key", "chunk", "ids"])
-
-    joined = chunks.join(states, ["key", "chunk"]).select("key", "chunk", "before", "part", "left", "right")
-    traced = joined.mapInArrow(trace, "key long, chunk int, ids binary")
+            key, chunk, right, left, ids = [], [], [], [], []
+            for k, c, b, part, inside, reach in zip(*(x.to_pylist() for x in batch.columns)):
+                for r, (d, got) in enumerate(encoder(path).trace(b, part, np.frombuffer(reach, np.int64), longest if inside else 1)):
+                    if d >= 0:
+                        for column, value in zip((key, chunk, right, left, ids), (k, c, r, d, got)):
+                            column.append(value)
+            columns = [pa.array(key, pa.int64()), *(pa.array(x, pa.int32()) for x in (chunk, right, left)), pa.array(ids, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "chunk", "right", "left", "ids"])
+
+    joined = chunks.join(before, ["key", "chunk"]).select("key", "chunk", "before", "part", "inside", "reach")
+    traced = joined.mapInArrow(trace, "key long, chunk int, right int, left int, ids binary")
 
     def together(rows: pa.Table) -> pa.Table:
-        return pa.table([rows["key"][:1], pa.array([b"".join(rows.sort_by("chunk")["ids"].to_pylist())])], names=["key", "ids"])
+        """From the end: the pieces of each chunk for the state on its right."""
+        of = {(c, r): (d, k) for k, (c, r, d) in enumerate(zip(*(rows[n].to_pylist() for n in ("chunk", "right", "left"))))}
+        state, picked = 0, []
+        for c in range(max(c for c, _ in of), -1, -1):
+            state, k = of[c, state]
+            picked.append(k)
+        return pa.table([rows["key"][:1], pa.array([b"".join(rows["ids"][k].as_py() for k in reversed(picked))])], names=["key", "ids"])
 
     ids = traced.groupBy("key").applyInArrow(together, "key long, ids binary")
     return chunks.where("chunk = 0").select("key", "doc_id", "text").join(ids, "key").select("doc_id", "text", "ids")
@@ -342,7 +527,7 @@ def encode(docs: DataFrame, model_path: str | None = None, chunk_chars: int = CH
 
     def scan(batches):
         for batch in batches:
-            ids = [encoder(path).encode(t) for t in batch.column(1).to_pylist()]
+            ids = encoder(path).encode(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=["doc_id", "text", "ids"])
 
     giant = F.length("text") > 2 * chunk_chars
@@ -355,11 +540,10 @@ def decode(encoded: DataFrame, model_path: str | None = None) -> DataFrame:
 
     def scan(batches):
         for batch in batches:
-            pieces = encoder(path).pieces
-            out = [decoded(pieces, b) for b in batch.column(names.index("ids")).to_pylist()]
+            out = [decoder(path).text(b) for b in batch.column(names.index("ids")).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*names, "decoded"])
 
     return encoded.mapInArrow(scan, encoded.selectExpr("*", "cast(null as string) as decoded").schema)
 
 
-__all__ = ["Encoder", "Pieces", "boundary_states", "combined", "decode", "encode", "prefixes"]
+__all__ = ["Encoder", "Pieces", "combined", "decode", "encode", "prefixes", "reaches"]

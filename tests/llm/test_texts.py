@@ -261,11 +261,17 @@ def sp():
 
 
 def chunked(e, text, size):
-    marked, longest = sentence_pieces.MARK + text.replace(" ", sentence_pieces.MARK), e.pieces.longest
+    """Ids through chunks, matrices, a scan and independent tracing, as the operator puts them together."""
+    mark = sentence_pieces.MARK
+    marked, longest = mark + text.replace(" ", mark), e.pieces.longest
     starts = sentence_pieces.chunk_starts(marked, size, longest)
     parts = [(marked[max(0, a - longest + 1) : a], marked[a:b]) for a, b in zip(starts, [*starts[1:], len(marked)])]
-    states = sentence_pieces.boundary_states(np.stack([e.transfer(*p) for p in parts]))
-    return b"".join(e.between(*p, a, b) for p, a, b in zip(parts, states, states[1:])), len(parts)
+    reach = sentence_pieces.reaches(np.stack([e.transfer(*p) for p in parts]))
+    out, state = [], 0
+    for p, r in reversed(list(zip(parts, reach))):
+        state, ids = e.trace(*p, r, longest)[state]
+        out.append(ids)
+    return b"".join(reversed(out)), len(parts)
 
 
 def weight(e, ids):
@@ -284,12 +290,39 @@ def test_best_cut_equals_brute_force(sp):
 
 
 @pytest.mark.parametrize("size", [16, 40, 333])
-def test_chunks_find_a_cut_as_good_as_the_whole(sp, size):
-    texts = [prose(s, 120) for s in range(4)] + ["nospace" * 150, "   multi    blanks   \n\n tabs\t\tx" * 12, "猫猫☃犬😀" * 30, " " * 100, "ation" * 80, "▁x y" * 30]
+def test_ids_do_not_depend_on_chunks(sp, size):
+    texts = [prose(s, 120) for s in range(4)] + ["nospace" * 150, "   multi    blanks   \n\n tabs\t\tx" * 12, "猫猫☃犬😀" * 30, " " * 100, "ation" * 80, "▁x y" * 30, "aaaa" * 200, "xyxyxyx" * 99]
     for t in texts:
         got, n = chunked(sp, t, size)
-        assert (n > 1 or len(t) <= size + sp.pieces.longest) and weight(sp, got) == weight(sp, sp.encode(t))
-        assert sentence_pieces.decoded(sp.pieces, got) == t.replace("▁", " ")
+        mark = sentence_pieces.MARK
+        assert n > 1 or len(t) <= size + sp.pieces.longest
+        assert got == sp.encode([t])[0] == np.array(sp.pieces.best(mark + t.replace(" ", mark))[1], "<u4").tobytes()
+        assert sentence_pieces.Decoder(sp.pieces).text(got) == t.replace("▁", " ")
+
+
+def test_words_cut_as_arrays_equal_the_single_pass(sp):
+    words = sorted({"▁" + w for s in range(30) for w in prose(s, 200).split()} | {"x", "▁", "▁▁▁", "☃", "▁☃a", "ouhetiontnger" * 3, "zzzzzzzz"})
+    known = sentence_pieces.Encoder(PIECE).learn(set(words))
+    for w in words:
+        assert known[w] == sp.word(w), w
+
+
+def test_ids_equal_the_library_reading_the_scores_as_a_unigram_model(sp, tmp_path):
+    """The shipped file marked as a unigram model (nothing is trained); the library adds in single precision, so sums decide."""
+    sentencepiece = pytest.importorskip("sentencepiece")
+    proto = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
+    model = proto.ModelProto()
+    model.ParseFromString(open(PIECE, "rb").read())
+    model.trainer_spec.model_type = 1
+    (tmp_path / "unigram.model").write_bytes(model.SerializeToString())
+    library = sentencepiece.SentencePieceProcessor(model_file=str(tmp_path / "unigram.model"))
+    texts = [prose(s, 60) for s in range(40)]
+    same = 0
+    for t in texts:
+        mine, theirs = sp.encode([t])[0], np.array(library.encode(t), "<u4").tobytes()
+        assert weight(sp, mine) >= weight(sp, theirs)
+        same += mine == theirs
+    assert same >= 0.9 * len(texts)
 
 
 def test_max_plus_product_is_associative():
@@ -303,14 +336,29 @@ def test_max_plus_product_is_associative():
         assert (p == one).all()
 
 
-def test_round_trip_with_giants(spark, sp):
-    rows = sentence_pieces.decode(sentence_pieces.encode(odd_documents(spark), chunk_chars=3000)).collect()
+def test_reaches_equal_the_sequential_product(monkeypatch):
+    monkeypatch.setattr(sentence_pieces, "SCAN_BLOCK", 4)
+    m = np.random.default_rng(1).integers(-50, 50, (11, 4, 4))
+    got, row = sentence_pieces.reaches(m), np.array([0, *[sentence_pieces.NEVER] * 3])
+    for k in range(len(m)):
+        assert (got[k] == row).all()
+        row = sentence_pieces.combined(row[None], m[k])[0]
+
+
+@pytest.mark.parametrize("chunk", [600, 3000, 10**9])
+def test_round_trip_with_giants(spark, sp, chunk):
+    rows = sentence_pieces.decode(sentence_pieces.encode(odd_documents(spark), chunk_chars=chunk)).collect()
     assert len(rows) == len(odd_rows()) and all(r["decoded"] == r["text"] for r in rows)
-    for r in rows:
-        assert weight(sp, bytes(r["ids"])) == weight(sp, sp.encode(r["text"]))
+    assert all(bytes(r["ids"]) == sp.encode([r["text"]])[0] for r in rows)
     assert sentence_pieces.encode(no_documents(spark)).count() == 0
 
 
+def test_text_of_several_megabytes(spark, sp):
+    text = prose(9, 400_000) + "\n" + "ab" * 100_000
+    row = sentence_pieces.encode(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert len(text) > 2_500_000 and bytes(row["ids"]) == sp.encode([text])[0]
+
+
 def test_memo_is_bounded():
     m = Memo(lambda k: k * 2, 10)
     assert [m[k] for k in range(100)] == [2 * k for k in range(100)] and len(m) <= 10
