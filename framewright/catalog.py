@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from framewright import schema
 from framewright.functions import vec
 from framewright.operators import bank as banks
-from framewright.operators import knn, mlp, score, split, stats, templates
+from framewright.operators import classifier, knn, mlp, score, split, stats, templates
 from framewright.plans import evaluate
 from framewright.sources import frames as sources
 
@@ -29,6 +29,10 @@ def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.from_embeddings(_table(spark, sf_dir, "embeddings"))
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.labels_of(_table(spark, sf_dir, "embeddings"))
+
+
 def _scaled(frames: DataFrame) -> DataFrame:
     return frames.withColumn("x", F.transform("x", lambda v: v * (1 + F.col("row_id") % 7)))
 
@@ -47,9 +51,12 @@ def frame_meta(spark, sf_dir):
     return f.select("row_id", "label", "n_samples")
 
 
+#: A name for each label: the signal classes', then numbered ones.
+CLASS_NAMES = schema.SIGNAL_CLASSES | {c: f"class_{c}" for c in range(len(schema.SIGNAL_CLASSES), CLASSES)}
+
+
 def class_name_lookup(spark, sf_dir):
-    f = _frames(spark, sf_dir).where(F.col("label") < len(schema.SIGNAL_CLASSES))
-    return stats.class_names(f, schema.SIGNAL_CLASSES).select("row_id", "label", "class_name")
+    return stats.class_names(_labels(spark, sf_dir), CLASS_NAMES).select("row_id", "label", "class_name")
 
 
 def iq_stack(spark, sf_dir):
@@ -58,26 +65,58 @@ def iq_stack(spark, sf_dir):
 
 
 def split_seeded(spark, sf_dir):
-    f = _frames(spark, sf_dir)
+    f = _labels(spark, sf_dir)
     return split.labelled(f, f.count()).select("row_id", "split")
 
 
+def split_hashed(spark, sf_dir):
+    """The split for tables of any size."""
+    f = _labels(spark, sf_dir)
+    parts = [split.hashed(f, name).select("row_id", F.lit(name).alias("split")) for name in ("train", "val")]
+    return parts[0].unionByName(parts[1])
+
+
 def split_prefix(spark, sf_dir):
-    return split.prefix(_frames(spark, sf_dir), 100).select("row_id", "label")
+    return split.prefix(_labels(spark, sf_dir), 100).select("row_id", "label")
 
 
 def split_disjoint(spark, sf_dir):
     """Train and validation share nothing and make up everything."""
-    f = _frames(spark, sf_dir)
+    f = _labels(spark, sf_dir).select("row_id")
     n = f.count()
     train, val = (split.seeded(f, s, n).select("row_id") for s in ("train", "val"))
     both = F.count(F.lit(1))
     rows = [
         ("shared", train.join(val, "row_id", "left_semi").agg(both.alias("n"))),
-        ("missing", f.select("row_id").join(train.unionByName(val), "row_id", "left_anti").agg(both.alias("n"))),
+        ("missing", f.join(train.unionByName(val), "row_id", "left_anti").agg(both.alias("n"))),
+        ("train", train.agg(both.alias("n"))),
+        ("val", val.agg(both.alias("n"))),
     ]
     out = [df.select(F.lit(name).alias("what"), "n") for name, df in rows]
-    return out[0].unionByName(out[1])
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
+def _as_signals(spark, sf_dir):
+    """The vectors as rows of a signal file, with the label fields that such a file has."""
+    e = _table(spark, sf_dir, "embeddings")
+    return e.select(
+        F.col("vec_id").alias("row_id"), F.slice("embedding", 1, HALF).alias("re"), F.slice("embedding", HALF + 1, HALF).alias("im"),
+        F.col("label").alias("signal_type"), (F.col("vec_id") % 41 - 20).alias("signal_to_noise_ratio"), (F.col("vec_id") % 5 + 2).alias("number_of_pulses"),
+        (F.col("vec_id") % 7 / 4).alias("pulse_width"), (F.col("vec_id") % 3 / 8).alias("time_delay"), (F.col("vec_id") % 11 / 2).alias("pulse_repetition_interval"),
+        F.col("vec_id").alias("index"),
+    )
+
+
+def signal_frames(spark, sf_dir):
+    """Signal rows as frames with renamed metadata; the first imaginary sample shows the stacking."""
+    f = sources.from_signals(_as_signals(spark, sf_dir))
+    meta = ["row_id", "label", "snr_db", "number_of_pulses", "pulse_width", "time_delay", "pulse_repetition_interval", "index"]
+    return f.select(*meta, F.size("x").alias("n_samples"), _r(F.element_at("x", HALF + 1), "first_im"))
+
+
+def encode_iq(spark, sf_dir):
+    """The network on complex frames given as real and imaginary halves."""
+    return _long(mlp.apply_iq(_as_signals(spark, sf_dir).select("row_id", "re", "im"), mlp.by_rule(ENCODER)))
 
 
 def _normalized(spark, sf_dir, floor):
@@ -123,7 +162,7 @@ def _accuracy(mode):
 def mf_fft_by_expressions(spark, sf_dir):
     """The circular-correlation peak without Python, as a check on the kernel."""
     train, val = _parts(spark, sf_dir)
-    best = score.decided(score.shifted_scores(val, templates.complex_templates(train, CLASSES, HALF)))
+    best = score.predict(val, templates.complex_templates(train, CLASSES, HALF), "shifts")
     return best.select("row_id", "y", "pred", _r("score"))
 
 
@@ -193,23 +232,22 @@ def cls_ce(spark, sf_dir):
     return logits.agg(_r(F.avg(vec.cross_entropy(F.col("logits"), F.col("label"))), "ce"), F.count(F.lit(1)).alias("n"))
 
 
-_EPOCHS = [(1, 0.6, 0.5), (2, 0.5, 0.4), (3, 0.45, 0.4), (4, 0.4, 0.3), (5, 0.35, 0.3)]
-
-
-def _epochs(spark):
-    return spark.createDataFrame(_EPOCHS, "epoch int, train_mse double, val_mse double")
+def _epochs(spark, sf_dir):
+    """Seven rows (epoch, train_mse, val_mse) of means over a table, in place of a run's log."""
+    by = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").cast("int").alias("epoch"))
+    return by.agg(F.round(F.avg("l_tax"), 4).alias("train_mse"), F.round(F.avg("l_discount"), 4).alias("val_mse"))
 
 
 def best_epoch(spark, sf_dir):
-    return mlp.best_epoch(_epochs(spark)).select("best_epoch", _r("best_val_mse"))
+    return mlp.best_epoch(_epochs(spark, sf_dir)).select("best_epoch", _r("best_val_mse"))
 
 
 def epochs_improved(spark, sf_dir):
-    return mlp.best_so_far(_epochs(spark)).select("epoch", "val_mse", "improved")
+    return mlp.best_so_far(_epochs(spark, sf_dir)).select("epoch", "val_mse", "improved")
 
 
 def stats_class_counts(spark, sf_dir):
-    return stats.class_counts(_frames(spark, sf_dir), CLASSES + 2).select("label", "n", _r("percent"))
+    return stats.class_counts(_labels(spark, sf_dir), CLASSES + 2).select("label", "n", _r("percent"))
 
 
 def stats_histogram(spark, sf_dir):
@@ -221,7 +259,7 @@ def stats_n_unique(spark, sf_dir):
 
 
 def stats_split_counts(spark, sf_dir):
-    f = _frames(spark, sf_dir)
+    f = _labels(spark, sf_dir)
     return stats.split_counts(split.labelled(f, f.count()), CLASSES)
 
 
@@ -239,14 +277,44 @@ def bank_footprint(spark, sf_dir):
     return banks.footprint(banks.from_frames(_parts(spark, sf_dir)[0]))
 
 
+def bank_subsample(spark, sf_dir):
+    return banks.subsample(banks.from_frames(_frames(spark, sf_dir)), 20).select("ref_index", "label")
+
+
 def comparison(spark, sf_dir):
-    """Beyond the reference: methods side by side, with the bytes of what they compare with."""
     train, val = _parts(spark, sf_dir)
-    bank, proto = banks.from_frames(train), banks.prototypes(banks.from_frames(train), CLASSES, DIM)
-    rows = [(m, evaluate.matched_filter(train, val, CLASSES, DIM, m), proto) for m in ("cosine", "time", "fft")]
-    rows += [("knn", evaluate.knn_retrieval(val, bank, 5, True), bank)]
-    out = [a.crossJoin(banks.footprint(b)).select(F.lit(m).alias("method"), _r("accuracy"), "total", "n_bytes") for m, a, b in rows]
-    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+    return evaluate.comparison(train, val, CLASSES, DIM).select("method", _r("accuracy"), "total", "n_bytes")
+
+
+def mf_multi_template(spark, sf_dir):
+    """Three templates for each class."""
+    train, val = _parts(spark, sf_dir)
+    best = evaluate.multi_template(train.withColumn("kind", F.floor(F.col("row_id") / 10) % 3), val, "kind")
+    return best.select("row_id", "y", "pred", _r("score"))
+
+
+def templates_decoded(spark, sf_dir):
+    """Centroids of a latent bank, decoded to waveforms."""
+    bank = banks.encoded(_frames(spark, sf_dir), mlp.by_rule(ENCODER))
+    return templates.long_form(evaluate.decoded_templates(bank, mlp.by_rule(DECODER), CLASSES)).select("label", "pos", _r("value"))
+
+
+def latent_retrieval(spark, sf_dir):
+    f, encoder = _frames(spark, sf_dir), mlp.by_rule(ENCODER)
+    bank = banks.encoded(split.modular(f, "train"), encoder)
+    return evaluate.latent_retrieval(split.modular(f, "val"), encoder, bank, 5).select(_r("accuracy"), "correct", "total")
+
+
+def classify_by_network(spark, sf_dir):
+    """Frames' classes by a network's logits on their latent vectors."""
+    z = mlp.apply(_frames(spark, sf_dir), mlp.by_rule(ENCODER)).select("row_id", "label", F.col("z").alias("x"))
+    return classifier.predict_by_network(z, mlp.by_rule(HEAD)).select("row_id", "y", "pred", _r("score"))
+
+
+def train_classifier(spark, sf_dir):
+    """Accuracy of logistic regression (optimised, so that only its rows are checked)."""
+    train, val = _parts(spark, sf_dir)
+    return classifier.evaluate(val, classifier.train(train, CLASSES, max_iter=20))
 
 
 def train_autoencoder(spark, sf_dir):
@@ -263,7 +331,7 @@ def bench_matched_filter(spark, sf_dir):
 
 QUERIES = {
     "frame_meta": frame_meta, "class_name_lookup": class_name_lookup, "iq_stack": iq_stack,
-    "split_seeded": split_seeded, "split_prefix": split_prefix, "split_disjoint": split_disjoint,
+    "split_seeded": split_seeded, "split_hashed": split_hashed, "split_prefix": split_prefix, "split_disjoint": split_disjoint,
     "normalize_energy": normalize_energy, "normalize_l2": normalize_l2,
     "templates_real": templates_real, "templates_complex": templates_complex,
     "mf_cosine": _predicted("cosine"), "mf_time": _predicted("time"), "mf_fft": _predicted("fft"),
@@ -276,17 +344,18 @@ QUERIES = {
     "stats_class_counts": stats_class_counts, "stats_histogram": stats_histogram,
     "stats_n_unique": stats_n_unique, "stats_split_counts": stats_split_counts,
     "waveform_neighbours": waveform_neighbours, "bank_prototypes": bank_prototypes,
-    "bank_footprint": bank_footprint, "comparison": comparison,
+    "bank_footprint": bank_footprint, "bank_subsample": bank_subsample, "comparison": comparison,
+    "signal_frames": signal_frames, "encode_iq": encode_iq, "mf_multi_template": mf_multi_template, "templates_decoded": templates_decoded,
+    "latent_retrieval": latent_retrieval, "classify_by_network": classify_by_network, "train_classifier": train_classifier,
     "train_autoencoder": train_autoencoder, "bench_matched_filter": bench_matched_filter,
 }
 
 # --- SQL ---------------------------------------------------------------------------------------------------
 
-#: What a permutation of 500 rows with seed 42 leaves for validation (the tables of the two smaller sizes).
-_VAL_500 = (
-    "6,14,15,16,22,23,34,35,36,41,49,97,102,109,110,113,136,137,139,141,163,175,182,190,194,195,237,240,272,275,286,287,"
-    "300,303,314,316,320,333,366,396,420,431,432,437,449,451,458,461,480,491"
-)
+#: The validation rows that the seeded permutation leaves, for the sizes that the vector tables have. A test holds the
+#: permutation itself against written-out values.
+_VAL = " OR ".join(f"((SELECT count(*) FROM embeddings) = {n} AND vec_id IN ({','.join(map(str, split.validation_rows(n)))}))" for n in (500, 2000))
+_SPLIT = f"CASE WHEN {_VAL} THEN 'val' ELSE 'train' END"
 
 
 def _with(*parts: str) -> str:
@@ -311,7 +380,7 @@ def _templates(floor: str) -> str:
     )
 
 
-_VAL = "v AS (SELECT * FROM f WHERE row_id % 10 = 0), y AS (SELECT DISTINCT row_id, CAST(label AS INT) AS y FROM v)"
+_VALIDATING = "v AS (SELECT * FROM f WHERE row_id % 10 = 0), y AS (SELECT DISTINCT row_id, CAST(label AS INT) AS y FROM v)"
 _COSINE = "s AS (SELECT q.row_id, t.label, sum(q.v * t.v) AS score FROM q JOIN t USING (pos) GROUP BY q.row_id, t.label)"
 _COMPLEX = """qc AS (SELECT a.row_id, a.pos, a.v AS re, b.v AS im FROM q a JOIN q b ON a.row_id = b.row_id AND b.pos = a.pos + 32),
 tc AS (SELECT a.label, a.pos, a.v AS re, b.v AS im FROM t a JOIN t b ON a.label = b.label AND b.pos = a.pos + 32)"""
@@ -331,7 +400,7 @@ _ACCURACY = """SELECT round(count(*) FILTER (WHERE pred = y) / greatest(count(*)
 def _filter_sql(mode: str) -> str:
     floor = "1e-12" if mode == "cosine" else "1e-8"
     scores = _COSINE if mode == "cosine" else _COMPLEX + ", " + (_TIME if mode == "time" else _FFT)
-    return _with(_SCALED, _templates(floor), _VAL, _unit("q", "v", "row_id", floor), scores, _BEST)
+    return _with(_SCALED, _templates(floor), _VALIDATING, _unit("q", "v", "row_id", floor), scores, _BEST)
 
 
 def _neighbour_sql(normalize: bool) -> str:
@@ -360,17 +429,27 @@ def _layer(name: str, source: str, n_in: int, n_out: int, relu: bool) -> str:
 _ENCODED = (_RAW, _layer("h", "f", 64, 16, True), _layer("z", "h", 16, 8, False))
 _DECODED = (*_ENCODED, _layer("g", "z", 8, 16, True), _layer("w", "g", 16, 64, False))
 _LONG = "SELECT row_id, CAST(pos AS INT) AS pos, round(v, 6) AS value FROM "
-_EPOCH_ROWS = "e AS (SELECT * FROM (VALUES (1, .5::DOUBLE), (2, .4), (3, .4), (4, .3), (5, .3)) AS e(epoch, val_mse))"
+_EPOCH_ROWS = "e AS (SELECT l_linenumber AS epoch, round(avg(l_discount), 4) AS val_mse FROM lineitem GROUP BY 1)"
 _VOTED = "SELECT row_id, y, pred FROM p"
 
 ORACLES: dict[str, str] = {
     "frame_meta": "SELECT vec_id AS row_id, CAST(label AS INT) AS label, CAST(len(embedding) AS INT) AS n_samples FROM embeddings",
-    "class_name_lookup": """SELECT vec_id AS row_id, CAST(label AS INT) AS label, class_name FROM embeddings JOIN (VALUES (0, 'coherent_pulse_train'),
-  (1, 'barker_code'), (2, 'polyphase_barker_code'), (3, 'frank_code'), (4, 'linear_frequency_modulated')) AS n(id, class_name) ON id = label""",
+    "class_name_lookup": """SELECT vec_id AS row_id, CAST(label AS INT) AS label, CASE label WHEN 0 THEN 'coherent_pulse_train'
+  WHEN 1 THEN 'barker_code' WHEN 2 THEN 'polyphase_barker_code' WHEN 3 THEN 'frank_code' WHEN 4 THEN 'linear_frequency_modulated'
+  ELSE 'class_' || label END AS class_name FROM embeddings""",
     "iq_stack": _with(_RAW) + "SELECT row_id, CAST((pos + 32) % 64 AS INT) AS pos, round(v, 6) AS value FROM f",
-    "split_seeded": f"SELECT vec_id AS row_id, CASE WHEN vec_id IN ({_VAL_500}) THEN 'val' ELSE 'train' END AS split FROM embeddings",
+    "split_seeded": f"SELECT vec_id AS row_id, {_SPLIT} AS split FROM embeddings",
+    "split_hashed": """SELECT vec_id AS row_id, CASE WHEN CAST('0x' || substr(md5('42:' || vec_id), 1, 8) AS BIGINT) < CAST(floor(0.9 * 4294967296) AS BIGINT)
+  THEN 'train' ELSE 'val' END AS split FROM embeddings""",
     "split_prefix": "SELECT vec_id AS row_id, CAST(label AS INT) AS label FROM embeddings WHERE vec_id < 100",
-    "split_disjoint": "SELECT * FROM (VALUES ('shared', 0::BIGINT), ('missing', 0)) AS r(what, n)",
+    "split_disjoint": f"""WITH s AS (SELECT vec_id, {_SPLIT} AS split FROM embeddings), t AS (SELECT vec_id FROM s WHERE split = 'train'), v AS (SELECT vec_id FROM s WHERE split = 'val')
+SELECT 'shared' AS what, (SELECT count(*) FROM t WHERE vec_id IN (SELECT vec_id FROM v)) AS n
+UNION ALL SELECT 'missing', (SELECT count(*) FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM t UNION ALL SELECT vec_id FROM v))
+UNION ALL SELECT 'train', (SELECT count(*) FROM t) UNION ALL SELECT 'val', (SELECT count(*) FROM v)""",
+    "signal_frames": """SELECT vec_id AS row_id, CAST(label AS INT) AS label, CAST(vec_id % 41 - 20 AS INT) AS snr_db, CAST(vec_id % 5 + 2 AS INT) AS number_of_pulses,
+  (vec_id % 7) / 4.0::DOUBLE AS pulse_width, (vec_id % 3) / 8.0::DOUBLE AS time_delay, (vec_id % 11) / 2.0::DOUBLE AS pulse_repetition_interval,
+  vec_id AS index, CAST(len(embedding) AS INT) AS n_samples, round(CAST(embedding[33] AS DOUBLE), 6) AS first_im FROM embeddings""",
+    "encode_iq": _with(*_ENCODED) + _LONG + "z",
     "normalize_energy": _with(_SCALED, _unit("u", "f", "row_id", "1e-8")) + _LONG + "u",
     "normalize_l2": _with(_SCALED, _unit("u", "f", "row_id", "1e-12")) + _LONG + "u",
     "templates_real": _with(_SCALED, _templates("1e-12")) + "SELECT CAST(label AS INT) AS label, CAST(pos AS INT) AS pos, round(v, 6) AS value FROM t",
@@ -402,8 +481,45 @@ ORACLES: dict[str, str] = {
     "stats_histogram": "SELECT CAST(trunc(l_quantity) AS INT) AS value, count(*) AS n FROM lineitem GROUP BY 1",
     "stats_n_unique": "SELECT count(DISTINCT l_quantity) AS n_unique FROM lineitem",
     "stats_split_counts": f"""SELECT s.split, CAST(c.label AS INT) AS label, count(e.label) AS n FROM (VALUES ('train'), ('val')) AS s(split)
-  CROSS JOIN (SELECT unnest(range(10)) AS label) c LEFT JOIN (SELECT label, CASE WHEN vec_id IN ({_VAL_500}) THEN 'val' ELSE 'train' END AS split
+  CROSS JOIN (SELECT unnest(range(10)) AS label) c LEFT JOIN (SELECT label, {_SPLIT} AS split
   FROM embeddings) e ON e.split = s.split AND e.label = c.label GROUP BY s.split, c.label""",
+    "bank_subsample": """SELECT ref_index, label FROM (SELECT vec_id AS ref_index, CAST(label AS INT) AS label, row_number() OVER (PARTITION BY label
+  ORDER BY CAST('0x' || substr(md5('42:' || vec_id), 1, 8) AS BIGINT), vec_id) AS r FROM embeddings) WHERE r <= 20""",
+    "mf_multi_template": _with(
+        _SCALED,
+        "m AS (SELECT label, (row_id // 10) % 3 AS grp, pos, avg(v) AS v FROM f WHERE row_id % 10 <> 0 GROUP BY label, (row_id // 10) % 3, pos)",
+        _unit("t", "m", "label, grp", "1e-12"),
+        _VALIDATING,
+        _unit("q", "v", "row_id", "1e-12"),
+        """l AS (SELECT q.row_id, t.label, t.grp, sum(q.v * t.v) AS score FROM q JOIN t USING (pos) GROUP BY q.row_id, t.label, t.grp),
+s AS (SELECT row_id, label, max(score) AS score FROM l GROUP BY row_id, label)""",
+        _BEST,
+    )
+    + "SELECT row_id, y, pred, round(score, 6) AS score FROM p",
+    "templates_decoded": _with(
+        *_ENCODED,
+        "y AS (SELECT DISTINCT row_id, label FROM f)",
+        "m AS (SELECT label, pos, avg(v) AS v FROM z JOIN y USING (row_id) GROUP BY label, pos)",
+        _unit("t", "m", "label", "1e-12"),
+        "x AS (SELECT label AS row_id, pos, v FROM t)",
+        _layer("g", "x", 8, 16, True),
+        _layer("w", "g", 16, 64, False),
+        _unit("u", "w", "row_id", "1e-8"),
+    )
+    + "SELECT CAST(row_id AS INT) AS label, CAST(pos AS INT) AS pos, round(v, 6) AS value FROM u",
+    "latent_retrieval": _with(
+        *_ENCODED,
+        "y0 AS (SELECT DISTINCT row_id, CAST(label AS INT) AS label FROM f)",
+        """d AS (SELECT a.row_id AS qid, b.row_id AS ref_index, sqrt(sum(pow(a.v - b.v, 2))) AS distance FROM z a JOIN z b ON a.pos = b.pos
+  WHERE a.row_id % 10 = 0 AND b.row_id % 10 <> 0 GROUP BY a.row_id, b.row_id)""",
+        """n AS (SELECT qid, q.label AS y, r.label FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, ref_index) AS rank FROM d) k
+  JOIN y0 q ON q.row_id = qid JOIN y0 r ON r.row_id = ref_index WHERE rank <= 5)""",
+        _VOTE,
+    )
+    + _ACCURACY,
+    "classify_by_network": _with(*_ENCODED, _layer("c", "z", 8, 10, False), "y AS (SELECT DISTINCT row_id, CAST(label AS INT) AS y FROM f)")
+    + """SELECT row_id, y, CAST(pos AS INT) AS pred, round(v, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY round(v, 12) DESC, pos) AS r FROM c)
+  JOIN y USING (row_id) WHERE r = 1""",
     "bank_prototypes": _with(_SCALED, _templates("1e-12")) + "SELECT CAST(label AS INT) AS label, CAST(pos AS INT) AS pos, round(v, 6) AS value FROM t",
     "bank_footprint": "SELECT count(*) AS n_refs, CAST(sum(len(embedding)) * 4 AS BIGINT) AS n_bytes FROM embeddings WHERE vec_id % 10 <> 0",
     "waveform_neighbours": _with(
@@ -424,5 +540,5 @@ for _mode in ("cosine", "time", "fft"):
 ORACLES["mf_fft_by_expressions"] = ORACLES["mf_fft"]
 ORACLES["comparison"] = " UNION ALL ".join(
     f"SELECT '{m}' AS method, accuracy, total, {n} AS n_bytes FROM ({ORACLES[f'accuracy_{m}']})"
-    for m, n in (("cosine", "2560::BIGINT"), ("time", "2560::BIGINT"), ("fft", "2560::BIGINT"), ("knn", "(SELECT CAST(sum(len(embedding)) * 4 AS BIGINT) FROM embeddings WHERE vec_id % 10 <> 0)"))
+    for m, n in (*((m, "(SELECT CAST(count(DISTINCT label) * max(len(embedding)) * 4 AS BIGINT) FROM embeddings WHERE vec_id % 10 <> 0)") for m in ("cosine", "time", "fft")), ("knn", "(SELECT CAST(sum(len(embedding)) * 4 AS BIGINT) FROM embeddings WHERE vec_id % 10 <> 0)"))
 )

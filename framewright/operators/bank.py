@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framewright.functions import vec
-from framewright.operators import mlp, templates
+from framewright.operators import mlp, split, templates
 
 
 def from_frames(frames: DataFrame, normalize: bool = False) -> DataFrame:
@@ -52,7 +52,7 @@ def prototypes(bank: DataFrame, num_classes: int, dim: int) -> DataFrame:
 
 def subsample(bank: DataFrame, per_class: int, seed: int = 42) -> DataFrame:
     """At most `per_class` references of each class, chosen by a hash of their index."""
-    rank = F.row_number().over(W.partitionBy("label").orderBy(F.xxhash64(F.lit(seed), "ref_index"), "ref_index"))
+    rank = F.row_number().over(W.partitionBy("label").orderBy(split.hash32(seed, "ref_index"), "ref_index"))
     return bank.withColumn("r", rank).where(F.col("r") <= per_class).drop("r")
 
 

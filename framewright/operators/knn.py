@@ -2,6 +2,7 @@
 
 A bank of up to `BROADCAST_BYTES` goes to every task; a larger one meets the queries block by block, with the
 best k of each block going on. Either way the distances of the survivors are exact; ties go to the smaller ref_index.
+Queries that repeat an id are answered each: `query` tells them apart.
 """
 
 from __future__ import annotations
@@ -15,49 +16,83 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framewright.functions import vec
-from framewright.operators.score import as_rows
+from framewright.operators.score import as_rows, complex_rows
 from framewright.shipping import ship
 
 BROADCAST_BYTES = 128 << 20
 BLOCK_ROWS = 20_000
-RESULT = "qid long, y int, rank int, ref_index long, label int, distance double"
+RESULT = "query long, qid long, y int, rank int, ref_index long, label int, distance double"
 
 
-def _unit(v: np.ndarray) -> np.ndarray:
-    return v / np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), vec.LENGTH_FLOOR)
+def _unit(v: np.ndarray, floor: float = vec.LENGTH_FLOOR) -> np.ndarray:
+    return v / np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), floor)
 
 
-def best_of_block(q: np.ndarray, z: np.ndarray, ref: np.ndarray, k: int):
-    """For each query (positions, distances) of its k nearest rows, nearest first."""
+def euclidean(q: np.ndarray, z: np.ndarray):
+    """Rough distances come from one product; those that may be among the best are computed exactly."""
     square = (z * z).sum(1)
+    rough = (q * q).sum(1)[:, None] - 2 * q @ z.T + square
+    slack = 1e-9 * (1 + (q * q).sum(1) + square.max(initial=0))
+    return rough, slack, lambda one, near: np.sqrt(((z[near] - q[one]) ** 2).sum(1))
+
+
+def _by_score(score: np.ndarray, exact):
+    """Rough scores come from one product, which may tell equal references apart in the last digit."""
+    return -score, np.full(len(score), 1e-12), lambda one, near: -exact(one, near)
+
+
+def cosine(q: np.ndarray, z: np.ndarray):
+    q = _unit(q)
+    return _by_score(q @ z.T, lambda one, near: (z[near] * q[one]).sum(1))
+
+
+def hermitian(q: np.ndarray, z: np.ndarray):
+    """The magnitude of the complex product at lag 0."""
+    q, z = complex_rows(_unit(q, vec.ENERGY_FLOOR)), np.conj(complex_rows(z))
+    return _by_score(np.abs(q @ z.T), lambda one, near: np.abs((z[near] * q[one]).sum(1)))
+
+
+def circular(q: np.ndarray, z: np.ndarray):
+    """The peak of the circular correlation, a reference at a time."""
+    f, out = np.fft.fft(complex_rows(_unit(q, vec.ENERGY_FLOOR)), axis=1), np.empty((len(q), len(z)))
+    for c, s in enumerate(np.conj(np.fft.fft(complex_rows(z), axis=1))):
+        out[:, c] = np.abs(np.fft.ifft(f * s, axis=1)).max(1)
+    return _by_score(out, lambda one, near: out[one, near])
+
+
+#: Smaller is nearer; scores are negated. References must be scaled already.
+MEASURES = {"euclidean": euclidean, "cosine": cosine, "hermitian": hermitian, "circular": circular}
+
+
+def best_of_block(q: np.ndarray, z: np.ndarray, ref: np.ndarray, k: int, measure: str = "euclidean"):
+    """For each query (positions, distances) of its k nearest rows, nearest first."""
     for at in range(0, len(q), 256):
-        part = q[at : at + 256]
-        rough = (part * part).sum(1)[:, None] - 2 * part @ z.T + square
-        for one, row in zip(part, rough):
-            slack = 1e-9 * (1 + float(one @ one) + float(square.max(initial=0)))
-            near = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1] + slack) if len(row) > k else np.arange(len(row))
-            d = np.sqrt(((z[near] - one) ** 2).sum(1))
+        rough, slack, exact = MEASURES[measure](q[at : at + 256], z)
+        for one, row in enumerate(rough):
+            near = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1] + slack[one]) if len(row) > k else np.arange(len(row))
+            d = exact(one, near)
             order = np.lexsort((ref[near], d))[:k]
             yield near[order], d[order]
 
 
-def _found(ids, ys, q, z, ref, label, k) -> pa.Table:
-    columns = [[], [], [], [], [], []]
-    for i, y, (near, d) in zip(ids, ys, best_of_block(q, z, ref, k)):
+def _found(keys, q, z, ref, label, k, measure) -> pa.Table:
+    """`keys`: query, qid and y of each query."""
+    columns = [[] for _ in range(7)]
+    for query, i, y, (near, d) in zip(*keys, best_of_block(q, z, ref, k, measure)):
         n = len(near)
-        for column, values in zip(columns, (np.full(n, i), np.full(n, y), np.arange(1, n + 1), ref[near], label[near], d)):
+        for column, values in zip(columns, (np.full(n, query), np.full(n, i), np.full(n, y), np.arange(1, n + 1), ref[near], label[near], d)):
             column.append(values)
-    kinds = (np.int64, np.int32, np.int32, np.int64, np.int32, np.float64)
+    kinds = (np.int64, np.int64, np.int32, np.int32, np.int64, np.int32, np.float64)
     return pa.table([np.concatenate([np.zeros(0, t), *c]).astype(t) for c, t in zip(columns, kinds)], names=[f.split()[0] for f in RESULT.split(", ")])
 
 
-def nearest(queries: DataFrame, bank: DataFrame, k: int = 1, normalize: bool = False, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def nearest(queries: DataFrame, bank: DataFrame, k: int = 1, normalize: bool = False, broadcast_bytes: int = BROADCAST_BYTES, measure: str = "euclidean") -> DataFrame:
     """The k nearest references (all, if fewer) of `queries` (row_id, label, x) in `bank` (ref_index, z, label)."""
     if k < 1:
         raise ValueError("k must be at least 1")
     spark = queries.sparkSession
     ship(spark)
-    asked = queries.select(F.col("row_id").alias("qid"), F.col("label").cast("int").alias("y"), vec.doubles("x").alias("x"))
+    asked = queries.select(F.monotonically_increasing_id().alias("query"), F.col("row_id").alias("qid"), F.col("label").cast("int").alias("y"), vec.doubles("x").alias("x"))
     held = bank.select(F.col("ref_index").cast("long").alias("ref_index"), vec.doubles("z").alias("z"), F.col("label").cast("int").alias("label"))
     widths = held.agg(F.min(F.size("z")).alias("lo"), F.max(F.size("z")).alias("hi"), F.count(F.lit(1)).alias("n")).first()
     if widths["n"] == 0:
@@ -76,22 +111,24 @@ def nearest(queries: DataFrame, bank: DataFrame, k: int = 1, normalize: bool = F
             for batch in batches:
                 if batch.num_rows:
                     z, ref, label = shared.value
-                    found = _found(*(batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)), prepared(as_rows(batch.column(2))), z, ref, label, k)
+                    keys = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+                    found = _found(keys, prepared(as_rows(batch.column(3))), z, ref, label, k, measure)
                     yield from found.combine_chunks().to_batches()
 
         return asked.mapInArrow(scan, RESULT)
 
     def meet(asked: pa.Table, held: pa.Table) -> pa.Table:
         if not len(asked) or not len(held):
-            return _found([], [], np.zeros((0, width)), np.zeros((0, width)), np.zeros(0, np.int64), np.zeros(0, np.int32), k)
+            return _found([[], [], []], np.zeros((0, width)), np.zeros((0, width)), np.zeros(0, np.int64), np.zeros(0, np.int32), k, measure)
         q, z = (prepared(as_rows(t[c].combine_chunks())) for t, c in ((asked, "x"), (held, "z")))
-        return _found(asked["qid"].to_numpy(), asked["y"].to_numpy(), q, z, held["ref_index"].to_numpy(), held["label"].to_numpy(), k)
+        keys = [asked[c].to_numpy() for c in ("query", "qid", "y")]
+        return _found(keys, q, z, held["ref_index"].to_numpy(), held["label"].to_numpy(), k, measure)
 
     parts, groups = math.ceil(widths["n"] / BLOCK_ROWS), max(1, math.ceil(asked.count() / BLOCK_ROWS))
-    left = asked.withColumn("g", F.pmod(F.xxhash64("qid"), F.lit(groups))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    left = asked.withColumn("g", F.pmod(F.xxhash64("query"), F.lit(groups))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     right = held.withColumn("b", F.pmod(F.xxhash64("ref_index"), F.lit(parts)).cast("int")).withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
     found = left.groupBy("b", "g").cogroup(right.groupBy("b", "g")).applyInArrow(meet, RESULT)
-    rank = F.row_number().over(W.partitionBy("qid").orderBy("distance", "ref_index"))
+    rank = F.row_number().over(W.partitionBy("query").orderBy("distance", "ref_index"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
@@ -100,19 +137,20 @@ def nearest_by_expressions(queries: DataFrame, bank: DataFrame, k: int = 1, norm
     x, z = vec.doubles("x"), vec.doubles("z")
     if normalize:
         x, z = vec.scaled_to_unit(x), vec.scaled_to_unit(z)
-    left = queries.select(F.col("row_id").alias("qid"), F.col("label").cast("int").alias("y"), x.alias("x"))
+    left = queries.select(F.monotonically_increasing_id().alias("query"), F.col("row_id").alias("qid"), F.col("label").cast("int").alias("y"), x.alias("x"))
     small = bank.select("ref_index", z.alias("z"), F.col("label").cast("int").alias("label"))
     if small.limit(BLOCK_ROWS + 1).count() > BLOCK_ROWS:
         raise ValueError("the bank is too large for a cross join; use nearest()")
-    both = left.crossJoin(F.broadcast(small)).select("qid", "y", "ref_index", "label", vec.distance(F.col("x"), F.col("z")).alias("distance"))
-    rank = F.row_number().over(W.partitionBy("qid").orderBy("distance", "ref_index"))
-    return both.withColumn("rank", rank).where(F.col("rank") <= k).select("qid", "y", "rank", "ref_index", "label", "distance")
+    both = left.crossJoin(F.broadcast(small)).select("query", "qid", "y", "ref_index", "label", vec.distance(F.col("x"), F.col("z")).alias("distance"))
+    rank = F.row_number().over(W.partitionBy("query").orderBy("distance", "ref_index"))
+    return both.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "qid", "y", "rank", "ref_index", "label", "distance")
 
 
 def majority_vote(neighbours: DataFrame) -> DataFrame:
-    """(row_id, y, pred): the commonest label; ties go to the smallest."""
-    votes = neighbours.groupBy("qid", "y", "label").agg(F.count(F.lit(1)).alias("n"))
-    return votes.groupBy("qid", "y").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("pred")).withColumnRenamed("qid", "row_id")
+    """(row_id, y, pred) of every query: the commonest label; ties go to the smallest."""
+    votes = neighbours.groupBy("query", "qid", "y", "label").agg(F.count(F.lit(1)).alias("n"))
+    best = votes.groupBy("query", "qid", "y").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("pred"))
+    return best.select(F.col("qid").alias("row_id"), "y", "pred")
 
 
 def within(neighbours: DataFrame, limit: float) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,10 @@ from framewright.operators.score import as_rows
 from framewright.shipping import ship
 
 
+#: Weights of a layer that a join may broadcast (24 MB).
+BROADCAST_WEIGHTS = 1_000_000
+
+
 class Mlp:
     """Dense layers with ReLU between them and none after the last. weights[l]: (out, in)."""
 
@@ -73,12 +78,19 @@ def apply(frames: DataFrame, model: Mlp, x: str = "x", out: str = "z") -> DataFr
     return rows.mapInArrow(scan, frames.select(*keep).schema.add(out, T.ArrayType(T.DoubleType())))
 
 
+def apply_iq(frames: DataFrame, model: Mlp, re: str = "re", im: str = "im", out: str = "z") -> DataFrame:
+    """The network's output for complex frames given as two real vectors, which are stacked."""
+    return apply(frames.withColumn("x", F.concat(doubles(re), doubles(im))), model, "x", out).drop("x")
+
+
 def dense_by_join(values: DataFrame, weights: DataFrame, biases: DataFrame, layer: int, relu: bool) -> DataFrame:
     """One layer on rows (row_id, pos, v): an equi-join on the position and a sum by output."""
     w, b = (t.where(F.col("layer") == layer).drop("layer") for t in (weights, biases))
-    sums = values.join(F.broadcast(w), "pos").groupBy("row_id", "out").agg(F.sum(F.col("v") * F.col("w")).alias("s"))
+    # one layer's weights: a shuffle join where they are too many to send to every task
+    small = w.limit(BROADCAST_WEIGHTS + 1).count() <= BROADCAST_WEIGHTS
+    sums = values.join(F.broadcast(w) if small else w, "pos").groupBy("row_id", "out").agg(F.sum(F.col("v") * F.col("w")).alias("s"))
     v = F.col("s") + F.col("b")
-    return sums.join(F.broadcast(b), "out").select("row_id", F.col("out").alias("pos"), (F.greatest(v, F.lit(0.0)) if relu else v).alias("v"))
+    return sums.join(F.broadcast(b) if small else b, "out").select("row_id", F.col("out").alias("pos"), (F.greatest(v, F.lit(0.0)) if relu else v).alias("v"))
 
 
 def apply_by_join(frames: DataFrame, model: Mlp) -> DataFrame:
@@ -90,10 +102,34 @@ def apply_by_join(frames: DataFrame, model: Mlp) -> DataFrame:
     return values
 
 
+def save(model: Mlp, spark: SparkSession, path: str, **config) -> None:
+    """A checkpoint: two tables of weights and biases, and the run's settings as JSON."""
+    for name, table in zip(("weights", "biases"), model.tables(spark)):
+        table.coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}")
+    line = spark.createDataFrame([(json.dumps(config | {"sha256": model.digest()}, sort_keys=True),)], "value string")
+    line.coalesce(1).write.mode("overwrite").text(f"{path}/config")
+
+
+def load(spark: SparkSession, path: str) -> tuple[Mlp, dict]:
+    """The network of a checkpoint, if its weights are those that were saved, and its settings."""
+    model = Mlp.from_tables(spark.read.parquet(f"{path}/weights"), spark.read.parquet(f"{path}/biases"))
+    config = json.loads(spark.read.text(f"{path}/config").first()["value"])
+    if config.pop("sha256") != model.digest():
+        raise ValueError(f"the checkpoint at {path} isn't whole")
+    return model, config
+
+
 class Trained:
     def __init__(self, encoder: Mlp, decoder: Mlp, head: Mlp | None, epochs: list[tuple], best_epoch: int):
         self.encoder, self.decoder, self.head, self.epochs, self.best_epoch = encoder, decoder, head, epochs, best_epoch
 
+    def save(self, spark: SparkSession, path: str, **config) -> None:
+        """Checkpoints of the best epoch's networks."""
+        config |= {"best_epoch": self.best_epoch, "val_mse": min(e[2] for e in self.epochs)}
+        for name in ("encoder", "decoder", "head"):
+            if getattr(self, name) is not None:
+                save(getattr(self, name), spark, f"{path}/{name}", **config)
+
 
 #: Tasks of a step's last stage, each of which sends the driver one sum.
 GRADIENT_TASKS = 4

@@ -1,45 +1,57 @@
-"""Scores of frames against templates, and the decision for the best class.
+"""Scores of frames against templates, and the decision for the best one.
 
-Templates are as many as there are classes; up to `BROADCAST_TEMPLATES` of them go to every task.
+Templates are a row per class, or several. Up to `BROADCAST_TEMPLATES` of them, in at most `BROADCAST_BYTES`, go to every
+task as one constant array, and a frame's best template is found in its own row: nothing is shuffled, and frames that
+repeat an id are scored each. More templates meet the frames in blocks, as references do in `knn`.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright.functions import vec
 from framewright.shipping import ship
 
-BROADCAST_TEMPLATES = 10_000
+BROADCAST_TEMPLATES, BROADCAST_BYTES = 10_000, 64 << 20
 
+#: For each mode the floor of a frame's length, and the score of a scaled frame and a template.
+EXPRESSIONS = {
+    "time": (vec.ENERGY_FLOOR, vec.hermitian_magnitude),
+    "cosine": (vec.LENGTH_FLOOR, vec.dot),
+    "shifts": (vec.ENERGY_FLOOR, vec.circular_peak),
+}
+MODES = ("time", "fft", "cosine", "shifts")
 
-def against(frames: DataFrame, templates: DataFrame, score) -> DataFrame:
-    """(row_id, y, label, score) of every frame and template."""
-    small = templates.limit(BROADCAST_TEMPLATES + 1).count() <= BROADCAST_TEMPLATES
-    right = F.broadcast(templates) if small else templates
-    both = frames.select("row_id", F.col("label").alias("y"), "x").crossJoin(right)
-    return both.select("row_id", "y", "label", score.alias("score"))
 
+def fits(templates: DataFrame) -> bool:
+    """Whether the templates may be broadcast, by their number and size."""
+    n, size = templates.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("mu").cast("long") * 8), F.lit(0))).first()
+    return n <= BROADCAST_TEMPLATES and size <= BROADCAST_BYTES
 
-def time_scores(frames: DataFrame, templates: DataFrame) -> DataFrame:
-    """Hermitian matched filter at lag 0, frames scaled to unit energy."""
-    unit = frames.withColumn("x", vec.scaled_to_unit(vec.doubles("x"), vec.ENERGY_FLOOR))
-    return against(unit, templates, vec.hermitian_magnitude(F.col("x"), F.col("mu")))
 
+def scores(frames: DataFrame, templates: DataFrame, mode: str = "time") -> DataFrame:
+    """(row_id, y, label, score) of every frame and template; the templates must fit a broadcast."""
+    if not fits(templates):
+        raise ValueError("the templates don't fit a broadcast; use predict()")
+    floor, score = EXPRESSIONS[mode]
+    unit = frames.select("row_id", F.col("label").alias("y"), vec.scaled_to_unit(vec.doubles("x"), floor).alias("x"))
+    return unit.crossJoin(F.broadcast(templates)).select("row_id", "y", "label", score(F.col("x"), F.col("mu")).alias("score"))
 
-def cosine_scores(frames: DataFrame, templates: DataFrame) -> DataFrame:
-    unit = frames.withColumn("x", vec.scaled_to_unit(vec.doubles("x")))
-    return against(unit, templates, vec.dot(F.col("x"), F.col("mu")))
 
+def best_in_row(known: Column, unit: Column, score) -> Column:
+    """struct(score, -label) of the best of an array of templates; equal scores go to the smallest label."""
+    return F.array_max(F.transform(known, lambda t: F.struct(score(unit, t["mu"]).alias("score"), (-t["label"]).alias("order"))))
 
-def shifted_scores(frames: DataFrame, templates: DataFrame) -> DataFrame:
-    """Circular-correlation peak by expressions only: quadratic in the frame's length."""
-    unit = frames.withColumn("x", vec.scaled_to_unit(vec.doubles("x"), vec.ENERGY_FLOOR))
-    return against(unit, templates, vec.circular_peak(F.col("x"), F.col("mu")))
+
+def predict_by_expressions(frames: DataFrame, templates: DataFrame, mode: str) -> DataFrame:
+    floor, score = EXPRESSIONS[mode]
+    one = templates.agg(F.collect_list(F.struct("label", "mu")).alias("known"))
+    unit = frames.select("row_id", F.col("label").cast("int").alias("y"), vec.scaled_to_unit(vec.doubles("x"), floor).alias("x"))
+    best = unit.crossJoin(F.broadcast(one)).select("row_id", "y", best_in_row(F.col("known"), F.col("x"), score).alias("best"))
+    return best.where("best is not null").select("row_id", "y", (-F.col("best.order")).cast("int").alias("pred"), F.col("best.score").alias("score"))
 
 
 def as_rows(column) -> np.ndarray:
@@ -61,53 +73,41 @@ def fft_peaks(x: np.ndarray, spectra: np.ndarray) -> np.ndarray:
     return out
 
 
-def fft_scores(frames: DataFrame, templates: DataFrame, max_templates: int = BROADCAST_TEMPLATES) -> DataFrame:
-    """Circular-correlation peak by FFT in Arrow batches. The templates' spectra are computed once."""
+def predict_by_fft(frames: DataFrame, templates: DataFrame) -> DataFrame:
+    """Circular-correlation peak by FFT in Arrow batches; the templates' spectra are computed once."""
     spark = frames.sparkSession
     ship(spark)
-    got = templates.orderBy("label").limit(max_templates + 1).collect()
-    if len(got) > max_templates:
-        raise ValueError(f"more than {max_templates} templates; score them in parts")
-    labels = [r["label"] for r in got]
+    got = templates.orderBy("label").select("label", "mu").collect()  # few: fits() was asked
+    if not got:
+        return spark.createDataFrame([], "row_id long, y int, pred int, score double")
+    labels = np.array([r["label"] for r in got], np.int32)
     spectra = spark.sparkContext.broadcast(np.conj(np.fft.fft(complex_rows(np.array([r["mu"] for r in got])), axis=1)))
 
     def scan(batches):
         for batch in batches:
             if batch.num_rows:
                 s = fft_peaks(as_rows(batch.column(2)), spectra.value)
-                n, c = s.shape
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), c)), pa.array(np.repeat(batch.column(1).to_numpy(zero_copy_only=False), c)),
-                     pa.array(np.tile(np.array(labels, np.int32), n)), pa.array(s.reshape(-1))],
-                    names=["row_id", "y", "label", "score"],
-                )
+                best = s.argmax(1)  # the first of equals, which has the smallest label
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(labels[best]), pa.array(s[np.arange(len(s)), best])], names=["row_id", "y", "pred", "score"])
 
     rows = frames.select(F.col("row_id").cast("long"), F.col("label").cast("int").alias("y"), vec.doubles("x").alias("x"))
-    return rows.mapInArrow(scan, "row_id long, y int, label int, score double")
-
-
-SCORES = {"time": time_scores, "fft": fft_scores, "cosine": cosine_scores}
-
-
-def decided(scores: DataFrame) -> DataFrame:
-    """(row_id, y, pred, score): the best class; equal scores go to the smallest label. One aggregation."""
-    best = F.max_by(F.struct("label", "score"), F.struct("score", -F.col("label"))).alias("best")
-    return scores.groupBy("row_id", "y").agg(best).select("row_id", "y", F.col("best.label").alias("pred"), F.col("best.score").alias("score"))
-
-
-def decided_by_window(scores: DataFrame) -> DataFrame:
-    """The same through a rank, for plans that rank anyway."""
-    first = F.row_number().over(W.partitionBy("row_id").orderBy(F.desc("score"), "label"))
-    return scores.withColumn("r", first).where("r = 1").select("row_id", "y", F.col("label").alias("pred"), "score")
+    return rows.mapInArrow(scan, "row_id long, y int, pred int, score double")
 
 
 def predict(frames: DataFrame, templates: DataFrame, mode: str = "time") -> DataFrame:
-    if mode not in SCORES:
-        raise ValueError(f"mode must be one of {', '.join(SCORES)}")
-    return decided(SCORES[mode](frames, templates))
+    """(row_id, y, pred, score): each frame's best template. Templates are (label, mu); a class may have several."""
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {', '.join(MODES)}")
+    if not fits(templates):
+        from framewright.operators import knn
+
+        bank = templates.select(F.col("label").cast("long").alias("ref_index"), F.col("mu").alias("z"), "label")
+        found = knn.nearest(frames, bank, 1, measure={"time": "hermitian", "cosine": "cosine"}.get(mode, "circular"))
+        return found.select(F.col("qid").alias("row_id"), "y", F.col("label").alias("pred"), (-F.col("distance")).alias("score"))
+    return predict_by_fft(frames, templates) if mode == "fft" else predict_by_expressions(frames, templates, mode)
 
 
 def accuracy(predictions: DataFrame) -> DataFrame:
-    """One row: accuracy, correct, total; an empty input has accuracy 0."""
+    """One row: accuracy, correct, total; every row of the input counts, and an empty input has accuracy 0."""
     n, good = F.count(F.lit(1)), F.coalesce(F.sum((F.col("pred") == F.col("y")).cast("long")), F.lit(0))
     return predictions.agg((good / F.greatest(n, F.lit(1))).alias("accuracy"), good.alias("correct"), n.alias("total"))

@@ -1,12 +1,14 @@
 """Splitting rows into train and validation sets.
 
 `seeded` repeats a numpy permutation exactly, which needs a number per row on the driver: for tables of up to
-`SEEDED_ROWS` rows. `hashed` splits tables of any size without moving a row.
+`SEEDED_ROWS` rows. `hashed` splits tables of any size without moving a row, and is what a table without that
+permutation's history wants.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +44,7 @@ def labelled(frames: DataFrame, n: int, fraction: float = 0.9, seed: int = 42, r
     """Frames with a column `split`; the order key must run from 0 to n - 1. The smaller part's ids are joined."""
     if n > SEEDED_ROWS:
         raise ValueError(f"a seeded permutation of {n} rows doesn't fit; use hashed()")
-    ids = frames.sparkSession.createDataFrame([(int(i),) for i in validation_rows(n, fraction, seed, rounding)], f"{order} long")
+    ids = frames.sparkSession.createDataFrame(pa.table({order: validation_rows(n, fraction, seed, rounding).astype(np.int64)}))
     ids = ids.withColumn("split", F.lit("val"))
     ids = F.broadcast(ids) if n <= 1_000_000 else ids
     return frames.join(ids, order, "left").withColumn("split", F.coalesce("split", F.lit("train")))
@@ -57,12 +59,17 @@ def seeded(frames: DataFrame, split: str, n: int, **options) -> DataFrame:
     return labelled(frames, n, **options).where(F.col("split") == wanted).drop("split")
 
 
+def hash32(seed: int, key: str):
+    """A number below 2^32 for each key, the same in any engine that has MD5."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), 1, 8), 16, 10).cast("long")
+
+
 def hashed(frames: DataFrame, split: str, fraction: float = 0.9, seed: int = 42, order: str = "row_id") -> DataFrame:
-    """About `fraction` of the rows to train, decided row by row."""
+    """About `fraction` of the rows to train, decided row by row by the first 32 bits of an MD5 of seed and key."""
     split = checked(split)
     if split == "all":
         return frames
-    train = F.pmod(F.xxhash64(F.lit(seed), F.col(order)), F.lit(1_000_000)) < int(fraction * 1_000_000)
+    train = hash32(seed, order) < int(fraction * (1 << 32))
     return frames.where(train if split == "train" else ~train)
 
 

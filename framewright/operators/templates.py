@@ -23,6 +23,15 @@ def templates(frames: DataFrame, num_classes: int, dim: int, floor: float = LENG
     return domain.join(whole, "label", "left").select("label", F.coalesce("mu", zero).alias("mu"))
 
 
+def grouped_templates(frames: DataFrame, group: str, floor: float = LENGTH_FLOOR) -> DataFrame:
+    """(label, grp, mu): a template for each class and value of `group` that has frames, such as a noise level. With several
+    templates a class scores as its best one."""
+    parts = frames.select("label", F.col(group).alias("grp"), F.posexplode(doubles("x")).alias("pos", "v"))
+    at = parts.groupBy("label", "grp", "pos").agg(F.avg("v").alias("value"))
+    whole = at.groupBy("label", "grp").agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("at"))
+    return whole.select(F.col("label").cast("int").alias("label"), "grp", scaled_to_unit(F.col("at.value"), floor).alias("mu"))
+
+
 def complex_templates(frames: DataFrame, num_classes: int, n_samples: int) -> DataFrame:
     """Templates of unit energy from stacked complex frames: the stacked length is the complex energy's root."""
     return templates(frames, num_classes, 2 * n_samples, ENERGY_FLOOR)

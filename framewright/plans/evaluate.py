@@ -31,15 +31,37 @@ def latent_retrieval(queries: DataFrame, encoder: mlp.Mlp, bank: DataFrame, k: i
 
 
 def waveform_neighbours(train: DataFrame, val: DataFrame, k: int = 5, mode: str = "time") -> DataFrame:
-    """Beyond the reference: every training frame is a template of its own; the k best vote. For small training sets."""
-    refs = train.select(F.col("row_id").cast("int").alias("label"), vec.scaled_to_unit(vec.doubles("x"), vec.ENERGY_FLOOR).alias("mu"))
-    hits = score.SCORES[mode](val, refs).withColumnRenamed("label", "ref").withColumn("ref", F.col("ref").cast("long"))
-    labels = train.select(F.col("row_id").alias("ref"), F.col("label").cast("int").alias("label"))
-    named = hits.join(labels, "ref").select(F.col("row_id").alias("qid"), "y", F.col("ref").alias("ref_index"), "label", (-F.col("score")).alias("distance"))
-    from pyspark.sql import Window as W
+    """Beyond the reference: every training frame is a template of its own; the k best vote. References meet frames in blocks
+    that keep only the best k, so pairs are never written out."""
+    refs = train.select(F.col("row_id").alias("ref_index"), vec.scaled_to_unit(vec.doubles("x"), vec.ENERGY_FLOOR).alias("z"), "label")
+    return knn.majority_vote(knn.nearest(val, refs, k, measure={"time": "hermitian", "fft": "circular", "cosine": "cosine"}[mode]))
 
-    rank = F.row_number().over(W.partitionBy("qid").orderBy("distance", "ref_index"))
-    return knn.majority_vote(named.withColumn("rank", rank).where(F.col("rank") <= k))
+
+def multi_template(train: DataFrame, val: DataFrame, group: str, mode: str = "cosine") -> DataFrame:
+    """Beyond the reference: predictions with a template for each class and value of `group`."""
+    floor = vec.LENGTH_FLOOR if mode == "cosine" else vec.ENERGY_FLOOR
+    return score.predict(val, templates.grouped_templates(train, group, floor).drop("grp"), mode)
+
+
+def comparison(train: DataFrame, val: DataFrame, num_classes: int, dim: int, k: int = 5, timed: bool = False) -> DataFrame:
+    """Beyond the reference: methods side by side (method, accuracy, total, n_bytes of what they compare with), and with `timed`
+    the seconds that each took."""
+    spark, bank = train.sparkSession, banks.from_frames(train)
+    prototypes = banks.prototypes(bank, num_classes, dim)
+    plans = [(m, matched_filter(train, val, num_classes, dim, m), prototypes) for m in ("cosine", "time", "fft")]
+    plans.append(("knn", knn_retrieval(val, bank, k, True), bank))
+    rows = []
+    for method, plan, against in plans:
+        one = plan.crossJoin(banks.footprint(against)).select(F.lit(method).alias("method"), "accuracy", "total", "n_bytes")
+        if timed:
+            began = time.perf_counter()
+            one = spark.createDataFrame(one.collect(), one.schema)
+            one = one.withColumn("seconds", F.lit(time.perf_counter() - began))
+        rows.append(one)
+    out = rows[0]
+    for one in rows[1:]:
+        out = out.unionByName(one)
+    return out
 
 
 def decoded_templates(bank: DataFrame, decoder: mlp.Mlp, num_classes: int) -> DataFrame:
@@ -51,7 +73,7 @@ def decoded_templates(bank: DataFrame, decoder: mlp.Mlp, num_classes: int) -> Da
 
 def single_frame_ms(frame: np.ndarray, spectra: np.ndarray, mode: str, repeats: int) -> float:
     """Milliseconds of the kernel for one frame, in this process: a Spark job per frame would time scheduling."""
-    x = frame[None, :]
+    x, warm_up = frame[None, :], min(repeats, 20)
     t = np.conj(np.fft.ifft(spectra, axis=1))
 
     def run():
@@ -59,7 +81,8 @@ def single_frame_ms(frame: np.ndarray, spectra: np.ndarray, mode: str, repeats:
             return score.fft_peaks(x, spectra)
         return np.abs(score.complex_rows(x) @ np.conj(t.T)) / max(np.sqrt((x * x).sum()), vec.ENERGY_FLOOR)
 
-    run()
+    for _ in range(1 + warm_up):
+        run()
     began = time.perf_counter()
     for _ in range(repeats):
         run()
@@ -73,8 +96,8 @@ RUNTIME = (
 
 
 def runtime(frames: DataFrame, n: int, num_classes: int, mode: str = "fft", max_train: int | None = None, max_eval: int | None = None,
-            frame_repeats: int = 200, reference_compat: bool = False) -> DataFrame:
-    """One row of times. Rows are split once and each side then takes a prefix; with `reference_compat` each side is split over
+            frame_repeats: int = 200, reference_compat: bool = False, warm_up: int = 2) -> DataFrame:
+    """One row of times, taken after `warm_up` untimed runs of a small part. Rows are split once and each side then takes a prefix; with `reference_compat` each side is split over
     its own prefix, as is customary there, so that rows may be in both."""
     spark = frames.sparkSession
     if reference_compat:
@@ -91,6 +114,8 @@ def runtime(frames: DataFrame, n: int, num_classes: int, mode: str = "fft", max_
     build_s = time.perf_counter() - began
     spectra = np.conj(np.fft.fft(score.complex_rows(np.array([r["mu"] for r in mu.orderBy("label").collect()])), axis=1))
     frame_ms = single_frame_ms(np.array(first["x"]), spectra, mode, frame_repeats)
+    for _ in range(warm_up):
+        score.accuracy(score.predict(split.prefix(val, first["row_id"] + 256), mu, mode)).first()
     began = time.perf_counter()
     samples = val.select("x").agg(F.count(F.lit(1)), F.sum(F.size("x"))).first()[0]
     load_s = time.perf_counter() - began

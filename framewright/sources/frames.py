@@ -32,6 +32,12 @@ def from_embeddings(vectors: DataFrame) -> DataFrame:
     )
 
 
+def labels_of(vectors: DataFrame) -> DataFrame:
+    """(row_id, label) alone: the vectors aren't read."""
+    rows = vectors.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull())
+    return rows.select(F.col("vec_id").alias("row_id"), F.col("label").cast("int").alias("label"))
+
+
 def from_signals(rows: DataFrame) -> DataFrame:
     """Signal rows (row_id, re, im, and the seven label fields) as frames with their metadata, renamed and cast."""
     return rows.select(
@@ -105,17 +111,38 @@ def read_npz_bank(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, BANK)
 
 
-def hdf5_to_parquet(spark: SparkSession, source: str, out: str, rows_per_slice: int = 5000) -> None:
-    """Convert a signal file once, slice by slice, so that it never lies in memory whole. Needs h5py, and is untested
-    where that isn't installed; everything else reads the Parquet table."""
+def _open_hdf5(path: str):
     import h5py
 
-    with h5py.File(source, "r") as f:
-        iq, labels = f["iq"], f["labels"]
-        for at in range(0, len(iq), rows_per_slice):
-            x, y = iq[at : at + rows_per_slice], labels[at : at + rows_per_slice]
-            columns = {"row_id": np.arange(at, at + len(x)), "re": x.real.tolist(), "im": x.imag.tolist()} | {n: y[n] for n in y.dtype.names}
-            spark.createDataFrame(pa.table(columns)).write.mode("append").parquet(out)
+    return h5py.File(path, "r")
+
+
+def read_hdf5(spark: SparkSession, source: str, rows_per_slice: int = 5000, opener=_open_hdf5) -> DataFrame:
+    """Signal rows (row_id, re, im and the label fields) of a file that all executors can reach: each task opens it and reads its
+    slices. Needs h5py on driver and executors, unless another opener with the same interface is given."""
+    ship(spark)
+    with opener(source) as f:
+        n, fields = len(f["iq"]), f["labels"].dtype
+    kinds = {name: "double" if np.issubdtype(fields[name], np.floating) else "long" for name in fields.names}
+
+    def rows(batches):
+        with opener(source) as f:
+            for batch in batches:
+                for k in batch.column(0).to_pylist():
+                    at = slice(k * rows_per_slice, (k + 1) * rows_per_slice)
+                    x, y = f["iq"][at], f["labels"][at]
+                    halves = [pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(p, np.float64).reshape(-1)), x.shape[1]).cast(pa.list_(pa.float64())) for p in (x.real, x.imag)]
+                    more = [pa.array(y[name].astype(np.float64 if t == "double" else np.int64)) for name, t in kinds.items()]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(at.start, at.start + len(x))), *halves, *more], names=["row_id", "re", "im", *kinds])
+
+    slices = max(1, -(-n // rows_per_slice))
+    schema = "row_id long, re array<double>, im array<double>, " + ", ".join(f"`{name}` {t}" for name, t in kinds.items())
+    return spark.range(0, -(-n // rows_per_slice), 1, slices).mapInArrow(rows, schema)
+
+
+def hdf5_to_parquet(spark: SparkSession, source: str, out: str, rows_per_slice: int = 5000, opener=_open_hdf5) -> None:
+    """Convert a signal file once; everything else reads the Parquet table."""
+    read_hdf5(spark, source, rows_per_slice, opener).write.parquet(out)
 
 
 def load_frames(spark: SparkSession, name: str, split: str = "train", *, data_dir: str = "data", filename: str = "signals.h5",
@@ -142,4 +169,4 @@ def load_frames(spark: SparkSession, name: str, split: str = "train", *, data_di
     return splits.seeded(frames, split, frames.count(), fraction=train_fraction, seed=seed, rounding=rounding)
 
 
-__all__ = ["BANK", "FRAME", "from_embeddings", "from_signals", "hdf5_to_parquet", "idx_array", "load_frames", "numeric_meta", "read_idx", "read_npz_bank", "signal_path"]
+__all__ = ["BANK", "FRAME", "from_embeddings", "from_signals", "hdf5_to_parquet", "idx_array", "labels_of", "load_frames", "numeric_meta", "read_hdf5", "read_idx", "read_npz_bank", "signal_path"]

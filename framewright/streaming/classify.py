@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.functions import vec
+from framewright.operators import score
 
 
 def classify(stream: DataFrame, templates: DataFrame) -> DataFrame:
@@ -14,8 +15,7 @@ def classify(stream: DataFrame, templates: DataFrame) -> DataFrame:
     rows = templates.orderBy("label").collect()
     known = F.array(*(F.struct(F.lit(r["label"]).alias("label"), F.array(*map(F.lit, r["mu"])).alias("mu")) for r in rows))
     unit = vec.scaled_to_unit(vec.doubles("x"))
-    scored = F.transform(known, lambda t: F.struct(vec.dot(unit, t["mu"]).alias("score"), (-t["label"]).alias("order")))
-    return stream.withColumn("pred", -F.array_max(scored)["order"])
+    return stream.withColumn("pred", -score.best_in_row(known, unit, vec.dot)["order"])
 
 
 def windowed_accuracy(predictions: DataFrame, window: str = "10 minutes", late: str = "10 minutes") -> DataFrame:

@@ -72,3 +72,28 @@ def test_stream_is_classified(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r["correct"], r["total"]) for r in spark.table("seen").collect()] == [(10, 10)]
+
+
+class _SignalFile(dict):
+    """What a signal file's reader offers."""
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        return False
+
+
+def _open_made_up(path):
+    n = int(path)
+    k = np.arange(n * 3).reshape(n, 3)
+    labels = np.zeros(n, [("signal_type", "i4"), ("pulse_width", "f4")])
+    labels["signal_type"], labels["pulse_width"] = np.arange(n) % 5, np.arange(n) / 2
+    return _SignalFile(iq=(k + 1j * -k).astype(np.complex64), labels=labels)
+
+
+def test_signal_file_is_read_in_slices_by_tasks(spark):
+    got = sources.read_hdf5(spark, "23", 10, _open_made_up).orderBy("row_id").collect()
+    assert [r["row_id"] for r in got] == list(range(23)) and got[22]["re"] == [66.0, 67.0, 68.0] and got[22]["im"] == [-66.0, -67.0, -68.0]
+    assert (got[22]["signal_type"], got[22]["pulse_width"]) == (2, 11.0)
+    assert sources.read_hdf5(spark, "0", 10, _open_made_up).count() == 0
