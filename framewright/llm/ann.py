@@ -1,18 +1,21 @@
 """Approximate nearest neighbours by collision counting (query-aware hashing with virtual rehashing).
 
-An index holds, for each of `PROJECTIONS` random directions, the vectors' projections in sorted order. A query
-opens a window around its own projection in each of them and widens all windows step by step (virtual rehashing: only
-what is newly covered is counted). A vector covered in at least `SHARE` of the windows is verified by its exact
-score; widening ends when `VERIFY` of the vectors have been verified or all are covered.
+An index holds, for each of `PROJECTIONS` random directions, the vectors' projections in sorted order and each vector's rank in
+it. A query opens a window around its own projection in each of them; virtual rehashing widens all windows together, step
+by step of `WIDTHS`, over the same sorted arrays. A vector covered in at least `SHARE` of the windows is verified by its
+exact score. The first step at which enough vectors are covered so is taken: a share `VERIFY` of the vectors, and `AT_LEAST` of
+them in all. Where that step lies is sought from the one the query before it took, which changes no result.
 
 Largest inner products become nearest points by one more component, which makes all norms alike.
 
-The table is dealt into blocks, each with an index of its own over all its rows; blocks of queries meet blocks
-of rows in a task each, and only each query's best `k` of a block go on. The result is exact in its scores and approximate
-only in which neighbours are found: recall is measured against brute force in the tests.
+The table is dealt into blocks, each with an index of its own over all its rows; groups of queries meet blocks
+of rows in a task each, and only each query's best `k` of a block go on. Every query meets every block: on vectors without
+structure a window that finds the neighbours covers half of each projection, so leaving out blocks would lose neighbours.
+The result is exact in its scores and approximate only in which neighbours are found: recall and the verified share are measured in the tests.
 
-Vectors that are null, zero, of another length or with null or non-finite components take no part. Ties go to the
-smaller id. Rows that repeat an id are candidates of their own, but never of a query with the same id.
+Vectors that are null, empty, zero or have null or non-finite components take no part; an empty table gives no row. A query's candidates
+are the vectors of its own length. Ties go to the smaller id. Rows that repeat an id are candidates of their own, but never of a
+query with the same id; queries that repeat an id share one list. Columns other than the two named are not read.
 """
 
 from __future__ import annotations
@@ -28,52 +31,59 @@ from pyspark.sql import functions as F
 from .common import stored
 from .vectors import matrix, usable
 
-PROJECTIONS, SHARE, VERIFY = 32, 0.75, 0.45
-BLOCK_ROWS, BLOCK_QUERIES = 16_384, 4096
-#: Half-widths of the windows, in distances between typical points.
-WIDTHS = (0.35, 0.5, 0.65, 0.8, 0.95, 1.1, 1.3, 1.6, 2.0, math.inf)
+PROJECTIONS, SHARE, VERIFY, AT_LEAST = 240, 0.6, 0.04, 800  # counts of projections fit a byte
+BLOCK_ROWS, BLOCK_QUERIES = 65_000, 65_536  # ranks in a block fit two bytes
+#: Half-widths of the windows, in distances between typical points; the last covers everything.
+WIDTHS = np.append(0.2 * 1.03 ** np.arange(100), np.inf).astype(np.float32)
 
 
 class BlockIndex:
-    """Sorted projections of a block's vectors."""
+    """Sorted projections of a block's vectors. `share`: the part of the block that is to be verified."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, largest: float, seed: int = 7):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, largest: float, share: float, seed: int = 7):
         self.ids, self.vectors, self.largest = ids, vectors, largest
+        self.enough, self.step, self.verified = math.ceil(share * len(ids)), len(WIDTHS) // 2, 0
         rng = np.random.default_rng(seed)
-        self.directions = rng.standard_normal((vectors.shape[1] + 1, PROJECTIONS)).astype(np.float32)
-        square = np.einsum("ij,ij->i", vectors, vectors, dtype=np.float64)
-        lift = np.sqrt(np.maximum(largest**2 - square, 0)).astype(np.float32)
-        at = (vectors @ self.directions[:-1] + lift[:, None] * self.directions[-1]) / np.float32(largest)
-        self.order = np.argsort(at, axis=0, kind="stable").T.copy()
-        self.sorted = np.take_along_axis(at, self.order.T, 0).T.copy()
+        self.directions = rng.standard_normal((vectors.shape[1] + 1, PROJECTIONS))
+        scaled = vectors / largest
+        lift = np.sqrt(np.maximum(1 - np.einsum("ij,ij->i", scaled, scaled), 0))
+        at = np.ascontiguousarray((scaled @ self.directions[:-1] + lift[:, None] * self.directions[-1]).astype(np.float32).T)
+        self.ranks = np.empty(at.shape, np.uint32 if len(ids) > 65_535 else np.uint16)
+        for row, ranks in zip(at, self.ranks):
+            order = np.argsort(row, kind="stable")
+            ranks[order] = np.arange(len(order))
+            row[:] = row[order]
+        self.sorted = at
+
+    def covered(self, centre: np.ndarray, step: int) -> np.ndarray:
+        """Which vectors lie in enough of the windows of a step."""
+        width, count = WIDTHS[step], np.zeros(len(self.ids), np.uint8)
+        for row, ranks, c in zip(self.sorted, self.ranks, centre):
+            low, high = row.searchsorted(np.array([c - width, np.nextafter(c + width, np.float32(np.inf))], np.float32)).tolist()
+            # ranks below `low` wrap around to large numbers
+            count += (ranks - ranks.dtype.type(low) < ranks.dtype.type(high - low)).view(np.uint8)
+        return np.flatnonzero(count >= math.ceil(SHARE * PROJECTIONS))
 
     def search(self, query: np.ndarray, query_id: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the best k verified vectors, best first."""
-        n = len(self.ids)
-        centre = query @ self.directions[:-1] / np.float32(np.linalg.norm(query.astype(np.float64)))
-        need, enough = math.ceil(SHARE * PROJECTIONS), min(n, max(4 * k, math.ceil(VERIFY * n)))
-        counts = np.zeros(n, np.int64)
-        low = high = None
-        for width in WIDTHS:
-            new_low = np.array([np.searchsorted(s, c - width) for s, c in zip(self.sorted, centre)])
-            new_high = np.array([np.searchsorted(s, c + width, "right") for s, c in zip(self.sorted, centre)])
-            if low is None:
-                fresh = [o[a:b] for o, a, b in zip(self.order, new_low, new_high)]
+        unit = query / np.abs(query).max()
+        centre = (unit @ self.directions[:-1] / np.linalg.norm(unit)).astype(np.float32)
+        low, high, step, stride, found = -1, len(WIDTHS) - 1, self.step, 1, None
+        while high - low > 1 or found is None:  # `high` covers enough, `low` doesn't
+            step = min(max(step, low + 1), high)
+            got = self.covered(centre, step)
+            if len(got) >= self.enough or step == len(WIDTHS) - 1:
+                high, found, step = step, got, max(step - stride, (low + step) // 2)
             else:
-                fresh = [o[a:b] for o, a, b in zip(self.order, new_low, low)] + [o[a:b] for o, a, b in zip(self.order, high, new_high)]
-            low, high = new_low, new_high
-            counts += np.bincount(np.concatenate(fresh), minlength=n)
-            if (counts >= need).sum() >= enough:
-                break
-        found = np.flatnonzero((counts >= need) & (self.ids != query_id))
-        return self._best(found, query, k)
-
-    def _best(self, found: np.ndarray, query: np.ndarray, k: int):
-        rough = self.vectors[found] @ query
-        if len(found) > k:  # within single precision of the k-th best; the exact scores decide
-            slack = 1e-5 * self.largest * float(np.linalg.norm(query)) + 1e-30
-            found = found[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - slack]
-        score = (self.vectors[found].astype(np.float64) * query.astype(np.float64)).sum(1)
+                low, step = step, min(step + stride, (step + high + 1) // 2)
+            stride *= 2
+        self.step = high
+        found = found[self.ids[found] != query_id]
+        self.verified += len(found)
+        score = (self.vectors[found] * query).sum(1)
+        if len(found) > k:
+            few = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
+            found, score = found[few], score[few]
         best = np.lexsort((self.ids[found], -score))[:k]
         return self.ids[found[best]], score[best]
 
@@ -81,29 +91,36 @@ class BlockIndex:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest vectors found, by largest inner product."""
     spark = vectors.sparkSession
-    base, asked = stored(usable(vectors), "base"), stored(usable(queries), "queries")
-    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
-    n, largest = base.agg(F.count("*"), F.sqrt(F.max(square))).first()
-    n_asked = asked.count()
-    blocks, groups = max(1, math.ceil(n / BLOCK_ROWS)), max(1, math.ceil(n_asked / BLOCK_QUERIES))
-    largest = spark.sparkContext.broadcast(float(largest or 1.0) * (1 + 1e-6))
+    base, asked = (stored(usable(df).withColumn("dim", F.size("v")), name) for df, name in ((vectors, "base"), (queries, "queries")))
+    length = F.array_max(F.transform("v", F.abs)) * F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + F.pow(x / F.array_max(F.transform("v", F.abs)), 2)))
+    # a row for each length of vectors
+    sizes = base.select("dim", length.alias("length")).groupBy("dim").agg(F.count("*").alias("n"), F.max("length").alias("largest"))
+    sizes = sizes.join(asked.groupBy("dim").agg(F.count("*").alias("asked")), "dim")
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    sizes = stored(
+        sizes.withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS).cast("int"))
+        # more groups than their bound asks for only where tasks would be too few; this changes no result
+        .withColumn("groups", F.greatest(F.ceil(F.col("asked") / BLOCK_QUERIES), F.least(F.ceil(F.lit(tasks) / F.col("blocks")), F.ceil(F.col("asked") / 64))).cast("int")),
+        "sizes",
+    )
 
     def dealt(rows, own, parts, other, others):
-        spread = rows.withColumn(own, F.pmod(F.xxhash64("vec_id", F.lit(own)), F.lit(parts)).cast("int"))
-        return spread.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+        spread = rows.join(sizes.toDF(*sizes.columns), "dim").withColumn(own, F.pmod(F.xxhash64("vec_id", F.lit(own)), F.col(parts)).cast("int"))
+        spread = spread.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(others) - 1)))
+        return spread.select("dim", "block", "group", "vec_id", "v", "n", "largest").groupBy("dim", "block", "group")
 
     def meet(rows: pa.Table, asked: pa.Table) -> pa.Table:
         out = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
         if len(rows) and len(asked):
-            index = BlockIndex(rows["vec_id"].to_numpy(), matrix(rows["v"]), largest.value)
+            n, largest = rows["n"][0].as_py(), rows["largest"][0].as_py()
+            index = BlockIndex(rows["vec_id"].to_numpy(), matrix(rows["v"]), largest * (1 + 1e-9), max(VERIFY, min(1.0, AT_LEAST / n)))
             for query_id, query in zip(asked["vec_id"].to_numpy(), matrix(asked["v"])):
                 ids, scores = index.search(query, query_id, k)
                 for column, values in zip(out, (np.full(len(ids), query_id), ids, scores)):
                     column.append(values)
         return pa.table([np.concatenate(c) for c in out], names=["query_id", "vec_id", "score"])
 
-    left = dealt(base, "block", blocks, "group", groups).groupBy("block", "group")
-    right = dealt(asked, "group", groups, "block", blocks).groupBy("block", "group")
-    found = left.cogroup(right).applyInArrow(meet, "query_id long, vec_id long, score double")
+    once = asked.dropDuplicates(["vec_id", "v"])
+    found = dealt(base, "block", "blocks", "group", "groups").cogroup(dealt(once, "group", "groups", "block", "blocks")).applyInArrow(meet, "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

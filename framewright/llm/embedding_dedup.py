@@ -4,13 +4,17 @@ Every tree splits recursively at the median of a random projection; vectors near
 (spill), so that a pair within the threshold is rarely parted, and several trees make up for the rest. Pairs are compared in
 leaves in double precision, verified, and united.
 
-Splits are fitted on at most `SAMPLE` vectors (those with the smallest hash of their id); every vector is
-then placed in all its leaves. A pair may meet in many leaves: each row carries all its leaves, and a pair
-counts only in the first it shares, so links are counted without listing pairs. A leaf gives out just sums
-and a spanning forest of its links. Large leaves are compared in pairs of blocks.
+The first splits are fitted on at most `SAMPLE` vectors (those with the smallest hash of their id), and every vector is placed
+by them. Leaves that still hold more than `LEAF` vectors are split further, all of a level at once, by Spark jobs over their
+members, so that leaves stay of bounded size however many vectors there are; only what no projection parts, such as one large
+cluster, stays together and is compared in pairs of blocks. A pair may meet in many leaves: each row carries all its leaves,
+and a pair counts only in the first it shares, so links are counted without listing pairs. A leaf gives out just sums and a
+spanning forest of its links.
 
-Equal vectors are one class with a weight from the start. Vectors that are null, zero, of another length or with null
-or non-finite components link with nothing. Rows that repeat an id with different vectors keep links of each.
+Equal vectors are one class with a weight from the start. Vectors are compared with those of their own length. Vectors that are
+null, empty, zero or have null or non-finite components link with nothing. A pair at the threshold links if its cosine in double
+precision isn't below it. Rows that repeat an id with different vectors keep links of each. An empty table gives no row; columns
+other than the two named are not read.
 """
 
 from __future__ import annotations
@@ -22,20 +26,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import drop_shared, stored
 from .components import components
 from .vectors import matrix, usable
 
-TREES, LEAF, SAMPLE, SMALLEST, BLOCK = 4, 1500, 20_000, 8, 2048
+TREES, LEAF, SAMPLE, SMALLEST, BLOCK, LEVELS = 4, 1500, 20_000, 8, 2048, 40
+#: A split that leaves more than this share of the members on one side is no use.
+USELESS = 0.95
 
 
 class Forest:
     """Trees as arrays of nodes: a direction and a threshold, or a leaf's number. Its size is bounded by the sample's."""
 
-    def __init__(self, sample: np.ndarray, n: int, spill: float, seed: int = 11):
+    def __init__(self, sample: np.ndarray, n: int, spill: float, first_leaf: int, seed: int = 11):
         self.spill = spill
         self.rng = np.random.default_rng(seed)
-        self.leaves = 0
+        self.leaves = first_leaf
         smallest = max(SMALLEST, math.ceil(LEAF * len(sample) / max(n, 1)))
         self.trees = [self._grow(sample, smallest, 0) for _ in range(TREES)]
         del self.rng
@@ -45,18 +51,18 @@ class Forest:
         return self.leaves - 1
 
     def _grow(self, sample: np.ndarray, smallest: int, depth: int):
-        if len(sample) > smallest and depth < 40:
+        if len(sample) > smallest and depth < LEVELS:
             direction = self.rng.standard_normal(sample.shape[1])
             direction /= np.linalg.norm(direction)
             p = sample @ direction
             cut = float(np.median(p))
             left, right = sample[p <= cut + self.spill], sample[p >= cut - self.spill]
-            if max(len(left), len(right)) < 0.95 * len(sample):
+            if max(len(left), len(right)) < USELESS * len(sample):
                 return direction, cut, self._grow(left, smallest, depth + 1), self._grow(right, smallest, depth + 1)
         return self._leaf()
 
     def place(self, unit: np.ndarray) -> list[list[int]]:
-        """The leaves of each vector in all trees, ascending."""
+        """The leaves of each vector in all trees."""
         out: list[list[int]] = [[] for _ in unit]
 
         def walk(node, rows):
@@ -71,15 +77,22 @@ class Forest:
 
         for tree in self.trees:
             walk(tree, np.arange(len(unit)))
-        return [sorted(x) for x in out]
+        return out
 
 
 def unit_rows(vectors: np.ndarray) -> np.ndarray:
-    v = vectors.astype(np.float64)
-    v /= np.abs(v).max(1, keepdims=True)  # no overflow or underflow in the squares
+    v = vectors / np.abs(vectors).max(1, keepdims=True)  # no overflow or underflow in the squares
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
+def same_length(batch: pa.RecordBatch, column: int):
+    """(rows, unit vectors) of a batch for each length of its vectors."""
+    length = batch.column(column).value_lengths().to_numpy(zero_copy_only=False)
+    for n in np.unique(length):
+        rows = np.flatnonzero(length == n)
+        yield rows, unit_rows(matrix(batch.column(column).take(pa.array(rows))))
+
+
 def forest_edges(links: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of a symmetric boolean matrix."""
     left, edges = links.any(1), []
@@ -127,25 +140,97 @@ def leaf_links(leaf: int, rep, weight, block, unit, homes: list, threshold: floa
     return linked, [(int(some[a]), int(some[b])) for a, b in forest_edges(links)]
 
 
-def embedding_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """One row per vector: vec_id, n_links, component_id (smallest vec_id reachable), kept."""
-    spark = vectors.sparkSession
-    rows = stored(usable(vectors, id_col, vector_col), "vectors")
-    classes = stored(rows.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "classes")
-    n = classes.count()
-    sample = classes.select("rep", "v").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).toArrow()
-    points = unit_rows(matrix(sample["v"])) if len(sample) else np.zeros((0, 1))
-    # the usual distance along a random direction of two vectors at the threshold
-    spill = math.sqrt(max(0.0, 2 - 2 * threshold) / points.shape[1])
-    forest = spark.sparkContext.broadcast(Forest(points, n, spill))
+PLACED = "rep long, weight long, v array<double>, homes array<long>"
+
+
+def first_places(classes: DataFrame, threshold: float) -> DataFrame:
+    """Classes with their leaves in forests fitted on samples, one forest for each length of vectors with more than a leaf's
+    worth of classes; fewer are one leaf."""
+    spark = classes.sparkSession
+    lengths = classes.groupBy(F.size("v").alias("dim")).count().orderBy("dim").collect()  # a row for each length that occurs
+    forests, leaf = {}, 0
+    for dim, n in lengths:
+        if n <= LEAF:
+            forests[dim], leaf = leaf, leaf + 1
+            continue
+        sample = classes.where(F.size("v") == dim).select("rep", "v").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).toArrow()
+        # the usual distance along a random direction of two vectors at the threshold
+        forests[dim] = Forest(unit_rows(matrix(sample["v"])), n, spill_of(threshold, dim), leaf)
+        leaf = forests[dim].leaves
+    shared = spark.sparkContext.broadcast(forests)
 
     def place(batches):
         for batch in batches:
-            homes = forest.value.place(unit_rows(matrix(batch.column(2))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(homes, pa.list_(pa.int32()))], names=["rep", "weight", "v", "homes"])
+            homes: list = [None] * batch.num_rows
+            for rows, unit in same_length(batch, 2):
+                forest = shared.value[unit.shape[1]]
+                for r, found in zip(rows.tolist(), forest.place(unit) if isinstance(forest, Forest) else [[forest]] * len(rows)):
+                    homes[r] = found
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(homes, pa.list_(pa.int64()))], names=["rep", "weight", "v", "homes"])
+
+    return stored(classes.select("rep", "weight", "v").mapInArrow(place, PLACED), "placed")
+
+
+def spill_of(threshold: float, dim: int) -> float:
+    return math.sqrt(max(0.0, 2 - 2 * threshold) / dim)
 
-    schema = "rep long, weight long, v array<float>, homes array<int>"
-    placed = stored(classes.select("rep", "weight", "v").mapInArrow(place, schema), "placed")
+
+def split_large(placed: DataFrame, threshold: float) -> DataFrame:
+    """Large leaves split in two, level by level, until none is left that a projection parts. A member of a leaf that is split
+    exchanges it for one or both of its halves."""
+    spark, final = placed.sparkSession, None
+    for _ in range(LEVELS):
+        sizes = placed.select(F.explode("homes").alias("leaf")).groupBy("leaf").count().where(F.col("count") > LEAF).select("leaf")
+        large = sizes if final is None else sizes.join(final, "leaf", "left_anti")
+        large = stored(large, "large-leaves")
+        if large.isEmpty():
+            break
+        members = placed.select("rep", "v", F.explode("homes").alias("leaf")).join(large, "leaf")
+
+        def project(batches):
+            directions: dict = {}
+            for batch in batches:
+                leaf, p = batch.column(0).to_pylist(), np.zeros(batch.num_rows)
+                for rows, unit in same_length(batch, 2):
+                    dim = unit.shape[1]
+                    of = np.array([leaf[r] for r in rows.tolist()])
+                    for one in np.unique(of):
+                        if (one, dim) not in directions:
+                            if len(directions) > 4096:
+                                directions.clear()
+                            d = np.random.default_rng([int(one) & (1 << 63) - 1, dim]).standard_normal(dim)
+                            directions[one, dim] = d / np.linalg.norm(d)
+                        here = of == one
+                        p[rows[here]] = unit[here] @ directions[one, dim]
+                spill = [spill_of(threshold, n) for n in batch.column(2).value_lengths().to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array(spill)], names=["leaf", "rep", "p", "spill"])
+
+        at = stored(members.select("leaf", "rep", "v").mapInArrow(project, "leaf long, rep long, p double, spill double"), "projections")
+        cuts = at.groupBy("leaf").agg(F.percentile_approx("p", 0.5, 1000).alias("cut"))
+        sides = at.join(cuts, "leaf").select("leaf", "rep", (F.col("p") <= F.col("cut") + F.col("spill")).alias("left"), (F.col("p") >= F.col("cut") - F.col("spill")).alias("right"))
+        sides = stored(sides, "sides")
+        share = [F.sum(F.col(side).cast("long")) / F.count("*") for side in ("left", "right")]
+        useless = sides.groupBy("leaf").agg(F.greatest(*share).alias("most")).where(F.col("most") >= USELESS).select("leaf")
+        final = stored(useless if final is None else useless.unionByName(final), "final-leaves")
+        halves = F.array_compact(F.array(*(F.when(F.col(side), F.xxhash64("leaf", F.lit(side))) for side in ("left", "right"))))
+        changed = sides.join(final, "leaf", "left_anti").groupBy("rep").agg(F.collect_set("leaf").alias("gone"), F.flatten(F.collect_list(halves)).alias("come"))
+        homes = F.when(F.col("gone").isNull(), F.col("homes")).otherwise(F.array_union(F.array_except("homes", "gone"), "come"))
+        new = stored(placed.join(changed, "rep", "left").select("rep", "weight", "v", homes.alias("homes")), "placed")
+        for old in (placed, large, at, sides):
+            drop_shared(spark, old._stored_at)
+        placed = new
+    return placed
+
+
+def embedding_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """One row per vector: vec_id, n_links, component_id (smallest vec_id reachable), kept."""
+    rows = stored(usable(vectors, id_col, vector_col), "vectors")
+    # -0.0 and 0.0 are equal components, but not equal keys
+    rows = rows.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))
+    classes = stored(rows.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "classes")
+    # an id may stand for several vectors: classes get a number of their own
+    classes = stored(classes.withColumn("id", F.col("rep")).withColumn("rep", F.monotonically_increasing_id()), "numbered")
+    placed = split_large(first_places(classes, threshold), threshold)
     sizes = placed.select(F.explode("homes").alias("leaf")).groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = (
         placed.withColumn("leaf", F.explode("homes")).join(sizes, "leaf")
@@ -167,15 +252,20 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: st
 
     met = stored(dealt.groupBy("leaf", "i", "j").applyInArrow(compare, "u long, v long, n long"), "met")
     linked = met.where("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n"))
-    found = components(met.where("v is not null").select("u", "v")).withColumnRenamed("node", "rep")
-    of_class = classes.join(linked, "rep", "left").join(found, "rep", "left").select(
-        "v", F.coalesce("n", F.lit(0)).alias("n"), "weight", F.coalesce("component", "rep").alias("component")
-    )
-    own = rows.join(of_class, "v").groupBy("vec_id").agg(F.max(F.col("n") + F.col("weight") - 1).alias("n_links"), F.min("component").alias("component"))
+    # rows of one id are linked through it, whatever their vectors
+    owners = rows.join(classes.select("v", "rep"), "v").select("vec_id", "rep").distinct()
+    shared = owners.groupBy("vec_id").agg(F.min("rep").alias("u"), F.max("rep").alias("top")).where("u < top").select("vec_id", "u")
+    same_id = shared.join(owners, "vec_id").where("rep > u").select("u", F.col("rep").alias("v"))
+    found = stored(components(met.where("v is not null").select("u", "v").unionByName(same_id)), "components")
+    of_class = classes.join(linked, "rep", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    of_class = stored(of_class.select("v", "id", F.coalesce("n", F.lit(0)).alias("n"), "weight", F.coalesce("component", "rep").alias("component")), "linked")
+    smallest = of_class.groupBy("component").agg(F.min("id").alias("component_id"))
+    named = of_class.join(smallest, "component").select("v", "n", "weight", "component_id")
+    own = rows.join(named, "v").groupBy("vec_id").agg(F.max(F.col("n") + F.col("weight") - 1).alias("n_links"), F.min("component_id").alias("component_id"))
     every = vectors.select(F.col(id_col).cast("long").alias("vec_id"))
     return every.join(own, "vec_id", "left").select(
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component", "vec_id").alias("component_id"),
-        F.coalesce(F.col("vec_id") == F.coalesce("component", "vec_id"), F.lit(False)).alias("kept"),
+        F.coalesce("component_id", "vec_id").alias("component_id"),
+        F.coalesce(F.col("vec_id") == F.coalesce("component_id", "vec_id"), F.lit(False)).alias("kept"),
     )

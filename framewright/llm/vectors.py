@@ -10,18 +10,16 @@ from framewright.shipping import ship
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, v) of the rows that take part: an id, a vector that isn't null or zero, finite components, and the
-    commonest number of components; vectors of another length can't be compared."""
+    """(vec_id, v) of the rows that take part: an id, a vector that isn't null, empty or zero, and finite components. Components are
+    doubles, which hold those of any numeric column as they are."""
     ship(vectors.sparkSession)
     v = F.col("v")
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("v"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     finite = F.forall(v, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))
-    rows = rows.where(F.col("vec_id").isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0))
-    length = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("v") == (length["n"] if length else 0))
+    return rows.where(F.col("vec_id").isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0))
 
 
 def matrix(column) -> np.ndarray:
-    """Rows of an Arrow list column as a float32 matrix."""
+    """Rows of equal length of an Arrow list column as a matrix of doubles."""
     values = column.combine_chunks() if hasattr(column, "combine_chunks") else column
-    return values.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(len(values), -1)
+    return values.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(values), -1)

@@ -161,8 +161,72 @@ def test_vector_duplicates_of_awkward_rows(spark):
     assert embedding_dedup.embedding_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def test_recall_and_verified_share_of_the_index():
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = ann.BlockIndex(np.arange(len(x)), x, 1 + 1e-9, ann.VERIFY)
+    hits = 0
+    for q in range(60):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += (index.search(x[q], q, 20)[1] >= np.sort(score)[-20] - 1e-12).sum()
+    assert hits >= 0.9 * 60 * 20 and index.verified <= 0.07 * 60 * len(x)
+
+
+def test_vectors_of_several_lengths(spark):
+    rng = np.random.default_rng(3)
+    long, short = rng.standard_normal((45, 6)), rng.standard_normal((30, 3))
+    long[41], short[22] = long[40] * 2, short[20] * 3
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(long)] + [(100 + i, [float(a) for a in v]) for i, v in enumerate(short)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    of = dict(rows)
+    # the queries' commonest length is not the table's
+    asked = df.where("vec_id in (0, 100, 120)")
+    got = {}
+    for r in ann.nearest(df, asked, 20).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q in (0, 100, 120):
+        want = sorted((-float((np.array(v) * np.array(of[q])).sum()), i) for i, v in rows if i != q and len(v) == len(of[q]))[:20]
+        assert [(i, pytest.approx(-s)) for s, i in want] == [(i, s) for _, i, s in sorted(got[q])]
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.embedding_duplicates(df).collect()}
+    assert found[41] == (1, 40) and found[122][1] == found[120][1] <= 120 and found[122][0] >= 1 and found[0] == (0, 0) and len(found) == 75
+
+
+def test_large_doubles_keep_their_precision(spark):
+    rows = [(0, [1e200, 1.0]), (1, [1e200, 2.0]), (2, [3.0000000001, -3.0]), (3, [-1e-300, 1e-300])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["score"] for r in ann.nearest(df, df.where("vec_id = 2"), 5).collect()}
+    assert got[0] == pytest.approx(3.0000000001e200) and got[3] == pytest.approx(-6.0000000001e-300, rel=1e-12)
+    found = {r["vec_id"]: r["n_links"] for r in embedding_dedup.embedding_duplicates(df).collect()}
+    assert found == {0: 1, 1: 1, 2: 0, 3: 0}
+
+
+def test_leaves_are_bounded_beyond_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "LEAF", 40)
+    monkeypatch.setattr(embedding_dedup, "SAMPLE", 60)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 64)
+    centres = RNG.standard_normal((40, 32))
+    x = np.concatenate([RNG.standard_normal((900, 32)), centres[RNG.integers(0, 40, 200)] + 0.1 * RNG.standard_normal((200, 32))]).astype(np.float32)
+    df = table(spark, x).select("vec_id", vectors.F.col("embedding").cast("array<double>").alias("v"))
+    classes = df.select(vectors.F.col("vec_id").alias("rep"), vectors.F.lit(1).cast("long").alias("weight"), "v")
+    first = embedding_dedup.first_places(classes, 0.95)
+    placed = embedding_dedup.split_large(first, 0.95)
+    size = {}
+    for r in placed.collect():
+        for h in r["homes"]:
+            size[h] = size.get(h, 0) + 1
+    assert max(size.values()) <= 40
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    links = u @ u.T >= 0.95
+    np.fill_diagonal(links, False)
+    got = embedding_dedup.embedding_duplicates(table(spark, x)).collect()
+    assert all(r["n_links"] <= links[r["vec_id"]].sum() for r in got)
+    assert sum(r["n_links"] for r in got) >= 0.97 * links.sum()
+
+
 def test_usable_vectors(spark):
-    assert sorted(r["vec_id"] for r in vectors.usable(odd_vectors(spark)).collect()) == [0, 6, 7, 7, 20]
+    assert sorted(r["vec_id"] for r in vectors.usable(odd_vectors(spark)).collect()) == [0, 6, 7, 7, 9, 20]
 
 
 # toxicity
