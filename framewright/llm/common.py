@@ -25,15 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def prepare(spark: SparkSession) -> None:
-    """Before any Python runs on executors: the package is there, and batches of long texts stay small."""
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def slices(batches, rows: int = BATCH_ROWS):
+    """Arrow batches in slices of few rows: no session setting is touched for it."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) alone, null texts as empty ones. Other columns, of whatever name, are not read."""
-    prepare(docs.sparkSession)
+    ship(docs.sparkSession)
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
@@ -46,11 +47,14 @@ def id_remainder(modulus: int, id_col: str = "doc_id"):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset, as in tests."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a temporary one serves a local master, as in
+    tests; executors on other machines could not see it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not found.isDefined():
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="framewright-"))
             found = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = found.get()
