@@ -1,11 +1,15 @@
 """Secret scans with structural confirmation.
 
 Pattern matches of three base kinds are always reported. Beyond them, candidates that look like encoded
-key material are decoded and parsed: a candidate counts only if its bytes have the structure of a key
-(nested DER lengths that fill the blob exactly, SSH length-prefixed fields, a token's JSON header). Base64 of either
-alphabet may be wrapped over lines, whose ends may be escaped (a backslash and n, r or t, as in JSON).
-
-Null and empty texts have no spans; repeated rows give repeated results; other columns are not read.
+key material are decoded and parsed: a candidate counts only if its bytes have the structure of a private key to the
+end (a grammar of nested DER elements, the OpenSSH private format's fields) or of a signed token (a JSON header that names
+an algorithm). Public keys and certificates are no secrets and aren't reported. Base64 of either alphabet may be wrapped over
+lines, whose ends may be escaped (a backslash and n, r or t, as in JSON). An armoured key that is encrypted has no structure
+of its own; it is confirmed by its headers, and by whole blocks of the cipher that they name.
+
+Null and empty texts have no spans; very long texts are scanned whole, in time linear in their length but for candidates'
+lines; repeated rows give repeated results; spans that start alike are listed in the order of `KINDS`. An empty table gives no row;
+other columns, of whatever name, are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +25,9 @@ from itertools import accumulate
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import prepare, texts
+from framewright.shipping import ship
+
+from .common import slices, texts
 
 #: The base kinds in the order in which equal starts are listed, then the confirmed kinds.
 KINDS = ("assign", "access", "hex", "jwt", "pem", "der", "derhex", "ssh")
@@ -36,76 +42,117 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _JWT = re.compile(
     r"(?:(?<![A-Za-z0-9_-])|(?<=\\[nrt]))(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]*\.[A-Za-z0-9_-]*((?:\.[A-Za-z0-9_-]+){2})?"
 )
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----((?:[A-Za-z0-9+/=_\s]|-(?!----)|\\+[nrt])*)-----END \1-----")
-# Base64 of a DER sequence (0x30 and a length) or of an SSH blob (a 4-byte length or the OpenSSH magic): where it
-# may start, and all lines that may belong to it.
-_BASE64 = re.compile(r"(?:(?<![A-Za-z0-9+/])|(?<=\\[nrt]))(?:M[A-P]|AAAA|b3BlbnNzaC1r)(?=[A-Za-z0-9+/_-]{12})")
+_PEM = re.compile(
+    r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----(?:(?:\s|\\+[nrt])*Proc-Type:[ ]?4,ENCRYPTED(?:\s|\\+[nrt])+DEK-Info:[ ]?([A-Z0-9-]+),([0-9A-Fa-f]+)(?=\s|\\))?"
+    r"((?:[A-Za-z0-9+/=_\s]|-(?!----)|\\+[nrt])*)-----END \1-----"
+)
+# Base64 of a DER sequence (0x30 and a length) or of the OpenSSH magic: where it may start, and all lines that may belong to it.
+_BASE64 = re.compile(r"(?:(?<![A-Za-z0-9+/])|(?<=\\[nrt]))(?:M[A-P]|b3BlbnNzaC1r)(?=[A-Za-z0-9+/_-]{12})")
 _LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 _LINES = re.compile(r"[A-Za-z0-9+/_-]+(?:[ \t]*(?:\\+[nrt]|[\r\n][ \t]*)+[A-Za-z0-9+/_-]+)*")
-_SSH_HEAD = re.compile(rb"openssh-key-v1\x00|\x00\x00\x00.(ssh|ecdsa|sk)-", re.S)
+_SSH_MAGIC = b"openssh-key-v1\x00"
 _PADDING = re.compile(r"={0,2}")
 _DER_HEX = re.compile(r"(?<![0-9A-Fa-f])30(?:8[1-4]|[0-7][0-9A-Fa-f])[0-9A-Fa-f]{28,}")
 
 
-def der_fills(blob: bytes, depth: int = 0) -> bool:
-    """Whether the bytes are DER elements, one after another, whose nested lengths fill them exactly."""
-    at, n = 0, len(blob)
+def der_items(blob: bytes) -> list[tuple[int, bytes]] | None:
+    """(tag, content) of the DER elements that fill the bytes exactly; None if they don't."""
+    at, n, out = 0, len(blob), []
     while at < n:
-        if at + 2 > n or depth > 12:
-            return False
+        if at + 2 > n:
+            return None
         tag, length, at = blob[at], blob[at + 1], at + 2
         if length & 0x80:
             k = length & 0x7F
             if not 1 <= k <= 4 or at + k > n:
-                return False
+                return None
             length, at = int.from_bytes(blob[at : at + k], "big"), at + k
             if length < 0x80:
-                return False  # DER wants the shortest form
+                return None  # DER wants the shortest form
         if at + length > n or tag in (0x00, 0xFF):
-            return False
-        if tag & 0x20 and not der_fills(blob[at : at + length], depth + 1):
-            return False
+            return None
+        out.append((tag, blob[at : at + length]))
         at += length
-    return True
+    return out
+
+
+def _is_algorithm(content: bytes) -> bool:
+    """An AlgorithmIdentifier: an object id, then at most one element of parameters."""
+    items = der_items(content)
+    return bool(items) and items[0][0] == 0x06 and len(items[0][1]) > 1 and len(items) <= 2
 
 
 def is_der_key(blob: bytes) -> bool:
-    """One SEQUENCE that fills the blob and holds, at its first level, an INTEGER or SEQUENCE and more."""
-    return len(blob) >= 16 and blob[0] == 0x30 and blob[1] != 0 and der_fills(blob) and _holds_key_parts(blob)
-
-
-def _holds_key_parts(blob: bytes) -> bool:
-    at = 2 + (blob[1] & 0x7F if blob[1] & 0x80 else 0)
-    return at < len(blob) and blob[at] in (0x02, 0x30, 0x06)
-
-
-def ssh_ends(blob: bytes) -> list[int]:
-    """Where an SSH key may end: behind the parts of the OpenSSH private format, or behind a second or later
-    length-prefixed field after a key type's name."""
-    at, ends, left = 0, [], None
-    if blob.startswith(b"openssh-key-v1\x00"):
-        at, left = 15, 3
-    while at + 4 <= len(blob):
-        length = int.from_bytes(blob[at : at + 4], "big")
-        if left == 0:  # the number of public keys; the private ones follow
-            at, left = at + 4, -1 - length
-            continue
-        if at + 4 + length > len(blob):
-            break
-        if left is None and not ends and not re.match(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+$", blob[at + 4 : at + 4 + length]):
-            return []
-        at += 4 + length
-        ends.append(at)
-        if left is not None:
-            left += -1 if left > 0 else 1
-            if left == 0 and len(ends) > 3:
-                return [at]
-    return [] if left is not None else ends[1:]
-
-
-def is_ssh_key(blob: bytes) -> bool:
-    """The OpenSSH private format, or length-prefixed fields that fill the blob after a key type's name."""
-    return blob.startswith(b"openssh-key-v1\x00") or len(blob) in ssh_ends(blob)[-1:]
+    """One SEQUENCE that is a private key: of RSA or DSA (a version and just the integers of such a key), of an elliptic curve
+    (version 1, octets, tagged parameters), PKCS #8 (a version, an algorithm, octets that hold a key, tagged attributes) or
+    encrypted PKCS #8 (an algorithm, octets in whole)."""
+    outer = der_items(blob) if len(blob) >= 16 else None
+    if not outer or len(outer) != 1 or outer[0][0] != 0x30 or not (items := der_items(outer[0][1])):
+        return False
+    tags, contents = [t for t, _ in items], [c for _, c in items]
+    if tags[:2] == [0x30, 0x04] and len(items) == 2:
+        return _is_algorithm(contents[0]) and len(der_items(contents[0])) == 2 and len(contents[1]) >= 16 and len(contents[1]) % 8 == 0
+    if tags[0] != 0x02 or contents[0] not in (b"\x00", b"\x01"):
+        return False
+    if all(t == 0x02 for t in tags):
+        return len(tags) in (6, 9) and all(contents) and min(map(len, contents[1:3])) > 0 and max(map(len, contents)) >= 16
+    if tags[1] == 0x04:
+        return contents[0] == b"\x01" and len(contents[1]) >= 16 and len(items) > 2 and all(t in (0xA0, 0xA1) and der_items(c) for t, c in items[2:])
+    if tags[1:3] == [0x30, 0x04]:
+        inner = der_items(contents[2])
+        return _is_algorithm(contents[1]) and bool(inner) and all(t in (0xA0, 0xA1, 0x81) for t in tags[3:])
+    return False
+
+
+def _fields(blob: bytes, at: int, n: int | None):
+    """(the next n length-prefixed fields, all that follow if n is None, where they end); None if they don't fit."""
+    out = []
+    while len(out) != n and (n is not None or at + 4 <= len(blob)):
+        end = at + 4 + int.from_bytes(blob[at : at + 4], "big")
+        if at + 4 > len(blob) or end > len(blob):
+            return (out, at) if n is None else None
+        out.append(blob[at + 4 : end])
+        at = end
+    return out, at
+
+
+def ssh_size(blob: bytes) -> int:
+    """Bytes of the OpenSSH private key that `blob` begins with; 0 if there is none. All fields are parsed to the end: cipher,
+    derivation, public keys, and the private part, which starts with two equal numbers and ends with counted padding
+    if it isn't encrypted, and else fills the cipher's blocks."""
+    if not blob.startswith(_SSH_MAGIC) or not (head := _fields(blob, len(_SSH_MAGIC), 3)):
+        return 0
+    (cipher, derivation, _), at = head
+    keys = int.from_bytes(blob[at : at + 4], "big")
+    if not re.fullmatch(rb"[a-z0-9@.-]+", cipher) or not re.fullmatch(rb"[a-z0-9]+", derivation) or not 1 <= keys <= 64:
+        return 0
+    if not (rest := _fields(blob, at + 4, keys + 1)):
+        return 0
+    *public, private = rest[0]
+    if not all(_is_public_key(p) for p in public):
+        return 0
+    if cipher == b"none":
+        body, end = _fields(private, 8, None)
+        padding = private[end:]
+        if len(private) < 16 or private[:4] != private[4:8] or not body or not _SSH_TYPE.fullmatch(body[0]) or padding != bytes(range(1, len(padding) + 1)):
+            return 0
+    elif len(private) < 16 or len(private) % 8:
+        return 0
+    return rest[1]
+
+
+_SSH_TYPE = re.compile(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+")
+
+
+def _is_public_key(blob: bytes) -> bool:
+    fields, end = _fields(blob, 0, None)
+    return len(fields) >= 2 and end == len(blob) and bool(_SSH_TYPE.fullmatch(fields[0]))
+
+
+def is_encrypted_body(cipher: str, body: bytes) -> bool:
+    """Whole blocks of the cipher that an armour's header names."""
+    block = 16 if cipher.startswith(("AES", "CAMELLIA", "SEED")) else 8
+    return len(body) >= 2 * block and len(body) % block == 0
 
 
 def der_size(head: bytes) -> int:
@@ -173,14 +220,12 @@ def base64_spans(text: str) -> list[tuple[int, int, int]]:
                 n = -(-size * 4 // 3)
                 if size and start + n <= len(joined) and closed(n) and is_der_key(unbase64(joined[start : start + n])):
                     kind = 5
-            elif _SSH_HEAD.match(unbase64(joined[start : start + 88])):
+            elif unbase64(joined[start : start + 20]) == _SSH_MAGIC:
                 rest = re.match("[A-Za-z0-9+/]*" if "-" not in joined[start:] and "_" not in joined[start:] else "[A-Za-z0-9+/_-]*", joined[start:])[0]
-                blob = unbase64(rest[: len(rest) - (len(rest) % 4 == 1)])
-                fits = [n for e in ssh_ends(blob) if closed(n := -(-e * 4 // 3))]
-                if not fits and blob.startswith(b"openssh-key-v1\x00") and before[line + 1] - start >= 42:
-                    fits = [before[line + 1] - start]  # damaged or cut off: its first line, by the magic
-                if fits:
-                    kind, n = 7, fits[-1]
+                size = ssh_size(unbase64(rest[: len(rest) - (len(rest) % 4 == 1)]))
+                n = -(-size * 4 // 3)
+                if size and closed(n):
+                    kind = 7
             if kind:
                 last = bisect_left(before, start + n) - 1
                 stop = first.start() + lines[last][0] + start + n - before[last]
@@ -200,13 +245,12 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
                 found.append((m.start(), 3, m.end() if is_json_object(m[1], "alg", "enc") or not m[2] else m.start(2)))
     if "-----BEGIN" in text:
         for m in _PEM.finditer(text):
-            blob = unbase64(m[2])
-            if is_der_key(blob) or is_ssh_key(blob):
+            blob = unbase64(m[4])
+            if is_encrypted_body(m[2], blob) if m[2] else is_der_key(blob) or ssh_size(blob) == len(blob) > 0:
                 found.append((m.start(), 4, m.end()))
     armoured = [(a, b) for a, k, b in found if k == 4]
     for a, kind, b in base64_spans(text):
-        # several lines in armour are the armour's key
-        if not (_LINE.match(text, a).end() < b - 2 and any(x < a and b < y for x, y in armoured)):
+        if not any(x < a and b < y for x, y in armoured):  # what stands in armour is the armour's key
             found.append((a, kind, b))
     if "30" in text:
         for m in _DER_HEX.finditer(text):
@@ -223,7 +267,7 @@ SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, n_confirmed lon
 
 
 def _scan(batches):
-    for batch in batches:
+    for batch in slices(batches):
         out = {name: [] for name in ("n_assign", "n_access", "n_hex", "n_confirmed", "base_sha256", "spans")}
         for text in batch.column(1).to_pylist():
             base = base_spans(text)
@@ -257,11 +301,11 @@ def redacted(text: str, mark: str = "[secret]") -> str:
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """All rows and columns of `docs`, secrets in `text_col` replaced by `mark`; null texts stay null."""
-    prepare(docs.sparkSession)
+    ship(docs.sparkSession)
     where, schema = docs.columns.index(text_col), docs.schema
 
     def change(batches):
-        for batch in batches:
+        for batch in slices(batches):
             columns = list(batch.columns)
             old = batch.column(where)
             columns[where] = pa.array([None if t is None else redacted(t, mark) for t in old.to_pylist()], old.type)
