@@ -2,12 +2,16 @@
 
 Each distinct character n-gram of a lower-cased text is a feature (hashed); its value is the log ratio of
 the shares of toxic and clean training documents that hold it, and a logistic regression learns a
-weight for each such value. Only labelled texts are learned from; labels and metadata are never inputs.
+weight for each such value. Only labelled texts are learned from; labels and metadata are never inputs. Features are all
+n-grams of at least `MIN_DOCS` training documents whose presence tells the classes apart at the level of `EVIDENCE` (a
+likelihood-ratio statistic; 10.8 is chance in one of a thousand): a rule that doesn't depend on how many there are.
 
-Bounds (parameters): at most `max_train` labelled rows, those with the smallest hash of their id, and
-`n_features` n-grams. Scoring covers every row and the whole of every text. Null and empty texts get the
+Bound (a parameter): at most `max_train` labelled rows are learned from, those with the smallest hash of their id.
+Scoring covers every row and the whole of every text, in blocks of bounded length. Null and empty texts get the
 score of a text without known n-grams. If no labelled text or just one class is there, the score
-is the smoothed share of toxic rows. Repeated label rows of a document count once, by the largest label.
+is the smoothed share of toxic rows. Repeated label rows of a document count once, by the largest label; of several texts of
+a labelled id the smallest is learned from; repeated rows are scored each. An empty table gives no row; columns other than id
+and text, of whatever name, are not read.
 """
 
 from __future__ import annotations
@@ -17,12 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_shared, id_remainder, prepare, stored, texts
+from framewright.shipping import ship
+
+from .common import drop_shared, id_remainder, slices, stored, texts
 
 SIZES = (3, 4, 5, 6)
 BITS = 20
 BLOCK_CHARS = 1_000_000
-TRAIN_TASKS = 8
+TRAIN_TASKS, PARTS = 8, 8
+MIN_DOCS, EVIDENCE = 3, 10.83
 
 
 def hashed_ngrams(batch_texts: list[str], sizes=SIZES, bits=BITS):
@@ -91,20 +98,16 @@ def log_ratios(counts: np.ndarray, n_class: np.ndarray) -> np.ndarray:
     return np.log(share[1] / share[0])
 
 
-def best_buckets(counts: np.ndarray, n_class: np.ndarray, n_features: int) -> np.ndarray:
-    """Mask of the buckets whose presence tells the classes apart most, by the likelihood-ratio statistic."""
+def telling_buckets(counts: np.ndarray, n_class: np.ndarray) -> np.ndarray:
+    """Mask of the buckets whose presence tells the classes apart, by the likelihood-ratio statistic."""
     n, total = counts.sum(0), n_class.sum()
     rest = n_class[:, None] - counts
 
     def info(k, row, col):
         return k * np.log(np.maximum(k, 1e-12) * total / np.maximum(row * col, 1e-12))
 
-    g = sum(info(counts[c], n_class[c], n) + info(rest[c], n_class[c], total - n) for c in (0, 1))
-    g[n < 3] = 0
-    order = np.argsort(-g, kind="stable")[:n_features]
-    mask = np.zeros(counts.shape[1], bool)
-    mask[order[g[order] > 0]] = True
-    return mask
+    g = 2 * sum(info(counts[c], n_class[c], n) + info(rest[c], n_class[c], total - n) for c in (0, 1))
+    return (n >= MIN_DOCS) & (g >= EVIDENCE)
 
 
 class Model:
@@ -121,41 +124,53 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = 8_000, n_features: int = 10_000, l2: float = 1e-3, steps: int = 100) -> Model:
-    """Learn from the texts of `docs` (doc_id, text) that `labels` (doc_id, toxic) marks. The driver gets class counts by
-    bucket and the selected buckets of the sample, both bounded by the parameters. Texts are not
+def train(docs: DataFrame, labels: DataFrame, max_train: int = 8_000, l2: float = 1e-3, steps: int = 100) -> Model:
+    """Learn from the texts of `docs` (doc_id, text) that `labels` (doc_id, toxic) marks. Class counts by bucket are summed
+    by tasks, a part of the buckets in each; the driver gets these sums and the telling buckets of the sample. Texts are not
     shuffled: the ids of the sample, at most `max_train`, go to them."""
     spark = docs.sparkSession
     marked = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     there = marked.join(docs.select("doc_id"), "doc_id", "left_semi")
     ids = stored(there.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train), "toxic-ids")
-    picked = texts(docs).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
+    picked = texts(docs).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     sample = stored(picked.repartition(TRAIN_TASKS), "toxic-sample")
+    width = (1 << BITS) // PARTS
 
     def count(batches):
         counts, n = np.zeros((2, 1 << BITS), np.int32), np.zeros(2, np.int64)
         every = np.ones(1 << BITS, bool)
-        for batch in batches:
+        for batch in slices(batches):
             all_texts, toxic = batch.column(1).to_pylist(), np.array(batch.column(2).to_pylist(), np.int64) > 0
             n += np.bincount(toxic, minlength=2)
             for first, block in blocks_of(all_texts):
                 rows, buckets = present(block, every)
                 for c in (0, 1):
                     counts[c] += np.bincount(buckets[toxic[first + rows] == c], minlength=1 << BITS).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array([n.tobytes()]), pa.array([counts.tobytes()])], names=["n", "counts"])
-
+        for p in range(PARTS):
+            piece = counts[:, p * width : (p + 1) * width].tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([n.tobytes()]), pa.array([piece])], names=["part", "n", "counts"])
+
+    def add(batches):
+        total: dict[int, list] = {}
+        for batch in slices(batches):
+            for p, n, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                got = [np.frombuffer(n, np.int64), np.frombuffer(blob, np.int32)]
+                total[p] = [a + b for a, b in zip(total[p], got)] if p in total else got
+        for p, (n, counts) in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([n.tobytes()]), pa.array([counts.tobytes()])], names=["part", "n", "counts"])
+
+    schema = "part int, n binary, counts binary"
     n_class, counts = np.zeros(2, np.int64), np.zeros((2, 1 << BITS), np.int64)
-    for row in sample.mapInArrow(count, "n binary, counts binary").toLocalIterator():
-        n_class += np.frombuffer(row["n"], np.int64)
-        counts += np.frombuffer(row["counts"], np.int32).reshape(2, -1)
+    for row in sample.mapInArrow(count, schema).repartition(PARTS, "part").mapInArrow(add, schema).collect():
+        n_class = np.frombuffer(row["n"], np.int64)  # the same in all parts
+        counts[:, row["part"] * width : (row["part"] + 1) * width] = np.frombuffer(row["counts"], np.int32).reshape(2, -1)
     if n_class.min() == 0:
         drop_shared(spark, sample._stored_at)
         return Model(np.zeros(1 << BITS, np.float32), float(np.log((n_class[1] + 1) / (n_class[0] + 1))))
-    mask = best_buckets(counts, n_class, n_features)
-    shared = spark.sparkContext.broadcast(mask)
+    shared = spark.sparkContext.broadcast(telling_buckets(counts, n_class))
 
     def select(batches):
-        for batch in batches:
+        for batch in slices(batches):
             all_texts, out = batch.column(1).to_pylist(), []
             for _, block in blocks_of(all_texts):
                 rows, buckets = present(block, shared.value)
@@ -167,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 8_000, n_features
     drop_shared(spark, sample._stored_at)
     each = [np.frombuffer(r["buckets"], np.int32) for r in got]
     labels = np.array([r["toxic"] > 0 for r in got], float)
-    rows = np.repeat(np.arange(len(each)), [len(x) for x in each])
+    rows = np.repeat(np.arange(len(each), dtype=np.int32), [len(x) for x in each])
     return Model(*fit(rows, np.concatenate(each), labels, log_ratios(counts, n_class), l2, steps))
 
 
@@ -181,7 +196,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scan(batches):
-        for batch in batches:
+        for batch in slices(batches):
             s = shared.value.scores(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))],
@@ -193,11 +208,11 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, that score below the threshold."""
-    prepare(docs.sparkSession)
+    ship(docs.sparkSession)
     shared, where = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def scan(batches):
-        for batch in batches:
+        for batch in slices(batches):
             s = shared.value.scores([t or "" for t in batch.column(where).to_pylist()])
             yield batch.filter(pa.array(s < threshold))
 
