@@ -7,8 +7,9 @@ a row is a shard of consecutive documents and holds
   dict_sha256      hash of the dictionary that the frames need; `width`: bytes per id (2 or 4, little-endian)
   doc_ids, index   n_docs int64 ids; n_docs + 1 int64 offsets into `data`
   data             the documents' zstandard frames, one after another
-The dictionary is trained on the serialized id arrays of at most `dict_samples` documents (those with the
-smallest hash of their id, at most 64 KB of each array): it bounds the codec's own state and no result depends on it.
+The dictionary is trained on serialized id arrays of pieces of text from all parts of all documents: of all pieces of
+`PIECE_CHARS` characters those with the smallest hashes, `dict_pieces` of them (a parameter; about 6 MB of text). That bounds
+the codec's own state, and no id depends on it.
 
 Null and empty texts hold just the end id; rows with the same id are stored in the order of their text's
 hash; null ids come first. An empty table gives no shard.
@@ -26,10 +27,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path, texts, tokenizer_path
+from .common import shared_path, slices, texts, tokenizer_path
 from .encoding import encoder
 
-SHARD_BYTES, SHARD_DOCS, DICT_BYTES, SAMPLE_BYTES = 2_000_000, 2000, 64_000, 64_000
+SHARD_BYTES, SHARD_DOCS, DICT_BYTES, PIECE_CHARS, DICT_PIECES = 2_000_000, 2000, 64_000, 3000, 2000
 NULL_ID = -(1 << 63)
 SHARD_SCHEMA = (
     "part int, shard int, ids_before long, first_id long, last_id long, n_docs int, n_ids long, "
@@ -43,31 +44,43 @@ def id_width(path: str) -> int:
     return 2 if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else 4
 
 
-def train_dictionary(docs: DataFrame, path: str, width: int, dict_samples: int) -> bytes:
+def sampled_pieces(docs: DataFrame, pieces: int) -> DataFrame:
+    """(piece): about `pieces` pieces of the texts, and never more than twice as many. Every piece of every text has the same
+    chance, by its hash; the scan keeps just the chosen ones."""
+    in_text = F.ceil(F.length("text") / PIECE_CHARS).cast("int")
+    total = docs.agg(F.coalesce(F.sum(in_text), F.lit(0))).first()[0]
+    rate = min(1.0, pieces / max(total, 1))
+    mark = F.xxhash64("text", "doc_id")
+    below = F.lit(int(-(1 << 63) + rate * ((1 << 64) - 1025)))
+    chosen = F.filter(F.sequence(F.lit(0), in_text - 1), lambda k: F.xxhash64(F.col("mark"), k) <= below)
+    rows = docs.where(in_text > 0).withColumn("mark", mark).select("mark", "text", F.explode(chosen).alias("k"))
+    rows = rows.select("mark", "k", F.substring("text", F.col("k") * PIECE_CHARS + 1, F.lit(PIECE_CHARS)).alias("piece"))
+    return rows.orderBy(F.xxhash64("mark", "k"), "mark", "k").limit(2 * pieces).select("piece")
+
+
+def train_dictionary(docs: DataFrame, path: str, width: int, dict_pieces: int) -> bytes:
     """Empty where there is too little to train on; frames then need no dictionary."""
-    picked = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(dict_samples)
 
     def encode(batches):
-        for batch in batches:
-            ids = [np.frombuffer(b, "<u4").astype(f"<u{width}").tobytes()[:SAMPLE_BYTES] for b in encoder(path).encode(batch.column(1).to_pylist())]
+        for batch in slices(batches):
+            ids = [np.frombuffer(b, "<u4").astype(f"<u{width}").tobytes() for b in encoder(path).encode(batch.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], names=["ids"])
 
-    chosen = docs.join(F.broadcast(picked), "doc_id", "left_semi").select("doc_id", "text").limit(4 * dict_samples)
-    samples = [bytes(r["ids"]) for r in chosen.mapInArrow(encode, "ids binary").collect()]
+    samples = [bytes(r["ids"]) for r in sampled_pieces(docs, dict_pieces).mapInArrow(encode, "ids binary").collect()]
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
         return b""
 
 
-def write(docs: DataFrame, out: str, vocab_path: str | None = None, end_id: int = 0, dict_samples: int = 400,
+def write(docs: DataFrame, out: str, vocab_path: str | None = None, end_id: int = 0, dict_pieces: int = DICT_PIECES,
           id_col: str = "doc_id", text_col: str = "text") -> bytes:
     """Write the store to `out`; returns the dictionary, which is also written to `out`-dict."""
     spark = docs.sparkSession
     path = vocab_path or tokenizer_path("byte_bpe_50k.json")
     width = id_width(path)
     docs = texts(docs, id_col, text_col)
-    dictionary = spark.sparkContext.broadcast(train_dictionary(docs, path, width, dict_samples))
+    dictionary = spark.sparkContext.broadcast(train_dictionary(docs, path, width, dict_pieces))
     sha = hashlib.sha256(dictionary.value).hexdigest()
     end = np.array([end_id], "<u4").tobytes()
 
@@ -88,7 +101,7 @@ def write(docs: DataFrame, out: str, vocab_path: str | None = None, end_id: int
         kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
         arrow = pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in SHARD_SCHEMA.split(", ")])
         size = 0
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, got in zip(batch.column(0).to_pylist(), encoder(path).encode(batch.column(1).to_pylist())):
                 all_ids = np.frombuffer(got + end, "<u4")
                 ids.append(doc_id)
@@ -126,7 +139,7 @@ def read(spark: SparkSession, out: str, keep_ids: bool = False) -> DataFrame:
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * keep_ids
 
     def unpack(batches):
-        for batch in batches:
+        for batch in slices(batches):
             for r in batch.to_pylist():
                 at = r["base"] + r["ids_before"]
                 got = list(documents(r, *dictionary.value))
