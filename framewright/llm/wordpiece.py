@@ -4,7 +4,9 @@ Greedy word-piece splitting of a word in time linear in its length: a trie of th
 carry failure links and the number of pieces that following such a link pops, so that a word's piece count
 comes out of one pass over its bytes and no piece is ever built.
 
-A word that the vocabulary cannot spell counts as one unknown token. Null and empty texts count 0 words.
+A word that no longer initial piece fits starts with the bare blank's piece, if the vocabulary has it. A word that the
+vocabulary cannot spell counts as one unknown token. Null and empty texts count 0 words; a very long text or word takes one
+pass like any other; repeated rows are counted each, an empty table gives no row, other columns are not read.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import json
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Memo, texts, tokenizer_path
+from .common import Memo, slices, texts, tokenizer_path
 
 MEMO_WORDS = 300_000
 
@@ -28,11 +30,12 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class LongestMatch:
-    """The automaton. `initial`: pieces that may start a word; `inner`: pieces that may follow."""
+    """The automaton. `initial`: pieces that may start a word (an empty one is the mark of a start alone, a piece that
+    holds none of the word's bytes); `inner`: pieces that may follow."""
 
     def __init__(self, initial, inner):
         self.child: list[dict[int, int]] = [{}, {}]  # node 0: start of a word, node 1: after a piece
-        final = set()
+        self.bare, final = b"" in initial, set()
         for root, pieces in ((0, initial), (1, inner)):
             for piece in pieces:
                 if piece:
@@ -51,6 +54,8 @@ class LongestMatch:
         """Failure links, breadth first, and for each the count of pieces popped on the way."""
         n = len(self.child)
         self.fail, self.popped = [-1] * n, [0] * n
+        if self.bare:
+            self.fail[0], self.popped[0] = 1, 1
         queue = [(0, b, v) for b, v in self.child[0].items()] + [(1, b, v) for b, v in self.child[1].items()]
         for u, b, v in queue:
             if v in final:
@@ -111,7 +116,7 @@ def count_tokens(docs: DataFrame, vocab_path: str | None = None, id_col: str = "
 
     def scan(batches):
         memo = Memo(automaton(path).count, MEMO_WORDS)
-        for batch in batches:
+        for batch in slices(batches):
             words, tokens, unknown = [], [], []
             for text in batch.column(1).to_pylist():
                 counts = list(map(memo.__getitem__, text.encode("utf-8", "surrogatepass").split()))
