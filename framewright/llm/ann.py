@@ -50,7 +50,7 @@ class BlockIndex:
         at = np.ascontiguousarray((scaled @ self.directions[:-1] + lift[:, None] * self.directions[-1]).astype(np.float32).T)
         self.ranks = np.empty(at.shape, np.uint32 if len(ids) > 65_535 else np.uint16)
         for row, ranks in zip(at, self.ranks):
-            order = np.argsort(row, kind="stable")
+            order = np.argsort(row)
             ranks[order] = np.arange(len(order))
             row[:] = row[order]
         self.sorted = at
@@ -82,12 +82,21 @@ class BlockIndex:
         self.verified += len(found)
         score = (self.vectors[found] * query).sum(1)
         if len(found) > k:
-            few = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
-            found, score = found[few], score[few]
+            limit = np.partition(score, len(score) - k)[len(score) - k]
+            found = found[score >= limit - 1e-12 * self.largest * float(np.abs(query).max()) * len(query)]
+        score = products(self.vectors[found], query)
         best = np.lexsort((self.ids[found], -score))[:k]
         return self.ids[found[best]], score[best]
 
 
+def products(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products summed from the first component to the last, whatever the number of rows."""
+    total = np.zeros(len(rows))
+    for column, value in zip(rows.T, query.tolist()):
+        total += column * value
+    return total
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest vectors found, by largest inner product."""
     spark = vectors.sparkSession
@@ -96,7 +105,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     # a row for each length of vectors
     sizes = base.select("dim", length.alias("length")).groupBy("dim").agg(F.count("*").alias("n"), F.max("length").alias("largest"))
     sizes = sizes.join(asked.groupBy("dim").agg(F.count("*").alias("asked")), "dim")
-    tasks = 2 * spark.sparkContext.defaultParallelism
+    tasks = spark.sparkContext.defaultParallelism
     sizes = stored(
         sizes.withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS).cast("int"))
         # more groups than their bound asks for only where tasks would be too few; this changes no result

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, texts, tokenizer_path
+from .common import slices, stored, texts, tokenizer_path
 from .encoding import encoder
 
 WIDTH = 4  # bytes per id
@@ -109,7 +109,7 @@ def pack(docs: DataFrame, size: int = 4096, vocab_path: str | None = None, end_i
 
     def place(batches):
         part, packer = TaskContext.get().partitionId(), Packer(size, open_windows, min_cut)
-        for batch in batches:
+        for batch in slices(batches):
             done = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder(path).encode(batch.column(1).to_pylist())):
                 done += packer.add(doc_id, 0, ids + end, len(ids) // WIDTH + 1)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, texts, tokenizer_path
+from .common import slices, stored, texts, tokenizer_path
 
 MARK = "▁"
 CHUNK_CHARS = 16_384
@@ -464,7 +464,7 @@ def _encode_giants(docs: DataFrame, path: str, chunk_chars: int) -> DataFrame:
     longest, always = pieces.longest, pieces.cuts
 
     def cut(batches):
-        for batch in batches:
+        for batch in slices(batches):
             for key, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
                 marked = MARK + text.replace(" ", MARK)
                 starts = chunk_starts(marked, chunk_chars, longest)
@@ -483,7 +483,7 @@ def _encode_giants(docs: DataFrame, path: str, chunk_chars: int) -> DataFrame:
     dealt = chunks.select("key", "chunk", "before", "part").repartition("key", "chunk")
 
     def matrices(batches):
-        for batch in batches:
+        for batch in slices(batches):
             m = [encoder(path).transfer(b, c).tobytes() for b, c in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(m, pa.binary())], names=["key", "chunk", "m"])
 
@@ -495,7 +495,7 @@ def _encode_giants(docs: DataFrame, path: str, chunk_chars: int) -> DataFrame:
     before = dealt.mapInArrow(matrices, "key long, chunk int, m binary").groupBy("key").applyInArrow(scan, "key long, chunk int, reach binary")
 
     def trace(batches):
-        for batch in batches:
+        for batch in slices(batches):
             key, chunk, right, left, ids = [], [], [], [], []
             for k, c, b, part, inside, reach in zip(*(x.to_pylist() for x in batch.columns)):
                 for r, (d, got) in enumerate(encoder(path).trace(b, part, np.frombuffer(reach, np.int64), longest if inside else 1)):
@@ -526,7 +526,7 @@ def encode(docs: DataFrame, model_path: str | None = None, chunk_chars: int = CH
     path, docs = model_path or tokenizer_path("piece_bpe_32k.model"), texts(docs, id_col, text_col)
 
     def scan(batches):
-        for batch in batches:
+        for batch in slices(batches):
             ids = encoder(path).encode(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=["doc_id", "text", "ids"])
 
@@ -539,7 +539,7 @@ def decode(encoded: DataFrame, model_path: str | None = None) -> DataFrame:
     path, names = model_path or tokenizer_path("piece_bpe_32k.model"), encoded.columns
 
     def scan(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = [decoder(path).text(b) for b in batch.column(names.index("ids")).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*names, "decoded"])
 

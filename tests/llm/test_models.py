@@ -72,6 +72,20 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, size, percent):
     assert all(r["kept"] == (i == want[i]) and r["n_shingles"] == len(shingles(texts[i], size)) for i, r in got.items())
 
 
+def test_ids_with_several_texts_lose_no_link(spark):
+    one, two, three = varied(1, 100, 0), varied(2, 100, 0), varied(3, 100, 0)
+    rows = [(5, one), (5, two), (7, two + " more"), (9, one + " extra"), (3, three), (11, three + " end"), (11, one), (20, varied(9, 100, 0))]
+    got = [(r["doc_id"], r["component_id"]) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()]
+    assert sorted(got) == sorted((i, 20 if i == 20 else 3) for i, _ in rows)
+
+
+def test_texts_are_found_by_shuffle_beyond_the_broadcast_bound(spark, monkeypatch):
+    texts = [varied(s, 80, c) for s in range(4) for c in (0, 1, 2)] + [varied(1, 80, 0)] * 5
+    want = near_dedup.near_duplicates(documents(spark, texts), 3, 85).collect()
+    monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", 2)
+    assert sorted(map(tuple, near_dedup.near_duplicates(documents(spark, texts), 3, 85).collect())) == sorted(map(tuple, want))
+
+
 def test_near_duplicates_of_awkward_rows(spark):
     got = near_dedup.near_duplicates(odd_documents(spark), 3, 85).collect()
     want = expected([(i, t) for i, t, *_ in odd_rows()], 3, 85)
@@ -275,6 +289,50 @@ def test_classifier_on_awkward_rows(spark):
     assert nothing.scores([""])[0] == 0.5
 
 
+def slow_model(rows, l2=1e-3, steps=100):
+    """Counts, ratios, features and weights again, with dictionaries over n-grams instead of hashed arrays."""
+    grams = [{" ".join([str(n), (" " + t.lower() + " ")[k : k + n]]) for n in toxicity.SIZES for k in range(len(t) + 3 - n)} for t, _ in rows]
+    y = np.array([c for _, c in rows], float)
+    n_class = np.array([(y == 0).sum(), (y == 1).sum()])
+    counts = {}
+    for g, c in zip(grams, y):
+        for w in g:
+            counts.setdefault(w, [0, 0])[int(c)] += 1
+
+    def g2(k):
+        table = np.array([k, n_class - k], float)
+        want = np.outer(table.sum(1), n_class) / n_class.sum()
+        return 2 * (table[table > 0] * np.log(table[table > 0] / want[table > 0])).sum()
+
+    used = sorted(w for w, k in counts.items() if sum(k) >= toxicity.MIN_DOCS and g2(np.array(k)) >= toxicity.EVIDENCE)
+    ratio = np.array([np.log((counts[w][1] + 1) / (n_class[1] + 2) * (n_class[0] + 2) / (counts[w][0] + 1)) for w in used])
+    x = np.array([[w in g for w in used] for g in grams]) * ratio
+    w, b = np.zeros(len(used)), np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
+    m = v = np.zeros(len(used) + 1)
+    for t in range(1, steps + 1):
+        error = 1 / (1 + np.exp(-(x @ w + b))) - y
+        g = np.append(x.T @ error / len(y) + l2 * w, error.mean())
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
+        w, b = w - step[:-1], b - step[-1]
+    return lambda text: 1 / (1 + np.exp(-(b + sum(weight * r for g, weight, r in zip(used, w, ratio) if g.split(" ", 1)[1] in " " + text.lower() + " "))))
+
+
+def test_classifier_equals_a_second_computation(spark):
+    rows = [(prose(i, 12) + (" pathetic" if i % 4 == 0 else "") + (" idiot" if i % 8 == 1 else ""), int(i % 4 == 0)) for i in range(48)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, c) for i, (_, c) in enumerate(rows)], "doc_id long, toxic int")
+    model, slow = toxicity.train(docs, labels), slow_model(rows)
+    texts = [t for t, _ in rows] + ["", "pathetic words", prose(99, 30)]
+    assert np.allclose(model.scores(texts), [slow(t) for t in texts], atol=2e-3)
+
+
+def test_of_several_texts_of_a_labelled_id_the_smallest_is_learned(spark):
+    docs, labels = labelled(spark, 60)
+    more = docs.unionByName(docs.where("doc_id % 5 = 0").selectExpr("doc_id", "concat('zz ', text) text"))
+    assert np.array_equal(toxicity.train(docs, labels).weights, toxicity.train(more, labels).weights)
+
+
 # language model
 
 
