@@ -5,7 +5,9 @@ Signatures are cut into chunks of `CHUNK` symbols, and for each chunk every way
 makes a key. By the pigeonhole principle two signatures that differ in fewer than
 chunks * (ERRORS + 1) symbols share a key: all pairs under that distance are found. The number of chunks is chosen so that a
 pair at the similarity threshold shares no key with a chance below `MISS`. Pairs that share a key are compared by their whole
-signatures; those no farther apart than a pair at the threshold is, but with a chance of `MISS`, are confirmed on the full sets.
+signatures and by a finer sketch, the smallest hash in each of `BINS` ranges. Those no farther apart in either than a pair at the
+threshold is, but with a chance below `MISS`, are confirmed on the full sets: signatures alone would let pass so many pairs of
+a large group of half similar texts that their number grew with the square of its size.
 
 Skew: equal sets are one class from the start. In a key's bucket, members are first compared with the bucket's
 smallest member only (a star over all buckets of that member); components of these links are found; only then, in stars
@@ -36,6 +38,7 @@ from .common import Memo, drop_shared, lower_ascii_words, slices, stored, texts
 from .components import components
 
 CHUNK, ERRORS, MISS, BLOCK = 6, 1, 1e-6, 1024
+BINS, DEVIATIONS = 512, 5
 MEMO_WORDS = 400_000
 #: Rows of 8 bytes' keys that are sent to every task at most (about 50 MB there).
 BROADCAST_ROWS = 1_000_000
@@ -79,6 +82,7 @@ class Plan:
         while tail >= MISS:
             self.most += 1
             tail -= math.comb(self.symbols, self.most) * (1 - j) ** self.most * j ** (self.symbols - self.most)
+        self.width = 2 * self.symbols + BINS
         rng = np.random.default_rng(20240517)
         self.a = rng.integers(0, 1 << 32, self.symbols, dtype=np.uint32) | np.uint32(1)
         self.b = rng.integers(0, 1 << 32, self.symbols, dtype=np.uint32)
@@ -91,10 +95,30 @@ class Plan:
             low = np.minimum(low, (x[at : at + 20_000, None] * self.a + self.b).min(0))
         return ((low * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype("<u2")
 
+    def sketch(self, shingles: np.ndarray) -> np.ndarray:
+        """For each of equal ranges of hashes a byte of the smallest hash in it, 0 where there is none."""
+        shift, ranges = np.uint64(64 - BINS.bit_length() + 1), np.arange(BINS, dtype=np.uint64)
+        at = np.searchsorted(shingles, ranges << shift)
+        first = shingles[np.minimum(at, len(shingles) - 1)]
+        full = (at < len(shingles)) & (first >> shift == ranges)
+        return np.where(full, first % np.uint64(255) + np.uint64(1), 0).astype(np.uint8)
+
     def near(self, a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
-        """Which pairs may reach the threshold, by their sizes, exactly, and by how many symbols of their signatures differ."""
-        fits = 100 * np.minimum(size_a, size_b) >= self.percent * np.maximum(size_a, size_b)
-        return fits & ((a != b).sum(1) <= self.most)
+        """Which pairs may reach the threshold: by their sizes, exactly; by how many symbols of their signatures differ; and by
+        the ranges of their sketches that differ, as many as a sample without replacement from a union at the threshold would
+        show. Rows of `a` and `b`: signature, then sketch, as bytes."""
+        j, width = self.percent / 100, 2 * self.symbols
+        out = 100 * np.minimum(size_a, size_b) >= self.percent * np.maximum(size_a, size_b)
+        at = np.flatnonzero(out)
+        differ = (a[at, :width] != b[at, :width]).reshape(len(at), -1, 2).any(2).sum(1)
+        out[at] = differ <= self.most
+        at = at[out[at]]
+        one, two = a[at, width:], b[at, width:]
+        used = ((one | two) != 0).sum(1)
+        union = np.maximum(2, (size_a[at] + size_b[at]) / (1 + j))
+        spread = np.sqrt(used * j * (1 - j) * np.maximum(0, union - used) / (union - 1))
+        out[at] = (one != two).sum(1) <= used * (1 - j) + DEVIATIONS * spread + 1
+        return out
 
     def keys(self, signatures: np.ndarray) -> np.ndarray:
         """(documents, keys): per chunk and left-out symbol, the hash of the chunk's other symbols and their place."""
@@ -112,7 +136,7 @@ class Plan:
 
 def features(docs: DataFrame, shingle: int, plan: Plan) -> DataFrame:
     """(doc_id, h1, h2, n_shingles, print, signature); h1 and h2 identify the text; print: 128 bits of the whole set, null for
-    an empty one."""
+    an empty one; the sketch's bytes follow the signature's."""
 
     def scan(batches):
         memo = Memo(word_hash, MEMO_WORDS)
@@ -122,7 +146,7 @@ def features(docs: DataFrame, shingle: int, plan: Plan) -> DataFrame:
                 s = shingle_set(text, shingle, memo)
                 sizes.append(len(s))
                 prints.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                signatures.append(plan.signature(s).tobytes() if len(s) else None)
+                signatures.append(plan.signature(s).tobytes() + plan.sketch(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], pa.array(sizes, pa.int64()), *(pa.array(x, pa.binary()) for x in (prints, signatures))],
                 names=["doc_id", "h1", "h2", "n_shingles", "print", "signature"],
@@ -132,8 +156,8 @@ def features(docs: DataFrame, shingle: int, plan: Plan) -> DataFrame:
     return rows.mapInArrow(scan, "doc_id long, h1 long, h2 long, n_shingles long, print binary, signature binary")
 
 
-def _as_matrix(column, width: int, dtype) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(-1, width)
+def _as_matrix(column, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
 
 
 def key_rows(classes: DataFrame, plan: Plan) -> DataFrame:
@@ -141,7 +165,7 @@ def key_rows(classes: DataFrame, plan: Plan) -> DataFrame:
 
     def scan(batches):
         for batch in slices(batches):
-            k = plan.keys(_as_matrix(batch.column(1), plan.symbols, "<u2"))
+            k = plan.keys(np.ascontiguousarray(_as_matrix(batch.column(1), plan.width)[:, : 2 * plan.symbols]).view("<u2"))
             rep = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), k.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(k.reshape(-1)), pa.array(rep, pa.int64())], names=["key", "rep"])
 
@@ -154,7 +178,7 @@ def close_pairs(pairs: DataFrame, signatures: DataFrame, plan: Plan) -> DataFram
     def scan(batches):
         for batch in slices(batches):
             if batch.num_rows:
-                of = [_as_matrix(batch.column(i), plan.symbols, "<u2") for i in (2, 3)]
+                of = [_as_matrix(batch.column(i), plan.width) for i in (2, 3)]
                 sizes = [batch.column(i).to_numpy(zero_copy_only=False) for i in (4, 5)]
                 yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(plan.near(*of, *sizes)))
 
@@ -247,7 +271,7 @@ def crossing_pairs(stars: DataFrame, signatures: DataFrame, found: DataFrame, pl
             if not batch.num_rows:
                 continue
             new = [batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 4, 3, 5, 6)]
-            new.append(_as_matrix(batch.column(7), plan.symbols, "<u2"))
+            new.append(_as_matrix(batch.column(7), plan.width))
             held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
             cut = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1]) | (held[2][1:] != held[2][:-1])) + 1
             if len(cut):
