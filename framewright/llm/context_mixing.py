@@ -1,10 +1,11 @@
-"""Logistic context mixing over the bits of words.
+"""Logistic context mixing over the bits of spelt words.
 
 A word, closed by a blank, is a sequence of bytes, and each byte a path of bits in a prefix code. For each bit,
 predictors look up counts under hashed contexts (the last 1, 2, 3, 4, 6 and 8 bytes of the word, with the place in
 the code). Their stretched probabilities are summed under weights that two gates choose (how many contexts have been
-seen; the place in the code), squashed, and refined by an adaptive probability map. Weights and map are learned online,
-in small batches, each word being predicted from counts without itself.
+seen; the place in the code), squashed, and refined by an adaptive probability map. Counts are those of all training words,
+each once; weights and map are fitted on sums over them, each word being predicted from counts without itself, so that
+no order or division of the words matters. The tables' size follows from the number of words, up to `MOST_BITS`.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ import heapq
 import numpy as np
 
 ORDERS = (1, 2, 3, 4, 6, 8)
-BITS = 20
-SLOTS = 1 << BITS
+#: Slots of a context's table, as a power of two: four for each word, between these bounds (2^21 slots of 6 contexts are 50 MB).
+LEAST_BITS, MOST_BITS = 16, 21
 GATES = len(ORDERS) + 1
 BUCKETS = 48
 CLOSE, END = 0x20, 0xFF  # neither byte occurs in a word of valid UTF-8
@@ -23,6 +24,10 @@ BATCH_BYTES = 60_000
 DELTA = 0.15
 
 
+def slot_bits(n_words: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, (4 * n_words).bit_length()))
+
+
 class Code:
     """A prefix code of bytes: for each byte its length, the nodes on its path and the bits taken there."""
 
@@ -64,7 +69,7 @@ def batches(words: list[bytes]):
 class Events:
     """The bits of a batch of words: their owner, node, value and, for each order, the slot of their context."""
 
-    def __init__(self, words: list[bytes], code: Code):
+    def __init__(self, words: list[bytes], code: Code, slot_bits: int):
         flat = np.frombuffer(bytes([CLOSE]).join(words) + bytes([CLOSE]), np.uint8)
         length = np.array([len(w) + 1 for w in words])
         start = np.repeat(np.cumsum(length) - length, length)
@@ -85,13 +90,16 @@ class Events:
                 mixed = (h[rep] + salt) * np.uint32(0x85EBCA6B)
                 mixed ^= mixed >> np.uint32(13)
                 mixed *= np.uint32(0xC2B2AE35)
-                self.slots.append((mixed >> np.uint32(32 - BITS)).astype(np.int64))
+                self.slots.append((mixed >> np.uint32(32 - slot_bits)).astype(np.int64))
+
+
+_LOG = np.log(np.arange(1 << 16) + DELTA).astype(np.float32)
 
 
 def stretched(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    """The predictor's evidence: log odds, less of it where little was seen."""
-    n = n0 + n1
-    return np.log((n1 + DELTA) / (n0 + DELTA)) * (n / (n + 0.6))
+    """The predictor's evidence from counts below 2^16: log odds, less of it where little was seen."""
+    n = (n0 + n1).astype(np.float32)
+    return (_LOG[n1] - _LOG[n0]) * (n / (n + np.float32(0.6)))
 
 
 def squash(z: np.ndarray) -> np.ndarray:
@@ -102,12 +110,11 @@ class Mixer:
     """Gated weights and the adaptive probability map."""
 
     def __init__(self):
-        self.by_gate = np.full((GATES, len(ORDERS)), 0.2)
-        self.by_node = np.full((256, len(ORDERS)), 0.05)
+        self.weights = np.full((GATES, len(ORDERS)), 0.3)
         self.hits = np.zeros((GATES, BUCKETS, 2))
 
-    def mix(self, x: np.ndarray, gate: np.ndarray, node: np.ndarray) -> np.ndarray:
-        return np.einsum("ij,ij->i", x, self.by_gate[gate] + self.by_node[node])
+    def mix(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
+        return np.einsum("ij,ij->i", x, self.weights[gate])
 
     @staticmethod
     def bucket(z: np.ndarray) -> np.ndarray:
@@ -119,54 +126,69 @@ class Mixer:
         p = 0.5 * squash(z) + 0.5 * adapted[gate, self.bucket(z)]
         return np.clip(p, 1e-6, 1 - 1e-6)
 
-    def learn(self, x, gate, node, bit, rate: float) -> None:
-        z = self.mix(x, gate, node)
-        error = bit - squash(z)
-        for table, key, damp in ((self.by_gate, gate, 50), (self.by_node, node, 400)):
-            count = np.bincount(key, minlength=len(table)) + damp
-            for k in range(x.shape[1]):
-                table[:, k] += rate * np.bincount(key, weights=error * x[:, k], minlength=len(table)) / count
-        flat = (gate * BUCKETS + self.bucket(z)) * 2 + bit
-        self.hits = self.hits * 0.9995 + np.bincount(flat, minlength=self.hits.size).reshape(self.hits.shape)
+    def fit_weights(self, sums: np.ndarray) -> None:
+        """One step of Newton's method from the initial weights, by gate; `sums`: gradients and second derivatives."""
+        k = len(ORDERS)
+        for gate, (g, h) in enumerate(zip(sums[: GATES * k].reshape(GATES, k), sums[GATES * k :].reshape(GATES, k, k))):
+            self.weights[gate] = np.clip(self.weights[gate] + np.linalg.solve(h + 20 * np.eye(k), g), -1, 2)
+
+    def fit_map(self, sums: np.ndarray) -> None:
+        self.hits = sums.reshape(self.hits.shape)
 
 
 def count(words: list[bytes], code: Code, counts: np.ndarray) -> None:
-    """Add the bits of distinct words to `counts` (orders, 2 * SLOTS)."""
+    """Add the bits of distinct words to `counts` (orders, two for each slot)."""
+    slots_bits = counts.shape[1].bit_length() - 2
     for group in batches(words):
-        e = Events(group, code)
+        e = Events(group, code, slots_bits)
         for k, slots in enumerate(e.slots):
-            np.add.at(counts[k], slots * 2 + e.bit, np.float32(1))
-
-
-def learn(words: list[bytes], code: Code, counts: np.ndarray, mixer: Mixer) -> None:
-    """Online learning; every word's own bits are taken out of the counts that predict it."""
-    for i, group in enumerate(batches(words)):
-        e = Events(group, code)
-        x, seen = np.empty((len(e.bit), len(ORDERS)), np.float32), np.zeros(len(e.bit), np.int64)
-        for k, slots in enumerate(e.slots):
-            n0 = np.maximum(counts[k][slots * 2] - (e.bit == 0), 0)
-            n1 = np.maximum(counts[k][slots * 2 + 1] - (e.bit == 1), 0)
-            x[:, k] = stretched(n0, n1)
-            seen += (n0 + n1) > 0
-        mixer.learn(x, seen, e.node, e.bit, 0.5 / (1 + i / 40) + 0.02)
+            np.add.at(counts[k], slots * 2 + e.bit, counts.dtype.type(1))
 
 
 class Model:
-    """Everything that scoring needs, of a size that doesn't depend on the data."""
+    """Everything that spelling needs. `counts`: (orders, two for each slot), below 2^16."""
 
     def __init__(self, code: Code, counts: np.ndarray, mixer: Mixer):
-        self.code, self.mixer = code, mixer
-        n0, n1 = counts[:, 0::2], counts[:, 1::2]
-        self.x = stretched(n0, n1).astype(np.float32)
-        self.seen = (n0 + n1) > 0
-
-    def log10(self, words: list[bytes]) -> np.ndarray:
-        """log10 of each word's probability."""
-        out = []
+        self.code, self.counts, self.mixer, self.slot_bits = code, counts, mixer, counts.shape[1].bit_length() - 2
+
+    def _inputs(self, group: list[bytes], counted: np.ndarray):
+        """Events, evidence and gates; a counted word's own bits are taken out of the counts that predict it."""
+        e = Events(group, self.code, self.slot_bits)
+        own = counted[e.owner].astype(np.int64)
+        own0, own1 = np.where(e.bit == 0, own, 0), np.where(e.bit == 1, own, 0)
+        x, gate = np.empty((len(e.bit), len(ORDERS)), np.float32), np.zeros(len(e.bit), np.int64)
+        for k, slots in enumerate(e.slots):
+            pair = self.counts[k].reshape(-1, 2)[slots].astype(np.int64)
+            n0, n1 = np.maximum(pair[:, 0] - own0, 0), np.maximum(pair[:, 1] - own1, 0)
+            x[:, k] = stretched(n0, n1)
+            gate += (n0 + n1) > 0
+        return e, x, gate
+
+    def sums(self, words: list[bytes], of_map: bool) -> np.ndarray:
+        """What `fit_map` or `fit_weights` needs of training words."""
+        k = len(ORDERS)
+        out = np.zeros(GATES * BUCKETS * 2 if of_map else GATES * k * (k + 1))
+        for group in batches(words):
+            e, x, gate = self._inputs(group, np.ones(len(group), bool))
+            z = self.mixer.mix(x, gate)
+            if of_map:
+                out += np.bincount((gate * BUCKETS + self.mixer.bucket(z)) * 2 + e.bit, minlength=len(out))
+                continue
+            p = squash(z)
+            error, spread = e.bit - p, p * (1 - p)
+            for g in range(GATES):
+                at = gate == g
+                rows = x[at].astype(float)
+                out[g * k : (g + 1) * k] += rows.T @ error[at]
+                out[GATES * k + g * k * k : GATES * k + (g + 1) * k * k] += (rows.T @ (rows * spread[at, None])).reshape(-1)
+        return out
+
+    def bits(self, words: list[bytes], counted: np.ndarray) -> np.ndarray:
+        """Bits that spell each word; `counted` says which of them are in the counts."""
+        out, first = [], 0
         for group in batches(words):
-            e = Events(group, self.code)
-            x = np.stack([self.x[k][s] for k, s in enumerate(e.slots)], 1)
-            gate = sum(self.seen[k][s].astype(np.int64) for k, s in enumerate(e.slots))
-            p = self.mixer.refined(self.mixer.mix(x, gate, e.node), gate)
-            out.append(np.bincount(e.owner, weights=np.log10(np.where(e.bit == 1, p, 1 - p)), minlength=e.n))
+            e, x, gate = self._inputs(group, counted[first : first + len(group)])
+            first += len(group)
+            p = self.mixer.refined(self.mixer.mix(x, gate), gate)
+            out.append(-np.bincount(e.owner, weights=np.log2(np.where(e.bit == 1, p, 1 - p)), minlength=e.n))
         return np.concatenate(out) if out else np.zeros(0)

@@ -1,29 +1,28 @@
-"""Scoring of whole texts by a language model learnt from the corpus.
-
-A text is a sequence of lower-cased words and one end. Its probability is
-
-    sum over classes k of  share_k * product over words of ((1 - CACHE) * P_k(word) + CACHE * cache(word))
-    P_k(word) = (1 - g) * (OWN * c_k / N_k + (1 - OWN) * c / N) + g * P_bits(word)
-
-where P_bits spells a word bit by bit with logistic context mixing (`context_mixing`), c_k and N_k are counts of words
-in the training documents of a class (such as a language), `cache` is a word's share of the text so far, and g is the
-share of words seen once (the mass of unseen words). Classes come from a mixture model of the commonest words.
-
-How it runs: each task turns its documents into chunks (distinct words, and documents as indices into them);
-words with their counts and places are brought together by word, once; the bit model is counted and its
-weights are learned over that lexicon; then each word's numbers go back to the chunks that hold it, where texts
-are summed up. Texts aren't exploded and a common word costs one row per chunk, not one per document.
-
-Bounds: the classes are found on at most `class_docs` training documents, a parameter, which leaves no text or
-word out; all counts are of all training documents. The bit model has a fixed size, the word counts grow with the corpus.
-
-Null and empty texts are just an end. Rows that repeat an id are scored each. Rows without an id learn.
+"""Scoring of whole texts by a language model learnt from the corpus: logistic context mixing of bits.
+
+A text is a sequence of lower-cased words and one end. Every word that two training texts or more have is a path of bits in a
+prefix code of all such words, of the end and of an escape; `word_mixing` predicts each bit under contexts that reach over words
+(topic, word before, two words before), mixes the predictions by gated weights that are learned online along the text, and
+refines them. After an escape a word is spelt bit by bit the same way, from contexts of its bytes (`context_mixing`). The sum
+of all bits is the text's score; nothing else goes into it.
+
+A training text is scored from the rest of the corpus: words that only it has are spelt, spelling leaves out the word itself,
+two-word contexts leave out the whole text, and tables of single contexts leave out the token.
+
+How it runs: each task turns its documents into chunks (distinct words, and documents as indices into them); words with
+their counts and places are brought together by word, once, which gives counts, codes and spellings, and these go back to the
+chunks that hold them. Chunks then send their distinct pairs of a two-word context and a word, once each however often they occur,
+to the context's owner, and get back the counts along each word's path. Pairs, words and their counts grow with the corpus; the tables
+of topics and words before, and of spelling contexts, are of a bounded size. Nothing depends on how documents are dealt to tasks.
+
+Null and empty texts are just an end. Rows that repeat an id are scored each, and are texts of their own: a repeated row is known from the
+other. Rows without an id learn. A very long text is one chunk; its distinct words and pairs stay below its length. Ties among
+words (of one code length) are ordered by a hash of the word. An empty table gives no row; columns other than id and text, of
+whatever name, are not read.
 """
 
 from __future__ import annotations
 
-import pickle
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,13 +32,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import context_mixing as cm
-from .common import drop_shared, id_remainder, lower_ascii_words, stored, texts
+from . import word_mixing as wm
+from .common import drop_shared, id_remainder, lower_ascii_words, slices, stored, texts
 
-CLASSES, CLASS_DOCS, CLASS_WORDS = 5, 3000, 400
-CACHE, OWN = 0.08, 0.97
 CHUNK_WORDS, CHUNK_TOKENS = 500_000, 5_000_000
-BLOCK_WORDS = 60_000
+BLOCK_WORDS, BLOCK_ROWS = 60_000, 20_000
+WORD_BUCKETS, PAIR_TOKENS, MAX_PAIR_PARTS = 1024, 2_000_000, 1 << 16
+SCORE_TOKENS = 300_000
 END = bytes([cm.END])  # no UTF-8 text holds this byte
+#: Symbols without a word, as numbers of coded words.
+NO_ID = -(1 << 63)
 
 
 def squeezed(values: np.ndarray) -> bytes:
@@ -61,96 +63,45 @@ class Numbering(dict):
         return n
 
 
-class Classes:
-    """A mixture of multinomials over common words."""
-
-    def __init__(self, words: list[bytes], counts: np.ndarray, seed: int = 5):
-        self.place = {w: i for i, w in enumerate(words)}
-        best = None
-        for restart in range(4):
-            rng = np.random.default_rng(seed + restart)
-            picks = rng.integers(0, max(1, len(counts)), CLASSES)
-            theta = (counts[picks] if len(counts) else np.zeros((CLASSES, len(words)))) + 0.5
-            share = np.full(CLASSES, 1 / CLASSES)
-            total = 0.0
-            for _ in range(25):
-                log_theta = np.log(theta / theta.sum(1, keepdims=True)) if len(words) else theta
-                z = counts @ log_theta.T + np.log(share)
-                top = z.max(1, keepdims=True) if len(z) else z
-                r = np.exp(z - top)
-                total = float((top[:, 0] + np.log(r.sum(1))).sum()) if len(z) else 0.0
-                r /= r.sum(1, keepdims=True)
-                share = (r.sum(0) + 1) / (len(counts) + CLASSES)
-                theta = r.T @ counts + 0.1
-            if best is None or total > best[0]:
-                best = total, log_theta, np.log(share)
-        _, self.log_theta, self.log_share = best
-
-    def of(self, words: list[bytes]) -> int:
-        at = [self.place[w] for w in words if w in self.place]
-        z = self.log_share + (self.log_theta[:, at].sum(1) if at else 0)
-        return int(np.argmax(z))
-
-
-def find_classes(docs: DataFrame, class_docs: int = CLASS_DOCS) -> Classes:
-    """Fitted on the training documents with the smallest hash of their id."""
-    ids = docs.where("not held_out").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(class_docs)
-    sample = stored(docs.where("not held_out").join(F.broadcast(ids), "doc_id").select("doc_id", "text").dropDuplicates(["doc_id"]), "classes")
-
-    def words(batches):
-        for batch in batches:
-            found: dict[bytes, int] = {}
-            for text in batch.column(1).to_pylist():
-                for w in set(lower_ascii_words(text)):
-                    found[w] = found.get(w, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
-
-    top = sample.mapInArrow(words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(CLASS_WORDS)
-    common = [bytes(r["word"]) for r in top.collect()]
-    place = {w: i for i, w in enumerate(common)}
+CHUNK_SCHEMA = "part long, chunk long, words binary, counts binary, texts binary, tokens binary, ids binary, held binary, sizes binary, bytes binary"
 
-    def vectors(batches):
-        for batch in batches:
-            rows = [np.bincount([place[w] for w in lower_ascii_words(t) if w in place], minlength=len(place)).astype(np.int32).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["counts"])
 
-    got = [np.frombuffer(r["counts"], np.int32) for r in sample.orderBy("doc_id").mapInArrow(vectors, "counts binary").collect()]
-    drop_shared(docs.sparkSession, sample._stored_at)
-    return Classes(common, np.array(got, float).reshape(len(got), len(common)))
+def names_of(schema: str) -> list[str]:
+    return [f.split()[0] for f in schema.split(", ")]
 
 
-CHUNK_SCHEMA = "chunk long, words binary, counts binary, tokens binary, ids binary, held binary, sizes binary, bytes binary"
+def row_of(schema: str, values) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([v]) for v in values], names=names_of(schema))
 
 
-def chunked(docs: DataFrame, classes: Classes) -> DataFrame:
-    """A row per chunk of a task's documents: distinct words, their counts by class in training documents, and the
+def chunked(docs: DataFrame) -> DataFrame:
+    """A row per chunk of a task's documents: distinct words, how often and in how many texts training has them, and the
     documents as word numbers, the commonest words having the smallest."""
-    shared = docs.sparkSession.sparkContext.broadcast(classes)
 
     def row(part, chunk, numbers, documents):
         tokens = np.concatenate([d[0] for d in documents])
+        sizes = np.array([len(d[0]) for d in documents], np.int64)
+        held = np.array([d[2] for d in documents], bool)
         rank = np.argsort(-np.bincount(tokens, minlength=len(numbers)), kind="stable")
         new = np.empty(len(numbers), np.uint32)
         new[rank] = np.arange(len(numbers), dtype=np.uint32)
-        words = list(numbers)
-        counts = [np.bincount(np.concatenate([np.zeros(0, np.int64), *(d[0] for d in documents if d[1] == k)]), minlength=len(numbers))[rank] for k in range(CLASSES)]
-        values = [
-            (part << 24) + chunk, zstandard.compress(b" ".join([words[i] for i in rank.tolist()]), 1),
-            squeezed(np.concatenate(counts)), squeezed(new[tokens]),
-            np.array([-(1 << 63) if d[2] is None else d[2] for d in documents], np.int64).tobytes(),
-            np.array([d[3] for d in documents], np.uint8).tobytes(), np.array([len(d[0]) for d in documents], np.int64).tobytes(),
-            np.array([d[4] for d in documents], np.int64).tobytes(),
-        ]
-        return pa.RecordBatch.from_arrays([pa.array([v]) for v in values], names=[f.split()[0] for f in CHUNK_SCHEMA.split(", ")])
+        tokens, words = new[tokens], list(numbers)
+        learned = np.repeat(~held, sizes)
+        text = np.repeat(np.arange(len(documents)), sizes)
+        once = np.unique(text[learned].astype(np.int64) << 32 | tokens[learned]) & 0xFFFFFFFF
+        counts, in_texts = (np.bincount(t, minlength=len(words)) for t in (tokens[learned], once))
+        ids = np.array([NO_ID if d[1] is None else d[1] for d in documents], np.int64)
+        values = [part, chunk, zstandard.compress(b" ".join([words[i] for i in rank.tolist()]), 1), squeezed(counts), squeezed(in_texts), squeezed(tokens),
+                  ids.tobytes(), held.astype(np.uint8).tobytes(), sizes.tobytes(), np.array([d[3] for d in documents], np.int64).tobytes()]
+        return row_of(CHUNK_SCHEMA, values)
 
     def scan(batches):
         part, chunk, numbers, documents, size = TaskContext.get().partitionId(), 0, Numbering(), [], 0
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, text, held in zip(*(c.to_pylist() for c in batch.columns)):
                 words = lower_ascii_words(text)
-                kind = -1 if held else shared.value.of(words)
                 words.append(END)
-                documents.append((np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)), kind, doc_id, held, len(text.encode("utf-8", "surrogatepass"))))
+                documents.append((np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)), doc_id, held, len(text.encode("utf-8", "surrogatepass"))))
                 size += len(words)
                 if len(numbers) >= CHUNK_WORDS or size >= CHUNK_TOKENS:
                     yield row(part, chunk, numbers, documents)
@@ -161,64 +112,66 @@ def chunked(docs: DataFrame, classes: Classes) -> DataFrame:
     return stored(docs.select("doc_id", "text", "held_out").mapInArrow(scan, CHUNK_SCHEMA), "chunks")
 
 
-LEXICON_SCHEMA = "words binary, counts binary, first binary, chunks binary, numbers binary, known long, single long, totals array<long>"
+LEXICON_SCHEMA = (
+    "bucket long, block long, words binary, counts binary, texts binary, first binary, parts binary, chunks binary, numbers binary, "
+    "known long, tokens long, escapes long, ends long"
+)
 
 
 def lexicon_of(chunks: DataFrame) -> DataFrame:
-    """Blocks of distinct words with their counts by class and the places (chunk, number) that hold them."""
+    """Blocks of distinct words in the order of a hash, with their counts and the places (part, chunk, number) that hold them. A
+    word's bucket, the hash's first bits, and the order in it don't depend on the number of tasks."""
 
     def postings(batches):
         for batch in batches:
-            for chunk, blob, counts in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                words = zstandard.decompress(blob).split(b" ")
-                by_class = opened(counts, np.int64).reshape(CLASSES, -1)
-                number = np.arange(len(words))
-                single = (by_class > 0).sum(0) <= 1
-                at = np.flatnonzero(single)
-                kind = by_class[:, at].argmax(0)
-                rows = [(at, kind, by_class[kind, at], number[at])]
-                for k in range(CLASSES):  # a word of several classes has a row for each; only one holds its place
-                    more = np.flatnonzero(~single & (by_class[k] > 0))
-                    first = (by_class[:k, more] > 0).sum(0) == 0
-                    rows.append((more, np.full(len(more), k), by_class[k, more], np.where(first, more, -1)))
-                index, kind, n, number = (np.concatenate(c) for c in zip(*rows))
-                all_words = pa.array(words, pa.binary())
-                for a in range(0, len(index), 20_000):
-                    s = slice(a, a + 20_000)
-                    yield pa.RecordBatch.from_arrays([all_words.take(pa.array(index[s])), pa.array(n[s] * CLASSES + kind[s]), pa.array(np.full(len(n[s]), chunk)), pa.array(number[s])], names=["word", "n", "chunk", "number"])
-
-    def block(words, counts, first, chunk, number):
-        total = counts.sum(1)
-        values = [zstandard.compress(b" ".join(words), 1), squeezed(counts.T), squeezed(first), squeezed(chunk), squeezed(number), int((total > 0).sum()), int((total == 1).sum()), counts.sum(0).tolist()]
-        return pa.RecordBatch.from_arrays([pa.array([v]) for v in values], names=[f.split()[0] for f in LEXICON_SCHEMA.split(", ")])
+            for part, chunk, blob, counts, in_texts in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                words = pa.array(zstandard.decompress(blob).split(b" "), pa.binary())
+                n, texts, number = opened(counts, np.int64), opened(in_texts, np.int64), np.arange(len(words))
+                for a in range(0, len(words), BLOCK_ROWS):
+                    s = slice(a, a + BLOCK_ROWS)
+                    size = len(number[s])
+                    yield pa.RecordBatch.from_arrays(
+                        [words[s], *(pa.array(x) for x in (n[s], texts[s], np.full(size, part), np.full(size, chunk), number[s]))],
+                        names=["word", "n", "texts", "part", "chunk", "number"],
+                    )
+
+    def block(bucket, at, words, n, texts, first, part, chunk, number):
+        is_end = np.array([w == END for w in words])
+        rare = (texts < 2) & ~is_end
+        values = [bucket, at, zstandard.compress(b" ".join(words), 1), *(squeezed(x) for x in (n, texts, first, part, chunk, number)),
+                  int((n > 0).sum()), int(n.sum()), int(n[rare].sum()), int(n[is_end].sum())]
+        return row_of(LEXICON_SCHEMA, values)
 
     def gather(batches):
-        held = None
-        for table in _last_marked(batches):
-            batch, last = table
+        held, of_bucket, at = None, -1, 0
+        for batch, last in _last_marked(batches):
             now = pa.Table.from_batches([batch])
             held = now if held is None else pa.concat_tables([held, now]).combine_chunks()
             if len(held) < BLOCK_WORDS and not last:
                 continue
-            word = held["word"].combine_chunks()
-            starts = np.concatenate([[0], np.flatnonzero(pc.not_equal(word[1:], word[:-1]).to_numpy(zero_copy_only=False)) + 1]) if len(word) else np.zeros(0, np.int64)
+            word, bucket = held["word"].combine_chunks(), held["bucket"].to_numpy()
+            change = pc.not_equal(word[1:], word[:-1]).to_numpy(zero_copy_only=False) if len(word) > 1 else np.zeros(0, bool)
+            starts = np.concatenate([[0], np.flatnonzero(change) + 1]) if len(word) else np.zeros(0, np.int64)
             cut = len(word) if last else int(starts[-1])  # the last word's rows may go on
             starts = starts[starts < cut]
             if not len(starts):
                 continue
-            group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, cut)))
-            n, chunk, number = (held[c].to_numpy()[:cut] for c in ("n", "chunk", "number"))
-            counts = np.zeros((len(starts), CLASSES), np.int64)
-            np.add.at(counts, (group, n % CLASSES), n // CLASSES)
-            real = number >= 0
-            first = np.concatenate([[0], np.cumsum(np.bincount(group[real], minlength=len(starts)))]).astype(np.int64)
-            yield block(word.take(pa.array(starts)).to_pylist(), counts, first, chunk[real], number[real])
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket[starts])) + 1, [len(starts)]])
+            n, texts, part, chunk, number = (held[c].to_numpy() for c in ("n", "texts", "part", "chunk", "number"))
+            ends = np.append(starts[1:], cut)
+            for a, b in zip(edges, edges[1:]):
+                low, high, own = int(starts[a]), int(ends[b - 1]), starts[a:b] - starts[a]
+                if bucket[low] != of_bucket:
+                    of_bucket, at = bucket[low], 0
+                sums = [np.add.reduceat(x[low:high], own) for x in (n, texts)]
+                yield block(int(of_bucket), at, word.take(pa.array(starts[a:b])).to_pylist(), *sums, np.append(own, high - low), part[low:high], chunk[low:high], number[low:high])
+                at += 1
             held = held.slice(cut)
 
-    rows = chunks.select("chunk", "words", "counts").mapInArrow(postings, "word binary, n long, chunk long, number long")
-    dealt = rows.repartition("word").sortWithinPartitions("word")
-    spark = chunks.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
+    rows = chunks.select("part", "chunk", "words", "counts", "texts").mapInArrow(postings, "word binary, n long, texts long, part long, chunk long, number long")
+    h = F.xxhash64("word")
+    rows = rows.withColumn("h", h).withColumn("bucket", F.shiftrightunsigned("h", 64 - WORD_BUCKETS.bit_length() + 1))
+    dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "h", "word").select("bucket", "word", "n", "texts", "part", "chunk", "number")
     return stored(dealt.mapInArrow(gather, LEXICON_SCHEMA), "lexicon")
 
 
@@ -234,39 +187,110 @@ def _last_marked(batches):
         yield before, True
 
 
+class Facts:
+    """Totals of the training corpus, the codes of the symbols without a word, and the commonest words."""
+
+    def __init__(self, seen):
+        self.n, self.distinct, self.single = (int(seen[k] or 0) for k in ("tokens", "known", "escapes"))
+        self.ends = int(seen["ends"] or 0)
+        common = self.n - self.single - self.ends
+        self.total = float(common + max(1, self.single) + max(1, self.ends))
+        self.end_length, self.escape_length = (int(wm.code_length(np.array([w]), self.total)[0]) for w in (self.ends, self.single))
+        self.end_code = self.escape_code = np.uint64(0)
+        self.base: dict[tuple[int, int], np.ndarray] = {}
+        self.rank: dict[bytes, int] = {}
+
+    def place_codes(self, histograms) -> None:
+        """Canonical codes: shorter ones first; of one length the end, the escape, then words by bucket, block and place.
+        `histograms`: (bucket, block, words of each length)."""
+        at, by_length = 0, {}
+        blocks = sorted(histograms, key=lambda r: r[:2])
+        counts = np.array([r[2] for r in blocks], np.int64).reshape(len(blocks), wm.MAX_LENGTH + 1)
+        own = {length: [name for name in ("end", "escape") if getattr(self, f"{name}_length") == length] for length in range(wm.MAX_LENGTH + 1)}
+        firsts = np.zeros((len(blocks), wm.MAX_LENGTH + 1), np.uint64)
+        for length in range(1, wm.MAX_LENGTH + 1):
+            step = 1 << (64 - length)
+            for name in own[length]:
+                setattr(self, f"{name}_code", np.uint64(at))
+                at += step
+            before = np.cumsum(counts[:, length]) - counts[:, length]
+            firsts[:, length] = np.array([at + int(b) * step for b in before.tolist()], np.uint64) if len(blocks) else 0
+            at += int(counts[:, length].sum()) * step
+        self.base = {r[:2]: f for r, f in zip(blocks, firsts)}
+
+
+def lengths_of(texts: np.ndarray, n: np.ndarray, is_end: np.ndarray, total: float) -> np.ndarray:
+    """Code lengths of words, 0 for those that are escaped and for the end."""
+    return np.where((texts >= 2) & ~is_end, wm.code_length(n, total), 0)
+
+
+def facts_of(lexicon: DataFrame) -> Facts:
+    seen = lexicon.agg(*(F.sum(c).alias(c) for c in ("known", "tokens", "escapes", "ends"))).first()
+    facts = Facts(seen)
+    total, least = facts.total, facts.n / 50_000
+    schema = "bucket long, block long, lengths binary, common binary, counts binary"
+
+    def scan(batches):
+        for batch in batches:
+            for bucket, block, blob, n, texts in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                words, n, texts = zstandard.decompress(blob).split(b" "), opened(n, np.int64), opened(texts, np.int64)
+                is_end = np.array([w == END for w in words])
+                length = lengths_of(texts, n, is_end, total)
+                # fewer than 50,000 words in all have so large a share
+                top = np.flatnonzero((n >= max(1, least)) & (length > 0))
+                top = top[np.argsort(-n[top], kind="stable")][: wm.PREVIOUS]
+                yield row_of(schema, [bucket, block, np.bincount(length, minlength=wm.MAX_LENGTH + 1).tobytes(), b" ".join(words[i] for i in top.tolist()), n[top].tobytes()])
+
+    # a row of fixed size for each block of words
+    got = lexicon.select("bucket", "block", "words", "counts", "texts").mapInArrow(scan, schema).collect()
+    facts.place_codes([(r["bucket"], r["block"], np.frombuffer(r["lengths"], np.int64)) for r in got])
+    common = [(-n, w) for r in got if len(r["counts"]) for n, w in zip(np.frombuffer(r["counts"], np.int64).tolist(), bytes(r["common"]).split(b" "))]
+    facts.rank = {w: k for k, (_, w) in enumerate(sorted(common)[: wm.PREVIOUS])}
+    return facts
+
+
 def known_words(batch) -> list[bytes]:
+    """Training words of (words, counts) rows."""
     out = []
     for blob, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
         words = zstandard.decompress(blob).split(b" ")
-        total = opened(counts, np.int64).reshape(CLASSES, -1).sum(0)
-        out += [words[i] for i in np.flatnonzero(total > 0).tolist()]
+        out += [words[i] for i in np.flatnonzero(opened(counts, np.int64) > 0).tolist() if words[i] != END]
     return out
 
 
 def fit_bits(lexicon: DataFrame, n_known: int) -> cm.Model:
-    """Count and learn over all training words. A task of about half a million words gives one table; the tables
-    are summed on the executors by part, and the driver gets one table."""
+    """Count over all training words, then fit the mixer's weights, then its map, each from sums over all of them. Tables are
+    summed on the executors by part, and the driver gets one table."""
     spark = lexicon.sparkSession
     blocks = lexicon.select("words", "counts").coalesce(max(2, -(-n_known // 500_000)))
+    slots = cm.slot_bits(n_known)
+
+    def many(batches):
+        """Words of many rows at once."""
+        words = []
+        for batch in batches:
+            words += known_words(batch)
+            if len(words) >= BLOCK_WORDS:
+                yield words
+                words = []
+        if words:
+            yield words
 
     def histogram(batches):
         n = np.zeros(256, np.int64)
-        for batch in batches:
-            words = known_words(batch)
-            if words:
-                n += np.bincount(np.frombuffer(b" ".join(words) + b" ", np.uint8), minlength=256)
+        for words in many(batches):
+            n += np.bincount(np.frombuffer(b" ".join(words) + b" ", np.uint8), minlength=256)
         yield pa.RecordBatch.from_arrays([pa.array([n.tobytes()])], names=["n"])
 
     weights = (np.arange(256) == cm.CLOSE).astype(np.int64)
-    for r in blocks.mapInArrow(histogram, "n binary").toLocalIterator():  # a row from each task
+    for r in blocks.mapInArrow(histogram, "n binary").collect():  # a row of 2 KB from each task
         weights += np.frombuffer(r["n"], np.int64)
-    code = cm.Code(weights)
-    parts = 4
+    code, parts, schema = cm.Code(weights), 4, "part long, counts binary"
 
     def count(batches):
-        counts = np.zeros((len(cm.ORDERS), 2 * cm.SLOTS), np.float32)
-        for batch in batches:
-            cm.count(known_words(batch), code, counts)
+        counts = np.zeros((len(cm.ORDERS), 2 << slots), np.int32)
+        for words in many(batches):
+            cm.count(words, code, counts)
         for k in range(len(cm.ORDERS)):
             for p, piece in enumerate(np.split(counts[k], parts)):
                 yield pa.RecordBatch.from_arrays([pa.array([k * parts + p]), pa.array([squeezed(piece)])], names=["part", "counts"])
@@ -275,148 +299,253 @@ def fit_bits(lexicon: DataFrame, n_known: int) -> cm.Model:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, blob in zip(*(c.to_pylist() for c in batch.columns)):
-                piece = opened(blob, np.float32)
+                piece = opened(blob, np.int32)
                 total[part] = piece + total[part] if part in total else piece
         for part, piece in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([squeezed(piece)])], names=["part", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([squeezed(np.minimum(piece, 65_535).astype(np.uint16))])], names=["part", "counts"])
 
-    schema = "part long, counts binary"
-    counts = np.zeros((len(cm.ORDERS), parts, 2 * cm.SLOTS // parts), np.float32)
-    for r in blocks.mapInArrow(count, schema).repartition(len(cm.ORDERS), "part").mapInArrow(add, schema).toLocalIterator():
-        counts[r["part"] // parts, r["part"] % parts] = opened(r["counts"], np.float32)
-    counts = counts.reshape(len(cm.ORDERS), -1)
-    shared = spark.sparkContext.broadcast(counts)
+    counts = np.zeros((len(cm.ORDERS), parts, (2 << slots) // parts), np.uint16)
+    for r in blocks.mapInArrow(count, schema).repartition(len(cm.ORDERS) * parts, "part").mapInArrow(add, schema).collect():
+        counts[r["part"] // parts, r["part"] % parts] = opened(r["counts"], np.uint16)
+    model = cm.Model(code, counts.reshape(len(cm.ORDERS), -1), cm.Mixer())
+    for step in (cm.Mixer.fit_weights, cm.Mixer.fit_map):
+        shared = spark.sparkContext.broadcast(model)
+
+        def sums(batches, shared=shared, step=step):
+            total = None
+            for words in many(batches):
+                one = shared.value.sums(words, step is cm.Mixer.fit_map)
+                total = one if total is None else total + one
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["sums"])
+
+        got = [np.frombuffer(r["sums"], float) for r in blocks.mapInArrow(sums, "sums binary").collect()]  # small rows, one from each task
+        if got:
+            step(model.mixer, np.sum(got, 0))
+        shared.unpersist()
+    return model
+
+
+PIECE_SCHEMA = "part long, chunk long, number binary, counts binary, code binary, length binary, spelling binary, rank binary"
 
-    def learn(batches):
-        mixer, n = cm.Mixer(), 0
-        for batch in batches:
-            words = known_words(batch)
-            cm.learn(words, code, shared.value, mixer)
-            n += len(words)
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([pickle.dumps(mixer)])], names=["n", "mixer"])
-
-    mixer, total = cm.Mixer(), 0
-    mixer.by_gate, mixer.by_node = mixer.by_gate * 0, mixer.by_node * 0
-    for r in blocks.mapInArrow(learn, "n long, mixer binary").toLocalIterator():  # a mean over the tasks, a small row from each
-        one, n = pickle.loads(r["mixer"]), r["n"]
-        total += n
-        mixer.by_gate += n * one.by_gate
-        mixer.by_node += n * one.by_node
-        mixer.hits += one.hits
-    shared.unpersist()
-    if not total:
-        return cm.Model(code, counts, cm.Mixer())
-    mixer.by_gate, mixer.by_node = mixer.by_gate / total, mixer.by_node / total
-    return cm.Model(code, counts, mixer)
-
-
-def spelt(lexicon: DataFrame, bits: cm.Model) -> DataFrame:
-    """For each chunk, pieces of (number, log10 of the spelling's probability, counts by class) of its words."""
-    shared = lexicon.sparkSession.sparkContext.broadcast(bits)
+
+def coded(lexicon: DataFrame, facts: Facts, bits: cm.Model) -> DataFrame:
+    """For each chunk, pieces of its words' numbers, counts, codes, bits of spelling (of escaped words) and ranks."""
+    shared = lexicon.sparkSession.sparkContext.broadcast((facts, bits))
 
     def scan(batches):
         for batch in batches:
-            for blob, counts, first, chunks, numbers in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                words = zstandard.decompress(blob).split(b" ")
-                spelling = shared.value.log10(words).astype(np.float32)
-                by_class = opened(counts, np.int64).reshape(CLASSES, -1)
+            facts, bits = shared.value
+            for bucket, block, blob, n, texts, first, parts, chunks, numbers in zip(*(c.to_pylist() for c in batch.columns)):
+                words, n, texts = zstandard.decompress(blob).split(b" "), opened(n, np.int64), opened(texts, np.int64)
+                is_end = np.array([w == END for w in words])
+                length = lengths_of(texts, n, is_end, facts.total)
+                code, base = np.zeros(len(words), np.uint64), facts.base[bucket, block]
+                for k in np.unique(length[length > 0]).tolist():
+                    at = np.flatnonzero(length == k)
+                    code[at] = base[k] + np.arange(len(at), dtype=np.uint64) * np.uint64(1 << (64 - k))
+                rare = np.flatnonzero((length == 0) & ~is_end)
+                spelling = np.zeros(len(words), np.float32)
+                if len(rare):
+                    spelling[rare] = bits.bits([words[i] for i in rare.tolist()], n[rare] > 0)
+                code[rare], length[rare] = facts.escape_code, facts.escape_length
+                code[is_end], length[is_end] = facts.end_code, facts.end_length
+                rank = np.array([facts.rank.get(w, wm.PREVIOUS) for w in words], np.int32)
                 word = np.repeat(np.arange(len(words)), np.diff(opened(first, np.int64)))
-                chunk, number = opened(chunks, np.int64), opened(numbers, np.int64).astype(np.int32)
-                order = np.argsort(chunk, kind="stable")
-                chunk, word, number = chunk[order], word[order], number[order]
-                cuts = np.flatnonzero(np.diff(chunk)) + 1
-                for a, b in zip([0, *cuts], [*cuts, len(chunk)]):
+                part, chunk, number = (opened(x, np.int64) for x in (parts, chunks, numbers))
+                order = np.lexsort((chunk, part))
+                part, chunk, word, number = part[order], chunk[order], word[order], number[order].astype(np.int32)
+                cuts = (np.flatnonzero((np.diff(part) != 0) | (np.diff(chunk) != 0)) + 1).tolist()
+                for a, b in zip([0, *cuts], [*cuts, len(part)]):
                     if b > a:
                         w = word[a:b]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([int(chunk[a])]), pa.array([squeezed(number[a:b])]), pa.array([squeezed(spelling[w])]), pa.array([squeezed(by_class[:, w])])],
-                            names=["chunk", "number", "spelling", "counts"],
-                        )
-
-    schema = "chunk long, number binary, spelling binary, counts binary"
-    return lexicon.select("words", "counts", "first", "chunks", "numbers").mapInArrow(scan, schema)
-
-
-def seen_before(tokens: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """How often each token's word came earlier in its document."""
-    key = doc.astype(np.int64) << 32 | tokens.astype(np.int64)
-    order = np.argsort(key, kind="stable")
-    start = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
-    run = np.arange(len(key)) - np.repeat(start, np.diff(np.append(start, len(key))))
-    out = np.empty(len(key), np.int64)
-    out[order] = run
-    return out
+                        columns = (number[a:b], n[w], code[w], length[w].astype(np.uint8), spelling[w], rank[w].astype(np.uint16))
+                        yield row_of(PIECE_SCHEMA, [int(part[a]), int(chunk[a]), *map(squeezed, columns)])
 
+    return lexicon.select("bucket", "block", "words", "counts", "texts", "first", "parts", "chunks", "numbers").mapInArrow(scan, PIECE_SCHEMA)
 
-class Facts:
-    """Totals of the training corpus."""
 
-    def __init__(self, totals: np.ndarray, distinct: int, single: int, log_share: np.ndarray):
-        self.totals, self.n, self.distinct = totals, int(totals.sum()), distinct
-        self.new = min(0.5, max(1e-3, single / self.n)) if self.n else 1.0
-        self.log_share = log_share / np.log(10)
+WORDS_SCHEMA = "part long, chunk long, tokens binary, ids binary, held binary, sizes binary, bytes binary, counts binary, code binary, length binary, spelling binary, rank binary"
+KINDS = {"counts": np.int64, "code": np.uint64, "length": np.uint8, "spelling": np.float32, "rank": np.uint16}
+
+
+def with_codes(chunks: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Chunks with what `coded` says of their words, by number."""
+
+    def meet(chunk: pa.Table, words: pa.Table) -> pa.Table:
+        number = np.concatenate([opened(b.as_py(), np.int32) for b in words["number"]])
+        columns = []
+        for name, kind in KINDS.items():
+            values = np.empty(len(number), kind)
+            values[number] = np.concatenate([opened(b.as_py(), kind) for b in words[name]])
+            columns.append(pa.array([squeezed(values)]))
+        return pa.table([*(chunk[c] for c in names_of(WORDS_SCHEMA)[:7]), *columns], names=names_of(WORDS_SCHEMA))
+
+    left = chunks.select(*names_of(WORDS_SCHEMA)[:7]).groupBy("part", "chunk")
+    return stored(left.cogroup(pieces.groupBy("part", "chunk")).applyInArrow(meet, WORDS_SCHEMA), "coded-chunks")
+
+
+class Chunk:
+    """A coded chunk's tokens."""
+
+    def __init__(self, row: dict):
+        self.tokens = opened(row["tokens"], np.uint32).astype(np.int64)
+        self.ids, self.sizes, self.bytes = (np.frombuffer(row[c], np.int64) for c in ("ids", "sizes", "bytes"))
+        self.held = np.frombuffer(row["held"], np.uint8) > 0
+        self.of_word = {name: opened(row[name], kind) for name, kind in KINDS.items()}
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.text = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.place = np.arange(len(self.tokens)) - self.starts[self.text]
+        self.code = self.of_word["code"][self.tokens]
+        self.rank = self.of_word["rank"][self.tokens].astype(np.int32)
+        self.train = ~self.held[self.text]
+
+    def pairs(self):
+        """(context, code, training count) of the distinct pairs, by context and code, and each token's pair."""
+        context = wm.pair_contexts(self.code, self.place)
+        _, one, pair = np.unique(wm.mixed(context + wm.mixed(self.code + np.uint64(1))), return_index=True, return_inverse=True)
+        order = np.lexsort((self.code[one], context[one]))
+        new = np.empty(len(one), np.int64)
+        new[order] = np.arange(len(one))
+        pair = new[pair]
+        n = np.bincount(pair[self.train], minlength=len(one))
+        return context[one[order]], self.code[one[order]], n, pair, context
+
+
+def rows_of(batches):
+    for batch in batches:
+        yield from batch.to_pylist()
+
 
-    def word_probabilities(self, counts: np.ndarray, spelling: np.ndarray) -> np.ndarray:
-        """(classes, words)"""
-        n, by = max(1, self.n), np.maximum(1, self.totals)[:, None]
-        own = np.where(self.totals[:, None] > 0, OWN, 0.0)
-        known = own * counts / by + (1 - own) * counts.sum(0) / n
-        return (1 - self.new) * known + self.new * 10.0 ** np.maximum(spelling, -300)
+def tables_of(words: DataFrame) -> wm.Tables:
+    """Counts of code prefixes under topics and words before, summed over all training tokens. Their size is fixed."""
+    shapes = {0: (wm.TOPICS + 1, wm.DEPTH), 1: (wm.PREVIOUS + 1, wm.PREVIOUS_DEPTH)}
+    parts, schema = 4, "part long, counts binary"
+
+    def count(batches):
+        sums = {k: np.zeros((c, 1 << d), np.int64) for k, (c, d) in shapes.items()}
+        for row in rows_of(batches):
+            c = Chunk(row)
+            t = c.train
+            sums[0] += wm.table(wm.topics(c.rank, c.place)[t], c.code[t], *shapes[0])
+            sums[1] += wm.table(wm.previous(c.rank, c.place)[t], c.code[t], *shapes[1])
+        for k, total in sums.items():
+            for p, piece in enumerate(np.array_split(total.reshape(-1), parts)):
+                yield pa.RecordBatch.from_arrays([pa.array([k * parts + p]), pa.array([squeezed(piece)])], names=["part", "counts"])
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                piece = opened(blob, np.int64)
+                total[part] = piece + total[part] if part in total else piece
+        for part, piece in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([squeezed(piece)])], names=["part", "counts"])
+
+    got = {r["part"]: opened(r["counts"], np.int64) for r in words.mapInArrow(count, schema).repartition(2 * parts, "part").mapInArrow(add, schema).collect()}
+    flat = [np.concatenate([got[k * parts + p] for p in range(parts)]) if got else np.zeros(c << d, np.int64) for k, (c, d) in shapes.items()]
+    return wm.Tables(*(f.reshape(c, 1 << d) for f, (c, d) in zip(flat, shapes.values())))
+
+
+def pair_counts(words: DataFrame, n_tokens: int) -> DataFrame:
+    """(part, chunk, owner, levels, counts): for a chunk's pairs of one owner, in their order, the counts along their paths over
+    the whole corpus. A chunk sends a pair once, so that a context of very many tokens is no more rows than chunks."""
+    bits = min(MAX_PAIR_PARTS, max(16, -(-n_tokens // PAIR_TOKENS))).bit_length()
+    schema = "part long, chunk long, owner long, context binary, code binary, n binary"
+
+    def send(batches):
+        for row in rows_of(batches):
+            context, code, n, _, _ = Chunk(row).pairs()
+            owner = (context >> np.uint64(64 - bits)).astype(np.int64)
+            cuts = (np.flatnonzero(np.diff(owner)) + 1).tolist()
+            for a, b in zip([0, *cuts], [*cuts, len(owner)]):
+                steps = np.diff(context[a:b], prepend=np.uint64(0))
+                yield row_of(schema, [row["part"], row["chunk"], int(owner[a]), squeezed(steps), squeezed(code[a:b]), squeezed(n[a:b].astype(np.uint32))])
+
+    def own(rows: pa.Table) -> pa.Table:
+        context = [np.cumsum(opened(b.as_py(), np.uint64), dtype=np.uint64) for b in rows["context"]]
+        sizes = [len(c) for c in context]
+        context, code, n = np.concatenate(context), *(np.concatenate([opened(b.as_py(), t) for b in rows[c]]) for c, t in (("code", np.uint64), ("n", np.uint32)))
+        order = np.lexsort((code, context))
+        context, code = context[order], code[order]
+        first = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (code[1:] != code[:-1])]))
+        levels, counts = wm.node_counts(context[first], code[first], np.add.reduceat(n[order].astype(np.int64), first))
+        starts = np.cumsum(levels) - levels
+        # a context that training has never, or just once, tells nothing of the text that has it
+        entry = np.empty(len(order), np.int64)
+        entry[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+        useful = np.where(n > 0, counts[starts][entry] > 1, counts[starts][entry] > 0)
+        out, at = [], 0
+        for size in sizes:
+            mine = np.where(useful[at : at + size], entry[at : at + size], -1)
+            have = mine[mine >= 0]
+            length = levels[have]
+            places = np.repeat(starts[have] - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+            out.append((squeezed(np.where(mine >= 0, levels[mine], 0).astype(np.uint8)), squeezed(counts[places])))
+            at += size
+        return pa.table([rows["part"], rows["chunk"], rows["owner"], pa.array([o[0] for o in out]), pa.array([o[1] for o in out])], names=["part", "chunk", "owner", "levels", "counts"])
+
+    sent = words.select(*names_of(WORDS_SCHEMA)).mapInArrow(send, schema)
+    return sent.groupBy("owner").applyInArrow(own, "part long, chunk long, owner long, levels binary, counts binary")
 
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
 
-def summed(chunks: DataFrame, words: DataFrame, facts: Facts) -> DataFrame:
+def chunk_bits(c: Chunk, pair_levels: np.ndarray, pair_counts: np.ndarray, pair: np.ndarray, context: np.ndarray, tables: wm.Tables) -> np.ndarray:
+    """Bits of every token, some texts at a time. Long texts are a group by themselves."""
+    first_of_pair = np.cumsum(pair_levels) - pair_levels
+    out, ends, a = np.empty(len(c.tokens)), np.cumsum(c.sizes), 0
+    topic, before = wm.topics(c.rank, c.place), wm.previous(c.rank, c.place)
+    length = c.of_word["length"][c.tokens].astype(np.int64)
+    padded = np.append(pair_counts, np.uint16(0))
+    while a < len(c.sizes):
+        low = int(c.starts[a])
+        b = max(a + 1, int(np.searchsorted(ends, low + SCORE_TOKENS, "right")))
+        s = slice(low, int(ends[b - 1]))
+        levels = pair_levels[pair[s]]
+        mine = np.flatnonzero((levels > 0) & c.train[s])
+        listed, own, entry = wm.own_counts(c.text[s][mine], context[s][mine], c.code[s][mine])
+        own_levels, own_first = np.zeros(len(levels), np.int64), np.zeros(len(levels), np.int64)
+        own_levels[mine], own_first[mine] = listed[entry], (np.cumsum(listed) - listed)[entry]
+        paths = wm.Paths(c.code[s], length[s], topic[s], before[s], c.train[s].astype(np.float32), levels, np.minimum(first_of_pair[pair[s]], len(pair_counts)), padded,
+                         own_levels, own_first, np.append(own, np.uint16(0)))
+        out[s] = wm.bits(paths, tables, c.sizes[a:b])
+        a = b
+    return out + c.of_word["spelling"][c.tokens]
+
+
+def summed(words: DataFrame, counts: DataFrame, facts: Facts, tables: wm.Tables) -> DataFrame:
     """Scores of all documents of all chunks."""
-    names = [f.split()[0] for f in RESULT.split(", ")]
+    shared = words.sparkSession.sparkContext.broadcast(tables)
+    n, distinct = facts.n, facts.distinct
+
+    def meet(chunk: pa.Table, counts: pa.Table) -> pa.Table:
+        c = Chunk(chunk.to_pylist()[0])
+        _, _, _, pair, context = c.pairs()
+        counts = counts.sort_by("owner")
+        levels = np.concatenate([opened(b.as_py(), np.uint8) for b in counts["levels"]]).astype(np.int64)
+        values = np.concatenate([opened(b.as_py(), np.uint16) for b in counts["counts"]])
+        bits = chunk_bits(c, levels, values, pair, context, shared.value)
+        of_word = c.of_word["counts"]
+        base = np.log10((of_word + 1) / (n + distinct + 1))[c.tokens]
+        total, base, known = (np.add.reduceat(x, c.starts) for x in (bits, base, (of_word > 0).astype(np.int64)[c.tokens]))
+        columns = [
+            pa.array(c.ids, mask=c.ids == NO_ID), pa.array(c.held), pa.array(c.sizes), pa.array(known), pa.array(np.full(len(c.ids), n)), pa.array(base),
+            pa.array(-total * np.log10(2)), pa.array(np.where(c.bytes > 0, total / np.maximum(c.bytes, 1), np.nan), mask=c.bytes == 0),
+        ]
+        return pa.table(columns, names=names_of(RESULT))
 
-    def meet(chunk: pa.Table, words: pa.Table) -> pa.Table:
-        tokens = opened(chunk["tokens"][0].as_py(), np.uint32).astype(np.int64)
-        ids, held = np.frombuffer(chunk["ids"][0].as_py(), np.int64), np.frombuffer(chunk["held"][0].as_py(), np.uint8) > 0
-        sizes, n_bytes = np.frombuffer(chunk["sizes"][0].as_py(), np.int64), np.frombuffer(chunk["bytes"][0].as_py(), np.int64)
-        number = np.concatenate([opened(b.as_py(), np.int32) for b in words["number"]])
-        counts = np.empty((CLASSES, len(number)), np.int64)
-        counts[:, number] = np.concatenate([opened(b.as_py(), np.int64).reshape(CLASSES, -1) for b in words["counts"]], 1)
-        spelling = np.empty(len(number))
-        spelling[number] = np.concatenate([opened(b.as_py(), np.float32) for b in words["spelling"]])
-        count = counts.sum(0)
-        base_log = np.log10((count + 1) / (facts.n + facts.distinct + 1))
-        p = facts.word_probabilities(counts, spelling)
-        ends = np.cumsum(sizes)
-        base, known, score = np.empty(len(ids)), np.empty(len(ids), np.int64), np.empty(len(ids))
-        a = 0
-        while a < len(ids):  # documents of about a quarter of a million tokens at once
-            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + 250_000, "right")))
-            low, high = int(ends[a - 1]) if a else 0, int(ends[b - 1])
-            t, starts = tokens[low:high], (ends[a:b] - sizes[a:b]) - low
-            doc = np.repeat(np.arange(b - a), sizes[a:b])
-            place = np.arange(len(t)) - starts[doc]
-            base[a:b] = np.add.reduceat(base_log[t], starts)
-            known[a:b] = np.add.reduceat((count[t] > 0).astype(np.int64), starts)
-            cached = CACHE * seen_before(t, doc) / np.maximum(place, 1)
-            rest = np.where(place > 0, 1 - CACHE, 1.0)
-            by_class = np.stack([np.add.reduceat(np.log10(rest * p[k][t] + cached), starts) for k in range(CLASSES)]) + facts.log_share[:, None]
-            top = by_class.max(0)
-            score[a:b] = top + np.log10((10.0 ** (by_class - top)).sum(0))
-            a = b
-        doc_ids = pa.array(ids, mask=ids == -(1 << 63))
-        per_byte = np.where(n_bytes > 0, -score * np.log2(10) / np.maximum(n_bytes, 1), np.nan)
-        columns = [doc_ids, pa.array(held), pa.array(sizes), pa.array(known), pa.array(np.full(len(ids), facts.n)), pa.array(base), pa.array(score), pa.array(per_byte, mask=n_bytes == 0)]
-        return pa.table(columns, names=names)
-
-    return chunks.select("chunk", "tokens", "ids", "held", "sizes", "bytes").groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(meet, RESULT)
-
-
-def score(docs: DataFrame, modulus: int = 7, held_out: int = 2, class_docs: int = CLASS_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return words.groupBy("part", "chunk").cogroup(counts.groupBy("part", "chunk")).applyInArrow(meet, RESULT)
+
+
+def score(docs: DataFrame, modulus: int = 7, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores of all texts, learnt from those whose id doesn't fall in the held-out remainder."""
     spark = docs.sparkSession
-    docs = texts(docs, id_col, text_col).withColumn("held_out", id_remainder(modulus) == held_out)
-    classes = find_classes(docs, class_docs)
-    chunks = chunked(docs, classes)
+    chunks = chunked(texts(docs, id_col, text_col).withColumn("held_out", id_remainder(modulus) == held_out))
     lexicon = lexicon_of(chunks)
-    total = [F.coalesce(F.sum(F.col("totals")[k]), F.lit(0)).alias(f"t{k}") for k in range(CLASSES)]
-    seen = lexicon.agg(F.coalesce(F.sum("known"), F.lit(0)).alias("known"), F.coalesce(F.sum("single"), F.lit(0)).alias("single"), *total).first()
-    facts = Facts(np.array([seen[f"t{k}"] for k in range(CLASSES)], np.int64), seen["known"], seen["single"], classes.log_share)
-    bits = fit_bits(lexicon, seen["known"])
-    return summed(chunks, spelt(lexicon, bits), facts)
+    facts = facts_of(lexicon)
+    words = with_codes(chunks, coded(lexicon, facts, fit_bits(lexicon, facts.distinct)))
+    drop_shared(spark, chunks._stored_at)
+    drop_shared(spark, lexicon._stored_at)
+    return summed(words, pair_counts(words, facts.n), facts, tables_of(words))
