@@ -76,12 +76,21 @@ def drop_shared(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Spark's own switch: the shuffle files of a finished write are deleted at once, not when the driver's memory is next collected.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write a step's rows to the shared folder and read them back: the lineage ends there, and a lost
-    executor costs no recomputation."""
-    path = shared_path(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    executor costs no recomputation. The session's settings are as before afterwards."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+    back = spark.read.schema(df.schema).parquet(path)
     back._stored_at = path
     return back
 

@@ -2,10 +2,10 @@
 
 A word, closed by a blank, is a sequence of bytes, and each byte a path of bits in a prefix code. For each bit,
 predictors look up counts under hashed contexts (the last 1, 2, 3, 4, 6 and 8 bytes of the word, with the place in
-the code). Their stretched probabilities are summed under weights that two gates choose (how many contexts have been
-seen; the place in the code), squashed, and refined by an adaptive probability map. Counts are those of all training words,
-each once; weights and map are fitted on sums over them, each word being predicted from counts without itself, so that
-no order or division of the words matters. The tables' size follows from the number of words, up to `MOST_BITS`.
+the code). Their stretched probabilities are summed under weights that a gate chooses (how many contexts have been
+seen), and squashed. Counts are those of all training words, each once, and a training word is spelt from counts without
+itself; the weights are the same for every corpus. Nothing depends on the order or division of the words. The tables' size
+follows from the number of words, up to `MOST_BITS`.
 """
 
 from __future__ import annotations
@@ -18,7 +18,11 @@ ORDERS = (1, 2, 3, 4, 6, 8)
 #: Slots of a context's table, as a power of two: four for each word, between these bounds (2^21 slots of 6 contexts are 50 MB).
 LEAST_BITS, MOST_BITS = 16, 21
 GATES = len(ORDERS) + 1
-BUCKETS = 48
+#: Weights by gate, of the orders above.
+WEIGHTS = np.array(
+    [[0.3, 0.3, 0.3, 0.3, 0.3, 0.3], [0.6, 0.3, 0.3, 0.3, 0.3, 0.0], [0.55, 0.55, 0.15, 0.0, 0.0, 0.0], [0.4, 0.55, 0.2, 0.0, 0.0, 0.0],
+     [0.3, 0.5, 0.3, 0.25, 0.0, 0.0], [0.2, 0.25, 0.4, 0.4, 0.2, 0.0], [0.0, 0.1, 0.25, 0.4, 0.3, 0.1]], np.float32
+)
 CLOSE, END = 0x20, 0xFF  # neither byte occurs in a word of valid UTF-8
 BATCH_BYTES = 60_000
 DELTA = 0.15
@@ -93,49 +97,14 @@ class Events:
                 self.slots.append((mixed >> np.uint32(32 - slot_bits)).astype(np.int64))
 
 
-_LOG = np.log(np.arange(1 << 16) + DELTA).astype(np.float32)
-
-
-def stretched(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    """The predictor's evidence from counts below 2^16: log odds, less of it where little was seen."""
-    n = (n0 + n1).astype(np.float32)
-    return (_LOG[n1] - _LOG[n0]) * (n / (n + np.float32(0.6)))
+_LOG = np.log(np.arange(256) + DELTA).astype(np.float32)
+_SURE = (np.arange(512) / (np.arange(512) + 0.6)).astype(np.float32)
 
 
 def squash(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -16, 16)))
 
 
-class Mixer:
-    """Gated weights and the adaptive probability map."""
-
-    def __init__(self):
-        self.weights = np.full((GATES, len(ORDERS)), 0.3)
-        self.hits = np.zeros((GATES, BUCKETS, 2))
-
-    def mix(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.einsum("ij,ij->i", x, self.weights[gate])
-
-    @staticmethod
-    def bucket(z: np.ndarray) -> np.ndarray:
-        return np.clip((z + 12) * (BUCKETS / 24), 0, BUCKETS - 1).astype(np.int64)
-
-    def refined(self, z: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        seen, centre = self.hits, squash((np.arange(BUCKETS) + 0.5) * 24 / BUCKETS - 12)
-        adapted = (seen[..., 1] + 8 * centre) / (seen.sum(-1) + 8)
-        p = 0.5 * squash(z) + 0.5 * adapted[gate, self.bucket(z)]
-        return np.clip(p, 1e-6, 1 - 1e-6)
-
-    def fit_weights(self, sums: np.ndarray) -> None:
-        """One step of Newton's method from the initial weights, by gate; `sums`: gradients and second derivatives."""
-        k = len(ORDERS)
-        for gate, (g, h) in enumerate(zip(sums[: GATES * k].reshape(GATES, k), sums[GATES * k :].reshape(GATES, k, k))):
-            self.weights[gate] = np.clip(self.weights[gate] + np.linalg.solve(h + 20 * np.eye(k), g), -1, 2)
-
-    def fit_map(self, sums: np.ndarray) -> None:
-        self.hits = sums.reshape(self.hits.shape)
-
-
 def count(words: list[bytes], code: Code, counts: np.ndarray) -> None:
     """Add the bits of distinct words to `counts` (orders, two for each slot)."""
     slots_bits = counts.shape[1].bit_length() - 2
@@ -146,49 +115,33 @@ def count(words: list[bytes], code: Code, counts: np.ndarray) -> None:
 
 
 class Model:
-    """Everything that spelling needs. `counts`: (orders, two for each slot), below 2^16."""
+    """Everything that spelling needs. `counts`: (orders, two for each slot), at most 255."""
 
-    def __init__(self, code: Code, counts: np.ndarray, mixer: Mixer):
-        self.code, self.counts, self.mixer, self.slot_bits = code, counts, mixer, counts.shape[1].bit_length() - 2
+    def __init__(self, code: Code, counts: np.ndarray):
+        self.code, self.counts, self.slot_bits = code, counts, counts.shape[1].bit_length() - 2
 
-    def _inputs(self, group: list[bytes], counted: np.ndarray):
-        """Events, evidence and gates; a counted word's own bits are taken out of the counts that predict it."""
+    def event_bits(self, group: list[bytes], counted: np.ndarray):
+        """(events, bits that each costs): a predictor's evidence is its log odds of the bit that comes, less of them where
+        little was seen, without the word's own bits where it is counted; the gate is how many contexts have been seen."""
         e = Events(group, self.code, self.slot_bits)
-        own = counted[e.owner].astype(np.int64)
-        own0, own1 = np.where(e.bit == 0, own, 0), np.where(e.bit == 1, own, 0)
-        x, gate = np.empty((len(e.bit), len(ORDERS)), np.float32), np.zeros(len(e.bit), np.int64)
+        own, bit = counted[e.owner].astype(np.uint8), e.bit.astype(np.int64)
+        x, gate = np.empty((len(ORDERS), len(bit)), np.float32), np.zeros(len(bit), np.int64)
         for k, slots in enumerate(e.slots):
-            pair = self.counts[k].reshape(-1, 2)[slots].astype(np.int64)
-            n0, n1 = np.maximum(pair[:, 0] - own0, 0), np.maximum(pair[:, 1] - own1, 0)
-            x[:, k] = stretched(n0, n1)
-            gate += (n0 + n1) > 0
-        return e, x, gate
-
-    def sums(self, words: list[bytes], of_map: bool) -> np.ndarray:
-        """What `fit_map` or `fit_weights` needs of training words."""
-        k = len(ORDERS)
-        out = np.zeros(GATES * BUCKETS * 2 if of_map else GATES * k * (k + 1))
-        for group in batches(words):
-            e, x, gate = self._inputs(group, np.ones(len(group), bool))
-            z = self.mixer.mix(x, gate)
-            if of_map:
-                out += np.bincount((gate * BUCKETS + self.mixer.bucket(z)) * 2 + e.bit, minlength=len(out))
-                continue
-            p = squash(z)
-            error, spread = e.bit - p, p * (1 - p)
-            for g in range(GATES):
-                at = gate == g
-                rows = x[at].astype(float)
-                out[g * k : (g + 1) * k] += rows.T @ error[at]
-                out[GATES * k + g * k * k : GATES * k + (g + 1) * k * k] += (rows.T @ (rows * spread[at, None])).reshape(-1)
-        return out
+            at = slots * 2
+            same, other = self.counts[k][at + bit] - own, self.counts[k][at + 1 - bit]
+            n = same.astype(np.int64) + other
+            x[k] = (_LOG[same] - _LOG[other]) * _SURE[n]
+            gate += n > 0
+        z = np.zeros(len(bit), np.float32)
+        for k in range(len(ORDERS)):
+            z += WEIGHTS[:, k][gate] * x[k]
+        return e, -np.log2(np.clip(squash(z), 1e-6, 1 - 1e-6))
 
     def bits(self, words: list[bytes], counted: np.ndarray) -> np.ndarray:
         """Bits that spell each word; `counted` says which of them are in the counts."""
         out, first = [], 0
         for group in batches(words):
-            e, x, gate = self._inputs(group, counted[first : first + len(group)])
+            e, cost = self.event_bits(group, counted[first : first + len(group)])
             first += len(group)
-            p = self.mixer.refined(self.mixer.mix(x, gate), gate)
-            out.append(-np.bincount(e.owner, weights=np.log2(np.where(e.bit == 1, p, 1 - p)), minlength=e.n))
+            out.append(np.bincount(e.owner, weights=cost, minlength=e.n))
         return np.concatenate(out) if out else np.zeros(0)

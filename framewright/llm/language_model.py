@@ -259,8 +259,7 @@ def known_words(batch) -> list[bytes]:
 
 
 def fit_bits(lexicon: DataFrame, n_known: int) -> cm.Model:
-    """Count over all training words, then fit the mixer's weights, then its map, each from sums over all of them. Tables are
-    summed on the executors by part, and the driver gets one table."""
+    """Counts over all training words. Tables are summed on the executors by part, and the driver gets one table."""
     spark = lexicon.sparkSession
     blocks = lexicon.select("words", "counts").coalesce(max(2, -(-n_known // 500_000)))
     slots = cm.slot_bits(n_known)
@@ -302,28 +301,12 @@ def fit_bits(lexicon: DataFrame, n_known: int) -> cm.Model:
                 piece = opened(blob, np.int32)
                 total[part] = piece + total[part] if part in total else piece
         for part, piece in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([squeezed(np.minimum(piece, 65_535).astype(np.uint16))])], names=["part", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([squeezed(np.minimum(piece, 255).astype(np.uint8))])], names=["part", "counts"])
 
-    counts = np.zeros((len(cm.ORDERS), parts, (2 << slots) // parts), np.uint16)
+    counts = np.zeros((len(cm.ORDERS), parts, (2 << slots) // parts), np.uint8)
     for r in blocks.mapInArrow(count, schema).repartition(len(cm.ORDERS) * parts, "part").mapInArrow(add, schema).collect():
-        counts[r["part"] // parts, r["part"] % parts] = opened(r["counts"], np.uint16)
-    model = cm.Model(code, counts.reshape(len(cm.ORDERS), -1), cm.Mixer())
-    for step in (cm.Mixer.fit_weights, cm.Mixer.fit_map):
-        shared = spark.sparkContext.broadcast(model)
-
-        def sums(batches, shared=shared, step=step):
-            total = None
-            for words in many(batches):
-                one = shared.value.sums(words, step is cm.Mixer.fit_map)
-                total = one if total is None else total + one
-            if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["sums"])
-
-        got = [np.frombuffer(r["sums"], float) for r in blocks.mapInArrow(sums, "sums binary").collect()]  # small rows, one from each task
-        if got:
-            step(model.mixer, np.sum(got, 0))
-        shared.unpersist()
-    return model
+        counts[r["part"] // parts, r["part"] % parts] = opened(r["counts"], np.uint8)
+    return cm.Model(code, counts.reshape(len(cm.ORDERS), -1))
 
 
 PIECE_SCHEMA = "part long, chunk long, number binary, counts binary, code binary, length binary, spelling binary, rank binary"
@@ -401,15 +384,16 @@ class Chunk:
         self.train = ~self.held[self.text]
 
     def pairs(self):
-        """(context, code, training count) of the distinct pairs, by context and code, and each token's pair."""
+        """(context, code, training count, whether a held-out text has it) of the distinct pairs, by context and code, and
+        each token's pair and context."""
         context = wm.pair_contexts(self.code, self.place)
         _, one, pair = np.unique(wm.mixed(context + wm.mixed(self.code + np.uint64(1))), return_index=True, return_inverse=True)
         order = np.lexsort((self.code[one], context[one]))
         new = np.empty(len(one), np.int64)
         new[order] = np.arange(len(one))
         pair = new[pair]
-        n = np.bincount(pair[self.train], minlength=len(one))
-        return context[one[order]], self.code[one[order]], n, pair, context
+        n, asked = (np.bincount(pair[t], minlength=len(one)) for t in (self.train, ~self.train))
+        return context[one[order]], self.code[one[order]], n, asked > 0, pair, context
 
 
 def rows_of(batches):
@@ -455,26 +439,27 @@ def pair_counts(words: DataFrame, n_tokens: int) -> DataFrame:
 
     def send(batches):
         for row in rows_of(batches):
-            context, code, n, _, _ = Chunk(row).pairs()
+            context, code, n, asked, _, _ = Chunk(row).pairs()
             owner = (context >> np.uint64(64 - bits)).astype(np.int64)
             cuts = (np.flatnonzero(np.diff(owner)) + 1).tolist()
             for a, b in zip([0, *cuts], [*cuts, len(owner)]):
-                steps = np.diff(context[a:b], prepend=np.uint64(0))
-                yield row_of(schema, [row["part"], row["chunk"], int(owner[a]), squeezed(steps), squeezed(code[a:b]), squeezed(n[a:b].astype(np.uint32))])
+                steps = np.diff(context[a:b] >> np.uint64(16), prepend=np.uint64(0))
+                yield row_of(schema, [row["part"], row["chunk"], int(owner[a]), squeezed(steps), squeezed(code[a:b]), squeezed(n[a:b].astype(np.uint32) << np.uint32(1) | asked[a:b])])
 
     def own(rows: pa.Table) -> pa.Table:
-        context = [np.cumsum(opened(b.as_py(), np.uint64), dtype=np.uint64) for b in rows["context"]]
+        context = [np.cumsum(opened(b.as_py(), np.uint64), dtype=np.uint64) << np.uint64(16) for b in rows["context"]]
         sizes = [len(c) for c in context]
         context, code, n = np.concatenate(context), *(np.concatenate([opened(b.as_py(), t) for b in rows[c]]) for c, t in (("code", np.uint64), ("n", np.uint32)))
         order = np.lexsort((code, context))
         context, code = context[order], code[order]
+        asked, n = n & 1, (n >> 1).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (code[1:] != code[:-1])]))
-        levels, counts = wm.node_counts(context[first], code[first], np.add.reduceat(n[order].astype(np.int64), first))
+        levels, counts = wm.node_counts(context[first], code[first], np.add.reduceat(n[order], first))
         starts = np.cumsum(levels) - levels
-        # a context that training has never, or just once, tells nothing of the text that has it
+        # a context that training has never tells nothing, and one that it has once nothing of the text that has it
         entry = np.empty(len(order), np.int64)
         entry[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
-        useful = np.where(n > 0, counts[starts][entry] > 1, counts[starts][entry] > 0)
+        useful = counts[starts][entry] > (asked == 0)
         out, at = [], 0
         for size in sizes:
             mine = np.where(useful[at : at + size], entry[at : at + size], -1)
@@ -522,7 +507,7 @@ def summed(words: DataFrame, counts: DataFrame, facts: Facts, tables: wm.Tables)
 
     def meet(chunk: pa.Table, counts: pa.Table) -> pa.Table:
         c = Chunk(chunk.to_pylist()[0])
-        _, _, _, pair, context = c.pairs()
+        *_, pair, context = c.pairs()
         counts = counts.sort_by("owner")
         levels = np.concatenate([opened(b.as_py(), np.uint8) for b in counts["levels"]]).astype(np.int64)
         values = np.concatenate([opened(b.as_py(), np.uint16) for b in counts["counts"]])

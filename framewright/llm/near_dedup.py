@@ -291,7 +291,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     linkable = each.where("print is not null and doc_id is not null")
     one_text = F.min(F.struct("h1", "h2")).alias("text")
     classes = linkable.groupBy("print").agg(F.min("doc_id").alias("id"), one_text, *(F.first(c).alias(c) for c in ("n_shingles", "signature")))
-    classes = classes.select(F.monotonically_increasing_id().alias("rep"), "print", "id", "text.h1", "text.h2", "n_shingles", "signature")
+    # numbers follow ids, so that an original whose copies came later is the smallest member of most buckets
+    classes = classes.orderBy("id", "print").select(F.monotonically_increasing_id().alias("rep"), "print", "id", "text.h1", "text.h2", "n_shingles", "signature")
     classes = stored(classes, "classes")
     signatures = classes.select("rep", "n_shingles", "signature")
     keys = key_rows(classes, plan)

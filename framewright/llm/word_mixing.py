@@ -1,8 +1,8 @@
 """Logistic mixing of bit predictors over a text's words.
 
 A token (a word, an escape for a rare word, or the text's end) is a path of bits in a prefix code. For each bit, predictors
-look up counts under contexts: the place in the code alone; with the commonest of the last words, which tells languages and
-subjects apart; with the word before; and with the two words before. Their stretched probabilities are summed under weights
+look up counts of the place in the code under contexts: the commonest of the last words, which tells languages and
+subjects apart; the word before; and the two words before. Their stretched probabilities are summed under weights
 that a gate chooses (how well the two-word context is known), squashed, and refined by an adaptive probability map. Weights
 and map are learned online along each text, in blocks that begin small: a text starts from the same state wherever it lies.
 """
@@ -12,17 +12,17 @@ from __future__ import annotations
 import numpy as np
 
 #: Levels of the code that tables hold; deeper bits, of rare words, are known from two-word contexts only.
-DEPTH, PREVIOUS_DEPTH = 16, 12
+DEPTH, PREVIOUS_DEPTH = 14, 10
 #: Commonest words that are contexts of their own, as topic and as word before.
 TOPICS, PREVIOUS = 32, 512
-WINDOW = 8
+WINDOW = 16
 MAX_LENGTH = 48
 DELTA = 0.4
-BUCKETS, MAP_WEIGHT = 24, 20.0
-FIRST_BLOCK, RATE = 16, 0.6
-#: Initial weights by gate, of the four predictors in the order above.
-WEIGHTS = np.array([[0.05, 0.75, 0.25, 0.0], [0.05, 0.7, 0.2, 0.5], [0.05, 0.6, 0.15, 0.7], [0.05, 0.5, 0.1, 0.9]], np.float32)
-GATES = len(WEIGHTS)
+BUCKETS, MAP_WEIGHT = 25, 20.0  # an odd number: no evidence is a bucket of its own, and costs a bit
+FIRST_BLOCK, RATE = 16, 3.0
+#: Initial weights by gate, of the three predictors in the order above.
+WEIGHTS = np.array([[0.8, 0.35, 0.0], [0.75, 0.3, 0.7], [0.6, 0.25, 0.9], [0.5, 0.2, 1.1]], np.float32)
+GATES, PREDICTORS = WEIGHTS.shape
 
 
 def code_length(weight: np.ndarray, total: float) -> np.ndarray:
@@ -41,7 +41,7 @@ def pair_contexts(code: np.ndarray, place: np.ndarray) -> np.ndarray:
     one, two = np.zeros(len(code), np.uint64), np.zeros(len(code), np.uint64)
     one[1:] = np.where(place[1:] >= 1, code[:-1] + np.uint64(1), np.uint64(0))
     two[2:] = np.where(place[2:] >= 2, code[:-2] + np.uint64(1), np.uint64(0))
-    return mixed(mixed(two + np.uint64(0x9E3779B97F4A7C15)) + one)
+    return mixed(mixed(two + np.uint64(0x9E3779B97F4A7C15)) + one) >> np.uint64(16) << np.uint64(16)  # 48 bits are told apart
 
 
 def topics(rank: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -113,17 +113,16 @@ def own_counts(doc: np.ndarray, context: np.ndarray, code: np.ndarray):
 
 
 class Tables:
-    """Counts of nodes: under no context, topics, and words before."""
+    """Counts of nodes under topics and under words before."""
 
     def __init__(self, topic_leaves: np.ndarray, previous_leaves: np.ndarray):
-        self.topic, self.before = with_inner_nodes(topic_leaves), with_inner_nodes(previous_leaves)
-        self.alone = with_inner_nodes(topic_leaves.sum(0, keepdims=True))[0]
+        self.topic, self.before = (with_inner_nodes(x).astype(np.float32) for x in (topic_leaves, previous_leaves))
 
 
-def stretched(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    """The predictor's evidence: log odds, less of it where little was seen."""
-    n = n0 + n1
-    return np.log((n1 + np.float32(DELTA)) / (n0 + np.float32(DELTA))) * (n / (n + np.float32(0.8)))
+def evidence(same: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """A predictor's log odds of the bit that comes, from counts of it and of the other; less of them where little was seen."""
+    n = same + other
+    return np.log((same + np.float32(DELTA)) / (other + np.float32(DELTA))) * (n / (n + np.float32(0.8)))
 
 
 class Paths:
@@ -135,38 +134,11 @@ class Paths:
         self.own_levels, self.own_first, self.own = own_levels, own_first, own
 
     def pair_count(self, t: np.ndarray, level: int) -> np.ndarray:
-        """Counts of the prefixes of `level` bits; beyond the listed levels the last one stands."""
-        listed = self.levels[t]
-        n = self.counts[self.first[t] + np.minimum(level, np.maximum(listed, 1) - 1)].astype(np.float32)
+        """Counts of the prefixes of `level` bits of tokens that have listed levels; beyond these the last one stands."""
+        n = self.counts[self.first[t] + np.minimum(level, self.levels[t] - 1)].astype(np.float32)
         mine = self.own_levels[t]
         n -= np.where(mine > 0, self.own[self.own_first[t] + np.minimum(level, np.maximum(mine, 1) - 1)], 0)
-        return np.where(listed > 0, np.maximum(n, 0), 0)
-
-    def inputs(self, tables: Tables, t: np.ndarray, level: int, parent, child):
-        """(bits, the predictors' evidence as rows) of the tokens `t` at a level."""
-        bit = (self.code[t] >> np.uint64(63 - level)).astype(np.int64) & 1
-        x = np.zeros((4, len(t)), np.float32)
-        one = (bit == 1).astype(np.float32)
-        own1, own0 = self.train[t] * one, self.train[t] * (1 - one)
-        if level < DEPTH:
-            node = (1 << level) + (self.code[t] >> np.uint64(64 - level)).astype(np.int64) if level else np.ones(len(t), np.int64)
-            for k, (counts, at) in enumerate(((self.tables_flat(tables.alone), 2 * node), (self.tables_flat(tables.topic), self.topic[t].astype(np.int64) * tables.topic.shape[1] + 2 * node))):
-                n0, n1 = counts[at] - own0, counts[at + 1] - own1
-                x[k] = stretched(np.maximum(n0, 0), np.maximum(n1, 0))
-            if level < PREVIOUS_DEPTH:
-                at, counts = self.before[t].astype(np.int64) * tables.before.shape[1] + 2 * node, self.tables_flat(tables.before)
-                x[2] = stretched(np.maximum(counts[at] - own0, 0), np.maximum(counts[at + 1] - own1, 0))
-        seen = np.flatnonzero(parent > 0)
-        if len(seen):
-            same = np.minimum(child[seen], parent[seen])
-            other = parent[seen] - same
-            up = bit[seen] == 1
-            x[3, seen] = stretched(np.where(up, other, same), np.where(up, same, other))
-        return bit, x
-
-    @staticmethod
-    def tables_flat(counts: np.ndarray) -> np.ndarray:
-        return counts.reshape(-1)
+        return np.maximum(n, 0)
 
 
 def squash(z: np.ndarray) -> np.ndarray:
@@ -181,53 +153,85 @@ def blocks(sizes: np.ndarray):
         at, width = at + width, width * 2 if at else width
 
 
+_GATE = np.minimum(np.ceil(np.log2(np.arange(6) + 1)), GATES - 1).astype(np.int8)
+
+
 def bits(paths: Paths, tables: Tables, sizes: np.ndarray, weights: np.ndarray = WEIGHTS) -> np.ndarray:
     """Bits of each token of texts of these sizes, which lie one after another. Each text learns weights of its own on the
-    way, and a map from the mixed to a refined probability; what a block teaches is used from the next block on."""
+    way, and a map from the mixed to a refined probability; what a block teaches is used from the next block on.
+
+    Everything is told from the bit that comes: evidence for it has a positive sign, and the map, in which a bucket of evidence
+    and its mirror image make one, counts what came."""
     out, n = np.zeros(len(paths.code), np.float64), len(sizes)
     starts = np.cumsum(sizes) - sizes
-    change, steps = np.zeros((n, 4), np.float32), np.zeros(n, np.float32)
+    change = np.zeros((PREDICTORS, n), np.float32)
     centre = squash((np.arange(BUCKETS, dtype=np.float32) + 0.5) * (24 / BUCKETS) - 12)
-    hits = np.tile((MAP_WEIGHT * np.stack([1 - centre, centre], 1)).reshape(-1), (n, 1)).astype(np.float32)
+    came = np.tile(MAP_WEIGHT * centre, n).astype(np.float32)
+    flat = [(tables.topic.reshape(-1), paths.topic, tables.topic.shape[1], DEPTH), (tables.before.reshape(-1), paths.before, tables.before.shape[1], PREVIOUS_DEPTH)]
     for going, first, end in blocks(sizes):
         count = end - first
         t = np.repeat(starts[going] + first, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        doc = np.repeat(going, count)
         order = np.argsort(-paths.length[t], kind="stable")  # those that go on stand in front
-        t, doc = t[order], doc[order]
-        length = paths.length[t]
-        gradient, seen, learned = np.zeros((4, n)), np.zeros(n), np.zeros(hits.size)
-        parent = paths.pair_count(t, 0)
+        t, who = t[order], np.repeat(going, count)[order]
+        length, own = paths.length[t], paths.train[t]
+        prefix = (paths.code[t] >> np.uint64(63 - DEPTH)).astype(np.int32)  # one bit more than the tables' depth
+        rows = [context[t].astype(np.int32) * np.int32(width) for _, context, width, _ in flat]
+        block = np.zeros(len(t))
+        # below the tables nothing is known without a two-word context, and a bit costs a bit
+        pair = np.flatnonzero(paths.levels[t] > 0)
+        lone = paths.levels[t] == 0
+        block[lone] = np.maximum(length[lone] - DEPTH, 0)
+        gradient, seen, learned = np.zeros((PREDICTORS, n)), np.zeros(n), np.zeros(len(came))
+        parent = paths.pair_count(t[pair], 0)
+        each = weights[0][:, None] + change
         for level in range(int(length[0])):
             m = int(np.searchsorted(-length, -level))
-            if m < len(t):
-                t, doc, length, parent = t[:m], doc[:m], length[:m], parent[:m]
-            child = paths.pair_count(t, level + 1)
-            if level >= DEPTH:  # without a two-word context nothing is known here, and a bit costs a bit
-                known = parent > 0
-                np.add.at(out, t[~known], 1.0)
-                some, who, up, down = t[known], doc[known], parent[known], child[known]
+            keep = int(np.searchsorted(pair, m))
+            pair, parent = pair[:keep], parent[:keep]
+            child = np.minimum(paths.pair_count(t[pair], level + 1), parent)
+            if level < DEPTH:
+                some, at_pair, up, down = who[:m], pair, parent, child
+                bit = (prefix[:m] >> (DEPTH - level)) & 1
+                node = 2 * ((1 << level) | (prefix[:m] >> (DEPTH + 1 - level)))
+                x = np.zeros((PREDICTORS, m), np.float32)
+                for k, (counts, _, _, depth) in enumerate(flat):
+                    if level < depth:
+                        at = rows[k][:m] + node
+                        x[k] = evidence(np.maximum(counts[at + bit] - own[:m], 0), counts[at + 1 - bit])
+                spot = at_pair
             else:
-                some, who, up, down = t, doc, parent, child
+                known = parent > 0
+                block[pair[~known]] += 1
+                at_pair, up, down = pair[known], parent[known], child[known]
+                some, x, spot = who[at_pair], np.zeros((PREDICTORS, len(at_pair)), np.float32), np.arange(len(at_pair))
             if len(some):
-                bit, x = paths.inputs(tables, some, level, up, down)
-                gate = np.minimum(np.ceil(np.log2(up + 1)), GATES - 1).astype(np.int64)
-                w = weights[gate] + change[who]
-                z = np.einsum("ij,ji->i", w, x)
+                z = np.zeros(len(some), np.float32)
+                if len(spot):
+                    x[-1, spot] = evidence(down, up - down)
+                    gate = _GATE[np.minimum(up, 5).astype(np.int64)]
+                    for k in range(PREDICTORS):
+                        z[spot] += (weights[:, k] - weights[0, k])[gate] * x[k, spot]
+                for k in range(PREDICTORS):
+                    if k == PREDICTORS - 1 or level < flat[k][3]:
+                        z += each[k][some] * x[k]
                 p = squash(z)
-                bucket = np.clip((z + 12) * (BUCKETS / 24), 0, BUCKETS - 1).astype(np.int64)
-                at = who * (2 * BUCKETS) + 2 * bucket
-                flat = hits.reshape(-1)
-                refined = 0.5 * p + 0.5 * flat[at + 1] / (flat[at] + flat[at + 1])
-                refined = np.clip(np.where(bit == 1, refined, 1 - refined), 1e-6, 1)
-                out[some] -= np.log2(refined)
-                error = bit - p
-                for k in range(4):
-                    gradient[k] += np.bincount(who, weights=error * x[k], minlength=n)
-                seen += np.bincount(who, minlength=n)
-                learned += np.bincount(at + bit, minlength=len(learned))
-            parent = np.minimum(child, parent)
-        steps[going] += 1
-        change += (RATE * gradient / (seen + 200.0)).T.astype(np.float32)
-        hits += learned.reshape(hits.shape).astype(np.float32)
+                bucket = ((np.clip(z, -11.99, 11.99) + 12) * np.float32(BUCKETS / 24)).astype(np.int64)
+                base = some * BUCKETS
+                hit = came[base + bucket]
+                refined = 0.5 * p + 0.5 * hit / (hit + came[base + (BUCKETS - 1) - bucket])
+                cost = -np.log2(np.maximum(refined, np.float32(1e-6)))
+                if level < DEPTH:
+                    block[:m] += cost
+                else:
+                    block[at_pair] += cost
+                error = 1 - p
+                for k in range(PREDICTORS):
+                    if k == PREDICTORS - 1 or level < flat[k][3]:
+                        gradient[k] += np.bincount(some, weights=error * x[k], minlength=n)
+                seen += np.bincount(some, minlength=n)
+                learned += np.bincount(base + bucket, minlength=len(came))
+            parent = child
+        out[t] = block
+        change += (RATE * gradient / (seen + 200.0)).astype(np.float32)
+        came += learned.astype(np.float32)
     return out
