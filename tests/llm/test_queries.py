@@ -2,6 +2,7 @@
 
 import os
 
+import duckdb
 import pytest
 
 from framewright.llm import catalog
@@ -21,3 +22,21 @@ def test_rows(spark, name):
         assert rows == 20 * -(-n // 20)
     else:
         assert rows == n
+
+
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
+def test_query_equals_sql(spark, name):
+    duck = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF_DIR}/{t}.parquet'")
+    got, want = catalog.QUERIES[name](spark, SF_DIR), duck.sql(catalog.ORACLES[name])
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    kinds = dict(got.dtypes)
+    assert {c: {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double", "BOOLEAN": "boolean"}[str(t)] for c, t in zip(want.columns, want.types)} == kinds
+    rows = [sorted(map(repr, f[columns].astype(object).values.tolist())) for f in (got.toPandas(), want.df())]
+    assert rows[0] == rows[1]
+
+
+def test_the_tables_hold_no_encoded_keys(spark):
+    assert catalog.op4_secret_scan(spark, SF_DIR).agg({"n_confirmed": "sum"}).first()[0] == 0
