@@ -35,7 +35,7 @@ from . import context_mixing as cm
 from . import word_mixing as wm
 from .common import drop_shared, id_remainder, lower_ascii_words, slices, stored, texts
 
-CHUNK_WORDS, CHUNK_TOKENS = 500_000, 5_000_000
+CHUNK_WORDS, CHUNK_TOKENS = 400_000, 3_000_000
 BLOCK_WORDS, BLOCK_ROWS = 60_000, 20_000
 WORD_BUCKETS, PAIR_TOKENS, MAX_PAIR_PARTS = 1024, 2_000_000, 1 << 16
 SCORE_TOKENS = 300_000
@@ -384,16 +384,18 @@ class Chunk:
         self.train = ~self.held[self.text]
 
     def pairs(self):
-        """(context, code, training count, whether a held-out text has it) of the distinct pairs, by context and code, and
+        """(context, code, training count, whether a held-out text has it) of the distinct pairs, by context, and
         each token's pair and context."""
         context = wm.pair_contexts(self.code, self.place)
-        _, one, pair = np.unique(wm.mixed(context + wm.mixed(self.code + np.uint64(1))), return_index=True, return_inverse=True)
-        order = np.lexsort((self.code[one], context[one]))
-        new = np.empty(len(one), np.int64)
-        new[order] = np.arange(len(one))
-        pair = new[pair]
-        n, asked = (np.bincount(pair[t], minlength=len(one)) for t in (self.train, ~self.train))
-        return context[one[order]], self.code[one[order]], n, asked > 0, pair, context
+        order = np.argsort(context | wm.mixed(self.code) >> np.uint64(48))
+        at, code = context[order], self.code[order]
+        # the key's last bits may be those of several codes, which then take turns: an owner adds up what comes twice
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(at)), bool), (at[1:] != at[:-1]) | (code[1:] != code[:-1])]))
+        pair = np.empty(len(order), np.int64)
+        pair[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+        n = np.add.reduceat(self.train[order].astype(np.int64), first)
+        size = np.diff(np.append(first, len(order)))
+        return at[first], code[first], n, n < size, pair, context
 
 
 def rows_of(batches):

@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Levels of the code that tables hold; deeper bits, of rare words, are known from two-word contexts only.
-DEPTH, PREVIOUS_DEPTH = 14, 10
+DEPTH, PREVIOUS_DEPTH = 16, 10
 #: Commonest words that are contexts of their own, as topic and as word before.
 TOPICS, PREVIOUS = 32, 512
 WINDOW = 16
@@ -112,19 +112,28 @@ def own_counts(doc: np.ndarray, context: np.ndarray, code: np.ndarray):
     return listed, value, entry
 
 
-class Tables:
-    """Counts of nodes under topics and under words before."""
-
-    def __init__(self, topic_leaves: np.ndarray, previous_leaves: np.ndarray):
-        self.topic, self.before = (with_inner_nodes(x).astype(np.float32) for x in (topic_leaves, previous_leaves))
-
-
 def evidence(same: np.ndarray, other: np.ndarray) -> np.ndarray:
     """A predictor's log odds of the bit that comes, from counts of it and of the other; less of them where little was seen."""
     n = same + other
     return np.log((same + np.float32(DELTA)) / (other + np.float32(DELTA))) * (n / (n + np.float32(0.8)))
 
 
+def node_evidence(counts: np.ndarray) -> np.ndarray:
+    """For each context and node the evidence of coming from its parent to it: first for other texts' tokens, then for tokens
+    that are counted themselves."""
+    same = counts.astype(np.float32)
+    other = same.reshape(-1, 2)[:, ::-1].reshape(same.shape)
+    return np.stack([evidence(same, other), evidence(np.maximum(same - 1, 0), other)]).reshape(-1)
+
+
+class Tables:
+    """What topics and words before say of every node."""
+
+    def __init__(self, topic_leaves: np.ndarray, previous_leaves: np.ndarray):
+        self.topic, self.before = node_evidence(with_inner_nodes(topic_leaves)), node_evidence(with_inner_nodes(previous_leaves))
+        self.contexts = len(topic_leaves), len(previous_leaves)
+
+
 class Paths:
     """What is known of each token of some texts: its code, contexts, and counts in its two-word context without its own text."""
 
@@ -142,7 +151,7 @@ class Paths:
 
 
 def squash(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(z, -12, 12)))
+    return 1 / (1 + np.exp(-z))
 
 
 def blocks(sizes: np.ndarray):
@@ -167,69 +176,69 @@ def bits(paths: Paths, tables: Tables, sizes: np.ndarray, weights: np.ndarray =
     change = np.zeros((PREDICTORS, n), np.float32)
     centre = squash((np.arange(BUCKETS, dtype=np.float32) + 0.5) * (24 / BUCKETS) - 12)
     came = np.tile(MAP_WEIGHT * centre, n).astype(np.float32)
-    flat = [(tables.topic.reshape(-1), paths.topic, tables.topic.shape[1], DEPTH), (tables.before.reshape(-1), paths.before, tables.before.shape[1], PREVIOUS_DEPTH)]
+    flat = [(tables.topic, paths.topic, tables.contexts[0], 2 << DEPTH, DEPTH), (tables.before, paths.before, tables.contexts[1], 2 << PREVIOUS_DEPTH, PREVIOUS_DEPTH)]
+    last = PREDICTORS - 1
     for going, first, end in blocks(sizes):
         count = end - first
         t = np.repeat(starts[going] + first, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
         order = np.argsort(-paths.length[t], kind="stable")  # those that go on stand in front
         t, who = t[order], np.repeat(going, count)[order]
-        length, own = paths.length[t], paths.train[t]
-        prefix = (paths.code[t] >> np.uint64(63 - DEPTH)).astype(np.int32)  # one bit more than the tables' depth
-        rows = [context[t].astype(np.int32) * np.int32(width) for _, context, width, _ in flat]
-        block = np.zeros(len(t))
+        length, own = paths.length[t], paths.train[t].astype(np.int32)
+        prefix = (paths.code[t] >> np.uint64(64 - DEPTH)).astype(np.int32)
+        rows = [(own * contexts + context[t]) * np.int32(width) for _, context, contexts, width, _ in flat]
+        block = np.zeros(len(t), np.float32)
         # below the tables nothing is known without a two-word context, and a bit costs a bit
         pair = np.flatnonzero(paths.levels[t] > 0)
         lone = paths.levels[t] == 0
         block[lone] = np.maximum(length[lone] - DEPTH, 0)
-        gradient, seen, learned = np.zeros((PREDICTORS, n)), np.zeros(n), np.zeros(len(came))
+        gradient, learned = np.zeros((PREDICTORS, n)), np.zeros(len(came))
+        seen = np.bincount(who, weights=np.minimum(length, DEPTH), minlength=n)
         parent = paths.pair_count(t[pair], 0)
-        each = weights[0][:, None] + change
+        each, base_of = weights[0][:, None] + change, who * BUCKETS
+        mapped = came.reshape(n, BUCKETS)
+        mapped = (mapped / (mapped + mapped[:, ::-1])).reshape(-1)
         for level in range(int(length[0])):
             m = int(np.searchsorted(-length, -level))
             keep = int(np.searchsorted(pair, m))
             pair, parent = pair[:keep], parent[:keep]
             child = np.minimum(paths.pair_count(t[pair], level + 1), parent)
             if level < DEPTH:
-                some, at_pair, up, down = who[:m], pair, parent, child
-                bit = (prefix[:m] >> (DEPTH - level)) & 1
-                node = 2 * ((1 << level) | (prefix[:m] >> (DEPTH + 1 - level)))
-                x = np.zeros((PREDICTORS, m), np.float32)
-                for k, (counts, _, _, depth) in enumerate(flat):
-                    if level < depth:
-                        at = rows[k][:m] + node
-                        x[k] = evidence(np.maximum(counts[at + bit] - own[:m], 0), counts[at + 1 - bit])
-                spot = at_pair
+                some, base, spot, up, down = who[:m], base_of[:m], pair, parent, child
+                node = (prefix[:m] >> (DEPTH - 1 - level)) | np.int32(2 << level)
+                x = [counts[row[:m] + node] for (counts, *_, depth), row in zip(flat, rows) if level < depth]
+                z = each[0][some] * x[0]
+                for k in range(1, len(x)):
+                    z += each[k][some] * x[k]
             else:
                 known = parent > 0
                 block[pair[~known]] += 1
                 at_pair, up, down = pair[known], parent[known], child[known]
-                some, x, spot = who[at_pair], np.zeros((PREDICTORS, len(at_pair)), np.float32), np.arange(len(at_pair))
-            if len(some):
+                some, base, spot, x = who[at_pair], base_of[at_pair], slice(None), []
                 z = np.zeros(len(some), np.float32)
-                if len(spot):
-                    x[-1, spot] = evidence(down, up - down)
-                    gate = _GATE[np.minimum(up, 5).astype(np.int64)]
-                    for k in range(PREDICTORS):
-                        z[spot] += (weights[:, k] - weights[0, k])[gate] * x[k, spot]
-                for k in range(PREDICTORS):
-                    if k == PREDICTORS - 1 or level < flat[k][3]:
-                        z += each[k][some] * x[k]
-                p = squash(z)
-                bucket = ((np.clip(z, -11.99, 11.99) + 12) * np.float32(BUCKETS / 24)).astype(np.int64)
-                base = some * BUCKETS
-                hit = came[base + bucket]
-                refined = 0.5 * p + 0.5 * hit / (hit + came[base + (BUCKETS - 1) - bucket])
-                cost = -np.log2(np.maximum(refined, np.float32(1e-6)))
-                if level < DEPTH:
-                    block[:m] += cost
-                else:
-                    block[at_pair] += cost
-                error = 1 - p
-                for k in range(PREDICTORS):
-                    if k == PREDICTORS - 1 or level < flat[k][3]:
-                        gradient[k] += np.bincount(some, weights=error * x[k], minlength=n)
+            if not len(some):
+                parent = child
+                continue
+            if len(up):
+                of_pair = evidence(down, up - down)
+                gate = _GATE[np.minimum(up, 5).astype(np.int64)]
+                more = (weights[:, last][gate] + change[last][some[spot]]) * of_pair
+                for k in range(len(x)):
+                    more += (weights[:, k] - weights[0, k])[gate] * x[k][spot]
+                z[spot] += more
+            p = squash(z)
+            at = base + ((np.clip(z, -11.99, 11.99) + 12) * np.float32(BUCKETS / 24)).astype(np.int32)
+            cost = -np.log2(np.maximum(0.5 * p + 0.5 * mapped[at], np.float32(1e-6)))
+            if level < DEPTH:
+                block[:m] += cost
+            else:
+                block[at_pair] += cost
                 seen += np.bincount(some, minlength=n)
-                learned += np.bincount(base + bucket, minlength=len(came))
+            error = 1 - p
+            for k in range(len(x)):
+                gradient[k] += np.bincount(some, weights=error * x[k], minlength=n)
+            if len(up):
+                gradient[last] += np.bincount(some[spot], weights=error[spot] * of_pair, minlength=n)
+            learned += np.bincount(at, minlength=len(came))
             parent = child
         out[t] = block
         change += (RATE * gradient / (seen + 200.0)).astype(np.float32)

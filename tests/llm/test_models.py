@@ -413,7 +413,7 @@ def slow_scores(spark, texts, held):
     def stretch(n0, n1):
         return math.log((n1 + wm.DELTA) / (n0 + wm.DELTA)) * (n0 + n1) / (n0 + n1 + 0.8)
 
-    squash = lambda z: 1 / (1 + math.exp(-max(-12, min(12, z))))
+    squash = lambda z: 1 / (1 + math.exp(-z))
     out = []
     for i, path in enumerate(coded):
         change = [0.0] * wm.PREDICTORS
