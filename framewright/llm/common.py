@@ -25,8 +25,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Before any Python runs on executors: the package is there, and batches of long texts stay small. Spark reads the size of batches
+    when a returned frame runs, so it can't be put back before; a session that set a size of its own keeps it."""
+    ship(spark)
+    if spark.conf.get(ARROW_ROWS) == "10000":  # Spark's default
+        spark.conf.set(ARROW_ROWS, str(BATCH_ROWS))
+
+
 def slices(batches, rows: int = BATCH_ROWS):
-    """Arrow batches in slices of few rows: no session setting is touched for it."""
+    """Arrow batches in slices of few rows, whatever the session's setting."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
@@ -34,7 +45,7 @@ def slices(batches, rows: int = BATCH_ROWS):
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) alone, null texts as empty ones. Other columns, of whatever name, are not read."""
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),

@@ -25,9 +25,7 @@ from itertools import accumulate
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from framewright.shipping import ship
-
-from .common import slices, texts
+from .common import prepare, slices, texts
 
 #: The base kinds in the order in which equal starts are listed, then the confirmed kinds.
 KINDS = ("assign", "access", "hex", "jwt", "pem", "der", "derhex", "ssh")
@@ -301,7 +299,7 @@ def redacted(text: str, mark: str = "[secret]") -> str:
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """All rows and columns of `docs`, secrets in `text_col` replaced by `mark`; null texts stay null."""
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     where, schema = docs.columns.index(text_col), docs.schema
 
     def change(batches):

@@ -21,9 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.shipping import ship
-
-from .common import drop_shared, id_remainder, slices, stored, texts
+from .common import drop_shared, id_remainder, prepare, slices, stored, texts
 
 SIZES = (3, 4, 5, 6)
 BITS = 20
@@ -208,7 +206,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, that score below the threshold."""
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     shared, where = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def scan(batches):
