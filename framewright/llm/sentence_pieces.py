@@ -302,22 +302,27 @@ class Encoder:
         known = self.learn(set(words))
         return sum(known[w][0] for w in words), b"".join([known[w][1] for w in words])
 
-    def transfer(self, before: str, chunk: str) -> np.ndarray:
-        """[state on the left, state on the right] -> best score. A state is how many characters before the boundary the piece
-        across it starts; such a piece is scored in the chunk where it ends."""
+    def parts(self, before: str, chunk: str) -> tuple[str, str, str] | None:
+        """A chunk before its first cut, between its cuts, and from its last cut on; None without cuts."""
+        places = self.cut_places(chunk, before[-1:])
+        return (chunk[: places[0]], chunk[places[0] : places[-1]], chunk[places[-1] :]) if places else None
+
+    def transfer(self, before: str, chunk: str) -> tuple[np.ndarray, bytes]:
+        """([state on the left, state on the right] -> best score, ids between the cuts). A state is how many characters before
+        the boundary the piece across it starts; such a piece is scored in the chunk where it ends."""
         p, n = self.pieces, len(chunk)
         size = p.longest
         out = np.full((size, size), NEVER, np.int64)
-        places = self.cut_places(chunk, before[-1:])
-        if places:
-            first, last = places[0], places[-1]
-            middle = self.scored(chunk[first:last])[0] if last > first else 0
-            tail = p.ends(chunk, last)
+        parts = self.parts(before, chunk)
+        if parts:
+            head, middle, tail = parts
+            score, ids = self.scored(middle) if middle else (0, b"")
+            ends = p.ends(tail, 0)
             for d in range(min(size, len(before) + 1)):
-                head = self._to(before, chunk[:first], d)
-                if head > NEVER:
-                    out[d] = np.where(tail > NEVER, head + middle + tail, NEVER)
-            return out
+                to_cut = self._to(before, head, d)
+                if to_cut > NEVER:
+                    out[d] = np.where(ends > NEVER, to_cut + score + ends, NEVER)
+            return out, ids
         for d in range(min(size, len(before) + 1)):
             if d == 0:
                 out[0] = p.ends(chunk, 0)
@@ -334,7 +339,7 @@ class Encoder:
             for e in range(size):
                 if n - e > 0:
                     out[d, e] = score[len(text) - e]
-        return out
+        return out, b""
 
     def _to(self, before: str, head: str, d: int) -> int:
         """Best score from state d to the end of `head`, a cut."""
@@ -342,17 +347,15 @@ class Encoder:
             return 0 if d == 0 else NEVER
         return self.pieces.best(before[len(before) - d :] + head if d else head, d, None, d > 0)[0]
 
-    def trace(self, before: str, chunk: str, reach: np.ndarray, rights: int) -> list[tuple[int, bytes]]:
+    def trace(self, before: str, head: str, tail: str | None, middle: bytes, reach: np.ndarray, rights: int) -> list[tuple[int, bytes]]:
         """For each of the first `rights` states on the right: the state on the left that it comes from, -1 if there is none,
-        and the ids of the pieces that end in the chunk. `reach`: the best scores of the text before, by state on the left."""
-        places = self.cut_places(chunk, before[-1:])
-        if not places:
-            return self._traced(before, chunk, reach, range(rights))
-        first, last = places[0], places[-1]
-        left, head = self._traced(before, chunk[:first], reach, [0])[0]
-        middle = self.scored(chunk[first:last])[1] if last > first else b""
-        tails = self._traced("", chunk[last:], np.zeros(1, np.int64), range(rights))
-        return [(left if d >= 0 else -1, head + middle + ids) for d, ids in tails]
+        and the ids of the pieces that end in the chunk. `reach`: the best scores of the text before, by state on the left; `middle`:
+        the ids between the cuts; a chunk without cuts is all head, its tail None."""
+        if tail is None:
+            return self._traced(before, head, reach, range(rights))
+        left, first = self._traced(before, head, reach, [0])[0]
+        tails = self._traced("", tail, np.zeros(1, np.int64), range(rights))
+        return [(left if d >= 0 else -1, first + middle + ids) for d, ids in tails]
 
     def _traced(self, before: str, part: str, reach: np.ndarray, rights) -> list[tuple[int, bytes]]:
         """The pass over a part without cuts, from all states on its left at once."""
@@ -480,32 +483,43 @@ def _encode_giants(docs: DataFrame, path: str, chunk_chars: int) -> DataFrame:
     keyed = docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text")
     schema = "key long, doc_id long, chunk int, before string, part string, inside boolean, text string"
     chunks = stored(keyed.mapInArrow(cut, schema), "sp-chunks", "zstd")
-    dealt = chunks.select("key", "chunk", "before", "part").repartition("key", "chunk")
+    dealt = chunks.select("key", "chunk", "before", "part", "inside").repartition("key", "chunk")
 
     def matrices(batches):
-        for batch in slices(batches):
-            m = [encoder(path).transfer(b, c).tobytes() for b, c in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(m, pa.binary())], names=["key", "chunk", "m"])
+        """Each chunk's words are cut here, once; what is left to trace is before its first cut and after its last."""
+        for batch in batches:
+            out = [[], [], [], []]
+            for b, c in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                m, middle = encoder(path).transfer(b, c)
+                parts = encoder(path).parts(b, c)
+                for column, value in zip(out, (m.tobytes(), parts[0] if parts else c, parts[2] if parts else None, middle)):
+                    column.append(value)
+            kinds = (pa.binary(), pa.string(), pa.string(), pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(x, k) for x, k in zip(out, kinds)), batch.column(2), batch.column(4)],
+                                             names=["key", "chunk", "m", "head", "tail", "middle", "before", "inside"])
+
+    schema = "key long, chunk int, m binary, head string, tail string, middle binary, before string, inside boolean"
+    cut_chunks = stored(dealt.mapInArrow(matrices, schema), "sp-matrices", "zstd")
 
     def scan(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("chunk")
         m = np.frombuffer(b"".join(rows["m"].to_pylist()), np.int64).reshape(len(rows), longest, longest)
         return pa.table([rows["key"], rows["chunk"], pa.array([r.tobytes() for r in reaches(m)], pa.binary())], names=["key", "chunk", "reach"])
 
-    before = dealt.mapInArrow(matrices, "key long, chunk int, m binary").groupBy("key").applyInArrow(scan, "key long, chunk int, reach binary")
+    before = cut_chunks.select("key", "chunk", "m").groupBy("key").applyInArrow(scan, "key long, chunk int, reach binary")
 
     def trace(batches):
-        for batch in slices(batches):
+        for batch in batches:
             key, chunk, right, left, ids = [], [], [], [], []
-            for k, c, b, part, inside, reach in zip(*(x.to_pylist() for x in batch.columns)):
-                for r, (d, got) in enumerate(encoder(path).trace(b, part, np.frombuffer(reach, np.int64), longest if inside else 1)):
+            for k, c, b, head, tail, middle, inside, reach in zip(*(x.to_pylist() for x in batch.columns)):
+                for r, (d, got) in enumerate(encoder(path).trace(b, head, tail, middle, np.frombuffer(reach, np.int64), longest if inside else 1)):
                     if d >= 0:
                         for column, value in zip((key, chunk, right, left, ids), (k, c, r, d, got)):
                             column.append(value)
             columns = [pa.array(key, pa.int64()), *(pa.array(x, pa.int32()) for x in (chunk, right, left)), pa.array(ids, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["key", "chunk", "right", "left", "ids"])
 
-    joined = chunks.join(before, ["key", "chunk"]).select("key", "chunk", "before", "part", "inside", "reach")
+    joined = cut_chunks.join(before, ["key", "chunk"]).select("key", "chunk", "before", "head", "tail", "middle", "inside", "reach")
     traced = joined.mapInArrow(trace, "key long, chunk int, right int, left int, ids binary")
 
     def together(rows: pa.Table) -> pa.Table:

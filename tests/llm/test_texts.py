@@ -405,10 +405,12 @@ def chunked(e, text, size):
     marked, longest = mark + text.replace(" ", mark), e.pieces.longest
     starts = sentence_pieces.chunk_starts(marked, size, longest)
     parts = [(marked[max(0, a - longest + 1) : a], marked[a:b]) for a, b in zip(starts, [*starts[1:], len(marked)])]
-    reach = sentence_pieces.reaches(np.stack([e.transfer(*p) for p in parts]))
+    got = [e.transfer(*p) for p in parts]
+    reach = sentence_pieces.reaches(np.stack([m for m, _ in got]))
     out, state = [], 0
-    for p, r in reversed(list(zip(parts, reach))):
-        state, ids = e.trace(*p, r, longest)[state]
+    for (before, chunk), (_, middle), r in reversed(list(zip(parts, got, reach))):
+        head, _, tail = e.parts(before, chunk) or (chunk, "", None)
+        state, ids = e.trace(before, head, tail, middle, r, longest)[state]
         out.append(ids)
     return b"".join(reversed(out)), len(parts)
 
