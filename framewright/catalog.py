@@ -7,6 +7,9 @@ row validates, unless a query is about splitting. Floats are rounded to six plac
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +79,16 @@ def split_hashed(spark, sf_dir):
     return parts[0].unionByName(parts[1])
 
 
+def epoch_shuffle(spark, sf_dir):
+    return split.epoch_order(_labels(spark, sf_dir), 3).select("row_id", "place")
+
+
+def load_frames(spark, sf_dir):
+    """Frames by the name of their kind: a prefix, of which the seeded split's validation rows are taken."""
+    f = sources.load_frames(spark, "embeddings", "VAL", path=f"{sf_dir}/embeddings.parquet", max_samples=200)
+    return f.select("row_id", "label", F.size("x").alias("n_samples"))
+
+
 def split_prefix(spark, sf_dir):
     return split.prefix(_labels(spark, sf_dir), 100).select("row_id", "label")
 
@@ -281,6 +294,37 @@ def bank_subsample(spark, sf_dir):
     return banks.subsample(banks.from_frames(_frames(spark, sf_dir)), 20).select("ref_index", "label")
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share: in spark.checkpoint.dir, or with a local master a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{shared or tempfile.mkdtemp(prefix='framewright-')}/{name}-{uuid.uuid4().hex}"
+
+
+def bank_stored(spark, sf_dir):
+    """A bank written with its manifest and read again for the encoder that made it."""
+    encoder, path = mlp.by_rule(ENCODER), _scratch(spark, "bank")
+    banks.export(_frames(spark, sf_dir), encoder, path, run="query")
+    b = banks.load(spark, path, encoder)
+    return b.select("ref_index", "label", F.posexplode("z").alias("pos", "v")).select("ref_index", "label", "pos", F.round("v", 4).alias("value"))
+
+
+def checkpoint_stored(spark, sf_dir):
+    """An encoder written as a checkpoint, read again and applied."""
+    path = _scratch(spark, "checkpoint")
+    mlp.save(mlp.by_rule(ENCODER), spark, path, latent_dim=ENCODER[-1])
+    encoder, config = mlp.load(spark, path)
+    return _long(mlp.apply(_frames(spark, sf_dir), encoder)).withColumn("latent_dim", F.lit(config["latent_dim"]))
+
+
+def derived_rates(spark, sf_dir):
+    """Milliseconds a frame and frames a second, of made-up runs."""
+    runs = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").cast("int").alias("run"))
+    runs = runs.agg(F.count(F.lit(1)).alias("samples"), F.round(F.sum("l_tax"), 2).alias("seconds"))
+    return runs.select("run", "samples", *(_r(c) for c in ("seconds",)), *(F.round(c, 6).alias(n) for c, n in zip(evaluate.rates(F.col("samples"), F.col("seconds")), ("mean_frame_ms", "fps"))))
+
+
 def comparison(spark, sf_dir):
     train, val = _parts(spark, sf_dir)
     return evaluate.comparison(train, val, CLASSES, DIM).select("method", _r("accuracy"), "total", "n_bytes")
@@ -345,6 +389,8 @@ QUERIES = {
     "stats_n_unique": stats_n_unique, "stats_split_counts": stats_split_counts,
     "waveform_neighbours": waveform_neighbours, "bank_prototypes": bank_prototypes,
     "bank_footprint": bank_footprint, "bank_subsample": bank_subsample, "comparison": comparison,
+    "epoch_shuffle": epoch_shuffle, "load_frames": load_frames, "bank_stored": bank_stored, "checkpoint_stored": checkpoint_stored,
+    "derived_rates": derived_rates,
     "signal_frames": signal_frames, "encode_iq": encode_iq, "mf_multi_template": mf_multi_template, "templates_decoded": templates_decoded,
     "latent_retrieval": latent_retrieval, "classify_by_network": classify_by_network, "train_classifier": train_classifier,
     "train_autoencoder": train_autoencoder, "bench_matched_filter": bench_matched_filter,
@@ -441,6 +487,14 @@ ORACLES: dict[str, str] = {
     "split_seeded": f"SELECT vec_id AS row_id, {_SPLIT} AS split FROM embeddings",
     "split_hashed": """SELECT vec_id AS row_id, CASE WHEN CAST('0x' || substr(md5('42:' || vec_id), 1, 8) AS BIGINT) < CAST(floor(0.9 * 4294967296) AS BIGINT)
   THEN 'train' ELSE 'val' END AS split FROM embeddings""",
+    "epoch_shuffle": "SELECT vec_id AS row_id, CAST('0x' || substr(md5('42000129:' || vec_id), 1, 8) AS BIGINT) AS place FROM embeddings",
+    "load_frames": f"""SELECT vec_id AS row_id, CAST(label AS INT) AS label, CAST(len(embedding) AS INT) AS n_samples FROM embeddings
+  WHERE vec_id IN ({','.join(map(str, split.validation_rows(200)))})""",
+    "bank_stored": _with(*_ENCODED, "y AS (SELECT DISTINCT row_id, CAST(label AS INT) AS label FROM f)")
+    + """SELECT row_id AS ref_index, label, CAST(pos AS INT) AS pos, round(CAST(CAST(v AS FLOAT) AS DOUBLE), 4) AS value FROM z JOIN y USING (row_id)""",
+    "checkpoint_stored": _with(*_ENCODED) + "SELECT row_id, CAST(pos AS INT) AS pos, round(v, 6) AS value, CAST(8 AS INT) AS latent_dim FROM z",
+    "derived_rates": """SELECT run, samples, seconds, round(1000 * seconds / samples, 6) AS mean_frame_ms, round(samples / seconds, 6) AS fps FROM
+  (SELECT CAST(l_linenumber AS INT) AS run, count(*) AS samples, round(sum(l_tax), 2) AS seconds FROM lineitem GROUP BY 1)""",
     "split_prefix": "SELECT vec_id AS row_id, CAST(label AS INT) AS label FROM embeddings WHERE vec_id < 100",
     "split_disjoint": f"""WITH s AS (SELECT vec_id, {_SPLIT} AS split FROM embeddings), t AS (SELECT vec_id FROM s WHERE split = 'train'), v AS (SELECT vec_id FROM s WHERE split = 'val')
 SELECT 'shared' AS what, (SELECT count(*) FROM t WHERE vec_id IN (SELECT vec_id FROM v)) AS n

@@ -73,6 +73,12 @@ def hashed(frames: DataFrame, split: str, fraction: float = 0.9, seed: int = 42,
     return frames.where(train if split == "train" else ~train)
 
 
+def epoch_order(frames: DataFrame, epoch: int, seed: int = 42, order: str = "row_id") -> DataFrame:
+    """Frames with `place`, a number that orders them anew in every epoch; sorted by ranges, so that no task gets all rows."""
+    key = hash32(seed * 1_000_003 + epoch, order)
+    return frames.withColumn("place", key).repartitionByRange("place", order).sortWithinPartitions("place", order)
+
+
 def modular(frames: DataFrame, split: str, order: str = "row_id", modulus: int = 10) -> DataFrame:
     """Every `modulus`-th row validates."""
     split = checked(split)

@@ -89,6 +89,12 @@ def single_frame_ms(frame: np.ndarray, spectra: np.ndarray, mode: str, repeats:
     return 1000 * (time.perf_counter() - began) / max(repeats, 1)
 
 
+def rates(samples, seconds):
+    """(milliseconds a frame, frames a second) as columns; nothing takes no time, and no time is infinitely fast."""
+    ms = 1000 * seconds / F.greatest(samples, F.lit(1))
+    return ms.alias("mean_frame_ms"), F.when(seconds > 0, samples / seconds).otherwise(F.lit(float("inf"))).alias("fps")
+
+
 RUNTIME = (
     "mode string, split string, samples long, template_build_s double, single_frame_ms double, frame_repeats int, "
     "load_s double, score_s double, mean_frame_ms double, fps double, accuracy double, correct long, total long"
@@ -122,5 +128,7 @@ def runtime(frames: DataFrame, n: int, num_classes: int, mode: str = "fft", max_
     began = time.perf_counter()
     got = score.accuracy(score.predict(val, mu, mode)).first()
     score_s = time.perf_counter() - began
-    row = (mode, "val", samples, build_s, frame_ms, frame_repeats, load_s, score_s, 1000 * score_s / max(samples, 1), samples / score_s if score_s else float("inf"), got["accuracy"], got["correct"], got["total"])
-    return spark.createDataFrame([row], RUNTIME)
+    columns = [c for c in RUNTIME.split(", ") if c.split()[0] not in ("mean_frame_ms", "fps")]
+    row = (mode, "val", samples, build_s, frame_ms, frame_repeats, load_s, score_s, got["accuracy"], got["correct"], got["total"])
+    one = spark.createDataFrame([row], ", ".join(columns))
+    return one.select("*", *rates(F.col("samples"), F.col("score_s"))).select(*(c.split()[0] for c in RUNTIME.split(", ")))
