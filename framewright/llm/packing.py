@@ -7,7 +7,8 @@ At the end the partitions' unfinished windows are merged, those of `merge_parts`
 
 A window without padding or of a power-of-two length needs no padding; any other is padded by its reader.
 Null and empty texts hold just the end id. Every id lies in exactly one piece. Repeated rows are packed as
-often as they occur; an empty table gives no piece.
+often as they occur; an empty table gives no piece. Of windows that a document fills alike the oldest is taken. Columns other than
+id and text, of whatever name, are not read.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ The dictionary is trained on serialized id arrays of pieces of text from all par
 the codec's own state, and no id depends on it.
 
 Null and empty texts hold just the end id; rows with the same id are stored in the order of their text's
-hash; null ids come first. An empty table gives no shard.
+hash; null ids come first. A very long text is one frame, and a shard of its own if need be. An empty table gives no shard. Columns
+other than id and text, of whatever name, are not read.
 """
 
 from __future__ import annotations
