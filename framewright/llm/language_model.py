@@ -33,11 +33,11 @@ from pyspark.sql import functions as F
 
 from . import context_mixing as cm
 from . import word_mixing as wm
-from .common import drop_shared, id_remainder, lower_ascii_words, slices, stored, texts
+from .common import drop_shared, id_remainder, slices, stored, texts
 
-CHUNK_WORDS, CHUNK_TOKENS = 400_000, 3_000_000
-BLOCK_WORDS, BLOCK_ROWS = 60_000, 20_000
-WORD_BUCKETS, PAIR_TOKENS, MAX_PAIR_PARTS = 1024, 2_000_000, 1 << 16
+CHUNK_WORDS, CHUNK_TOKENS = 300_000, 1_500_000
+BLOCK_WORDS, BLOCK_ROWS = 50_000, 20_000
+WORD_BUCKETS, PAIR_TOKENS, MAX_PAIR_PARTS = 1024, 1_500_000, 1 << 16
 SCORE_TOKENS = 300_000
 END = bytes([cm.END])  # no UTF-8 text holds this byte
 #: Symbols without a word, as numbers of coded words.
@@ -99,9 +99,10 @@ def chunked(docs: DataFrame) -> DataFrame:
         part, chunk, numbers, documents, size = TaskContext.get().partitionId(), 0, Numbering(), [], 0
         for batch in slices(batches):
             for doc_id, text, held in zip(*(c.to_pylist() for c in batch.columns)):
-                words = lower_ascii_words(text)
+                raw = text.encode("utf-8", "surrogatepass")
+                words = raw.lower().split()  # A-Z and ASCII white space alone, as these are bytes
                 words.append(END)
-                documents.append((np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)), doc_id, held, len(text.encode("utf-8", "surrogatepass"))))
+                documents.append((np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)), doc_id, held, len(raw)))
                 size += len(words)
                 if len(numbers) >= CHUNK_WORDS or size >= CHUNK_TOKENS:
                     yield row(part, chunk, numbers, documents)
@@ -372,13 +373,13 @@ class Chunk:
     """A coded chunk's tokens."""
 
     def __init__(self, row: dict):
-        self.tokens = opened(row["tokens"], np.uint32).astype(np.int64)
+        self.tokens = opened(row["tokens"], np.uint32).astype(np.int32)
         self.ids, self.sizes, self.bytes = (np.frombuffer(row[c], np.int64) for c in ("ids", "sizes", "bytes"))
         self.held = np.frombuffer(row["held"], np.uint8) > 0
         self.of_word = {name: opened(row[name], kind) for name, kind in KINDS.items()}
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.text = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        self.place = np.arange(len(self.tokens)) - self.starts[self.text]
+        self.text = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
+        self.place = np.arange(len(self.tokens), dtype=np.int32) - self.starts.astype(np.int32)[self.text]
         self.code = self.of_word["code"][self.tokens]
         self.rank = self.of_word["rank"][self.tokens].astype(np.int32)
         self.train = ~self.held[self.text]
@@ -391,16 +392,17 @@ class Chunk:
         at, code = context[order], self.code[order]
         # the key's last bits may be those of several codes, which then take turns: an owner adds up what comes twice
         first = np.flatnonzero(np.concatenate([np.ones(min(1, len(at)), bool), (at[1:] != at[:-1]) | (code[1:] != code[:-1])]))
-        pair = np.empty(len(order), np.int64)
-        pair[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
-        n = np.add.reduceat(self.train[order].astype(np.int64), first)
         size = np.diff(np.append(first, len(order)))
+        pair = np.empty(len(order), np.int32)
+        pair[order] = np.repeat(np.arange(len(first), dtype=np.int32), size)
+        n = np.add.reduceat(self.train[order].astype(np.int32), first)
         return at[first], code[first], n, n < size, pair, context
 
 
 def rows_of(batches):
-    for batch in batches:
-        yield from batch.to_pylist()
+    """Rows one by one: each is a chunk of several megabytes."""
+    for one in slices(batches, 1):
+        yield one.to_pylist()[0]
 
 
 def tables_of(words: DataFrame) -> wm.Tables:
