@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,10 +39,14 @@ def prepare(spark: SparkSession) -> None:
 
 
 def slices(batches, rows: int = BATCH_ROWS):
-    """Arrow batches in slices of few rows, whatever the session's setting."""
+    """Arrow batches in slices of few rows, whatever the session's setting. At a task's end its freed memory goes back to the
+    system: a worker is kept for other tasks, and what it once needed would stay with it."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # not every C library has it
+        trim(0)
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

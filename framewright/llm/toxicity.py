@@ -25,7 +25,7 @@ from .common import drop_shared, id_remainder, prepare, slices, stored, texts
 
 SIZES = (3, 4, 5, 6)
 BITS = 20
-BLOCK_CHARS = 1_000_000
+BLOCK_CHARS = 400_000
 TRAIN_TASKS, PARTS = 8, 8
 MIN_DOCS, EVIDENCE = 3, 10.83
 
