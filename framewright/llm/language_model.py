@@ -475,7 +475,8 @@ def pair_counts(words: DataFrame, n_tokens: int) -> DataFrame:
         return pa.table([rows["part"], rows["chunk"], rows["owner"], pa.array([o[0] for o in out]), pa.array([o[1] for o in out])], names=["part", "chunk", "owner", "levels", "counts"])
 
     sent = words.select(*names_of(WORDS_SCHEMA)).mapInArrow(send, schema)
-    return sent.groupBy("owner").applyInArrow(own, "part long, chunk long, owner long, levels binary, counts binary")
+    counts = sent.groupBy("owner").applyInArrow(own, "part long, chunk long, owner long, levels binary, counts binary")
+    return stored(counts, "pair-counts", "none")  # what was sent goes from the disks before scoring
 
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
