@@ -40,11 +40,11 @@ from .common import slices, stored, texts, tokenizer_path
 MARK = "▁"
 CHUNK_CHARS = 16_384
 NEVER = -(1 << 60)
-MEMO_WORDS, LONG = 250_000, 200
+MEMO_WORDS, LONG = 180_000, 200
 SCAN_BLOCK = 64
 WIDTH = 4  # bytes per id
 #: Words up to these lengths are cut together as one array.
-LENGTHS, ARRAY_WORDS, GROUP_CHARS = (4, 6, 8, 10, 12, 16, 24, 40), 20_000, 4_000_000
+LENGTHS, ARRAY_WORDS, GROUP_CHARS = (4, 6, 8, 10, 12, 16, 24, 40), 6000, 1_500_000
 _BASE, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
