@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import context_mixing as cm
 from . import word_mixing as wm
-from .common import drop_shared, id_remainder, slices, stored, texts
+from .common import distinct, drop_shared, id_remainder, slices, stored, texts
 
 CHUNK_WORDS, CHUNK_TOKENS = 300_000, 1_500_000
 BLOCK_WORDS, BLOCK_ROWS = 50_000, 20_000
@@ -88,7 +88,7 @@ def chunked(docs: DataFrame) -> DataFrame:
         tokens, words = new[tokens], list(numbers)
         learned = np.repeat(~held, sizes)
         text = np.repeat(np.arange(len(documents)), sizes)
-        once = np.unique(text[learned].astype(np.int64) << 32 | tokens[learned]) & 0xFFFFFFFF
+        once = distinct(text[learned].astype(np.int64) << 32 | tokens[learned]) & 0xFFFFFFFF
         counts, in_texts = (np.bincount(t, minlength=len(words)) for t in (tokens[learned], once))
         ids = np.array([NO_ID if d[1] is None else d[1] for d in documents], np.int64)
         values = [part, chunk, zstandard.compress(b" ".join([words[i] for i in rank.tolist()]), 1), squeezed(counts), squeezed(in_texts), squeezed(tokens),

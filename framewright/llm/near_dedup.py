@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, drop_shared, lower_ascii_words, slices, stored, texts
+from .common import Memo, distinct, drop_shared, lower_ascii_words, slices, stored, texts
 from .components import components
 
 CHUNK, ERRORS, MISS, BLOCK = 6, 1, 1e-6, 1024
@@ -65,7 +65,7 @@ def shingle_set(text: str, size: int, memo) -> np.ndarray:
     rolled = np.zeros(n, np.uint64)
     for k in range(min(size, len(h))):
         rolled = mixed(rolled * _M2 + h[k : k + n]) if k else h[:n].copy()
-    return np.unique(mixed(rolled + np.uint64(len(h) if len(h) < size else size)))
+    return distinct(mixed(rolled + np.uint64(len(h) if len(h) < size else size)))
 
 
 class Plan:

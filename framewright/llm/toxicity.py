@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_shared, id_remainder, prepare, slices, stored, texts
+from .common import distinct, drop_shared, id_remainder, prepare, slices, stored, texts
 
 SIZES = (3, 4, 5, 6)
 BITS = 20
@@ -67,7 +67,7 @@ def present(batch_texts: list[str], wanted: np.ndarray) -> tuple[np.ndarray, np.
     for bucket, owner in hashed_ngrams(batch_texts):
         hit = wanted[bucket]
         found.append(owner[hit].astype(np.int64) << BITS | bucket[hit])
-    pairs = np.unique(np.concatenate(found))
+    pairs = distinct(np.concatenate(found))
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 

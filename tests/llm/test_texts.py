@@ -12,7 +12,7 @@ import pytest
 from tokenizers import Tokenizer, models
 
 from framewright.llm import encoding, packing, secret_scan, sentence_pieces, token_store, wordpiece
-from framewright.llm.common import Memo, tokenizer_path
+from framewright.llm.common import Memo, distinct, tokenizer_path
 from tests.llm.helpers import documents, no_documents, odd_documents, odd_rows, prose
 
 BYTE, WORD, PIECE = (tokenizer_path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
@@ -503,3 +503,9 @@ def test_text_of_several_megabytes(spark, sp):
 def test_memo_is_bounded():
     m = Memo(lambda k: k * 2, 10)
     assert [m[k] for k in range(100)] == [2 * k for k in range(100)] and len(m) <= 10
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 500])
+def test_distinct(n):
+    x = np.random.default_rng(n).integers(0, 50, n).astype(np.uint64)
+    assert distinct(x).tolist() == sorted(set(x.tolist()))
