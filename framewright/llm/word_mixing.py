@@ -181,7 +181,7 @@ def bits(paths: Paths, tables: Tables, sizes: np.ndarray, weights: np.ndarray =
     for going, first, end in blocks(sizes):
         count = end - first
         t = np.repeat(starts[going] + first, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        order = np.argsort(-paths.length[t], kind="stable")  # those that go on stand in front
+        order = np.argsort((MAX_LENGTH - paths.length[t]).astype(np.uint8), kind="stable")  # those that go on stand in front
         t, who = t[order], np.repeat(going, count)[order]
         length, own = paths.length[t], paths.train[t].astype(np.int32)
         prefix = (paths.code[t] >> np.uint64(64 - DEPTH)).astype(np.int32)
