@@ -73,8 +73,8 @@ def present(batch_texts: list[str], wanted: np.ndarray) -> tuple[np.ndarray, np.
 
 def fit(rows: np.ndarray, buckets: np.ndarray, labels: np.ndarray, ratio: np.ndarray, l2: float, steps: int):
     """Weights by bucket and an intercept: logistic regression on ratio-scaled presence, full-batch Adam."""
-    used, column = np.unique(buckets, return_inverse=True)
-    scale = ratio[used]
+    used = distinct(buckets)
+    column, scale = np.searchsorted(used, buckets).astype(np.int32), ratio[used]
     w, b = np.zeros(len(used)), float(np.log((labels.sum() + 1) / (len(labels) - labels.sum() + 1)))
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     value = scale[column]
