@@ -40,8 +40,8 @@ from .components import components
 CHUNK, ERRORS, MISS, BLOCK = 6, 1, 1e-6, 1024
 BINS, DEVIATIONS = 512, 5
 MEMO_WORDS = 400_000
-#: Rows of 8 bytes' keys that are sent to every task at most (about 50 MB there).
-BROADCAST_ROWS = 1_000_000
+#: Rows of keys that are sent to every task at most (about 50 MB there).
+BROADCAST_ROWS = 500_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
 
