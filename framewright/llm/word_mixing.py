@@ -17,11 +17,12 @@ DEPTH, PREVIOUS_DEPTH = 16, 10
 TOPICS, PREVIOUS = 32, 512
 WINDOW = 16
 MAX_LENGTH = 48
-DELTA = 0.4
+#: Added to counts, and what makes few of them unsure: of single contexts, and of two words, where one sight tells much.
+DELTA, UNSURE, PAIR_DELTA, PAIR_UNSURE = 0.4, 0.8, 0.05, 0.4
 BUCKETS, MAP_WEIGHT = 25, 20.0  # an odd number: no evidence is a bucket of its own, and costs a bit
 FIRST_BLOCK, RATE = 16, 3.0
 #: Initial weights by gate, of the three predictors in the order above.
-WEIGHTS = np.array([[0.8, 0.35, 0.0], [0.75, 0.3, 0.7], [0.6, 0.25, 0.9], [0.5, 0.2, 1.1]], np.float32)
+WEIGHTS = np.array([[0.8, 0.35, 0.0], [0.7, 0.3, 0.6], [0.5, 0.2, 0.7], [0.4, 0.15, 0.8]], np.float32)
 GATES, PREDICTORS = WEIGHTS.shape
 
 
@@ -112,10 +113,10 @@ def own_counts(doc: np.ndarray, context: np.ndarray, code: np.ndarray):
     return listed, value, entry
 
 
-def evidence(same: np.ndarray, other: np.ndarray) -> np.ndarray:
+def evidence(same: np.ndarray, other: np.ndarray, delta: float = DELTA, unsure: float = UNSURE) -> np.ndarray:
     """A predictor's log odds of the bit that comes, from counts of it and of the other; less of them where little was seen."""
     n = same + other
-    return np.log((same + np.float32(DELTA)) / (other + np.float32(DELTA))) * (n / (n + np.float32(0.8)))
+    return np.log((same + np.float32(delta)) / (other + np.float32(delta))) * (n / (n + np.float32(unsure)))
 
 
 def node_evidence(counts: np.ndarray) -> np.ndarray:
@@ -219,7 +220,7 @@ def bits(paths: Paths, tables: Tables, sizes: np.ndarray, weights: np.ndarray =
                 parent = child
                 continue
             if len(up):
-                of_pair = evidence(down, up - down)
+                of_pair = evidence(down, up - down, PAIR_DELTA, PAIR_UNSURE)
                 gate = _GATE[np.minimum(up, 5).astype(np.int64)]
                 more = (weights[:, last][gate] + change[last][some[spot]]) * of_pair
                 for k in range(len(x)):

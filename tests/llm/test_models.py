@@ -410,8 +410,8 @@ def slow_scores(spark, texts, held):
                         counts[key] = counts.get(key, 0) + 1
                         own[i][key] = own[i].get(key, 0) + 1
 
-    def stretch(n0, n1):
-        return math.log((n1 + wm.DELTA) / (n0 + wm.DELTA)) * (n0 + n1) / (n0 + n1 + 0.8)
+    def stretch(n0, n1, delta=wm.DELTA, unsure=wm.UNSURE):
+        return math.log((n1 + delta) / (n0 + delta)) * (n0 + n1) / (n0 + n1 + unsure)
 
     squash = lambda z: 1 / (1 + math.exp(-z))
     out = []
@@ -431,7 +431,7 @@ def slow_scores(spark, texts, held):
                             m = [counts.get((c, bits[:j] + s), 0) - (not held[i] and s == bit) for s in "01"]
                             x[q] = stretch(*(max(v, 0) for v in m))
                     m = [counts.get((pair, bits[:j] + s), 0) - own[i].get((pair, bits[:j] + s), 0) for s in "01"]
-                    x[2] = stretch(*m)
+                    x[2] = stretch(*m, wm.PAIR_DELTA, wm.PAIR_UNSURE)
                     if j >= wm.DEPTH and not sum(m):
                         total_bits += 1
                         continue
