@@ -46,17 +46,15 @@ def id_width(path: str) -> int:
 
 
 def sampled_pieces(docs: DataFrame, pieces: int) -> DataFrame:
-    """(piece): about `pieces` pieces of the texts, and never more than twice as many. Every piece of every text has the same
-    chance, by its hash; the scan keeps just the chosen ones."""
-    in_text = F.ceil(F.length("text") / PIECE_CHARS).cast("int")
-    total = docs.agg(F.coalesce(F.sum(in_text), F.lit(0))).first()[0]
-    rate = min(1.0, pieces / max(total, 1))
-    mark = F.xxhash64("text", "doc_id")
+    """(piece): `pieces` pieces of the texts, those with the smallest hashes, so that every piece of every text has the same
+    chance. The scan passes on only pieces below a bound that the number of rows gives, each of which has a piece or more."""
+    in_text = F.ceil(F.octet_length("text") / PIECE_CHARS).cast("int")  # in bytes, which needn't be counted: some may turn out empty
+    rate = min(1.0, 4 * pieces / max(docs.count(), 1))
     below = F.lit(int(-(1 << 63) + rate * ((1 << 64) - 1025)))
     chosen = F.filter(F.sequence(F.lit(0), in_text - 1), lambda k: F.xxhash64(F.col("mark"), k) <= below)
-    rows = docs.where(in_text > 0).withColumn("mark", mark).select("mark", "text", F.explode(chosen).alias("k"))
-    rows = rows.select("mark", "k", F.substring("text", F.col("k") * PIECE_CHARS + 1, F.lit(PIECE_CHARS)).alias("piece"))
-    return rows.orderBy(F.xxhash64("mark", "k"), "mark", "k").limit(2 * pieces).select("piece")
+    rows = docs.where(in_text > 0).withColumn("mark", F.xxhash64("text", "doc_id")).select("mark", "text", F.explode(chosen).alias("k"))
+    rows = rows.select("mark", "k", F.substring("text", F.col("k") * PIECE_CHARS + 1, F.lit(PIECE_CHARS)).alias("piece")).where("piece <> ''")
+    return rows.orderBy(F.xxhash64("mark", "k"), "mark", "k").limit(pieces).select("piece")
 
 
 def train_dictionary(docs: DataFrame, path: str, width: int, dict_pieces: int) -> bytes:
