@@ -19,6 +19,7 @@ MEMO_CHUNKS, MEMO_PARTS, LONG, ROW_WORDS = 500_000, 100_000, 200, 200
 
 _L = "A-Za-zÀ-ÖØ-öø-ÿ"
 _P = ".,;:!?"
+_ENDS = frozenset(_P)
 #: A word and what follows it up to the next space: between letters, punctuation and line ends every supported
 #: pre-tokenizer starts a new piece (two line ends in a row may be one piece).
 _WORD_AND_TAIL = re.compile(rf"([{_L}]+)([{_P}\n][{_L}{_P}\n]*)")
@@ -119,6 +120,10 @@ class Encoder:
                 whole.append(k)
             elif k.isalpha():
                 words.append(k)
+            elif k[-1:] in _ENDS and (head := k[:-1]).isascii() and head.isalpha():  # the usual case of the next one
+                tailed.append((k, head, k[-1]))
+                heads.add(head)
+                parts.add(k[-1])
             elif (m := _WORD_AND_TAIL.fullmatch(k)) and "\n\n" not in k:
                 head, tail = m.groups()
                 tail = [tail] if len(tail) == 1 else _PART.findall(tail)
