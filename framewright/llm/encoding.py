@@ -107,20 +107,23 @@ class Encoder:
         parts[0] = (parts[0],)
         return parts
 
-    def _learn(self, keys: set) -> None:
-        """Put the ids of all `keys` into the current memo."""
+    def _learn(self, keys: set) -> list:
+        """Put the ids of all `keys` into the current memo; returns new keys that are too long to be kept."""
         chunks, old = self.chunks, self.old_chunks
         if len(self.parts) > MEMO_PARTS:
             self.parts.clear()
-        words, whole, tailed, heads, parts = [], [], [], set(), set()
-        for k in keys.difference(chunks):
-            if k in old:
-                chunks[k] = old[k]
-            elif type(k) is tuple:
-                whole.append(k)
-            elif k.isalpha():
-                words.append(k)
-            elif k[-1:] in _ENDS and (head := k[:-1]).isascii() and head.isalpha():  # the usual case of the next one
+        new = keys.difference(chunks)
+        if old:
+            again = old.keys() & new
+            chunks.update(zip(again, map(old.__getitem__, again)))
+            new -= again
+        whole = [k for k in new if type(k) is tuple]
+        new.difference_update(whole)
+        words = list(filter(str.isalpha, new))
+        new.difference_update(words)
+        tailed, heads, parts = [], set(), set()
+        for k in new:
+            if k[-1:] in _ENDS and (head := k[:-1]).isascii() and head.isalpha():  # the usual case of the next one
                 tailed.append((k, head, k[-1]))
                 heads.add(head)
                 parts.add(k[-1])
@@ -146,6 +149,8 @@ class Encoder:
         get = self.parts.__getitem__
         for k, head, tail in tailed:
             chunks[k] = chunks[head] + b"".join(map(get, tail))
+        long = [k for k in whole if len(k if type(k) is str else k[0]) > LONG]
+        return long + [k for k in words if len(k) > LONG] + [k for k, _, _ in tailed if len(k) > LONG]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.style == "whole":
@@ -161,12 +166,11 @@ class Encoder:
 
     def _encode(self, split: list[list]) -> list[bytes]:
         keys = set().union(*split)
-        self._learn(keys)
+        long = self._learn(keys)
         get = self.chunks.__getitem__
         out = [b"".join(map(get, parts)) for parts in split]
-        for k in keys:
-            if len(k) > LONG or type(k) is tuple and len(k[0]) > LONG:
-                self.chunks.pop(k)
+        for k in long:
+            del self.chunks[k]
         if len(self.chunks) > MEMO_CHUNKS:
             self.old_chunks, self.chunks = self.chunks, {}
         return out
