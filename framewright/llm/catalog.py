@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embedding_dedup, language_model, near_dedup, packing, secret_scan, sentence_pieces, token_store, toxicity, wordpiece
+from . import (
+    ann, clustering, embedding_dedup, language_model, near_dedup, packing, secret_scan, sentence_pieces, token_store, toxicity, vector_codes,
+    warc_store, wordpiece,
+)
 from .common import id_remainder, table, tokenizer_path
 from .oracles import ORACLES as TABLE_ORACLES
 from .oracles import op10
@@ -64,6 +67,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digest(table(spark, sf_dir, "embeddings"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_store.write_and_read(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_language_model": op1_language_model,
     "op2_sentencepiece": op2_sentencepiece,
@@ -75,6 +90,9 @@ QUERIES = {
     "op8_token_store": op8_token_store,
     "op9_packing": op9_packing,
     "op10_token_counts": op10_token_counts,
+    "op11_centroid_clusters": op11_centroid_clusters,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_warc": op13_warc,
 }
 #: Tokenising, learning and the best cut are beyond SQL; tests hold those queries against brute force.
 ORACLES: dict[str, str] = TABLE_ORACLES | {"op10_token_counts": op10(tokenizer_path("byte_bpe_50k.json"))}

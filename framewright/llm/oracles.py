@@ -88,4 +88,61 @@ SELECT d.doc_id, count(t.w) AS n_words, CAST(coalesce(sum(coalesce(c.n, 1)) FILT
 FROM documents d LEFT JOIN tokens t ON t.doc_id = d.doc_id LEFT JOIN counts c ON c.w = t.w GROUP BY d.doc_id"""
 
 
-ORACLES = {"op3_near_dedup": OP3, "op4_secret_scan": OP4, "op5_nearest_neighbours": OP5, "op6_embedding_dedup": OP6}
+def _floor_mean(total: str, n: str) -> str:
+    """floor(total / n) of whole numbers."""
+    return f"({total} - (({total} % {n}) + {n}) % {n}) // {n}"
+
+
+def op11(k: int = 40, rounds: int = 5) -> str:
+    """Lloyd's rounds in whole numbers; a distance and its centroid's number are one key, distance * 64 + number, so that the least key wins."""
+    parts = [
+        """x AS MATERIALIZED (SELECT vec_id, generate_subscripts(embedding, 1) AS pos, CAST(floor(256 * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda a: a IS NULL OR NOT isfinite(a))) = 0)""",
+        f"""f AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS k FROM (SELECT DISTINCT vec_id FROM x) QUALIFY k < {k}),
+c0 AS MATERIALIZED (SELECT k, pos, v FROM f JOIN x USING (vec_id))""",
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, min(d * 64 + k) AS key FROM (SELECT vec_id, k, CAST(sum((x.v - c.v) * (x.v - c.v)) AS BIGINT) AS d
+  FROM x JOIN c{r} c USING (pos) GROUP BY vec_id, k) GROUP BY vec_id)""")
+        if r < rounds:
+            parts.append(f"""c{r + 1} AS MATERIALIZED (SELECT c.k, c.pos, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN
+  (SELECT k, pos, CAST({_floor_mean('s', 'n')} AS BIGINT) AS v FROM (SELECT key % 64 AS k, pos, CAST(sum(v) AS BIGINT) AS s, count(*) AS n
+  FROM a{r} JOIN x USING (vec_id) GROUP BY 1, 2)) m USING (k, pos))""")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, CAST(key % 64 AS INT) AS cluster, key // 64 AS distance, CAST(sum(key // 64) OVER (PARTITION BY key % 64) AS BIGINT) AS cluster_inertia,
+  CAST(sum(key // 64) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a{rounds} JOIN (SELECT k, sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY pos)) AS centroid_sha256 FROM c{rounds} GROUP BY k) h ON h.k = key % 64"""
+
+
+def op12(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """For a table whose vectors have one length."""
+    steps = [
+        f"""x AS MATERIALIZED (SELECT vec_id, (pos - 1) // (n // {parts}) AS part, pos, v FROM (SELECT vec_id, len(embedding) AS n, generate_subscripts(embedding, 1) AS pos,
+  CAST(floor(4096 * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda a: a IS NULL OR NOT isfinite(a))) = 0))""",
+        f"""f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM (SELECT DISTINCT vec_id FROM x) QUALIFY e < {entries}),
+c0 AS MATERIALIZED (SELECT e, part, pos, v FROM f JOIN x USING (vec_id))""",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, part, min(d * 256 + e) AS key FROM (SELECT vec_id, x.part, e, CAST(sum((x.v - c.v) * (x.v - c.v)) AS BIGINT) AS d
+  FROM x JOIN c{r} c USING (pos) GROUP BY vec_id, x.part, e) GROUP BY vec_id, part)""")
+        if r < rounds:
+            steps.append(f"""c{r + 1} AS MATERIALIZED (SELECT c.e, c.part, c.pos, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN
+  (SELECT e, pos, CAST({_floor_mean('s', 'n')} AS BIGINT) AS v FROM (SELECT key % 256 AS e, pos, CAST(sum(v) AS BIGINT) AS s, count(*) AS n
+  FROM a{r} JOIN x USING (vec_id, part) GROUP BY 1, 2)) m USING (e, pos))""")
+    return "WITH " + ",\n".join(steps) + f""",
+z AS (SELECT vec_id, string_agg(lpad(lower(to_hex(key % 256)), 2, '0'), '' ORDER BY part) AS code, CAST(sum(key // 256) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY part, e, pos)) FROM c{rounds}) AS codebooks_sha256
+FROM z JOIN embeddings USING (vec_id)"""
+
+
+OP13 = """WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+r AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to FROM r"""
+
+ORACLES = {
+    "op3_near_dedup": OP3, "op4_secret_scan": OP4, "op5_nearest_neighbours": OP5, "op6_embedding_dedup": OP6,
+    "op11_centroid_clusters": op11(), "op12_vector_codes": op12(), "op13_warc": OP13,
+}
