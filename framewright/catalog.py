@@ -7,16 +7,15 @@ row validates, unless a query is about splitting. Floats are rounded to six plac
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright import schema
+from framewright import schema, scratch
 from framewright.functions import vec
 from framewright.operators import bank as banks
-from framewright.operators import classifier, knn, mlp, score, split, stats, templates
+from framewright.operators import knn_join as knn_join_
+from framewright.operators import classifier, knn, mlp, score, split, stats, templates, training
 from framewright.plans import evaluate
 from framewright.sources import frames as sources
 
@@ -294,17 +293,9 @@ def bank_subsample(spark, sf_dir):
     return banks.subsample(banks.from_frames(_frames(spark, sf_dir)), 20).select("ref_index", "label")
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share: in spark.checkpoint.dir, or with a local master a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{shared or tempfile.mkdtemp(prefix='framewright-')}/{name}-{uuid.uuid4().hex}"
-
-
 def bank_stored(spark, sf_dir):
     """A bank written with its manifest and read again for the encoder that made it."""
-    encoder, path = mlp.by_rule(ENCODER), _scratch(spark, "bank")
+    encoder, path = mlp.by_rule(ENCODER), scratch.path_for(spark, "bank")
     banks.export(_frames(spark, sf_dir), encoder, path, run="query")
     b = banks.load(spark, path, encoder)
     return b.select("ref_index", "label", F.posexplode("z").alias("pos", "v")).select("ref_index", "label", "pos", F.round("v", 4).alias("value"))
@@ -312,7 +303,7 @@ def bank_stored(spark, sf_dir):
 
 def checkpoint_stored(spark, sf_dir):
     """An encoder written as a checkpoint, read again and applied."""
-    path = _scratch(spark, "checkpoint")
+    path = scratch.path_for(spark, "checkpoint")
     mlp.save(mlp.by_rule(ENCODER), spark, path, latent_dim=ENCODER[-1])
     encoder, config = mlp.load(spark, path)
     return _long(mlp.apply(_frames(spark, sf_dir), encoder)).withColumn("latent_dim", F.lit(config["latent_dim"]))
@@ -364,10 +355,31 @@ def train_classifier(spark, sf_dir):
 def train_autoencoder(spark, sf_dir):
     """Epoch metrics of a small run (random weights: only its rows are checked)."""
     train, val = _parts(spark, sf_dir)
-    got = mlp.train_autoencoder(train, val, latent=8, hidden=(32, 16), epochs=5, joint_weight=0.1)
+    got = training.train_autoencoder(train, val, latent=8, hidden=(32, 16), epochs=5, joint_weight=0.1)
     return spark.createDataFrame(got.epochs, schema.EPOCHS)
 
 
+def train_step(spark, sf_dir):
+    """Weights after one step of gradient descent on all frames, from weights by rule: forward, backward and the sum over tasks."""
+    f = _frames(spark, sf_dir)
+    start = mlp.by_rule([DIM, 8, 4]), mlp.by_rule([4, 8, DIM]), mlp.by_rule([4, CLASSES])
+    got = training.train_autoencoder(f, f, 4, (8,), epochs=1, batch=1 << 30, rate=0.5, joint_weight=0.25, optimizer="sgd", initial=start)
+    rows = [
+        (name, layer, int(o), int(p), float(v))
+        for name, net in (("encoder", got.encoder), ("decoder", got.decoder), ("head", got.head))
+        for layer, (w, b) in enumerate(zip(net.weights, net.biases))
+        for (o, p), v in [*np.ndenumerate(w), *(((o, -1), v) for o, v in enumerate(b))]
+    ]
+    return spark.createDataFrame(rows, "net string, layer int, out int, pos int, value double").withColumn("value", F.round("value", 6) + F.lit(0.0))
+
+
+def knn_join(spark, sf_dir):
+    """Exact neighbours of unit vectors, found cell by cell."""
+    train, val = _parts(spark, sf_dir)
+    found = knn_join_.nearest_by_cells(val, banks.from_frames(train), 5, True).neighbours
+    return found.select("qid", "y", "rank", "ref_index", "label", _r("distance"))
+
+
 def bench_matched_filter(spark, sf_dir):
     f = _frames(spark, sf_dir)
     return evaluate.runtime(f, f.count(), CLASSES)
@@ -393,7 +405,7 @@ QUERIES = {
     "derived_rates": derived_rates,
     "signal_frames": signal_frames, "encode_iq": encode_iq, "mf_multi_template": mf_multi_template, "templates_decoded": templates_decoded,
     "latent_retrieval": latent_retrieval, "classify_by_network": classify_by_network, "train_classifier": train_classifier,
-    "train_autoencoder": train_autoencoder, "bench_matched_filter": bench_matched_filter,
+    "train_autoencoder": train_autoencoder, "train_step": train_step, "knn_join": knn_join, "bench_matched_filter": bench_matched_filter,
 }
 
 # --- SQL ---------------------------------------------------------------------------------------------------
@@ -478,6 +490,48 @@ _LONG = "SELECT row_id, CAST(pos AS INT) AS pos, round(v, 6) AS value FROM "
 _EPOCH_ROWS = "e AS (SELECT l_linenumber AS epoch, round(avg(l_discount), 4) AS val_mse FROM lineitem GROUP BY 1)"
 _VOTED = "SELECT row_id, y, pred FROM p"
 
+
+def _rule(o: str, i: str) -> str:
+    """A weight by rule; `i` is null for a bias."""
+    return f"CASE WHEN {i} < 0 THEN ({o} % 3 - 1) / 10.0::DOUBLE ELSE ((7 * {i} + 13 * {o}) % 11 - 5) / 11.0::DOUBLE END"
+
+
+def _back(name: str, after: str, n_in: int, relu_of: str | None) -> str:
+    """What an error at a layer's outputs is at its inputs."""
+    sums = f"""SELECT d.row_id, i.i AS pos, sum(d.v * ((7 * i.i + 13 * d.pos) % 11 - 5) / 11.0::DOUBLE) AS v
+  FROM {after} d JOIN (SELECT unnest(range({n_in})) AS i) i ON true GROUP BY d.row_id, i.i"""
+    if relu_of is None:
+        return f"{name} AS ({sums})"
+    return f"{name} AS (SELECT s.row_id, s.pos, CASE WHEN a.v > 0 THEN s.v ELSE 0 END AS v FROM ({sums}) s JOIN {relu_of} a USING (row_id, pos))"
+
+
+def _stepped(net: str, layer: int, error: str, source: str, rate: float = 0.5) -> str:
+    """A layer's weights and biases after a step down their gradient, a mean over rows."""
+    return f"""SELECT '{net}' AS net, {layer} AS layer, CAST(o AS INT) AS out, CAST(i AS INT) AS pos, round({_rule('o', 'i')} - {rate} * g, 6) + 0.0::DOUBLE AS value FROM (
+  SELECT d.pos AS o, x.pos AS i, sum(d.v * x.v) / any_value(c.n) AS g FROM {error} d JOIN (SELECT row_id, pos, v FROM {source} UNION ALL SELECT DISTINCT row_id, -1, 1.0 FROM {source}) x
+  USING (row_id), (SELECT count(DISTINCT row_id) AS n FROM f) c GROUP BY d.pos, x.pos)"""
+
+
+_STEP = _with(
+    _RAW,
+    _layer("h", "f", 64, 8, True),
+    _layer("z", "h", 8, 4, False),
+    _layer("g", "z", 4, 8, True),
+    _layer("w", "g", 8, 64, False),
+    _layer("c", "z", 4, 10, False),
+    "dw AS (SELECT row_id, pos, 2 * (w.v - f.v) / 64 AS v FROM w JOIN f USING (row_id, pos))",
+    """dc AS (SELECT row_id, c.pos, 0.25 * (exp(c.v - m.m) / m.s - CASE WHEN c.pos = m.label THEN 1 ELSE 0 END) AS v FROM c JOIN
+  (SELECT row_id, any_value(label) AS label, max(m) AS m, sum(exp(v - m)) AS s FROM (SELECT row_id, v, max(v) OVER (PARTITION BY row_id) AS m FROM c)
+   JOIN (SELECT DISTINCT row_id, label FROM f) USING (row_id) GROUP BY row_id) m USING (row_id))""",
+    _back("dg", "dw", 8, "g"),
+    _back("dz1", "dg", 4, None),
+    _back("dz2", "dc", 4, None),
+    "dz AS (SELECT row_id, pos, a.v + b.v AS v FROM dz1 a JOIN dz2 b USING (row_id, pos))",
+    _back("dh", "dz", 8, "h"),
+) + " UNION ALL ".join(
+    (_stepped("encoder", 0, "dh", "f"), _stepped("encoder", 1, "dz", "h"), _stepped("decoder", 0, "dg", "z"), _stepped("decoder", 1, "dw", "g"), _stepped("head", 0, "dc", "z"))
+)
+
 ORACLES: dict[str, str] = {
     "frame_meta": "SELECT vec_id AS row_id, CAST(label AS INT) AS label, CAST(len(embedding) AS INT) AS n_samples FROM embeddings",
     "class_name_lookup": """SELECT vec_id AS row_id, CAST(label AS INT) AS label, CASE label WHEN 0 THEN 'coherent_pulse_train'
@@ -514,6 +568,8 @@ UNION ALL SELECT 'train', (SELECT count(*) FROM t) UNION ALL SELECT 'val', (SELE
     + "SELECT row_id AS ref_index, CAST(label AS INT) AS label, CAST(pos AS INT) AS pos, round(v, 6) AS value FROM u",
     "knn_neighbors": _neighbour_sql(False) + "SELECT qid, y, rank, ref_index, label, round(distance, 6) AS distance FROM n",
     "knn_neighbors_normalized": _neighbour_sql(True) + "SELECT qid, y, rank, ref_index, label, round(distance, 6) AS distance FROM n",
+    "knn_join": _neighbour_sql(True) + "SELECT qid, y, rank, ref_index, label, round(distance, 6) AS distance FROM n",
+    "train_step": _STEP,
     "knn_vote": _neighbour_sql(True) + ", " + _VOTE + " " + _VOTED,
     "knn_rejected": _neighbour_sql(True) + ", " + _VOTE.replace("FROM n ", "FROM n WHERE distance <= 1.1 ") + " " + _VOTED,
     "accuracy_knn": _neighbour_sql(True) + ", " + _VOTE + " " + _ACCURACY,

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from framewright import schema
 from framewright.operators import bank as banks
-from framewright.operators import mlp, score, split, stats
+from framewright.operators import mlp, score, split, stats, training
 from framewright.plans import evaluate
 from framewright.sources import frames as sources
 
@@ -84,7 +84,7 @@ def result(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
         return spark.createDataFrame([(json.dumps(banks.export(train, encoder, a.out, **config)),)], "manifest string")
     val = _frames(spark, a, a.split)
     if a.command == "train":
-        got = mlp.train_autoencoder(train, val, a.latent, tuple(a.hidden), a.epochs, a.batch, a.rate, a.joint_weight, a.classes, a.seed)
+        got = training.train_autoencoder(train, val, a.latent, tuple(a.hidden), a.epochs, a.batch, a.rate, a.joint_weight, a.classes, a.seed)
         got.save(spark, a.out, latent=a.latent, hidden=a.hidden, epochs=a.epochs, seed=a.seed, joint_weight=a.joint_weight)
         return spark.createDataFrame(got.epochs, schema.EPOCHS)
     if a.command == "matched-filter":

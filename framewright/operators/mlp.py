@@ -1,4 +1,4 @@
-"""Multilayer perceptrons: as joins and sums over a weight table, as an Arrow kernel, and trained with Adam."""
+"""Multilayer perceptrons: as joins and sums over a weight table, and as an Arrow kernel. `training` trains them."""
 
 from __future__ import annotations
 
@@ -119,119 +119,6 @@ def load(spark: SparkSession, path: str) -> tuple[Mlp, dict]:
     return model, config
 
 
-class Trained:
-    def __init__(self, encoder: Mlp, decoder: Mlp, head: Mlp | None, epochs: list[tuple], best_epoch: int):
-        self.encoder, self.decoder, self.head, self.epochs, self.best_epoch = encoder, decoder, head, epochs, best_epoch
-
-    def save(self, spark: SparkSession, path: str, **config) -> None:
-        """Checkpoints of the best epoch's networks."""
-        config |= {"best_epoch": self.best_epoch, "val_mse": min(e[2] for e in self.epochs)}
-        for name in ("encoder", "decoder", "head"):
-            if getattr(self, name) is not None:
-                save(getattr(self, name), spark, f"{path}/{name}", **config)
-
-
-#: Tasks of a step's last stage, each of which sends the driver one sum.
-GRADIENT_TASKS = 4
-
-
-def train_autoencoder(train: DataFrame, val: DataFrame, latent: int, hidden=(512, 256), epochs: int = 30, batch: int = 256,
-                      rate: float = 1e-3, joint_weight: float = 0.0, num_classes: int = 10, seed: int = 42) -> Trained:
-    """Mini-batch Adam over all rows of both tables; the loss is the mean squared error, plus `joint_weight` times a linear
-    head's cross-entropy. Every epoch deals each training row into one of the batches by a hash, so that batches have
-    `batch` rows on average; a step is a Spark job whose tasks sum gradients, and only these sums, at most
-    `GRADIENT_TASKS` of the weights' size, come to the driver. The epoch with the smallest validation error is kept, the
-    earliest if several are."""
-    spark = train.sparkSession
-    ship(spark)
-    rows, held = (df.select("row_id", doubles("x").alias("x"), F.col("label").cast("long").alias("label")).persist() for df in (train, val))
-    n_rows, width = rows.agg(F.count("*"), F.coalesce(F.max(F.size("x")), F.lit(1))).first()
-    n_val = held.count()
-    rng = np.random.default_rng(seed)
-    sizes = [width, *hidden, latent, *reversed(hidden), width]
-    depth = len(hidden) + 1
-    p = []
-    for a, b in [*zip(sizes, sizes[1:]), (latent, num_classes)]:
-        p += [rng.uniform(-1, 1, (b, a)) / np.sqrt(a), rng.uniform(-1, 1, b) / np.sqrt(a)]
-    m, v, step = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
-
-    def losses(p, xb, yb, grads: bool):
-        """Sums over the rows of squared errors (a mean over positions), cross-entropies and gradients."""
-        layers, acts = len(sizes) - 1, [xb]
-        for i in range(layers):
-            h = acts[-1] @ p[2 * i].T + p[2 * i + 1]
-            acts.append(h if i + 1 in (depth, layers) else np.maximum(h, 0))
-        diff = acts[-1] - xb
-        mse, ce, g = float((diff**2).sum()) / width, 0.0, [np.zeros_like(a) for a in p] if grads else None
-        logits = acts[depth] @ p[-2].T + p[-1]
-        if joint_weight > 0:
-            e = np.exp(logits - logits.max(1, keepdims=True))
-            soft = e / e.sum(1, keepdims=True)
-            ce = float(-np.log(np.maximum(soft[np.arange(len(yb)), yb], 1e-300)).sum())
-        if grads:
-            d = 2 * diff / width
-            for i in reversed(range(layers)):
-                if i + 1 == depth and joint_weight > 0:
-                    soft[np.arange(len(yb)), yb] -= 1
-                    dl = joint_weight * soft
-                    g[-2], g[-1] = dl.T @ acts[depth], dl.sum(0)
-                    d = d + dl @ p[-2]
-                if i + 1 not in (depth, layers):
-                    d = d * (acts[i + 1] > 0)
-                g[2 * i], g[2 * i + 1] = d.T @ acts[i], d.sum(0)
-                d = d @ p[2 * i]
-        return mse, ce, g
-
-    def summed(df, grads: bool):
-        """(rows, squared errors, cross-entropies, gradients) summed over all rows of `df`."""
-        shared = spark.sparkContext.broadcast(p)
-
-        def scan(batches):
-            n, mse, ce, total = 0, 0.0, 0.0, [np.zeros_like(a) for a in shared.value] if grads else []
-            for part in batches:
-                if part.num_rows:
-                    one = losses(shared.value, as_rows(part.column(0)), part.column(1).to_numpy(zero_copy_only=False), grads)
-                    n, mse, ce = n + part.num_rows, mse + one[0], ce + one[1]
-                    total = [a + b for a, b in zip(total, one[2] or [])]
-            if n:
-                blob = np.concatenate([np.zeros(0), *(a.ravel() for a in total)]).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([mse]), pa.array([ce]), pa.array([blob], pa.binary())], names=["n", "mse", "ce", "grads"])
-
-        got = df.select("x", "label").coalesce(GRADIENT_TASKS).mapInArrow(scan, "n long, mse double, ce double, grads binary").collect()
-        shared.destroy()
-        flat = sum((np.frombuffer(r["grads"], float) for r in got), np.zeros(sum(a.size for a in p) if grads else 0))
-        cuts = np.cumsum([a.size for a in p])[:-1]
-        g = [a.reshape(b.shape) for a, b in zip(np.split(flat, cuts), p)] if grads else None
-        return sum(r["n"] for r in got), sum(r["mse"] for r in got), sum(r["ce"] for r in got), g
-
-    log, best = [], None
-    for epoch in range(1, epochs + 1):
-        seen, mse_sum, ce_sum, n_batches = 0, 0.0, 0.0, -(-n_rows // batch)
-        # each task holds its part of every batch, sorted, so that a step reads little else
-        key = F.pmod(F.xxhash64("row_id", F.lit(epoch), F.lit(seed)), F.lit(max(1, n_batches)))
-        dealt = rows.withColumn("batch", key).repartition("row_id").sortWithinPartitions("batch", "row_id").persist()
-        for at in range(n_batches):
-            n, mse, ce, g = summed(dealt.where(F.col("batch") == at), True)
-            if not n:
-                continue
-            seen, mse_sum, ce_sum, step = seen + n, mse_sum + mse, ce_sum + ce, step + 1
-            for i, grad in enumerate(g):
-                grad = grad / n
-                m[i], v[i] = 0.9 * m[i] + 0.1 * grad, 0.999 * v[i] + 0.001 * grad * grad
-                p[i] = p[i] - rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
-        dealt.unpersist()
-        _, val_mse, val_ce, _ = summed(held, False)
-        val_mse, val_ce = val_mse / max(n_val, 1), val_ce / max(n_val, 1)
-        log.append((epoch, mse_sum / max(seen, 1), val_mse, ce_sum / max(seen, 1), val_ce))
-        if best is None or val_mse < best[0]:
-            best = val_mse, epoch, [a.copy() for a in p]
-    rows.unpersist()
-    held.unpersist()
-    _, best_epoch, p = best
-    return Trained(Mlp(p[0 : 2 * depth : 2], p[1 : 2 * depth : 2]), Mlp(p[2 * depth : -2 : 2], p[2 * depth + 1 : -2 : 2]),
-                   Mlp([p[-2]], [p[-1]]) if joint_weight > 0 else None, log, best_epoch)
-
-
 def best_so_far(epochs: DataFrame) -> DataFrame:
     """Epochs with `improved`: strictly better than every one before. The log is a row per epoch."""
     from pyspark.sql import Window as W

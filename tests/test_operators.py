@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from framewright.functions import vec
 from framewright.operators import bank as banks
-from framewright.operators import classifier, knn, mlp, score, split, stats, templates
+from framewright.operators import classifier, knn, mlp, score, split, stats, templates, training
 from framewright.plans import evaluate
 from framewright.schema import BANK, FRAME
 
@@ -234,7 +234,7 @@ def test_training_lowers_the_error_and_export_checks_weights(spark, tmp_path):
     base = RNG.standard_normal((4, 12))
     x = base[np.arange(200) % 4] + 0.05 * RNG.standard_normal((200, 12))
     f = frames(spark, x, np.arange(200) % 4)
-    got = mlp.train_autoencoder(f, split.modular(f, "val"), latent=4, hidden=(16,), epochs=30, batch=32, rate=5e-3, joint_weight=0.1, num_classes=4)
+    got = training.train_autoencoder(f, split.modular(f, "val"), latent=4, hidden=(16,), epochs=30, batch=32, rate=5e-3, joint_weight=0.1, num_classes=4)
     assert got.epochs[-1][2] < 0.5 * got.epochs[0][2] and got.epochs[got.best_epoch - 1][2] == min(e[2] for e in got.epochs)
     path = str(tmp_path / "bank")
     banks.export(f, got.encoder, path, epochs=30)
@@ -251,7 +251,7 @@ def test_training_takes_every_row(spark):
     f = spark.range(n, numPartitions=4).selectExpr("id row_id", "array(double(id % 2), 0D) x", "int(0) label")
     # with some rows left out, the means over rows differ by over 1e-3
     big = spark.range(n, n + 1, numPartitions=1).selectExpr("id row_id", "array(1e6D, 1e6D) x", "int(0) label")
-    got = mlp.train_autoencoder(f, f.union(big), latent=1, hidden=(2,), epochs=1, batch=60_000, rate=0.0)
+    got = training.train_autoencoder(f, f.union(big), latent=1, hidden=(2,), epochs=1, batch=60_000, rate=0.0)
     of_train, of_val = got.epochs[0][1], got.epochs[0][2]
     p = [got.encoder.forward, got.decoder.forward]
     x = np.array([[0.0, 0], [1, 0], [1e6, 1e6]])
