@@ -15,7 +15,7 @@ from framewright import schema, scratch
 from framewright.functions import vec
 from framewright.operators import bank as banks
 from framewright.operators import knn_join as knn_join_
-from framewright.operators import classifier, knn, mlp, score, split, stats, templates, training
+from framewright.operators import classifier, knn, mlp, permutation, score, split, stats, templates, training
 from framewright.plans import evaluate
 from framewright.sources import frames as sources
 
@@ -82,6 +82,19 @@ def epoch_shuffle(spark, sf_dir):
     return split.epoch_order(_labels(spark, sf_dir), 3).select("row_id", "place")
 
 
+def split_permuted(spark, sf_dir):
+    """An exact split of a table of any size: a permutation by expressions."""
+    f = _labels(spark, sf_dir)
+    n = f.count()
+    parts = [permutation.split_exactly(f, name, n).select("row_id", F.lit(name).alias("split")) for name in ("train", "val")]
+    return parts[0].unionByName(parts[1])
+
+
+def epoch_permuted(spark, sf_dir):
+    f = _labels(spark, sf_dir)
+    return permutation.epoch_places(f, f.count(), 3).select("row_id", "place")
+
+
 def load_frames(spark, sf_dir):
     """Frames by the name of their kind: a prefix, of which the seeded split's validation rows are taken."""
     f = sources.load_frames(spark, "embeddings", "VAL", path=f"{sf_dir}/embeddings.parquet", max_samples=200)
@@ -401,7 +414,7 @@ QUERIES = {
     "stats_n_unique": stats_n_unique, "stats_split_counts": stats_split_counts,
     "waveform_neighbours": waveform_neighbours, "bank_prototypes": bank_prototypes,
     "bank_footprint": bank_footprint, "bank_subsample": bank_subsample, "comparison": comparison,
-    "epoch_shuffle": epoch_shuffle, "load_frames": load_frames, "bank_stored": bank_stored, "checkpoint_stored": checkpoint_stored,
+    "epoch_shuffle": epoch_shuffle, "split_permuted": split_permuted, "epoch_permuted": epoch_permuted, "load_frames": load_frames, "bank_stored": bank_stored, "checkpoint_stored": checkpoint_stored,
     "derived_rates": derived_rates,
     "signal_frames": signal_frames, "encode_iq": encode_iq, "mf_multi_template": mf_multi_template, "templates_decoded": templates_decoded,
     "latent_retrieval": latent_retrieval, "classify_by_network": classify_by_network, "train_classifier": train_classifier,
@@ -532,7 +545,25 @@ _STEP = _with(
     (_stepped("encoder", 0, "dh", "f"), _stepped("encoder", 1, "dz", "h"), _stepped("decoder", 0, "dg", "z"), _stepped("decoder", 1, "dw", "g"), _stepped("head", 0, "dc", "z"))
 )
 
+
+
+def _permutation_sql(seed: int, turns: int = 6) -> str:
+    """w (id, s): where the permutation puts every number below the table's size n; all of the places are moved once, then walked."""
+    text = """n AS (SELECT count(*) AS n, CAST(ceil(sqrt(count(*))) AS BIGINT) AS a FROM embeddings), ab AS (SELECT n, a, (n + a - 1) // a AS b FROM n),
+p0 AS (SELECT x, x // b AS l, x % b AS r, n, a, b FROM (SELECT unnest(range(a * b)) AS x, n, a, b FROM ab))"""
+    for j in range(turns):
+        by, moved = ("r", "l") if j % 2 == 0 else ("l", "r")
+        step = f"({moved} + CAST('0x' || substr(md5('{seed}:{j}:' || {by}), 1, 15) AS BIGINT) % {'a' if j % 2 == 0 else 'b'}) % {'a' if j % 2 == 0 else 'b'}"
+        text += f""",
+p{j + 1} AS (SELECT x, {f'{step} AS l, r' if j % 2 == 0 else f'l, {step} AS r'}, n, a, b FROM p{j})"""
+    return f"""WITH RECURSIVE {text}, f AS MATERIALIZED (SELECT x, l * b + r AS y, n FROM p{turns}),
+w(id, s, n) AS (SELECT x, y, n FROM f WHERE x < n UNION ALL SELECT w.id, f.y, w.n FROM w JOIN f ON f.x = w.s WHERE w.s >= w.n) """
+
+
 ORACLES: dict[str, str] = {
+    "split_permuted": _permutation_sql(42)
+    + "SELECT id AS row_id, CASE WHEN s < CAST(round_even(n * 0.9::DOUBLE, 0) AS BIGINT) THEN 'train' ELSE 'val' END AS split FROM w WHERE s < n",
+    "epoch_permuted": _permutation_sql(42_000_129) + "SELECT id AS row_id, s AS place FROM w WHERE s < n",
     "frame_meta": "SELECT vec_id AS row_id, CAST(label AS INT) AS label, CAST(len(embedding) AS INT) AS n_samples FROM embeddings",
     "class_name_lookup": """SELECT vec_id AS row_id, CAST(label AS INT) AS label, CASE label WHEN 0 THEN 'coherent_pulse_train'
   WHEN 1 THEN 'barker_code' WHEN 2 THEN 'polyphase_barker_code' WHEN 3 THEN 'frank_code' WHEN 4 THEN 'linear_frequency_modulated'
