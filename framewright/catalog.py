@@ -18,6 +18,7 @@ from framewright.operators import knn_join as knn_join_
 from framewright.operators import classifier, knn, mlp, permutation, score, split, stats, templates, training
 from framewright.plans import evaluate
 from framewright.sources import frames as sources
+from framewright.streaming import correlate
 
 CLASSES, DIM, HALF = 10, 64, 32
 ENCODER, DECODER, HEAD = [64, 16, 8], [8, 16, 64], [8, 10]
@@ -393,6 +394,40 @@ def knn_join(spark, sf_dir):
     return found.select("qid", "y", "rank", "ref_index", "label", _r("distance"))
 
 
+SPAN = 500
+
+
+def _signal_of(rows):
+    """Vectors laid end to end as four endless signals of complex samples, a vector a second."""
+    order = F.floor(F.col("vec_id") / 4)
+    return rows.select(
+        F.concat(F.lit("c"), F.col("vec_id") % 4).alias("channel"), (order * HALF).alias("start"), F.col("embedding").alias("x"),
+        F.timestamp_seconds(order).alias("ts"),
+    )
+
+
+def _sought(spark, sf_dir):
+    """The first three vectors as templates, known to be no more than that."""
+    return _table(spark, sf_dir, "embeddings").where("vec_id < 3").select(F.col("vec_id").cast("int").alias("label"), F.col("embedding").alias("mu"))
+
+
+def signal_detections(spark, sf_dir):
+    """Places of endless signals where a template's correlation peaks."""
+    found = correlate.detections(_signal_of(_table(spark, sf_dir, "embeddings")), _sought(spark, sf_dir), 0.5, SPAN)
+    return found.select("channel", "label", "place", _r("score"))
+
+
+def signal_detections_streamed(spark, sf_dir):
+    """The same from a stream: what is decided when all files are read, which is all blocks whose samples are there."""
+    rows = _table(spark, sf_dir, "embeddings")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{sf_dir}/embeddings.parque[t]")  # a stream reads folders and patterns
+    found = correlate.detect_stream(_signal_of(stream), _sought(spark, sf_dir), 0.5, SPAN, "10 days")
+    out = scratch.path_for(spark, "detections")
+    sink = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch.path_for(spark, "stream"))
+    sink.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(correlate.FOUND).parquet(out).select("channel", "label", "place", _r("score"))
+
+
 def bench_matched_filter(spark, sf_dir):
     f = _frames(spark, sf_dir)
     return evaluate.runtime(f, f.count(), CLASSES)
@@ -418,7 +453,8 @@ QUERIES = {
     "derived_rates": derived_rates,
     "signal_frames": signal_frames, "encode_iq": encode_iq, "mf_multi_template": mf_multi_template, "templates_decoded": templates_decoded,
     "latent_retrieval": latent_retrieval, "classify_by_network": classify_by_network, "train_classifier": train_classifier,
-    "train_autoencoder": train_autoencoder, "train_step": train_step, "knn_join": knn_join, "bench_matched_filter": bench_matched_filter,
+    "train_autoencoder": train_autoencoder, "train_step": train_step, "knn_join": knn_join,
+    "signal_detections": signal_detections, "signal_detections_streamed": signal_detections_streamed, "bench_matched_filter": bench_matched_filter,
 }
 
 # --- SQL ---------------------------------------------------------------------------------------------------
@@ -546,6 +582,17 @@ _STEP = _with(
 )
 
 
+_SIGNAL = _with(
+    """s AS (SELECT 'c' || vec_id % 4 AS channel, (vec_id // 4) * 32 + i AS at, CAST(embedding[i + 1] AS DOUBLE) AS re, CAST(embedding[i + 33] AS DOUBLE) AS im
+  FROM embeddings JOIN (SELECT unnest(range(32)) AS i) ON true)""",
+    "t AS (SELECT vec_id AS label, i, CAST(embedding[i + 1] AS DOUBLE) AS re, CAST(embedding[i + 33] AS DOUBLE) AS im FROM embeddings JOIN (SELECT unnest(range(32)) AS i) ON true WHERE vec_id < 3)",
+    "e AS (SELECT label, sqrt(sum(re * re + im * im)) AS e FROM t GROUP BY label)",
+    """c AS (SELECT channel, label, at - i AS place, sqrt(pow(sum(s.re * t.re + s.im * t.im), 2) + pow(sum(s.im * t.re - s.re * t.im), 2)) / sqrt(sum(s.re * s.re + s.im * s.im)) / any_value(e.e) AS score
+  FROM s JOIN t ON true JOIN e USING (label) WHERE at >= i GROUP BY channel, label, at - i HAVING count(*) = 32)""",
+    """p AS (SELECT *, coalesce(lag(score) OVER w, -1) AS before, coalesce(lead(score) OVER w, -1) AS after, max(place) OVER (PARTITION BY channel) + 32 AS n
+  FROM c WINDOW w AS (PARTITION BY channel, label ORDER BY place))""",
+) + "SELECT channel, CAST(label AS INT) AS label, place, round(score, 6) AS score FROM p WHERE score >= 0.5 AND score > before AND score >= after"
+
 
 def _permutation_sql(seed: int, turns: int = 6) -> str:
     """w (id, s): where the permutation puts every number below the table's size n; all of the places are moved once, then walked."""
@@ -599,6 +646,8 @@ UNION ALL SELECT 'train', (SELECT count(*) FROM t) UNION ALL SELECT 'val', (SELE
     + "SELECT row_id AS ref_index, CAST(label AS INT) AS label, CAST(pos AS INT) AS pos, round(v, 6) AS value FROM u",
     "knn_neighbors": _neighbour_sql(False) + "SELECT qid, y, rank, ref_index, label, round(distance, 6) AS distance FROM n",
     "knn_neighbors_normalized": _neighbour_sql(True) + "SELECT qid, y, rank, ref_index, label, round(distance, 6) AS distance FROM n",
+    "signal_detections": _SIGNAL,
+    "signal_detections_streamed": _SIGNAL + " AND (place // 500 + 1) * 500 + 32 <= n",
     "knn_join": _neighbour_sql(True) + "SELECT qid, y, rank, ref_index, label, round(distance, 6) AS distance FROM n",
     "train_step": _STEP,
     "knn_vote": _neighbour_sql(True) + ", " + _VOTE + " " + _VOTED,
