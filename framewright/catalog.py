@@ -583,12 +583,12 @@ _STEP = _with(
 
 
 _SIGNAL = _with(
-    """s AS (SELECT 'c' || vec_id % 4 AS channel, (vec_id // 4) * 32 + i AS at, CAST(embedding[i + 1] AS DOUBLE) AS re, CAST(embedding[i + 33] AS DOUBLE) AS im
+    """s AS (SELECT 'c' || vec_id % 4 AS channel, (vec_id // 4) * 32 + i AS k, CAST(embedding[i + 1] AS DOUBLE) AS re, CAST(embedding[i + 33] AS DOUBLE) AS im
   FROM embeddings JOIN (SELECT unnest(range(32)) AS i) ON true)""",
     "t AS (SELECT vec_id AS label, i, CAST(embedding[i + 1] AS DOUBLE) AS re, CAST(embedding[i + 33] AS DOUBLE) AS im FROM embeddings JOIN (SELECT unnest(range(32)) AS i) ON true WHERE vec_id < 3)",
     "e AS (SELECT label, sqrt(sum(re * re + im * im)) AS e FROM t GROUP BY label)",
-    """c AS (SELECT channel, label, at - i AS place, sqrt(pow(sum(s.re * t.re + s.im * t.im), 2) + pow(sum(s.im * t.re - s.re * t.im), 2)) / sqrt(sum(s.re * s.re + s.im * s.im)) / any_value(e.e) AS score
-  FROM s JOIN t ON true JOIN e USING (label) WHERE at >= i GROUP BY channel, label, at - i HAVING count(*) = 32)""",
+    """c AS (SELECT channel, label, k - i AS place, sqrt(pow(sum(s.re * t.re + s.im * t.im), 2) + pow(sum(s.im * t.re - s.re * t.im), 2)) / sqrt(sum(s.re * s.re + s.im * s.im)) / any_value(e.e) AS score
+  FROM s JOIN t ON true JOIN e USING (label) WHERE k >= i GROUP BY channel, label, k - i HAVING count(*) = 32)""",
     """p AS (SELECT *, coalesce(lag(score) OVER w, -1) AS before, coalesce(lead(score) OVER w, -1) AS after, max(place) OVER (PARTITION BY channel) + 32 AS n
   FROM c WINDOW w AS (PARTITION BY channel, label ORDER BY place))""",
 ) + "SELECT channel, CAST(label AS INT) AS label, place, round(score, 6) AS score FROM p WHERE score >= 0.5 AND score > before AND score >= after"
