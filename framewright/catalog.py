@@ -402,7 +402,7 @@ def _signal_of(rows):
     order = F.floor(F.col("vec_id") / 4)
     return rows.select(
         F.concat(F.lit("c"), F.col("vec_id") % 4).alias("channel"), (order * HALF).alias("start"), F.col("embedding").alias("x"),
-        F.timestamp_seconds(order).alias("ts"),
+        F.timestamp_seconds(order + 86_400).alias("ts"),
     )
 
 

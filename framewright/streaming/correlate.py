@@ -206,8 +206,8 @@ class Detector(StatefulProcessor):
 
 
 def detect_stream(signal: DataFrame, templates: DataFrame, threshold: float = 0.8, block: int = BLOCK, late: str = "1 minute") -> DataFrame:
-    """FOUND of a stream of pieces (channel, start, x, ts). `late` is how long a gap is waited for. The session must keep state in
-    RocksDB, which is set here where nothing else is."""
+    """FOUND of a stream of pieces (channel, start, x, ts). `late` is how long a gap is waited for; times lie after the start of
+    1970, where Spark's watermark begins. State is kept in RocksDB, which is set here where nothing else is."""
     spark = signal.sparkSession
     ship(spark)
     if spark.conf.get(STATE_STORE, None) in (None, "", "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"):
