@@ -114,8 +114,16 @@ def count(words: list[bytes], code: Code, counts: np.ndarray) -> None:
             np.add.at(counts[k], slots * 2 + e.bit, counts.dtype.type(1))
 
 
+def scaled(counts: np.ndarray) -> np.ndarray:
+    """Counts in bytes. Where one of a context's two is above 255, both are scaled down together, rounded up, so that their odds
+    stay and none that was seen vanishes."""
+    pairs = counts.reshape(-1, 2)
+    most = np.maximum(pairs.max(1, keepdims=True), 255)
+    return (-(-pairs * 255 // most)).astype(np.uint8).reshape(counts.shape)
+
+
 class Model:
-    """Everything that spelling needs. `counts`: (orders, two for each slot), at most 255."""
+    """Everything that spelling needs. `counts`: (orders, two for each slot), as `scaled` gives them."""
 
     def __init__(self, code: Code, counts: np.ndarray):
         self.code, self.counts, self.slot_bits = code, counts, counts.shape[1].bit_length() - 2
@@ -128,7 +136,8 @@ class Model:
         x, gate = np.empty((len(ORDERS), len(bit)), np.float32), np.zeros(len(bit), np.int64)
         for k, slots in enumerate(e.slots):
             at = slots * 2
-            same, other = self.counts[k][at + bit] - own, self.counts[k][at + 1 - bit]
+            same, other = self.counts[k][at + bit], self.counts[k][at + 1 - bit]
+            same = same - (own & (np.maximum(same, other) < 255))  # of scaled counts a word's own are no measurable part
             n = same.astype(np.int64) + other
             x[k] = (_LOG[same] - _LOG[other]) * _SURE[n]
             gate += n > 0

@@ -55,6 +55,16 @@ def opened(blob: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(np.dtype(dtype).itemsize, -1).T).reshape(-1).view(dtype)
 
 
+def squeezed_counts(values: np.ndarray) -> bytes:
+    """Compressed in the narrowest type, of which the first byte tells the width."""
+    values = wm.narrowed(values)
+    return bytes([values.itemsize]) + squeezed(values)
+
+
+def opened_counts(blob: bytes) -> np.ndarray:
+    return opened(blob[1:], f"<u{blob[0]}")
+
+
 class Numbering(dict):
     """Word -> its number, new words getting the next."""
 
@@ -299,10 +309,10 @@ def fit_bits(lexicon: DataFrame, n_known: int) -> cm.Model:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, blob in zip(*(c.to_pylist() for c in batch.columns)):
-                piece = opened(blob, np.int32)
+                piece = opened(blob, np.int32).astype(np.int64)
                 total[part] = piece + total[part] if part in total else piece
         for part, piece in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([squeezed(np.minimum(piece, 255).astype(np.uint8))])], names=["part", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([squeezed(cm.scaled(piece))])], names=["part", "counts"])
 
     counts = np.zeros((len(cm.ORDERS), parts, (2 << slots) // parts), np.uint8)
     for r in blocks.mapInArrow(count, schema).repartition(len(cm.ORDERS) * parts, "part").mapInArrow(add, schema).collect():
@@ -448,15 +458,15 @@ def pair_counts(words: DataFrame, n_tokens: int) -> DataFrame:
             cuts = (np.flatnonzero(np.diff(owner)) + 1).tolist()
             for a, b in zip([0, *cuts], [*cuts, len(owner)]):
                 steps = np.diff(context[a:b] >> np.uint64(16), prepend=np.uint64(0))
-                yield row_of(schema, [row["part"], row["chunk"], int(owner[a]), squeezed(steps), squeezed(code[a:b]), squeezed(n[a:b].astype(np.uint32) << np.uint32(1) | asked[a:b])])
+                yield row_of(schema, [row["part"], row["chunk"], int(owner[a]), squeezed(steps), squeezed(code[a:b]), squeezed_counts(n[a:b].astype(np.uint64) << np.uint64(1) | asked[a:b])])
 
     def own(rows: pa.Table) -> pa.Table:
         context = [np.cumsum(opened(b.as_py(), np.uint64), dtype=np.uint64) << np.uint64(16) for b in rows["context"]]
         sizes = [len(c) for c in context]
-        context, code, n = np.concatenate(context), *(np.concatenate([opened(b.as_py(), t) for b in rows[c]]) for c, t in (("code", np.uint64), ("n", np.uint32)))
+        context, code, n = np.concatenate(context), np.concatenate([opened(b.as_py(), np.uint64) for b in rows["code"]]), np.concatenate([opened_counts(b.as_py()) for b in rows["n"]])
         order = np.lexsort((code, context))
         context, code = context[order], code[order]
-        asked, n = n & 1, (n >> 1).astype(np.int64)
+        asked, n = n & n.dtype.type(1), (n >> n.dtype.type(1)).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (code[1:] != code[:-1])]))
         levels, counts = wm.node_counts(context[first], code[first], np.add.reduceat(n[order], first))
         starts = np.cumsum(levels) - levels
@@ -470,7 +480,7 @@ def pair_counts(words: DataFrame, n_tokens: int) -> DataFrame:
             have = mine[mine >= 0]
             length = levels[have]
             places = np.repeat(starts[have] - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
-            out.append((squeezed(np.where(mine >= 0, levels[mine], 0).astype(np.uint8)), squeezed(counts[places])))
+            out.append((squeezed(np.where(mine >= 0, levels[mine], 0).astype(np.uint8)), squeezed_counts(counts[places])))
             at += size
         return pa.table([rows["part"], rows["chunk"], rows["owner"], pa.array([o[0] for o in out]), pa.array([o[1] for o in out])], names=["part", "chunk", "owner", "levels", "counts"])
 
@@ -488,7 +498,7 @@ def chunk_bits(c: Chunk, pair_levels: np.ndarray, pair_counts: np.ndarray, pair:
     out, ends, a = np.empty(len(c.tokens)), np.cumsum(c.sizes), 0
     topic, before = wm.topics(c.rank, c.place), wm.previous(c.rank, c.place)
     length = c.of_word["length"][c.tokens].astype(np.int64)
-    padded = np.append(pair_counts, np.uint16(0))
+    padded = np.append(pair_counts, pair_counts.dtype.type(0))
     while a < len(c.sizes):
         low = int(c.starts[a])
         b = max(a + 1, int(np.searchsorted(ends, low + SCORE_TOKENS, "right")))
@@ -499,7 +509,7 @@ def chunk_bits(c: Chunk, pair_levels: np.ndarray, pair_counts: np.ndarray, pair:
         own_levels, own_first = np.zeros(len(levels), np.int64), np.zeros(len(levels), np.int64)
         own_levels[mine], own_first[mine] = listed[entry], (np.cumsum(listed) - listed)[entry]
         paths = wm.Paths(c.code[s], length[s], topic[s], before[s], c.train[s].astype(np.float32), levels, np.minimum(first_of_pair[pair[s]], len(pair_counts)), padded,
-                         own_levels, own_first, np.append(own, np.uint16(0)))
+                         own_levels, own_first, np.append(own, own.dtype.type(0)))
         out[s] = wm.bits(paths, tables, c.sizes[a:b])
         a = b
     return out + c.of_word["spelling"][c.tokens]
@@ -515,7 +525,7 @@ def summed(words: DataFrame, counts: DataFrame, facts: Facts, tables: wm.Tables)
         *_, pair, context = c.pairs()
         counts = counts.sort_by("owner")
         levels = np.concatenate([opened(b.as_py(), np.uint8) for b in counts["levels"]]).astype(np.int64)
-        values = np.concatenate([opened(b.as_py(), np.uint16) for b in counts["counts"]])
+        values = np.concatenate([opened_counts(b.as_py()) for b in counts["counts"]])
         bits = chunk_bits(c, levels, values, pair, context, shared.value)
         of_word = c.of_word["counts"]
         base = np.log10((of_word + 1) / (n + distinct + 1))[c.tokens]

@@ -70,14 +70,20 @@ def with_inner_nodes(leaves: np.ndarray) -> np.ndarray:
     levels = [leaves]
     while levels[-1].shape[1] > 1:
         levels.append(levels[-1].reshape(len(leaves), -1, 2).sum(2))
-    return np.concatenate([np.zeros((len(leaves), 1), leaves.dtype), *reversed(levels)], 1).astype(np.int32)
+    return np.concatenate([np.zeros((len(leaves), 1), leaves.dtype), *reversed(levels)], 1)
+
+
+def narrowed(counts: np.ndarray) -> np.ndarray:
+    """The same numbers in the narrowest unsigned type that holds them all."""
+    most = int(counts.max(initial=0))
+    return counts.astype(next(t for t in (np.uint16, np.uint32, np.uint64) if most <= np.iinfo(t).max), copy=False)
 
 
 def node_counts(context: np.ndarray, code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(levels, counts) for entries sorted by context and code: how many levels of each are listed, and one after another
     the counts in its context of its code's prefixes of 0, 1, ... bits, ending with the first that the entry alone makes up."""
     size = len(code)
-    at, level = np.arange(size), 0
+    at, level, kind = np.arange(size), 0, None
     listed, place, value = np.zeros(size, np.int64), [], []
     same = np.concatenate([[False], context[1:] == context[:-1]])
     while len(at) and level <= MAX_LENGTH:
@@ -87,15 +93,16 @@ def node_counts(context: np.ndarray, code: np.ndarray, n: np.ndarray) -> tuple[n
         start = np.flatnonzero(~same)
         total = np.add.reduceat(n[at], start)
         count = np.repeat(total, np.diff(np.append(start, len(at))))
+        kind = kind or narrowed(total).dtype  # a context's total is its largest count
         listed[at] = level + 1
         place.append(at)
-        value.append(np.minimum(count, 65_535).astype(np.uint16))
+        value.append(count.astype(kind))
         # an entry goes on while others are with it; groups go on as a whole
         width = np.repeat(np.diff(np.append(start, len(at))), np.diff(np.append(start, len(at))))
         keep = width > 1
         at, same = at[keep], same[keep]
         level += 1
-    place, value = np.concatenate([np.zeros(0, np.int64), *place]), np.concatenate([np.zeros(0, np.uint16), *value])
+    place, value = np.concatenate([np.zeros(0, np.int64), *place]), np.concatenate([np.zeros(0, kind or np.uint16), *value])
     return listed, value[np.argsort(place, kind="stable")]
 
 
@@ -144,8 +151,9 @@ class Paths:
         self.own_levels, self.own_first, self.own = own_levels, own_first, own
 
     def pair_count(self, t: np.ndarray, level: int) -> np.ndarray:
-        """Counts of the prefixes of `level` bits of tokens that have listed levels; beyond these the last one stands."""
-        n = self.counts[self.first[t] + np.minimum(level, self.levels[t] - 1)].astype(np.float32)
+        """Counts of the prefixes of `level` bits of tokens that have listed levels; beyond these the last one stands. Numbers that
+        single precision doesn't tell apart are in double precision, so that a bit's two counts add up."""
+        n = self.counts[self.first[t] + np.minimum(level, self.levels[t] - 1)].astype(np.float32 if self.counts.itemsize == 2 else np.float64)
         mine = self.own_levels[t]
         n -= np.where(mine > 0, self.own[self.own_first[t] + np.minimum(level, np.maximum(mine, 1) - 1)], 0)
         return np.maximum(n, 0)

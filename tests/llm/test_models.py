@@ -340,7 +340,7 @@ def spelling_model(words, bits=16):
     code = context_mixing.Code(np.bincount(np.frombuffer(b" ".join(words) + b" ", np.uint8), minlength=256))
     counts = np.zeros((len(context_mixing.ORDERS), 2 << bits), np.int32)
     context_mixing.count(words, code, counts)
-    return context_mixing.Model(code, np.minimum(counts, 255).astype(np.uint8))
+    return context_mixing.Model(code, context_mixing.scaled(counts.astype(np.int64)))
 
 
 def test_spelling_learns_words_and_leaves_a_word_out_of_its_own_counts():
@@ -356,6 +356,43 @@ def test_spelling_learns_words_and_leaves_a_word_out_of_its_own_counts():
     assert model.bits([b"stone"], np.ones(1, bool))[0] == pytest.approx(alone.bits([b"stone"], never)[0])
 
 
+def test_large_spelling_counts_keep_their_odds():
+    counts = np.array([[100_000, 1_000, 255, 3, 0, 300, 1 << 40, 1, 0, 0]], np.int64)
+    assert context_mixing.scaled(counts).tolist() == [[255, 3, 255, 3, 0, 255, 255, 1, 0, 0]]
+
+
+@pytest.mark.parametrize("common, other", [(3, 2), (200_000, 20_000), (200_000, 100_000), (3_000_000_000, 7), (10**12, 10**12 - 1), (10**12, 1)])
+def test_both_branches_of_a_bit_make_one(common, other):
+    """Two words after one context: the chance of the first, and of the second, add up to one whatever their counts."""
+    wm = word_mixing
+    code, context = np.array([0, 1 << 63], np.uint64), np.array([5, 5], np.uint64)
+    levels, counts = wm.node_counts(context, code, np.array([common, other]))
+    assert levels.tolist() == [2, 2] and counts.tolist() == [common + other, common, common + other, other]
+    counts = language_model.opened_counts(language_model.squeezed_counts(counts))
+    tables = wm.Tables(np.zeros((wm.TOPICS + 1, 1 << wm.DEPTH), np.int64), np.zeros((wm.PREVIOUS + 1, 1 << wm.PREVIOUS_DEPTH), np.int64))
+    none = np.zeros(2, np.int64)
+    paths = wm.Paths(code, np.array([1, 1]), none, none, np.zeros(2, np.float32), levels, np.array([0, 2]), np.append(counts, counts.dtype.type(0)), none, none, np.zeros(1, np.uint16))
+    chance = [2.0 ** -wm.bits(wm.Paths(*(v[k : k + 1] if len(v) == 2 else v for v in vars(paths).values())), tables, np.array([1]))[0] for k in (0, 1)]
+    assert sum(chance) == pytest.approx(1, abs=2e-6) and (chance[0] > chance[1] or common - other < common / 2)
+
+
+def test_topic_counts_beyond_32_bits():
+    leaves = np.zeros((1, 4), np.int64)
+    leaves[0] = [1 << 31, 4, 1 << 33, 0]
+    assert word_mixing.with_inner_nodes(leaves)[0].tolist() == [0, (5 << 31) + 4, (1 << 31) + 4, 1 << 33, 1 << 31, 4, 1 << 33, 0]
+
+
+def test_a_context_of_very_many_texts_stays_a_distribution(spark):
+    """160,000 texts of one of five words, equally likely: at best log2(5) bits each, however many texts there are."""
+    n = 160_000
+    docs = spark.range(n, numPartitions=4).selectExpr("id doc_id", "concat('word', char(97 + pmod(xxhash64(id), 5))) text")
+    words = language_model.score(docs).where("held_out").join(docs, "doc_id").groupBy("text").agg({"score": "min", "*": "count"}).collect()
+    chance = [10 ** r["min(score)"] for r in words]
+    assert len(chance) == 5 and 0.97 < sum(chance) < 1.001
+    mean = sum(-r["min(score)"] * math.log2(10) * r["count(1)"] for r in words) / sum(r["count(1)"] for r in words)
+    assert 2.31 < mean < 2.36
+
+
 def test_spelling_is_a_distribution():
     """Over all first bytes: the words of one byte, and what goes on, make one."""
     model = spelling_model([b"ab", b"ac", b"b", b"cab"])
