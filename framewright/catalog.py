@@ -15,7 +15,7 @@ from framewright import schema, scratch
 from framewright.functions import vec
 from framewright.operators import bank as banks
 from framewright.operators import knn_join as knn_join_
-from framewright.operators import classifier, knn, mlp, permutation, score, split, stats, templates, training
+from framewright.operators import classifier, knn, mlp, permutation, prototypes, score, split, stats, templates, training
 from framewright.plans import evaluate
 from framewright.sources import frames as sources
 from framewright.streaming import correlate
@@ -299,6 +299,12 @@ def bank_prototypes(spark, sf_dir):
     return b.select("label", F.posexplode("z").alias("pos", "v")).select("label", "pos", _r("v", "value"))
 
 
+def bank_kmeans(spark, sf_dir):
+    """Three prototypes a class after two rounds, from the references with the smallest hashes."""
+    b = prototypes.fit(banks.from_frames(_parts(spark, sf_dir)[0]), 3, 2, initial="hash").bank(spark)
+    return b.select("ref_index", "label", F.posexplode("z").alias("pos", "v")).select("ref_index", "label", "pos", _r("v", "value"))
+
+
 def bank_footprint(spark, sf_dir):
     return banks.footprint(banks.from_frames(_parts(spark, sf_dir)[0]))
 
@@ -448,7 +454,7 @@ QUERIES = {
     "stats_class_counts": stats_class_counts, "stats_histogram": stats_histogram,
     "stats_n_unique": stats_n_unique, "stats_split_counts": stats_split_counts,
     "waveform_neighbours": waveform_neighbours, "bank_prototypes": bank_prototypes,
-    "bank_footprint": bank_footprint, "bank_subsample": bank_subsample, "comparison": comparison,
+    "bank_footprint": bank_footprint, "bank_kmeans": bank_kmeans, "bank_subsample": bank_subsample, "comparison": comparison,
     "epoch_shuffle": epoch_shuffle, "split_permuted": split_permuted, "epoch_permuted": epoch_permuted, "load_frames": load_frames, "bank_stored": bank_stored, "checkpoint_stored": checkpoint_stored,
     "derived_rates": derived_rates,
     "signal_frames": signal_frames, "encode_iq": encode_iq, "mf_multi_template": mf_multi_template, "templates_decoded": templates_decoded,
@@ -582,6 +588,23 @@ _STEP = _with(
 )
 
 
+_KMEANS = _with(
+    _SCALED.replace("FROM embeddings", "FROM embeddings WHERE vec_id % 10 <> 0"),
+    """h AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY CAST('0x' || substr(md5('42:' || vec_id), 1, 8) AS BIGINT), vec_id) - 1 AS j
+  FROM embeddings WHERE vec_id % 10 <> 0 QUALIFY j < 3)""",
+    "c0 AS (SELECT h.label, j, pos, v FROM h JOIN f ON f.row_id = h.vec_id)",
+    *(
+        part
+        for r in range(2)
+        for part in (
+            f"""d{r} AS (SELECT row_id, f.label, j, sum(pow(f.v - c.v, 2)) AS d FROM f JOIN c{r} c ON c.label = f.label AND c.pos = f.pos GROUP BY row_id, f.label, j)""",
+            f"""a{r} AS (SELECT row_id, label, j FROM d{r} QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY round(d, 9), j) = 1)""",
+            f"""c{r + 1} AS (SELECT c.label, c.j, c.pos, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN
+  (SELECT a.label, j, pos, avg(v) AS v FROM a{r} a JOIN f USING (row_id) GROUP BY a.label, j, pos) m ON m.label = c.label AND m.j = c.j AND m.pos = c.pos)""",
+        )
+    ),
+) + """SELECT dense_rank() OVER (ORDER BY label, j) - 1 AS ref_index, CAST(label AS INT) AS label, CAST(pos AS INT) AS pos, round(v, 6) AS value FROM c2"""
+
 _SIGNAL = _with(
     """s AS (SELECT 'c' || vec_id % 4 AS channel, (vec_id // 4) * 32 + i AS k, CAST(embedding[i + 1] AS DOUBLE) AS re, CAST(embedding[i + 33] AS DOUBLE) AS im
   FROM embeddings JOIN (SELECT unnest(range(32)) AS i) ON true)""",
@@ -646,6 +669,7 @@ UNION ALL SELECT 'train', (SELECT count(*) FROM t) UNION ALL SELECT 'val', (SELE
     + "SELECT row_id AS ref_index, CAST(label AS INT) AS label, CAST(pos AS INT) AS pos, round(v, 6) AS value FROM u",
     "knn_neighbors": _neighbour_sql(False) + "SELECT qid, y, rank, ref_index, label, round(distance, 6) AS distance FROM n",
     "knn_neighbors_normalized": _neighbour_sql(True) + "SELECT qid, y, rank, ref_index, label, round(distance, 6) AS distance FROM n",
+    "bank_kmeans": _KMEANS,
     "signal_detections": _SIGNAL,
     "signal_detections_streamed": _SIGNAL + " AND (place // 500 + 1) * 500 + 32 <= n",
     "knn_join": _neighbour_sql(True) + "SELECT qid, y, rank, ref_index, label, round(distance, 6) AS distance FROM n",
