@@ -7,9 +7,9 @@ an algorithm). Public keys and certificates are no secrets and aren't reported.
 lines, whose ends may be escaped (a backslash and n, r or t, as in JSON). An armoured key that is encrypted has no structure
 of its own; it is confirmed by its headers, and by whole blocks of the cipher that they name.
 
-Null and empty texts have no spans; very long texts are scanned whole, in time linear in their length but for candidates'
-lines; repeated rows give repeated results; spans that start alike are listed in the order of `KINDS`. An empty table gives no row;
-other columns, of whatever name, are not read.
+Null and empty texts have no spans; very long texts are scanned whole, in time linear in their length; repeated rows give repeated
+results; spans that start alike are listed in the order of `KINDS`. An empty table gives no row; other columns, of whatever name, are
+not read.
 """
 
 from __future__ import annotations
@@ -50,91 +50,138 @@ _LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 _LINES = re.compile(r"[A-Za-z0-9+/_-]+(?:[ \t]*(?:\\+[nrt]|[\r\n][ \t]*)+[A-Za-z0-9+/_-]+)*")
 _SSH_MAGIC = b"openssh-key-v1\x00"
 _PADDING = re.compile(r"={0,2}")
+_OTHER = re.compile(r"[-_]")
 _DER_HEX = re.compile(r"(?<![0-9A-Fa-f])30(?:8[1-4]|[0-7][0-9A-Fa-f])[0-9A-Fa-f]{28,}")
 
 
-def der_items(blob: bytes) -> list[tuple[int, bytes]] | None:
-    """(tag, content) of the DER elements that fill the bytes exactly; None if they don't."""
-    at, n, out = 0, len(blob), []
-    while at < n:
-        if at + 2 > n:
+class Plain:
+    """Bytes that are there, read piece by piece."""
+
+    def __init__(self, data: bytes):
+        self.data, self.n = data, len(data)
+
+    def read(self, a: int, b: int) -> bytes:
+        return self.data[a:b]
+
+
+class Coded:
+    """The bytes that base64 characters of a text stand for. Only those that are read are decoded, so that a candidate costs as much as
+    its headers, however long it says it is."""
+
+    def __init__(self, text: str, start: int, chars: int):
+        self.text, self.start, self.end, self.n = text, start, start + chars, chars * 3 // 4
+
+    def read(self, a: int, b: int) -> bytes:
+        group, b = a // 3, min(b, self.n)
+        if a >= b:
+            return b""
+        chars = self.text[self.start + 4 * group : min(self.start + 4 * -(-b // 3), self.end)]
+        return unbase64(chars)[a - 3 * group : b - 3 * group]
+
+
+#: More elements than any key has side by side.
+MOST_ITEMS = 9
+
+
+def der_items(source, a: int, b: int, most: int = MOST_ITEMS) -> list[tuple[int, int, int]] | None:
+    """(tag, start, end) of the DER elements that fill the bytes from a to b exactly; None if they don't, or are more than `most`."""
+    out: list = []
+    while a < b:
+        head = source.read(a, min(a + 6, b))
+        if len(head) < 2 or len(out) == most:
             return None
-        tag, length, at = blob[at], blob[at + 1], at + 2
+        tag, length, k = head[0], head[1], 0
         if length & 0x80:
             k = length & 0x7F
-            if not 1 <= k <= 4 or at + k > n:
+            if not 1 <= k <= 4 or 2 + k > len(head):
                 return None
-            length, at = int.from_bytes(blob[at : at + k], "big"), at + k
+            length = int.from_bytes(head[2 : 2 + k], "big")
             if length < 0x80:
                 return None  # DER wants the shortest form
-        if at + length > n or tag in (0x00, 0xFF):
+        start = a + 2 + k
+        if start + length > b or tag in (0x00, 0xFF):
             return None
-        out.append((tag, blob[at : at + length]))
-        at += length
+        out.append((tag, start, start + length))
+        a = start + length
     return out
 
 
-def _is_algorithm(content: bytes) -> bool:
+def _is_algorithm(source, a: int, b: int, items: int | None = None) -> bool:
     """An AlgorithmIdentifier: an object id, then at most one element of parameters."""
-    items = der_items(content)
-    return bool(items) and items[0][0] == 0x06 and len(items[0][1]) > 1 and len(items) <= 2
+    found = der_items(source, a, b, 2)
+    return bool(found) and found[0][0] == 0x06 and found[0][2] - found[0][1] > 1 and items in (None, len(found))
 
 
-def is_der_key(blob: bytes) -> bool:
+def is_der_key(source) -> bool:
     """One SEQUENCE that is a private key: of RSA or DSA (a version and just the integers of such a key), of an elliptic curve
-    (version 1, octets, tagged parameters), PKCS #8 (a version, an algorithm, octets that hold a key, tagged attributes) or
-    encrypted PKCS #8 (an algorithm, octets in whole)."""
-    outer = der_items(blob) if len(blob) >= 16 else None
-    if not outer or len(outer) != 1 or outer[0][0] != 0x30 or not (items := der_items(outer[0][1])):
+    (version 1, octets, tagged parameters), PKCS #8 (a version, an algorithm, octets that hold a key's element, tagged attributes) or
+    encrypted PKCS #8 (an algorithm, octets in whole). Only headers and the version are read."""
+    source = Plain(source) if isinstance(source, bytes) else source
+    outer = der_items(source, 0, source.n, 1) if source.n >= 16 else None
+    if not outer or outer[0][0] != 0x30 or not (items := der_items(source, *outer[0][1:])):
         return False
-    tags, contents = [t for t, _ in items], [c for _, c in items]
-    if tags[:2] == [0x30, 0x04] and len(items) == 2:
-        return _is_algorithm(contents[0]) and len(der_items(contents[0])) == 2 and len(contents[1]) >= 16 and len(contents[1]) % 8 == 0
-    if tags[0] != 0x02 or contents[0] not in (b"\x00", b"\x01"):
+    tags, sizes = [t for t, _, _ in items], [b - a for _, a, b in items]
+    if tags == [0x30, 0x04]:
+        return _is_algorithm(source, *items[0][1:], items=2) and sizes[1] >= 16 and sizes[1] % 8 == 0
+    if tags[0] != 0x02 or sizes[0] != 1 or (version := source.read(items[0][1], items[0][2])) not in (b"\x00", b"\x01"):
         return False
     if all(t == 0x02 for t in tags):
-        return len(tags) in (6, 9) and all(contents) and min(map(len, contents[1:3])) > 0 and max(map(len, contents)) >= 16
+        return len(tags) in (6, 9) and all(sizes) and max(sizes) >= 16
     if tags[1] == 0x04:
-        return contents[0] == b"\x01" and len(contents[1]) >= 16 and len(items) > 2 and all(t in (0xA0, 0xA1) and der_items(c) for t, c in items[2:])
+        tagged = items[2:]
+        return version == b"\x01" and sizes[1] >= 16 and 1 <= len(tagged) <= 2 and all(t in (0xA0, 0xA1) and der_items(source, a, b, 1) for t, a, b in tagged)
     if tags[1:3] == [0x30, 0x04]:
-        inner = der_items(contents[2])
-        return _is_algorithm(contents[1]) and bool(inner) and all(t in (0xA0, 0xA1, 0x81) for t in tags[3:])
+        return _is_algorithm(source, *items[1][1:]) and bool(der_items(source, *items[2][1:], 1)) and len(tags) <= 5 and all(t in (0xA0, 0xA1, 0x81) for t in tags[3:])
     return False
 
 
-def _fields(blob: bytes, at: int, n: int | None):
-    """(the next n length-prefixed fields, all that follow if n is None, where they end); None if they don't fit."""
-    out = []
-    while len(out) != n and (n is not None or at + 4 <= len(blob)):
-        end = at + 4 + int.from_bytes(blob[at : at + 4], "big")
-        if at + 4 > len(blob) or end > len(blob):
+#: Fields of a public key, and of a private one with its comment: no key type has more.
+MOST_FIELDS = 16
+
+
+def _fields(source, at: int, end: int, n: int | None, most: int = MOST_FIELDS):
+    """((start, end) of the next n length-prefixed fields, all that fit up to `end` if n is None, where they end); None if n don't fit or
+    there are more than `most`."""
+    out: list = []
+    while len(out) != n:
+        size = source.read(at, min(at + 4, end))
+        stop = at + 4 + int.from_bytes(size, "big")
+        if len(size) < 4 or stop > end:
             return (out, at) if n is None else None
-        out.append(blob[at + 4 : end])
-        at = end
+        if len(out) == most:
+            return None
+        out.append((at + 4, stop))
+        at = stop
     return out, at
 
 
-def ssh_size(blob: bytes) -> int:
-    """Bytes of the OpenSSH private key that `blob` begins with; 0 if there is none. All fields are parsed to the end: cipher,
+def ssh_size(source) -> int:
+    """Bytes of the OpenSSH private key that `source` begins with; 0 if there is none. All fields are parsed to the end: cipher,
     derivation, public keys, and the private part, which starts with two equal numbers and ends with counted padding
     if it isn't encrypted, and else fills the cipher's blocks."""
-    if not blob.startswith(_SSH_MAGIC) or not (head := _fields(blob, len(_SSH_MAGIC), 3)):
+    source = Plain(source) if isinstance(source, bytes) else source
+    magic = len(_SSH_MAGIC)
+    if source.read(0, magic) != _SSH_MAGIC or not (head := _fields(source, magic, source.n, 3)):
         return 0
-    (cipher, derivation, _), at = head
-    keys = int.from_bytes(blob[at : at + 4], "big")
+    names, at = head
+    if any(b - a > 64 for a, b in names[:2]):
+        return 0
+    cipher, derivation = (source.read(a, b) for a, b in names[:2])
+    keys = int.from_bytes(source.read(at, at + 4), "big")
     if not re.fullmatch(rb"[a-z0-9@.-]+", cipher) or not re.fullmatch(rb"[a-z0-9]+", derivation) or not 1 <= keys <= 64:
         return 0
-    if not (rest := _fields(blob, at + 4, keys + 1)):
+    if not (rest := _fields(source, at + 4, source.n, keys + 1, keys + 1)):
         return 0
-    *public, private = rest[0]
-    if not all(_is_public_key(p) for p in public):
+    *public, (a, b) = rest[0]
+    if not all(_is_public_key(source, *p) for p in public):
         return 0
     if cipher == b"none":
-        body, end = _fields(private, 8, None)
-        padding = private[end:]
-        if len(private) < 16 or private[:4] != private[4:8] or not body or not _SSH_TYPE.fullmatch(body[0]) or padding != bytes(range(1, len(padding) + 1)):
+        if b - a < 16 or source.read(a, a + 4) != source.read(a + 4, a + 8) or not (body := _fields(source, a + 8, b, None, MOST_FIELDS * keys)):
+            return 0
+        fields, end = body
+        if not fields or not _is_type(source, *fields[0]) or b - end > 255 or source.read(end, b) != bytes(range(1, b - end + 1)):
             return 0
-    elif len(private) < 16 or len(private) % 8:
+    elif b - a < 16 or (b - a) % 8:
         return 0
     return rest[1]
 
@@ -142,9 +189,13 @@ def ssh_size(blob: bytes) -> int:
 _SSH_TYPE = re.compile(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+")
 
 
-def _is_public_key(blob: bytes) -> bool:
-    fields, end = _fields(blob, 0, None)
-    return len(fields) >= 2 and end == len(blob) and bool(_SSH_TYPE.fullmatch(fields[0]))
+def _is_type(source, a: int, b: int) -> bool:
+    return b - a <= 128 and bool(_SSH_TYPE.fullmatch(source.read(a, b)))
+
+
+def _is_public_key(source, a: int, b: int) -> bool:
+    found = _fields(source, a, b, None)
+    return bool(found) and len(found[0]) >= 2 and found[1] == b and _is_type(source, *found[0][0])
 
 
 def is_encrypted_body(cipher: str, body: bytes) -> bool:
@@ -194,40 +245,35 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def base64_spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of DER and SSH keys in base64, on one line or over several."""
+    """(start, kind, end) of DER and SSH keys in base64, on one line or over several. Each candidate is measured by its headers, and only
+    one that is a key covers more than its first line's beginning, so that the time is linear in the text's length."""
     found, at = [], 0
     while first := _BASE64.search(text, at):
         at = _LINES.match(text, first.start()).end()
         lines = [m.span() for m in _LINE.finditer(re.sub(r"\\+[nrt]", lambda m: " " * len(m[0]), text[first.start() : at]))]
         joined = "".join(text[first.start() + a : first.start() + b] for a, b in lines)
         before = list(accumulate((b - a for a, b in lines), initial=0))
-        ends, covered = set(before[1:]), first.start()
+        ends, other, covered = set(before[1:]), [m.start() for m in _OTHER.finditer(joined)], first.start()
         for m in _BASE64.finditer(text, first.start(), at):
             line = bisect_right(lines, (m.start() - first.start(), at)) - 1
             start = before[line] + m.start() - first.start() - lines[line][0]
             if m.start() < covered:
                 continue
-
-            def closed(n):
-                """Whether the text's base64 stops after n characters; '-' and '_' end the other alphabet's."""
-                stop = start + n
-                return stop in ends or (stop < len(joined) and joined[stop] in "-_" and not re.search("[-_]", joined[start:stop]))
-
             kind, size = None, der_size(unbase64(joined[start : start + 12]))
             if m[0][0] == "M":
                 n = -(-size * 4 // 3)
-                if size and start + n <= len(joined) and closed(n) and is_der_key(unbase64(joined[start : start + n])):
+                if size and start + n <= len(joined) and is_der_key(Coded(joined, start, n)):
                     kind = 5
             elif unbase64(joined[start : start + 20]) == _SSH_MAGIC:
-                rest = re.match("[A-Za-z0-9+/]*" if "-" not in joined[start:] and "_" not in joined[start:] else "[A-Za-z0-9+/_-]*", joined[start:])[0]
-                size = ssh_size(unbase64(rest[: len(rest) - (len(rest) % 4 == 1)]))
+                chars = len(joined) - start
+                size = ssh_size(Coded(joined, start, chars - (chars % 4 == 1)))
                 n = -(-size * 4 // 3)
-                if size and closed(n):
-                    kind = 7
-            if kind:
-                last = bisect_left(before, start + n) - 1
-                stop = first.start() + lines[last][0] + start + n - before[last]
-                covered = _PADDING.match(text, stop).end()
+                kind = 7 if size else None
+            # the text's base64 has to stop there; '-' and '_' end the other alphabet's
+            stop = start + n if kind else 0
+            if kind and (stop in ends or (stop < len(joined) and joined[stop] in "-_" and bisect_left(other, start) == bisect_left(other, stop))):
+                last = bisect_left(before, stop) - 1
+                covered = _PADDING.match(text, first.start() + lines[last][0] + stop - before[last]).end()
                 found.append((m.start(), kind, covered))
         at = max(at, covered)
     return found
