@@ -15,7 +15,7 @@ from framewright import schema, scratch
 from framewright.functions import vec
 from framewright.operators import bank as banks
 from framewright.operators import knn_join as knn_join_
-from framewright.operators import classifier, knn, mlp, permutation, prototypes, score, split, stats, templates, training
+from framewright.operators import classifier, knn, mlp, permutation, prototypes, quantized, score, split, stats, templates, training
 from framewright.plans import evaluate
 from framewright.sources import frames as sources
 from framewright.streaming import correlate
@@ -83,6 +83,15 @@ def epoch_shuffle(spark, sf_dir):
     return split.epoch_order(_labels(spark, sf_dir), 3).select("row_id", "place")
 
 
+def loader_smoke(spark, sf_dir):
+    """Each split's first frame, as a loader gives it."""
+    def part(name):
+        f = sources.load_frames(spark, "embeddings", name, path=f"{sf_dir}/embeddings.parquet")
+        return evaluate.first_frame(f, name).select("split", "n_frames", "row_id", "n_samples", _r("least"), _r("most"), F.col("label").cast("int").alias("label"))
+
+    return part("train").unionByName(part("val")).unionByName(part("all"))
+
+
 def split_permuted(spark, sf_dir):
     """An exact split of a table of any size: a permutation by expressions."""
     f = _labels(spark, sf_dir)
@@ -294,6 +303,41 @@ def waveform_neighbours(spark, sf_dir):
     return evaluate.waveform_neighbours(train, val, 5).select("row_id", "y", "pred")
 
 
+def waveform_neighbours_fft(spark, sf_dir):
+    """Neighbours by the peak of the circular correlation, of which a spectral bound leaves most out."""
+    train, val = _parts(spark, sf_dir)
+    refs = train.select(F.col("row_id").alias("ref_index"), vec.scaled_to_unit(vec.doubles("x"), vec.ENERGY_FLOOR).alias("z"), "label")
+    found = knn.nearest(val, refs, 5, measure="circular")
+    return found.select("qid", "y", "rank", "ref_index", "label", F.round(-F.col("distance"), 6).alias("score"))
+
+
+def quantized_neighbors(spark, sf_dir):
+    """Neighbours through byte codes, all of them looked at exactly."""
+    train, val = _parts(spark, sf_dir)
+    found = _quantized(spark, banks.from_frames(train), val, rerank=1 << 20)
+    return found.select("qid", "y", "rank", "ref_index", "label", _r("distance"))
+
+
+def quantized_recall(spark, sf_dir):
+    """Of the exact neighbours how many a code of eight bytes finds among 100 that are looked at exactly."""
+    train, val = _parts(spark, sf_dir)
+    bank = banks.from_frames(train)
+    return quantized.recall(_quantized(spark, bank, val, rerank=100), knn.nearest(val, bank, 5))
+
+
+def _quantized(spark, bank, val, rerank):
+    books = quantized.fit(bank, 8, 64, 2)
+    return quantized.nearest(val, bank, scratch.written(quantized.encode(bank, books), "codes"), books, 5, rerank)
+
+
+def accuracy_decoded(spark, sf_dir):
+    """Frames scored with templates that were decoded from a latent bank's centroids."""
+    f, encoder = _frames(spark, sf_dir), mlp.by_rule(ENCODER)
+    bank = banks.encoded(split.modular(f, "train"), encoder)
+    got = evaluate.decoded_matched_filter(split.modular(f, "val"), bank, mlp.by_rule(DECODER), CLASSES)
+    return got.select(_r("accuracy"), "correct", "total")
+
+
 def bank_prototypes(spark, sf_dir):
     b = banks.prototypes(banks.from_frames(_parts(spark, sf_dir)[0]), CLASSES, DIM)
     return b.select("label", F.posexplode("z").alias("pos", "v")).select("label", "pos", _r("v", "value"))
@@ -453,9 +497,10 @@ QUERIES = {
     "recon_mse": recon_mse, "cls_ce": cls_ce, "best_epoch": best_epoch, "epochs_improved": epochs_improved,
     "stats_class_counts": stats_class_counts, "stats_histogram": stats_histogram,
     "stats_n_unique": stats_n_unique, "stats_split_counts": stats_split_counts,
-    "waveform_neighbours": waveform_neighbours, "bank_prototypes": bank_prototypes,
+    "waveform_neighbours": waveform_neighbours, "waveform_neighbours_fft": waveform_neighbours_fft, "accuracy_decoded": accuracy_decoded,
+    "quantized_neighbors": quantized_neighbors, "quantized_recall": quantized_recall, "bank_prototypes": bank_prototypes,
     "bank_footprint": bank_footprint, "bank_kmeans": bank_kmeans, "bank_subsample": bank_subsample, "comparison": comparison,
-    "epoch_shuffle": epoch_shuffle, "split_permuted": split_permuted, "epoch_permuted": epoch_permuted, "load_frames": load_frames, "bank_stored": bank_stored, "checkpoint_stored": checkpoint_stored,
+    "epoch_shuffle": epoch_shuffle, "split_permuted": split_permuted, "loader_smoke": loader_smoke, "epoch_permuted": epoch_permuted, "load_frames": load_frames, "bank_stored": bank_stored, "checkpoint_stored": checkpoint_stored,
     "derived_rates": derived_rates,
     "signal_frames": signal_frames, "encode_iq": encode_iq, "mf_multi_template": mf_multi_template, "templates_decoded": templates_decoded,
     "latent_retrieval": latent_retrieval, "classify_by_network": classify_by_network, "train_classifier": train_classifier,
@@ -465,9 +510,14 @@ QUERIES = {
 
 # --- SQL ---------------------------------------------------------------------------------------------------
 
-#: The validation rows that the seeded permutation leaves, for the sizes that the vector tables have. A test holds the
-#: permutation itself against written-out values.
-_VAL = " OR ".join(f"((SELECT count(*) FROM embeddings) = {n} AND vec_id IN ({','.join(map(str, split.validation_rows(n)))}))" for n in (500, 2000))
+
+def _left_out(n: int) -> str:
+    """The rows that numpy's own permutation leaves for validation at 0.9 and seed 42: the definition of the split, without the library."""
+    return ",".join(map(str, sorted(np.random.default_rng(42).permutation(n)[n * 9 // 10 :].tolist())))
+
+
+#: For the sizes that the vector tables have, all multiples of ten.
+_VAL = " OR ".join(f"((SELECT count(*) FROM embeddings) = {n} AND vec_id IN ({_left_out(n)}))" for n in (500, 2000))
 _SPLIT = f"CASE WHEN {_VAL} THEN 'val' ELSE 'train' END"
 
 
@@ -644,7 +694,7 @@ ORACLES: dict[str, str] = {
   THEN 'train' ELSE 'val' END AS split FROM embeddings""",
     "epoch_shuffle": "SELECT vec_id AS row_id, CAST('0x' || substr(md5('42000129:' || vec_id), 1, 8) AS BIGINT) AS place FROM embeddings",
     "load_frames": f"""SELECT vec_id AS row_id, CAST(label AS INT) AS label, CAST(len(embedding) AS INT) AS n_samples FROM embeddings
-  WHERE vec_id IN ({','.join(map(str, split.validation_rows(200)))})""",
+  WHERE vec_id IN ({_left_out(200)})""",
     "bank_stored": _with(*_ENCODED, "y AS (SELECT DISTINCT row_id, CAST(label AS INT) AS label FROM f)")
     + """SELECT row_id AS ref_index, label, CAST(pos AS INT) AS pos, round(CAST(CAST(v AS FLOAT) AS DOUBLE), 4) AS value FROM z JOIN y USING (row_id)""",
     "checkpoint_stored": _with(*_ENCODED) + "SELECT row_id, CAST(pos AS INT) AS pos, round(v, 6) AS value, CAST(8 AS INT) AS latent_dim FROM z",
@@ -670,6 +720,38 @@ UNION ALL SELECT 'train', (SELECT count(*) FROM t) UNION ALL SELECT 'val', (SELE
     "knn_neighbors": _neighbour_sql(False) + "SELECT qid, y, rank, ref_index, label, round(distance, 6) AS distance FROM n",
     "knn_neighbors_normalized": _neighbour_sql(True) + "SELECT qid, y, rank, ref_index, label, round(distance, 6) AS distance FROM n",
     "bank_kmeans": _KMEANS,
+    "loader_smoke": f"""WITH s AS (SELECT *, {_SPLIT} AS split FROM embeddings), p AS (SELECT * FROM s UNION ALL SELECT * REPLACE ('all' AS split) FROM s)
+SELECT split, count(*) AS n_frames, min(vec_id) AS row_id, CAST(any_value(len(embedding)) AS INT) AS n_samples, round(CAST(list_min(arg_min(embedding, vec_id)) AS DOUBLE), 6) AS least,
+  round(CAST(list_max(arg_min(embedding, vec_id)) AS DOUBLE), 6) AS most, CAST(arg_min(label, vec_id) AS INT) AS label FROM p GROUP BY split""",
+    "quantized_neighbors": _neighbour_sql(False) + "SELECT qid, y, rank, ref_index, label, round(distance, 6) AS distance FROM n",
+    "waveform_neighbours_fft": _with(
+        _SCALED,
+        _unit("u", "f", "row_id, label", "1e-8"),
+        """c AS (SELECT a.row_id, CAST(a.label AS INT) AS label, a.pos, a.v AS re, b.v AS im FROM u a JOIN u b ON a.row_id = b.row_id AND b.pos = a.pos + 32)""",
+        """l AS (SELECT q.row_id AS qid, q.label AS y, t.row_id AS ref_index, t.label, (q.pos - t.pos + 32) % 32 AS lag,
+  pow(sum(q.re * t.re + q.im * t.im), 2) + pow(sum(q.im * t.re - q.re * t.im), 2) AS square FROM c q JOIN c t ON q.row_id % 10 = 0 AND t.row_id % 10 <> 0
+  GROUP BY q.row_id, q.label, t.row_id, t.label, lag)""",
+        "s AS (SELECT qid, y, ref_index, label, sqrt(max(square)) AS score FROM l GROUP BY qid, y, ref_index, label)",
+    )
+    + """SELECT * REPLACE (round(score, 6) AS score) FROM (SELECT qid, y, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, ref_index) AS INT) AS rank, ref_index, label, score FROM s)
+  WHERE rank <= 5""",
+    "accuracy_decoded": _with(
+        *_ENCODED,
+        "y0 AS (SELECT DISTINCT row_id, label FROM f)",
+        "m AS (SELECT label, pos, avg(v) AS v FROM z JOIN y0 USING (row_id) WHERE row_id % 10 <> 0 GROUP BY label, pos)",
+        _unit("k", "m", "label", "1e-12"),
+        "x AS (SELECT label AS row_id, pos, v FROM k)",
+        _layer("g", "x", 8, 16, True),
+        _layer("w", "g", 16, 64, False),
+        _unit("u", "w", "row_id", "1e-8"),
+        "t AS (SELECT row_id AS label, pos, v FROM u)",
+        _VALIDATING,
+        _unit("q", "v", "row_id", "1e-8"),
+        _COMPLEX,
+        _TIME,
+        _BEST,
+    )
+    + _ACCURACY,
     "signal_detections": _SIGNAL,
     "signal_detections_streamed": _SIGNAL + " AND (place // 500 + 1) * 500 + 32 <= n",
     "knn_join": _neighbour_sql(True) + "SELECT qid, y, rank, ref_index, label, round(distance, 6) AS distance FROM n",

@@ -48,6 +48,7 @@ def parser() -> argparse.ArgumentParser:
     bench.add_argument("--frame-repeats", type=int, default=2000)
     bench.add_argument("--warm-up", type=int, default=2)
     command("stats", "rows by split and class")
+    command("smoke", "each split's first frame: shape, types, label")
     fit = command("train", "train an auto-encoder and keep its best epoch")
     fit.add_argument("--out", required=True)
     fit.add_argument("--latent", type=int, default=64)
@@ -75,6 +76,9 @@ def result(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     if a.command == "stats":
         every = _frames(spark, a, "all").select("row_id", "label")
         return stats.split_counts(split.labelled(every, every.count(), a.train_fraction, a.seed), a.classes)
+    if a.command == "smoke":
+        parts = [evaluate.first_frame(_frames(spark, a, part), part) for part in split.SPLITS]
+        return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
     if a.command == "benchmark":
         every = _frames(spark, a, "all")
         return evaluate.runtime(every, every.count(), a.classes, a.mode, a.max_train, a.max_eval, a.frame_repeats, warm_up=a.warm_up)

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import json
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framewright.functions import vec
-from framewright.operators import mlp, split, templates
+from framewright.operators import mlp, split, templates, versions
 
 
 def from_frames(frames: DataFrame, normalize: bool = False) -> DataFrame:
@@ -24,24 +24,27 @@ def encoded(frames: DataFrame, encoder: mlp.Mlp) -> DataFrame:
 
 
 def export(frames: DataFrame, encoder: mlp.Mlp, path: str, **config) -> dict:
-    """Write the bank and, beside it, a manifest that names the weights and the run, so that a bank can't be paired with
-    others unnoticed. Returns the manifest."""
-    encoded(frames, encoder).withColumn("z", F.col("z").cast("array<float>")).write.mode("overwrite").parquet(path)
+    """Publish the bank together with a manifest that names the weights and the run, as a new version of `path`, so that a bank can't be
+    paired with others unnoticed, and a write that fails leaves the one before. Returns the manifest."""
     manifest = config | {"weights_sha256": encoder.digest(), "input_dim": encoder.weights[0].shape[1], "latent_dim": encoder.weights[-1].shape[0]}
-    line = frames.sparkSession.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string")
-    line.coalesce(1).write.mode("overwrite").text(f"{path}.manifest")
-    return manifest
+    bank = encoded(frames, encoder).withColumn("z", F.col("z").cast("array<float>"))
+    return versions.publish(frames.sparkSession, path, {"bank": bank}, manifest).manifest
 
 
 def manifest_of(spark: SparkSession, path: str) -> dict:
-    return json.loads(spark.read.text(f"{path}.manifest").first()["value"])
-
-
-def load(spark: SparkSession, path: str, encoder: mlp.Mlp | None = None) -> DataFrame:
-    """The bank; with an encoder, only if its weights made it."""
-    if encoder is not None and manifest_of(spark, path)["weights_sha256"] != encoder.digest():
-        raise ValueError(f"the bank at {path} was made by other weights")
-    return spark.read.parquet(path).withColumn("z", F.col("z").cast("array<double>"))
+    return versions.current(spark, path).manifest
+
+
+def load(spark: SparkSession, path: str, encoder: mlp.Mlp | None = None, strict: bool = True) -> DataFrame:
+    """The bank's latest version; with an encoder, only if its weights made it. With `strict` off that is a warning, as is customary
+    where a checkpoint and a data set don't belong together."""
+    version = versions.current(spark, path)
+    if encoder is not None and version.manifest["weights_sha256"] != encoder.digest():
+        said = f"the bank at {path} was made by other weights"
+        if strict:
+            raise ValueError(said)
+        warnings.warn(said, stacklevel=2)
+    return version.table("bank").withColumn("z", F.col("z").cast("array<double>"))
 
 
 def prototypes(bank: DataFrame, num_classes: int, dim: int) -> DataFrame:

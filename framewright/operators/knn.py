@@ -54,20 +54,38 @@ def hermitian(q: np.ndarray, z: np.ndarray):
     return _by_score(np.abs(q @ z.T), lambda one, near: np.abs((z[near] * q[one]).sum(1)))
 
 
-def circular(q: np.ndarray, z: np.ndarray):
-    """The peak of the circular correlation, a reference at a time."""
-    f, out = np.fft.fft(complex_rows(_unit(q, vec.ENERGY_FLOOR)), axis=1), np.empty((len(q), len(z)))
-    for c, s in enumerate(np.conj(np.fft.fft(complex_rows(z), axis=1))):
-        out[:, c] = np.abs(np.fft.ifft(f * s, axis=1)).max(1)
-    return _by_score(out, lambda one, near: out[one, near])
+#: References whose peaks are computed at once; a query stops after the first such run that leaves no other possible.
+VERIFY = 32
+
+
+def best_circular(q: np.ndarray, z: np.ndarray, ref: np.ndarray, k: int):
+    """For each query (positions, negated scores, pairs verified) of the k references with the highest peaks of the circular
+    correlation. A peak is at most the sum of |X_n| |M_n| over frequencies, divided by their number: one product of real matrices
+    bounds all pairs. References are verified, by an inverse FFT each, in the order of their bounds, until the next bound is below
+    the k-th best peak."""
+    f, s = np.fft.fft(complex_rows(_unit(q, vec.ENERGY_FLOOR)), axis=1), np.conj(np.fft.fft(complex_rows(z), axis=1))
+    bounds = np.abs(f) @ np.abs(s).T / f.shape[1] + 1e-12
+    for one, bound in enumerate(bounds):
+        order = np.argsort(-bound, kind="stable")
+        peak, seen = np.empty(0), 0
+        while seen < len(order) and (seen < k or bound[order[seen]] >= np.partition(peak, seen - k)[seen - k] - 1e-12):
+            run = order[seen : seen + max(VERIFY, k)]
+            peak = np.concatenate([peak, np.abs(np.fft.ifft(f[one] * s[run], axis=1)).max(1)])
+            seen += len(run)
+        near = order[:seen]
+        best = np.lexsort((ref[near], -peak))[:k]
+        yield near[best], -peak[best], seen
 
 
 #: Smaller is nearer; scores are negated. References must be scaled already.
-MEASURES = {"euclidean": euclidean, "cosine": cosine, "hermitian": hermitian, "circular": circular}
+MEASURES = {"euclidean": euclidean, "cosine": cosine, "hermitian": hermitian}
 
 
 def best_of_block(q: np.ndarray, z: np.ndarray, ref: np.ndarray, k: int, measure: str = "euclidean"):
     """For each query (positions, distances) of its k nearest rows, nearest first."""
+    if measure == "circular":
+        yield from ((near, d) for near, d, _ in best_circular(q, z, ref, k))
+        return
     for at in range(0, len(q), 256):
         rough, slack, exact = MEASURES[measure](q[at : at + 256], z)
         for one, row in enumerate(rough):
@@ -137,6 +155,26 @@ def nearest(queries: DataFrame, bank: DataFrame, k: int = 1, normalize: bool = F
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def circular_work(queries: DataFrame, bank: DataFrame, k: int = 1) -> DataFrame:
+    """One row: pairs of queries and references, and those of them whose circular peak is computed to find each query's k best. For a
+    bank that fits a broadcast."""
+    ship(queries.sparkSession)
+    rows = bank.select("ref_index", vec.doubles("z").alias("z")).limit(BLOCK_ROWS + 1).toArrow().combine_chunks()
+    if len(rows) > BLOCK_ROWS:
+        raise ValueError("the bank is too large to be broadcast")
+    shared = queries.sparkSession.sparkContext.broadcast((as_rows(rows["z"].combine_chunks()) if len(rows) else np.zeros((0, 2)), rows["ref_index"].to_numpy()))
+
+    def scan(batches):
+        for batch in batches:
+            z, ref = shared.value
+            if batch.num_rows and len(z):
+                seen = [n for *_, n in best_circular(as_rows(batch.column(0)), z, ref, k)]
+                yield pa.RecordBatch.from_arrays([pa.array([len(seen) * len(z)]), pa.array([sum(seen)])], names=["pairs", "verified"])
+
+    found = queries.select(vec.doubles("x").alias("x")).mapInArrow(scan, "pairs long, verified long")
+    return found.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.coalesce(F.sum("verified"), F.lit(0)).alias("verified"))
+
+
 def nearest_by_expressions(queries: DataFrame, bank: DataFrame, k: int = 1, normalize: bool = False) -> DataFrame:
     """The same through a cross join of a small bank: the form that SQL can check."""
     x, z = vec.doubles("x"), vec.doubles("z")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import json
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framewright.functions.vec import doubles
+from framewright.operators import versions
 from framewright.operators.score import as_rows
 from framewright.shipping import ship
 
@@ -103,17 +103,16 @@ def apply_by_join(frames: DataFrame, model: Mlp) -> DataFrame:
 
 
 def save(model: Mlp, spark: SparkSession, path: str, **config) -> None:
-    """A checkpoint: two tables of weights and biases, and the run's settings as JSON."""
-    for name, table in zip(("weights", "biases"), model.tables(spark)):
-        table.coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}")
-    line = spark.createDataFrame([(json.dumps(config | {"sha256": model.digest()}, sort_keys=True),)], "value string")
-    line.coalesce(1).write.mode("overwrite").text(f"{path}/config")
+    """A checkpoint: tables of weights and biases and the run's settings, published together as a new version of `path`."""
+    weights, biases = model.tables(spark)
+    tables = {"weights": weights.coalesce(1), "biases": biases.coalesce(1)}
+    versions.publish(spark, path, tables, config | {"sha256": model.digest()})
 
 
 def load(spark: SparkSession, path: str) -> tuple[Mlp, dict]:
-    """The network of a checkpoint, if its weights are those that were saved, and its settings."""
-    model = Mlp.from_tables(spark.read.parquet(f"{path}/weights"), spark.read.parquet(f"{path}/biases"))
-    config = json.loads(spark.read.text(f"{path}/config").first()["value"])
+    """The network of the latest checkpoint, if its weights are those that were saved, and its settings."""
+    version = versions.current(spark, path)
+    model, config = Mlp.from_tables(version.table("weights"), version.table("biases")), dict(version.manifest)
     if config.pop("sha256") != model.digest():
         raise ValueError(f"the checkpoint at {path} isn't whole")
     return model, config

@@ -71,6 +71,19 @@ def decoded_templates(bank: DataFrame, decoder: mlp.Mlp, num_classes: int) -> Da
     return mlp.apply(centre, decoder).select("label", vec.scaled_to_unit(F.col("z"), vec.ENERGY_FLOOR).alias("mu"))
 
 
+def decoded_matched_filter(val: DataFrame, bank: DataFrame, decoder: mlp.Mlp, num_classes: int, mode: str = "time") -> DataFrame:
+    """Beyond the reference: accuracy of templates that were decoded from a latent bank, on frames (row_id, label, x)."""
+    return score.accuracy(score.predict(val, decoded_templates(bank, decoder, num_classes), mode))
+
+
+def first_frame(frames: DataFrame, name: str) -> DataFrame:
+    """One row that shows that a loader works: how many frames there are, and the first one's length, range and label; the types
+    of x and label as text."""
+    kinds = dict(frames.dtypes)
+    first = frames.agg(F.count(F.lit(1)).alias("n_frames"), F.min_by(F.struct("row_id", F.size("x").alias("n_samples"), F.array_min("x").alias("least"), F.array_max("x").alias("most"), "label"), "row_id").alias("f"))
+    return first.select(F.lit(name).alias("split"), "n_frames", "f.*", F.lit(kinds["x"]).alias("x_type"), F.lit(kinds["label"]).alias("label_type"))
+
+
 def single_frame_ms(frame: np.ndarray, spectra: np.ndarray, mode: str, repeats: int) -> float:
     """Milliseconds of the kernel for one frame, in this process: a Spark job per frame would time scheduling."""
     x, warm_up = frame[None, :], min(repeats, 20)

@@ -95,3 +95,35 @@ def test_bounds_hold():
             assert (d[:, of == c].min(1) >= lower[:, c]).all()
         assert (np.sort(d, 1)[:, k - 1] <= cells.upper(p + slack[:, None])).all()
         assert (lower > 0).mean() > 0.3
+
+
+@pytest.mark.parametrize("k", [1, 4, 50])
+def test_peaks_found_by_bounds_are_those_of_all_pairs(k):
+    """Noise, of which the bound leaves out little, and narrow bands, of which it leaves out most; equal references too."""
+    rng = np.random.default_rng(13)
+    n = 32
+
+    def bands(count, seed):
+        r = np.random.default_rng(seed)
+        place, phase = r.integers(0, n, count), r.uniform(0, 2 * np.pi, count)
+        wave = np.exp(1j * (2 * np.pi * place[:, None] * np.arange(n) / n + phase[:, None])) + 0.02 * (r.standard_normal((count, n)) + 1j * r.standard_normal((count, n)))
+        return np.concatenate([wave.real, wave.imag], 1)
+
+    shares = []
+    for q, z in ((rng.standard_normal((20, 2 * n)), rng.standard_normal((300, 2 * n))), (bands(20, 1), bands(300, 2))):
+        z = knn._unit(np.concatenate([z, z[:5]]), 1e-8)
+        ref, seen = np.arange(len(z)) * 3, 0
+        f, s = np.fft.fft(knn.complex_rows(knn._unit(q, 1e-8))), np.conj(np.fft.fft(knn.complex_rows(z)))
+        peaks = np.abs(np.fft.ifft(f[:, None] * s[None], axis=2)).max(2)
+        for i, (near, d, n_seen) in enumerate(knn.best_circular(q, z, ref, k)):
+            assert near.tolist() == np.lexsort((ref, -peaks[i]))[:k].tolist() and np.allclose(-d, peaks[i][near])
+            seen += n_seen
+        shares.append(seen / len(q) / len(z))
+    assert shares[1] < shares[0] <= 1 and (k > 4 or shares[1] < 0.3)
+
+
+def test_verified_share_of_circular_peaks(spark):
+    queries, bank = tables(spark, loose(14, 9, 8), loose(15, 70, 8))
+    got = knn.circular_work(queries, bank, 2).first()
+    assert got["pairs"] == 630 and 0 < got["verified"] <= 630
+    assert knn.circular_work(queries, bank.where("ref_index < 0")).first()["pairs"] == 0

@@ -314,6 +314,7 @@ def test_command_line(spark, tmp_path, capsys):
         return cli.result(spark, cli.parser().parse_args([argv[0], *base, *argv[1:]])).collect()
 
     assert sum(r["n"] for r in rows("stats")) == 80
+    assert [(r["split"], r["n_frames"], r["n_samples"], r["x_type"], r["label_type"]) for r in rows("smoke")] == [(s, n, 8, "array<double>", "int") for s, n in (("train", 72), ("val", 8), ("test", 8), ("all", 80))]
     assert rows("matched-filter", "--mode", "cosine")[0]["total"] == 8
     assert rows("retrieval", "--k", "3")[0]["accuracy"] == 1
     assert rows("benchmark", "--frame-repeats", "2")[0]["total"] == 8
