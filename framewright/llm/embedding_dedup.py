@@ -7,7 +7,8 @@ leaves in double precision, verified, and united.
 The first splits are fitted on at most `SAMPLE` vectors (those with the smallest hash of their id), and every vector is placed
 by them. Leaves that still hold more than `LEAF` vectors are split further, all of a level at once, by Spark jobs over their
 members, so that leaves stay of bounded size however many vectors there are; only what no projection parts, such as one large
-cluster, stays together and is compared in pairs of blocks. A pair may meet in many leaves: each row carries all its leaves,
+cluster, stays together and is compared in pairs of blocks. A tree's spill is as wide as the threshold asks for, but never so wide
+that it makes many more than `COPIES` copies of the vectors: up to 100,000 vectors it hardly binds. A pair may meet in many leaves: each row carries all its leaves,
 and a pair counts only in the first it shares, so links are counted without listing pairs. A leaf gives out just sums and a
 spanning forest of its links.
 
@@ -31,18 +32,23 @@ from .components import components
 from .vectors import matrix, usable
 
 TREES, LEAF, SAMPLE, SMALLEST, BLOCK, LEVELS = 4, 1500, 20_000, 8, 2048, 40
+#: A tree makes this many copies of the vectors at most, whatever its depth: the deeper it has to be, the narrower its spill.
+COPIES = 8
 #: A split that leaves more than this share of the members on one side is no use.
 USELESS = 0.95
 
 
 class Forest:
-    """Trees as arrays of nodes: a direction and a threshold, or a leaf's number. Its size is bounded by the sample's."""
+    """Trees as arrays of nodes: a direction, a threshold and a spill, or a leaf's number. Its size is bounded by the sample's."""
 
     def __init__(self, sample: np.ndarray, n: int, spill: float, first_leaf: int, seed: int = 11):
         self.spill = spill
         self.rng = np.random.default_rng(seed)
         self.leaves = first_leaf
         smallest = max(SMALLEST, math.ceil(LEAF * len(sample) / max(n, 1)))
+        # the share of a node that may go to both sides: with growth g a level, leaves are reached after log2(n / LEAF) / log2(2 / g) levels
+        copies, halvings = math.log2(COPIES), max(1.0, math.log2(max(n, 2) / LEAF))
+        self.both = 2 ** (copies / (halvings + copies)) - 1
         self.trees = [self._grow(sample, smallest, 0) for _ in range(TREES)]
         del self.rng
 
@@ -56,9 +62,10 @@ class Forest:
             direction /= np.linalg.norm(direction)
             p = sample @ direction
             cut = float(np.median(p))
-            left, right = sample[p <= cut + self.spill], sample[p >= cut - self.spill]
+            spill = min(self.spill, float(np.quantile(np.abs(p - cut), self.both))) if self.both < 1 else self.spill
+            left, right = sample[p <= cut + spill], sample[p >= cut - spill]
             if max(len(left), len(right)) < USELESS * len(sample):
-                return direction, cut, self._grow(left, smallest, depth + 1), self._grow(right, smallest, depth + 1)
+                return direction, cut, spill, self._grow(left, smallest, depth + 1), self._grow(right, smallest, depth + 1)
         return self._leaf()
 
     def place(self, unit: np.ndarray) -> list[list[int]]:
@@ -70,10 +77,10 @@ class Forest:
                 for r in rows.tolist():
                     out[r].append(node)
                 return
-            direction, cut, left, right = node
+            direction, cut, spill, left, right = node
             p = unit[rows] @ direction
-            walk(left, rows[p <= cut + self.spill])
-            walk(right, rows[p >= cut - self.spill])
+            walk(left, rows[p <= cut + spill])
+            walk(right, rows[p >= cut - spill])
 
         for tree in self.trees:
             walk(tree, np.arange(len(unit)))

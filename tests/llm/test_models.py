@@ -343,6 +343,22 @@ def spelling_model(words, bits=16):
     return context_mixing.Model(code, context_mixing.scaled(counts.astype(np.int64)))
 
 
+@pytest.mark.parametrize("n", [20_000, 1_000_000, 100_000_000])
+def test_a_tree_makes_a_bounded_number_of_copies(n):
+    """However many vectors there are; and a pair at the threshold still meets in some leaf."""
+    rng = np.random.default_rng(3)
+    unit = embedding_dedup.unit_rows(rng.standard_normal((8000, 64)))
+    forest = embedding_dedup.Forest(unit[:4000], n, embedding_dedup.spill_of(0.95, 64), 0)
+    homes = forest.place(unit)
+    mean = sum(map(len, homes)) / len(homes) / embedding_dedup.TREES
+    assert mean < 1.5 * embedding_dedup.COPIES
+    near = rng.standard_normal((500, 64))
+    near -= (near * unit[4000:4500]).sum(1, keepdims=True) * unit[4000:4500]
+    near = 0.955 * unit[4000:4500] + np.sqrt(1 - 0.955**2) * embedding_dedup.unit_rows(near)
+    met = [bool(set(a) & set(b)) for a, b in zip(homes[4000:4500], forest.place(near))]
+    assert np.mean(met) >= 0.98
+
+
 def test_spelling_learns_words_and_leaves_a_word_out_of_its_own_counts():
     words = [w.encode() for w in sorted(set(prose(1, 300).lower().split()))]
     model = spelling_model(words)
