@@ -14,8 +14,9 @@ structure a window that finds the neighbours covers half of each projection, so
 The result is exact in its scores and approximate only in which neighbours are found: recall and the verified share are measured in the tests.
 
 Vectors that are null, empty, zero or have null or non-finite components take no part; an empty table gives no row. A query's candidates
-are the vectors of its own length. Ties go to the smaller id. Rows that repeat an id are candidates of their own, but never of a
-query with the same id; queries that repeat an id share one list. Columns other than the two named are not read.
+are the vectors of its own length but its own row: one row with its id and vector. So other rows with its id are candidates, a repeat
+of the row too, and queries that repeat an id have a list each. Ties go to the smaller id. Columns other than the two named are not
+read.
 """
 
 from __future__ import annotations
@@ -78,7 +79,9 @@ class BlockIndex:
                 low, step = step, min(step + stride, (step + high + 1) // 2)
             stride *= 2
         self.step = high
-        found = found[self.ids[found] != query_id]
+        own = found[self.ids[found] == query_id]
+        own = own[(self.vectors[own] == query).all(1)][:1]
+        found = np.setdiff1d(found, own)
         self.verified += len(found)
         score = (self.vectors[found] * query).sum(1)
         if len(found) > k:
@@ -100,7 +103,8 @@ def products(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest vectors found, by largest inner product."""
     spark = vectors.sparkSession
-    base, asked = (stored(usable(df).withColumn("dim", F.size("v")), name) for df, name in ((vectors, "base"), (queries, "queries")))
+    numbered = lambda df: usable(df).withColumns({"dim": F.size("v"), "row": F.monotonically_increasing_id()})
+    base, asked = (stored(numbered(df), name) for df, name in ((vectors, "base"), (queries, "queries")))
     length = F.array_max(F.transform("v", F.abs)) * F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + F.pow(x / F.array_max(F.transform("v", F.abs)), 2)))
     # a row for each length of vectors
     sizes = base.select("dim", length.alias("length")).groupBy("dim").agg(F.count("*").alias("n"), F.max("length").alias("largest"))
@@ -116,20 +120,19 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     def dealt(rows, own, parts, other, others):
         spread = rows.join(sizes.toDF(*sizes.columns), "dim").withColumn(own, F.pmod(F.xxhash64("vec_id", F.lit(own)), F.col(parts)).cast("int"))
         spread = spread.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(others) - 1)))
-        return spread.select("dim", "block", "group", "vec_id", "v", "n", "largest").groupBy("dim", "block", "group")
+        return spread.select("dim", "block", "group", "row", "vec_id", "v", "n", "largest").groupBy("dim", "block", "group")
 
     def meet(rows: pa.Table, asked: pa.Table) -> pa.Table:
-        out = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+        out = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
         if len(rows) and len(asked):
             n, largest = rows["n"][0].as_py(), rows["largest"][0].as_py()
             index = BlockIndex(rows["vec_id"].to_numpy(), matrix(rows["v"]), largest * (1 + 1e-9), max(VERIFY, min(1.0, AT_LEAST / n)))
-            for query_id, query in zip(asked["vec_id"].to_numpy(), matrix(asked["v"])):
+            for row, query_id, query in zip(asked["row"].to_numpy(), asked["vec_id"].to_numpy(), matrix(asked["v"])):
                 ids, scores = index.search(query, query_id, k)
-                for column, values in zip(out, (np.full(len(ids), query_id), ids, scores)):
+                for column, values in zip(out, (np.full(len(ids), row), np.full(len(ids), query_id), ids, scores)):
                     column.append(values)
-        return pa.table([np.concatenate(c) for c in out], names=["query_id", "vec_id", "score"])
+        return pa.table([np.concatenate(c) for c in out], names=["row", "query_id", "vec_id", "score"])
 
-    once = asked.dropDuplicates(["vec_id", "v"])
-    found = dealt(base, "block", "blocks", "group", "groups").cogroup(dealt(once, "group", "groups", "block", "blocks")).applyInArrow(meet, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = dealt(base, "block", "blocks", "group", "groups").cogroup(dealt(asked, "group", "groups", "block", "blocks")).applyInArrow(meet, "row long, query_id long, vec_id long, score double")
+    rank = F.row_number().over(W.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

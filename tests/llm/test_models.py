@@ -151,6 +151,16 @@ def test_neighbours_of_awkward_rows(spark):
     assert ann.nearest(none, none, 20).count() == 0
 
 
+def test_rows_that_share_a_query_s_id_are_candidates(spark):
+    """Only the query's own row isn't: another vector of its id is, and so is a repeat of the row, and each asks for itself."""
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (3, [2.0, 0.5])]
+    df = spark.createDataFrame([(i, v, 0, 0, "") for i, v in rows], VECTORS)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.nearest(df, df.where("vec_id % 20 = 0"), 20).collect())
+    one = [(0, 1, 3, 2.0), (0, 2, 0, 0.0), (0, 3, 0, 0.0)]
+    other = [(0, 1, 0, 1.0), (0, 2, 3, 0.5), (0, 3, 0, 0.0)]
+    assert got == sorted(one + other + other)
+
+
 def test_vector_duplicates_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "LEAF", 60)
     monkeypatch.setattr(embedding_dedup, "BLOCK", 40)
