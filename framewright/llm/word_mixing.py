@@ -150,13 +150,21 @@ class Paths:
         self.levels, self.first, self.counts = levels, first, counts
         self.own_levels, self.own_first, self.own = own_levels, own_first, own
 
-    def pair_count(self, t: np.ndarray, level: int) -> np.ndarray:
-        """Counts of the prefixes of `level` bits of tokens that have listed levels; beyond these the last one stands. Numbers that
-        single precision doesn't tell apart are in double precision, so that a bit's two counts add up."""
-        n = self.counts[self.first[t] + np.minimum(level, self.levels[t] - 1)].astype(np.float32 if self.counts.itemsize == 2 else np.float64)
-        mine = self.own_levels[t]
-        n -= np.where(mine > 0, self.own[self.own_first[t] + np.minimum(level, np.maximum(mine, 1) - 1)], 0)
-        return np.maximum(n, 0)
+    def pair_counts(self, t: np.ndarray):
+        """A function of (k, level): counts of the prefixes of `level` bits of the first k of the tokens `t`, which have listed
+        levels; beyond these the last one stands. Numbers that single precision doesn't tell apart are in double precision, so
+        that a bit's two counts add up."""
+        kind = np.float32 if self.counts.itemsize == 2 else np.float64
+        first, top, mine = self.first[t], self.levels[t] - 1, self.own_levels[t]
+        # a token without own counts looks at the zero that ends them
+        own_first, own_top = np.where(mine > 0, self.own_first[t], len(self.own) - 1), np.maximum(mine, 1) - 1
+
+        def counted(k: int, level: int) -> np.ndarray:
+            n = self.counts[first[:k] + np.minimum(level, top[:k])].astype(kind)
+            n -= self.own[own_first[:k] + np.minimum(level, own_top[:k])]
+            return np.maximum(n, 0, out=n)
+
+        return counted
 
 
 def squash(z: np.ndarray) -> np.ndarray:
@@ -171,7 +179,7 @@ def blocks(sizes: np.ndarray):
         at, width = at + width, width * 2 if at else width
 
 
-_GATE = np.minimum(np.ceil(np.log2(np.arange(6) + 1)), GATES - 1).astype(np.int8)
+_GATE = np.minimum(np.ceil(np.log2(np.arange(6) + 1)), GATES - 1).astype(np.intp)
 
 
 def bits(paths: Paths, tables: Tables, sizes: np.ndarray, weights: np.ndarray = WEIGHTS) -> np.ndarray:
@@ -187,6 +195,7 @@ def bits(paths: Paths, tables: Tables, sizes: np.ndarray, weights: np.ndarray =
     came = np.tile(MAP_WEIGHT * centre, n).astype(np.float32)
     flat = [(tables.topic, paths.topic, tables.contexts[0], 2 << DEPTH, DEPTH), (tables.before, paths.before, tables.contexts[1], 2 << PREVIOUS_DEPTH, PREVIOUS_DEPTH)]
     last = PREDICTORS - 1
+    of_gate = [np.ascontiguousarray(weights[:, k] - (weights[0, k] if k < last else 0)) for k in range(PREDICTORS)]
     for going, first, end in blocks(sizes):
         count = end - first
         t = np.repeat(starts[going] + first, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
@@ -195,14 +204,17 @@ def bits(paths: Paths, tables: Tables, sizes: np.ndarray, weights: np.ndarray =
         length, own = paths.length[t], paths.train[t].astype(np.int32)
         prefix = (paths.code[t] >> np.uint64(64 - DEPTH)).astype(np.int32)
         rows = [(own * contexts + context[t]) * np.int32(width) for _, context, contexts, width, _ in flat]
-        block = np.zeros(len(t), np.float32)
+        # chances are multiplied along a token's bits, each at least 1e-6, and their logarithm is taken once; gradients are added up
+        # by token and then by text
+        block, chance, slope = np.zeros(len(t), np.float32), np.ones(len(t)), np.zeros((PREDICTORS, len(t)), np.float32)
         # below the tables nothing is known without a two-word context, and a bit costs a bit
         pair = np.flatnonzero(paths.levels[t] > 0)
         lone = paths.levels[t] == 0
         block[lone] = np.maximum(length[lone] - DEPTH, 0)
-        gradient, learned = np.zeros((PREDICTORS, n)), np.zeros(len(came))
+        learned = np.zeros(len(came))
         seen = np.bincount(who, weights=np.minimum(length, DEPTH), minlength=n)
-        parent = paths.pair_count(t[pair], 0)
+        counted, paired, who_pair, slope_pair = paths.pair_counts(t[pair]), pair, who[pair], np.zeros(len(pair))
+        parent = counted(len(pair), 0)
         each, base_of = weights[0][:, None] + change, who * BUCKETS
         mapped = came.reshape(n, BUCKETS)
         mapped = (mapped / (mapped + mapped[:, ::-1])).reshape(-1)
@@ -210,9 +222,10 @@ def bits(paths: Paths, tables: Tables, sizes: np.ndarray, weights: np.ndarray =
             m = int(np.searchsorted(-length, -level))
             keep = int(np.searchsorted(pair, m))
             pair, parent = pair[:keep], parent[:keep]
-            child = np.minimum(paths.pair_count(t[pair], level + 1), parent)
+            child = np.minimum(counted(keep, level + 1), parent)
             if level < DEPTH:
-                some, base, spot, up, down = who[:m], base_of[:m], pair, parent, child
+                some, base, spot, up, down, here = who[:m], base_of[:m], pair, parent, child, slice(0, m)
+                some_pair, in_pair = who_pair[:keep], slice(0, keep)
                 node = (prefix[:m] >> (DEPTH - 1 - level)) | np.int32(2 << level)
                 x = [counts[row[:m] + node] for (counts, *_, depth), row in zip(flat, rows) if level < depth]
                 z = each[0][some] * x[0]
@@ -222,7 +235,8 @@ def bits(paths: Paths, tables: Tables, sizes: np.ndarray, weights: np.ndarray =
                 known = parent > 0
                 block[pair[~known]] += 1
                 at_pair, up, down = pair[known], parent[known], child[known]
-                some, base, spot, x = who[at_pair], base_of[at_pair], slice(None), []
+                some, base, spot, x, here = who[at_pair], base_of[at_pair], slice(None), [], at_pair
+                some_pair, in_pair = some, np.flatnonzero(known)
                 z = np.zeros(len(some), np.float32)
             if not len(some):
                 parent = child
@@ -230,26 +244,25 @@ def bits(paths: Paths, tables: Tables, sizes: np.ndarray, weights: np.ndarray =
             if len(up):
                 of_pair = evidence(down, up - down, PAIR_DELTA, PAIR_UNSURE)
                 gate = _GATE[np.minimum(up, 5).astype(np.int64)]
-                more = (weights[:, last][gate] + change[last][some[spot]]) * of_pair
+                more = (of_gate[last][gate] + change[last][some_pair]) * of_pair
                 for k in range(len(x)):
-                    more += (weights[:, k] - weights[0, k])[gate] * x[k][spot]
+                    more += of_gate[k][gate] * x[k][spot]
                 z[spot] += more
             p = squash(z)
             at = base + ((np.clip(z, -11.99, 11.99) + 12) * np.float32(BUCKETS / 24)).astype(np.int32)
-            cost = -np.log2(np.maximum(0.5 * p + 0.5 * mapped[at], np.float32(1e-6)))
-            if level < DEPTH:
-                block[:m] += cost
-            else:
-                block[at_pair] += cost
+            chance[here] *= np.maximum(0.5 * p + 0.5 * mapped[at], np.float32(1e-6))
+            if level >= DEPTH:
                 seen += np.bincount(some, minlength=n)
             error = 1 - p
             for k in range(len(x)):
-                gradient[k] += np.bincount(some, weights=error * x[k], minlength=n)
+                slope[k, here] += error * x[k]
             if len(up):
-                gradient[last] += np.bincount(some[spot], weights=error[spot] * of_pair, minlength=n)
+                slope_pair[in_pair] += error[spot] * of_pair
             learned += np.bincount(at, minlength=len(came))
             parent = child
-        out[t] = block
+        out[t] = block - np.log2(chance)
+        slope[last, paired] = slope_pair
+        gradient = np.stack([np.bincount(who, weights=s, minlength=n) for s in slope])
         change += (RATE * gradient / (seen + 200.0)).astype(np.float32)
         came += learned.astype(np.float32)
     return out
