@@ -154,18 +154,20 @@ def lexicon_of(chunks: DataFrame) -> DataFrame:
         return row_of(LEXICON_SCHEMA, values)
 
     def gather(batches):
-        held, of_bucket, at = None, -1, 0
+        parts, rows, enough, of_bucket, at = [], 0, BLOCK_WORDS, -1, 0
         for batch, last in _last_marked(batches):
-            now = pa.Table.from_batches([batch])
-            held = now if held is None else pa.concat_tables([held, now]).combine_chunks()
-            if len(held) < BLOCK_WORDS and not last:
+            parts.append(batch)
+            rows += batch.num_rows
+            if rows < enough and not last:
                 continue
+            held = pa.Table.from_batches(parts).combine_chunks()
             word, bucket = held["word"].combine_chunks(), held["bucket"].to_numpy()
             change = pc.not_equal(word[1:], word[:-1]).to_numpy(zero_copy_only=False) if len(word) > 1 else np.zeros(0, bool)
             starts = np.concatenate([[0], np.flatnonzero(change) + 1]) if len(word) else np.zeros(0, np.int64)
             cut = len(word) if last else int(starts[-1])  # the last word's rows may go on
             starts = starts[starts < cut]
-            if not len(starts):
+            if not len(starts):  # one word's rows alone: they are put together again when they are twice as many
+                parts, enough = held.to_batches(), 2 * rows
                 continue
             edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket[starts])) + 1, [len(starts)]])
             n, texts, part, chunk, number = (held[c].to_numpy() for c in ("n", "texts", "part", "chunk", "number"))
@@ -177,7 +179,7 @@ def lexicon_of(chunks: DataFrame) -> DataFrame:
                 sums = [np.add.reduceat(x[low:high], own) for x in (n, texts)]
                 yield block(int(of_bucket), at, word.take(pa.array(starts[a:b])).to_pylist(), *sums, np.append(own, high - low), part[low:high], chunk[low:high], number[low:high])
                 at += 1
-            held = held.slice(cut)
+            parts, rows, enough = held.slice(cut).to_batches(), len(held) - cut, BLOCK_WORDS
 
     rows = chunks.select("part", "chunk", "words", "counts", "texts").mapInArrow(postings, "word binary, n long, texts long, part long, chunk long, number long")
     h = F.xxhash64("word")
