@@ -38,7 +38,7 @@ from .common import distinct, drop_shared, id_remainder, slices, stored, texts
 CHUNK_WORDS, CHUNK_TOKENS = 300_000, 1_500_000
 BLOCK_WORDS, BLOCK_ROWS = 50_000, 20_000
 WORD_BUCKETS, PAIR_TOKENS, MAX_PAIR_PARTS = 1024, 1_500_000, 1 << 16
-SCORE_TOKENS = 300_000
+SCORE_TOKENS = 200_000
 END = bytes([cm.END])  # no UTF-8 text holds this byte
 #: Symbols without a word, as numbers of coded words.
 NO_ID = -(1 << 63)
