@@ -79,3 +79,11 @@ def test_lengths_that_do_not_fit_are_errors(spark):
         quantized.encode(bank(spark, clustered(9, 2, 8)), books).count()
     with pytest.raises(ValueError, match="rerank"):
         quantized.nearest(asked(spark, clustered(9, 2)), b, quantized.encode(b, books), books, 5, 3)
+
+
+def test_with_all_re_ranked_no_pair_is_written(spark):
+    b, q = bank(spark, clustered(10, 60)), asked(spark, clustered(11, 9))
+    books = quantized.fit(b, 4, 8, 2)
+    got = quantized.nearest(q, b, scratch.written(quantized.encode(b, books), "codes"), books, 5, 1 << 20)
+    assert "estimate" not in got._jdf.queryExecution().toString()
+    assert rows(got) == rows(knn.nearest_by_expressions(q, b, 5))
