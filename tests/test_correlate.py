@@ -122,3 +122,17 @@ def test_gaps_close_when_the_watermark_passes_and_late_samples_are_dropped(spark
     got = streamed(spark, tmp_path / "late", [first, late], "1 second")
     # by the time the late ones come, the watermark has passed all but the last second's blocks
     assert {(r[1], r[2]) for r in got} == direct(z, gone)
+
+
+def test_samples_are_merged_once_however_many_blocks(monkeypatch):
+    """With gaps that the watermark has closed or not, and pieces that overlap; blocks are decided in one pass over what is held."""
+    z, calls, merged = signal(8, 40 * BLOCK), [], correlate.merged
+    monkeypatch.setattr(correlate, "merged", lambda pieces: calls.append(len(pieces)) or merged(pieces))
+    bank = correlate.Bank([3, 4], shapes(), BLOCK, THRESHOLD)
+    pieces = [(at, z[at : at + 11], at) for at in range(0, len(z), 10) if not 300 <= at < 330 and not 900 <= at < 950]
+    out, rest, decided = correlate.Detector(bank)._decide(pieces, None, 700)
+    assert len(calls) == 1 and decided == 26  # the next block needs samples 863 to 903, of which some are missing and times up to 890 not passed
+    assert rest[0][0] == 27 * BLOCK - 1 and {ms for *_, ms in rest} == {ms for *_, ms in pieces if ms + 11 > 27 * BLOCK - 1}
+    more, rest, decided = correlate.Detector(bank)._decide(rest, decided, 10_000)
+    have = {i for s, p, _ in pieces for i in range(s, s + len(p))}
+    assert {(label, place) for label, place, _ in out + more} == direct(z, set(range(len(z))) - have) and rest == []
