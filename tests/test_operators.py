@@ -65,6 +65,17 @@ def test_fft_kernel_equals_expressions_and_bounds_time(spark):
     assert all(a[k] == (b[k][0], pytest.approx(b[k][1])) and t[k][1] - 1e-12 <= a[k][1] <= 1 + 1e-12 for k in a)
 
 
+def test_peaks_by_expressions_turn_templates_once_and_use_all_tasks(spark):
+    x = frames(spark, RNG.standard_normal((20, 16)), [0] * 20).coalesce(1)
+    mu = templates.complex_templates(frames(spark, RNG.standard_normal((9, 16)), [0, 1, 2] * 3), 3, 8)
+    got = score.predict(x, mu, "shifts")
+    assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    best = {}
+    for r in score.scores(x, mu, "shifts").collect():
+        best[r["row_id"]] = max(best.get(r["row_id"], (-1.0, 0)), (r["score"], -r["label"]))
+    assert {r["row_id"]: (r["score"], -r["pred"]) for r in got.collect()} == {k: (pytest.approx(v[0]), v[1]) for k, v in best.items()}
+
+
 @pytest.mark.parametrize("mode", score.MODES)
 def test_best_template_in_the_row_in_blocks_and_by_long_scores(spark, monkeypatch, mode):
     x = RNG.standard_normal((25, 8))
