@@ -1,5 +1,7 @@
 """The join by cells against a cross join: row for row, with ties, hot cells, and figures of what was left out."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -122,6 +124,33 @@ def test_peaks_found_by_bounds_are_those_of_all_pairs(k):
     assert shares[1] < shares[0] <= 1 and (k > 4 or shares[1] < 0.3)
 
 
+@pytest.mark.parametrize("measure", list(knn.MEASURES))
+def test_references_are_met_tile_by_tile(measure):
+    """What is held for 256 queries stays far below the 120 MB of their rough distances to 60,000 references; ties over all tiles go to
+    the smaller index."""
+    rng = np.random.default_rng(21)
+    z = knn._unit(np.repeat(rng.standard_normal((6000, 8)), 10, 0)[rng.permutation(60_000)], 1e-8)
+    q, ref = rng.standard_normal((256, 8)), rng.permutation(60_000)
+    known = knn.MEASURES[measure](z)
+    tracemalloc.start()
+    row, pos, rank, d = knn.best_of_block(q, known, ref, 25)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6 and row.tolist() == np.repeat(np.arange(256), 25).tolist() and rank.tolist() == list(range(1, 26)) * 256
+    for one in (0, 255):
+        every = known.exact(np.full(len(z), one), np.arange(len(z)))
+        want = np.lexsort((ref, every))[:25]
+        assert pos[row == one].tolist() == want.tolist() and d[row == one].tolist() == every[want].tolist()
+
+
+def test_circular_peaks_of_long_frames():
+    rng = np.random.default_rng(22)
+    z, q = knn._unit(rng.standard_normal((90, 300)), 1e-8), rng.standard_normal((7, 300))
+    row, pos, _, d = knn.best_of_block(q, knn.Circular(z), np.arange(90), 4)
+    for one, (near, want, _) in enumerate(knn.best_circular(q, z, np.arange(90), 4)):
+        assert pos[row == one].tolist() == near.tolist() and np.allclose(d[row == one], want)
+
+
 def test_verified_share_of_circular_peaks(spark):
     queries, bank = tables(spark, loose(14, 9, 8), loose(15, 70, 8))
     got = knn.circular_work(queries, bank, 2).first()
