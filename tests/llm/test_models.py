@@ -402,6 +402,33 @@ def test_both_branches_of_a_bit_make_one(common, other):
     assert sum(chance) == pytest.approx(1, abs=2e-6) and (chance[0] > chance[1] or common - other < common / 2)
 
 
+def test_pairs_are_ordered_by_all_bits():
+    wm = word_mixing
+    for n, contexts, width in ((0, 1, 5), (1, 1, 5), (3000, 30, 48), (3000, 3, 40), (20_000, 5_000, 22)):
+        context = wm.mixed(RNG.integers(0, contexts, n).astype(np.uint64)) >> np.uint64(16) << np.uint64(16)
+        code = RNG.integers(0, 1 << min(width, 10), n).astype(np.uint64) << np.uint64(64 - width) | RNG.integers(0, 3, n).astype(np.uint64) << np.uint64(16)
+        got, want = wm.ordered(context, code), np.lexsort((code, context))
+        assert (np.sort(got) == np.arange(n)).all() and (context[got] == context[want]).all() and (code[got] == code[want]).all()
+
+
+def test_wide_counts_that_single_precision_holds_are_not_doubled():
+    none = np.zeros(0, np.int64)
+    kinds = [word_mixing.Paths(*[none] * 7, np.array(c), none, none, none).kind for c in ([70_000], [1 << 24], [(1 << 24) + 1])]
+    assert kinds == [np.float32, np.float32, np.float64]
+
+
+def test_words_are_cut_and_numbered_as_bytes_are():
+    rng = random.Random(3)
+    alphabet = [chr(i) for i in range(40)] + list("abCDZ \t\n\x0b\x0c\r\x1c\x1f\x85\xa0é\u2003ÀΣß😀")
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(500)] + ["", " ", "\n a", "a "]
+    sizes, words = language_model.words_of(language_model.pa.array(texts)[100:])
+    want = [[*t.encode().lower().split(), language_model.END] for t in texts[100:]]
+    assert sizes.tolist() == [len(w) for w in want] and words.to_pylist() == [x for w in want for x in w]
+    numbers, flat = language_model.Numbering(), words.to_pylist()
+    got = np.concatenate([numbers.of(words[:300]), numbers.of(words[300:])])
+    assert [numbers.words[i].as_py() for i in got.tolist()] == flat and len(numbers.words) == len(set(flat))
+
+
 def test_topic_counts_beyond_32_bits():
     leaves = np.zeros((1, 4), np.int64)
     leaves[0] = [1 << 31, 4, 1 << 33, 0]
