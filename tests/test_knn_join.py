@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from framewright.operators import knn
-from framewright.operators.knn_join import Cells, nearest_by_cells
+from framewright.operators.knn_join import Cells, nearest_by_cells, within
 
 QUERY, BANK = "row_id long, label int, x array<double>", "ref_index long, z array<double>, label int"
 
@@ -156,3 +156,26 @@ def test_verified_share_of_circular_peaks(spark):
     got = knn.circular_work(queries, bank, 2).first()
     assert got["pairs"] == 630 and 0 < got["verified"] <= 630
     assert knn.circular_work(queries, bank.where("ref_index < 0")).first()["pairs"] == 0
+
+
+def test_a_cell_of_copies_takes_bounded_memory():
+    """All pairs of 256 queries and 20,000 equal references are as near as the nearest: they are met tile by tile."""
+    q, z = np.ones((300, 4)), np.ones((20_000, 4))
+    ref = np.arange(len(z))[::-1].copy()
+    tracemalloc.start()
+    row, pos, d = within(q, z, ref, np.full(len(q), np.inf), 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+    assert row.tolist() == np.repeat(np.arange(300), 3).tolist() and set(ref[pos].tolist()) == {0, 1, 2} and not d.any()
+
+
+def test_tiles_find_the_nearest_within_the_limit():
+    rng = np.random.default_rng(4)
+    q, z, ref = rng.integers(-3, 4, (300, 3)).astype(float), rng.integers(-3, 4, (5000, 3)).astype(float), rng.permutation(5000)
+    limit = np.where(np.arange(300) % 3 == 0, np.inf, rng.integers(0, 3, 300).astype(float))
+    row, pos, d = within(q, z, ref, limit, 4)
+    for i in range(300):
+        far = np.sqrt(((z - q[i]) ** 2).sum(1))
+        want = [j for j in np.lexsort((ref, far))[:4] if far[j] <= limit[i]]
+        assert pos[row == i].tolist() == want and d[row == i].tolist() == far[want].tolist()
