@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 import pytest
 
-from framewright.operators import knn
+from framewright.operators import knn, mlp
 from framewright.operators.knn_join import Cells, nearest_by_cells, within
 
 QUERY, BANK = "row_id long, label int, x array<double>", "ref_index long, z array<double>, label int"
@@ -170,6 +170,21 @@ def test_a_cell_of_copies_takes_bounded_memory():
     assert row.tolist() == np.repeat(np.arange(300), 3).tolist() and set(ref[pos].tolist()) == {0, 1, 2} and not d.any()
 
 
+def test_latents_that_all_fall_together_take_bounded_memory():
+    """A network that maps every frame to one point makes all references of a broadcast bank as near as the nearest: rough distances alone
+    would be 80 MB for 256 queries."""
+    z = mlp.by_rule([64, 16, 8]).forward(np.zeros((40_000, 64)))
+    ref = np.arange(len(z))[::-1].copy()
+    known = knn.Euclidean(z)
+    tracemalloc.start()
+    row, pos, rank, d = knn.best_of_block(z[:300], known, ref, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 70e6
+    assert row.tolist() == np.repeat(np.arange(300), 5).tolist() and rank.tolist() == [1, 2, 3, 4, 5] * 300
+    assert ref[pos].tolist() == [0, 1, 2, 3, 4] * 300 and not d.any()
+
+
 def test_tiles_find_the_nearest_within_the_limit():
     rng = np.random.default_rng(4)
     q, z, ref = rng.integers(-3, 4, (300, 3)).astype(float), rng.integers(-3, 4, (5000, 3)).astype(float), rng.permutation(5000)
